@@ -1,13 +1,23 @@
-"""A training-corpus pipeline out of the corpus operators."""
+"""A training-corpus pipeline: quality, repeated lines, near copies, benchmark leaks, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm.common import written
+from tallyforge.llm.decontam import stage_decontaminate
+from tallyforge.llm.linededup import stage_line_dedup
+from tallyforge.llm.packing import stage_pack
+from tallyforge.llm.quality import stage_quality
 from tallyforge.llm.simhash import stage_near_dedup
 
-STAGES = [("near_dedup", stage_near_dedup)]
+STAGES = [
+    ("quality", stage_quality),
+    ("line_dedup", stage_line_dedup),
+    ("near_dedup", stage_near_dedup),
+    ("decontaminate", stage_decontaminate),
+    ("pack", stage_pack),
+]
 
 #: No SQL: the classifier, the fingerprints and the tokenizer are outside SQL.
 ORACLE_SQL = None

@@ -22,6 +22,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Everything in ASCII that is neither a letter nor a digit.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: A-Z to a-z, all other bytes as they are.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,8 +59,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(texts: pa.Array, separators: np.ndarray = SPACE) -> Words:
+def words(texts: pa.Array, separators: np.ndarray = SPACE, table: np.ndarray | None = None) -> Words:
+    """Words between separators, after replacing each byte by table's entry for it."""
     data, offsets = text_bytes(texts)
+    if table is not None:
+        data = table[data]
     n = len(data)
     inside = ~separators[data]
     cut = np.zeros(n + 1, bool)

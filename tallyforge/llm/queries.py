@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import simhash, substring
+from tallyforge.llm import decontam, langid, linededup, packing, quality, simhash, spotsigs, substring, tokens, urlfilter
 
 QUERIES = {
+    "op1_decontamination": decontam.op1_decontamination,
+    "op2_urlfilter": urlfilter.op2_urlfilter,
+    "op3_langid": langid.op3_langid,
+    "op4_line_dedup": linededup.op4_line_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_substring": substring.op6_substring,
+    "op7_packing": packing.op7_packing,
+    "op8_spotsigs": spotsigs.op8_spotsigs,
+    "op9_quality": quality.op9_quality,
+    "op10_token_rollup": tokens.op10_token_rollup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_line_dedup": linededup.OP4_SQL}
