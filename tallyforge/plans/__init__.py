@@ -1,6 +1,5 @@
 """Registered queries of the audit operators over the given tables, each with its SQL."""
 
-from __future__ import annotations
+from tallyforge.plans.queries import ORACLE, QUERIES
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
