@@ -74,25 +74,25 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-OP4_SQL = """
+OP4_SQL = r"""
 with lines as (
-  select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as at from documents
+  select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents
 ), own as (
-  select doc_id, at, regexp_replace(line, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') as line,
-         row_number() over (partition by doc_id order by at) as first
-  from lines where regexp_replace(line, '[ \t\n\v\f\r]+', '', 'g') <> ''
+  select doc_id, pos, regexp_replace(line, '^[\s\x0B]+|[\s\x0B]+$', '', 'g') as line,
+         row_number() over (partition by doc_id order by pos) as first
+  from lines where regexp_replace(line, '[\s\x0B]+', '', 'g') <> ''
 ), runs as (
-  select doc_id, first, at, lead(at) over w as at2, line, lead(line) over w as line2
-  from own window w as (partition by doc_id order by at)
+  select doc_id, first, pos, lead(pos) over w as pos2, line, lead(line) over w as line2
+  from own window w as (partition by doc_id order by pos)
 ), judged as (
-  select *, row_number() over (partition by line, line2 order by doc_id, first) as nth from runs where at2 is not null
+  select *, row_number() over (partition by line, line2 order by doc_id, first) as nth from runs where pos2 is not null
 ), gone as (
-  select distinct doc_id, unnest([at, at2]) as at from judged where nth > 1
+  select distinct doc_id, unnest([pos, pos2]) as pos from judged where nth > 1
 )
 select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines,
        (select count(*) from gone g where g.doc_id = d.doc_id)::bigint as n_removed,
-       sha256(coalesce((select string_agg(line, chr(10) order by at) from lines l
-                        where l.doc_id = d.doc_id and not exists (select 1 from gone g where g.doc_id = l.doc_id and g.at = l.at)), '')) as kept_sha256
+       sha256(coalesce((select string_agg(line, chr(10) order by pos) from lines l
+                        where l.doc_id = d.doc_id and not exists (select 1 from gone g where g.doc_id = l.doc_id and g.pos = l.pos)), '')) as kept_sha256
 from documents d
 """
 
