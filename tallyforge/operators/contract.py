@@ -61,7 +61,7 @@ def parse_result_contract(raw: DataFrame) -> DataFrame:
     envelope = F.to_json(F.struct(F.col("reason").alias("parser_reason"), text, *ids))
     out = {
         "status": F.when(F.col("reason").isNull(), F.col("_ok_status")).otherwise("UNCERTAINTY"),
-        "findings": F.when(F.col("reason").isNull(), F.transform("_findings", F.to_json)).otherwise(F.array(envelope)),
+        "findings": F.when(F.col("reason").isNull(), F.transform("_findings", lambda f: F.to_json(f))).otherwise(F.array(envelope)),
         "evidence_ids": F.when(F.col("reason").isNull(), F.transform("_evidence", lambda e: F.try_variant_get(e, "$", "string"))).otherwise(F.array().cast("array<string>")),
         "message": F.when(F.col("reason").isNull(), F.when(_kind(F.col("_message")) == "STRING", _at(F.col("_message"), "$", "string"))).otherwise(F.col("reason")),
     }

@@ -58,7 +58,7 @@ def prj1(t: Tables) -> DataFrame:
 
 @query("prj2_result_flags", with_("results") + " select task_id, pos, status in ('ERROR', 'BLOCK') as blocks, finding is not null as has_findings from results")
 def prj2(t: Tables) -> DataFrame:
-    return t.results.select("task_id", "pos", fn.blocks_progress(F.col("status")).alias("blocks"), fn.has_findings(F.col("findings")).alias("has_findings"))
+    return t.results.select("task_id", F.col("pos").cast("long").alias("pos"), fn.blocks_progress(F.col("status")).alias("blocks"), fn.has_findings(F.col("findings")).alias("has_findings"))
 
 
 @query("f1_normalize_key", with_("tasks") + " select task_id, lower(trim(unnest(string_split(checks, '|')))) as key from tasks where checks is not null")
@@ -171,11 +171,11 @@ def set2(t: Tables) -> DataFrame:
 
 C1_SQL = """, j as (select task_id, pos, agent, raw_text, case when json_valid(raw_text) then raw_text::json end as v from raw_outputs),
  c as (select task_id, pos, agent, raw_text, case when v is null then 'Output is not JSON.' when json_type(v) <> 'OBJECT' then 'Result must be a JSON object.'
-  when len(list_filter(['evidence_ids', 'findings', 'message', 'status'], k -> not list_contains(json_keys(v), k))) > 0 then
-    'Result is missing fields: [''' || array_to_string(list_filter(['evidence_ids', 'findings', 'message', 'status'], k -> not list_contains(json_keys(v), k)), ''', ''') || '''].'
+  when len(list_filter(['evidence_ids', 'findings', 'message', 'status'], lambda k: not list_contains(json_keys(v), k))) > 0 then
+    'Result is missing fields: [''' || array_to_string(list_filter(['evidence_ids', 'findings', 'message', 'status'], lambda k: not list_contains(json_keys(v), k)), ''', ''') || '''].'
   when json_type(v, '$.status') <> 'VARCHAR' or v->>'$.status' not in ('PASS', 'ACCEPTED', 'ACCEPTED_ALTERNATIVE', 'WARNING', 'UNCERTAINTY', 'ERROR', 'BLOCK') then 'Result has an invalid status.'
-  when json_type(v, '$.findings') <> 'ARRAY' or len(list_filter((v->'$.findings')::json[], x -> json_type(x) <> 'OBJECT')) > 0 then 'findings must be a JSON array of objects.'
-  when json_type(v, '$.evidence_ids') <> 'ARRAY' or len(list_filter((v->'$.evidence_ids')::json[], x -> json_type(x) <> 'VARCHAR')) > 0 then 'evidence_ids must be a JSON array of strings.'
+  when json_type(v, '$.findings') <> 'ARRAY' or len(list_filter((v->'$.findings')::json[], lambda x: coalesce(json_type(x), 'NULL') <> 'OBJECT')) > 0 then 'findings must be a JSON array of objects.'
+  when json_type(v, '$.evidence_ids') <> 'ARRAY' or len(list_filter((v->'$.evidence_ids')::json[], lambda x: coalesce(json_type(x), 'NULL') <> 'VARCHAR')) > 0 then 'evidence_ids must be a JSON array of strings.'
   when json_type(v, '$.message') not in ('VARCHAR', 'NULL') then 'message must be a string or null.' end as reason, v from j)"""
 
 
@@ -390,7 +390,7 @@ def st4(t: Tables) -> DataFrame:
 def _messages(t: Tables) -> DataFrame:
     end = F.col("method") == "turn/completed"
     return t.messages.select(
-        F.col("thread_id").alias("connection"), "seq", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 400).alias("ts"), "method", "thread_id", "turn_id",
+        F.col("thread_id").alias("connection"), "seq", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("thread_id").cast("long") * 60 + F.col("seq") * 400).alias("ts"), "method", "thread_id", "turn_id",
         F.when(F.col("method").endswith("delta"), F.col("text")).alias("delta"), F.when(F.col("method") == "item/completed", F.lit("agentMessage")).alias("item_type"), F.when(F.col("method") == "item/completed", F.col("text")).alias("item_text"),
         F.when(end, F.col("turn_status")).alias("turn_status"), F.when(end & (F.col("turn_status") == "failed"), F.lit("model error")).alias("turn_error"),
     )
@@ -412,10 +412,10 @@ def w4(t: Tables) -> DataFrame:
     return turns.cutoff_at_completion(_messages(t).unionByName(late)).select("thread_id", "seq")
 
 
-@query("st2_turn_timeout", with_("messages") + " select thread_id, (max(seq) filter (where method <> 'turn/completed') - min(seq)) is not null and 1 = 1 as timed_out from messages where method <> 'turn/completed' group by 1")
+@query("st2_turn_timeout", with_("messages") + " select thread_id, 3000 - (thread_id::bigint * 60 + min(seq) * 400) > 900 as timed_out from messages where method <> 'turn/completed' group by 1")
 def st2(t: Tables) -> DataFrame:
-    open_turns = turns.reassemble_turns(_messages(t).where(F.col("method") != "turn/completed")).withColumn("completed", F.lit(False))
-    return turns.flag_timeouts(open_turns, AS_OF).select("thread_id", "timed_out")
+    open_turns = turns.reassemble_turns(_messages(t).where(F.col("method") != "turn/completed"))
+    return turns.flag_timeouts(open_turns, "2023-11-14 23:03:20").select("thread_id", "timed_out")
 
 
 @query(

@@ -1,0 +1,53 @@
+"""Sources and shared folders."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.functions import safe_skill_name
+
+MESSAGE = "method string, params struct<threadId:string, turnId:string, delta:string, item:struct<type:string, text:string, message:string>, turn:struct<status:string, error:struct<message:string>>>"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors see; made here only where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top}/{name}/{uuid.uuid4().hex}"
+
+
+def skill_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(skill, text) of path/<skill>/SKILL.md; folders with unsafe names are left out."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "SKILL.md").text(path, wholetext=True)
+    skill = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return rows.select(F.url_decode(skill).alias("skill"), F.col("value").alias("text")).where(safe_skill_name(F.col("skill")))
+
+
+def load_skills(wanted: DataFrame, skills: DataFrame, optional: bool = False) -> DataFrame:
+    """wanted (skill) with text. Unsafe names are rejected; a missing skill is null if optional, else it goes."""
+    safe = wanted.where(safe_skill_name(F.col("skill")))
+    return safe.join(skills, "skill", "left" if optional else "inner")
+
+
+def parse_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages, malformed) of JSON lines (value and any other columns), batch or stream."""
+    rows = lines.withColumn("_m", F.from_json("value", MESSAGE, {"mode": "PERMISSIVE"}))
+    good = F.coalesce(F.col("_m.method").isNotNull(), F.lit(False))
+    p = F.col("_m.params")
+    flat = rows.where(good).select(
+        *[c for c in lines.columns if c != "value"],
+        F.col("_m.method").alias("method"), p["threadId"].alias("thread_id"), p["turnId"].alias("turn_id"), p["delta"].alias("delta"), p["item"]["type"].alias("item_type"),
+        F.coalesce(F.when(p["item"]["text"] != "", p["item"]["text"]), p["item"]["message"]).alias("item_text"), p["turn"]["status"].alias("turn_status"), p["turn"]["error"]["message"].alias("turn_error"),
+    )
+    return flat, rows.where(~good).drop("_m")
+
+
+def read_messages(spark: SparkSession, path: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:
+    """parse_messages over text files."""
+    return parse_messages((spark.readStream if stream else spark.read).text(path))

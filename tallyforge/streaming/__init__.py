@@ -1,0 +1,184 @@
+"""The order-dependent operators over streams; each gives on a finished stream what its batch form gives."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tallyforge import schemas as S
+from tallyforge.operators.results import any_status
+
+TURN_OUT = "thread_id string, turn_id string, text string, turn_status string, turn_error string, timed_out boolean"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that stateful processors need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class TurnProcessor(StatefulProcessor):
+    """Collects a turn's parts; gives the turn once, when it completes or when its time is over."""
+
+    def __init__(self, seconds: int) -> None:
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getListState("parts", "seq long, delta boolean, part string")
+        self.state = handle.getValueState("state", "done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self.state.get()[0]:
+            return
+        if not self.state.exists():
+            self.state.update((False,))
+            first = True
+        else:
+            first = False
+        batch = pd.concat(list(rows)).sort_values("seq")
+        if first:
+            self.handle.registerTimer(int(batch["ts"].min().timestamp() * 1000) + self.seconds * 1000)
+        new = []
+        for r in batch.itertuples():
+            if r.method == "item/agentMessage/delta" and isinstance(r.delta, str):
+                new.append((int(r.seq), True, r.delta))
+            elif r.method == "item/completed" and r.item_type == "agentMessage" and isinstance(r.item_text, str) and r.item_text:
+                new.append((int(r.seq), False, r.item_text))
+            elif r.method == "turn/completed":
+                yield self._end(key, new, r.turn_status, r.turn_error, False)
+                return
+        if new:
+            self.parts.appendList(new)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and not self.state.get()[0]:
+            yield self._end(key, [], None, None, True)
+
+    def _end(self, key, new, status, error, timed_out) -> pd.DataFrame:
+        parts = sorted([*self.parts.get(), *new]) if self.parts.exists() else sorted(new)
+        text = "".join(p[2] for i, p in enumerate(parts) if p[1] or i == 0)
+        self.parts.clear()
+        self.state.update((True,))
+        clean = lambda x: x if isinstance(x, str) else None
+        return pd.DataFrame({"thread_id": [key[0]], "turn_id": [key[1]], "text": [text], "turn_status": [clean(status)], "turn_error": [clean(error)], "timed_out": [timed_out]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_turns(messages: DataFrame, seconds: int = S.TURN_TIMEOUT_S, slack: str = "1 minute") -> DataFrame:
+    """Completed and timed-out turns of a message stream whose rows come in order of seq."""
+    use_rocksdb(messages.sparkSession)
+    rows = messages.withWatermark("ts", slack)
+    return rows.groupBy("thread_id", "turn_id").transformWithStateInPandas(statefulProcessor=TurnProcessor(seconds), outputStructType=TURN_OUT, outputMode="Update", timeMode="EventTime")
+
+
+class CooldownProcessor(StatefulProcessor):
+    """Remembers a key's last accepted action."""
+
+    def __init__(self, key: str, ts: str, seconds: int) -> None:
+        self.key, self.ts, self.seconds = key, ts, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "micros long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values([self.ts, "id"])
+        last = self.last.get()[0] if self.last.exists() else None
+        accepted, remaining = [], []
+        for t in batch[self.ts]:
+            at = int(t.value // 1000)
+            wait = 0 if last is None else self.seconds * 1_000_000 - (at - last)
+            accepted.append(wait <= 0)
+            remaining.append(max(0, -(-wait // 1_000_000)))
+            if wait <= 0:
+                last = at
+        self.last.update((last,))
+        yield pd.DataFrame({self.key: batch[self.key], "id": batch["id"], "accepted": accepted, "remaining": remaining})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_cooldown(actions: DataFrame, key: str, ts: str, seconds: int = S.COOLDOWN_S) -> DataFrame:
+    """(key, id, accepted, remaining) of a stream of actions (key, ts, id), each key's in order of time."""
+    use_rocksdb(actions.sparkSession)
+    schema = actions.select(key, "id").schema.add("accepted", "boolean").add("remaining", "long")
+    return actions.groupBy(key).transformWithStateInPandas(statefulProcessor=CooldownProcessor(key, ts, seconds), outputStructType=schema, outputMode="Update", timeMode="None")
+
+
+class LeaseProcessor(StatefulProcessor):
+    """Knows a job's last state; says what becomes of it when its lease runs out."""
+
+    def __init__(self, minutes: int) -> None:
+        self.minutes = minutes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "locked long, attempts long, most long, running boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = pd.concat(list(rows)).sort_values("locked_at").iloc[-1]
+        locked = int(last["locked_at"].timestamp() * 1000)
+        self.job.update((locked, int(last["attempts"]), int(last["max_attempts"]), last["status"] == "RUNNING"))
+        self.handle.registerTimer(locked + self.minutes * 60_000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        locked, attempts, most, running = self.job.get()
+        if running and expiredTimerInfo.getExpiryTimeInMs() >= locked + self.minutes * 60_000:
+            self.job.clear()
+            yield pd.DataFrame({"id": [key[0]], "next_status": ["FAILED" if attempts >= most else "QUEUED"]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_stale_leases(jobs: DataFrame, minutes: int = S.LEASE_MINUTES, slack: str = "1 minute") -> DataFrame:
+    """(id, next_status) of jobs whose lease ran out, by the time of the stream."""
+    use_rocksdb(jobs.sparkSession)
+    rows = jobs.withWatermark("locked_at", slack)
+    return rows.groupBy("id").transformWithStateInPandas(statefulProcessor=LeaseProcessor(minutes), outputStructType="id long, next_status string", outputMode="Update", timeMode="EventTime")
+
+
+def stream_pairs(requests: DataFrame, responses: DataFrame, seconds: int = S.TURN_TIMEOUT_S, slack: str = "1 minute") -> DataFrame:
+    """Requests (id, ts) with their response in time (response_ts, error, result), null once it can't come any more."""
+    asked = requests.withWatermark("ts", slack)
+    answered = responses.select(F.col("id").alias("_id"), F.col("ts").alias("response_ts"), "error", "result").withWatermark("response_ts", slack)
+    within = F.expr(f"id = _id and response_ts >= ts and response_ts <= ts + interval {int(seconds)} seconds")
+    return asked.join(answered, within, "leftOuter").drop("_id")
+
+
+def live_status(results: DataFrame) -> DataFrame:
+    """Running measures of each task and agent over a stream of results, for update mode.
+
+    Joined with planned checks (see complete_status) they give the status at any time.
+    """
+    flags = [any_status(s).alias(s) for s in ("ERROR", "BLOCK", "UNCERTAINTY", "WARNING")]
+    return results.groupBy("task_id", "agent").agg(*flags)
+
+
+def complete_status(planned: DataFrame, flags: DataFrame) -> DataFrame:
+    """(task_id, status) from planned checks and the latest measures of live_status."""
+    rows = planned.select("task_id", "agent").distinct().join(flags.withColumn("there", F.lit(True)), ["task_id", "agent"], "left")
+    names = ("ERROR", "BLOCK", "UNCERTAINTY", "WARNING")
+    found = rows.groupBy("task_id").agg(*[F.coalesce(F.bool_or(s), F.lit(False)).alias(s) for s in names], F.bool_and(F.coalesce("there", F.lit(False))).alias("complete"))
+    status = F.when(F.col("ERROR"), "ERROR").when(F.col("BLOCK"), "BLOCK").when(F.col("UNCERTAINTY"), "UNCERTAINTY").when(F.col("WARNING"), "WARNING")
+    return found.select("task_id", status.when(~F.col("complete"), "UNCERTAINTY").otherwise("ACCEPTED").alias("status"))
+
+
+def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote below path (a shared folder)."""
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{path}/rows").outputMode("append").start()
+    else:
+        query = writer.outputMode(mode).foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/rows/n={n}")).start()
+    query.awaitTermination()
+    rows = f"{path}/rows" if mode == "append" else f"{path}/rows/*"
+    out = stream.sparkSession.read.schema(stream.schema if mode == "append" else stream.schema.add("batch", "long"))
+    return out.parquet(rows)
