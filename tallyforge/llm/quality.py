@@ -68,15 +68,12 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: i
     ones, or 1. Columns of docs with the names of ours are replaced. Empty in, empty out.
     """
     known = written(labels.where("doc_id is not null and label is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("label").cast("double").alias("label")))
-    n, n_good = known.agg(F.count("*"), F.sum("label")).first()
+    n = known.count()
     out_names = ("score", "p_text", "p_meta", "good")
     own = [c for c in docs.columns if c not in out_names]
     rows = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("n_chars").alias("_n"))
-    if not n or n_good in (0, n):
-        share = n_good / n if n else 1.0
-        return rows.select("_row.*", *[F.lit(share).alias(c) for c in out_names[:3]], F.lit(share >= threshold).alias("good"))
     at = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1_000_000))
-    sample = known.where(at("_id", 1) < 1e6 * max_labelled / n)
+    sample = known.where(at("_id", 1) < 1e6 * max_labelled / max(n, 1))
     total = rows.count()
     pool = rows.where(at("_doc", 2) < 1e6 * max_pool / max(total, 1)).join(known.select(F.col("_id").alias("_doc")), "_doc", "left_anti")
     # the sample's size is bounded by max_labelled, so it may go to all executors
@@ -85,6 +82,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: i
     both = written(views(both).select("_doc", "label", "weight", *VIEWS))
     held = F.pmod(F.xxhash64("_doc", F.lit(3)), F.lit(5)) == 0
     start, unlabelled, fresh = both.where("label is not null").where(~held), both.where("label is null"), both.where("label is not null").where(held)
+    n_start, n_good = start.agg(F.count("*"), F.sum("label")).first()
+    if not n_start or n_good in (0, n_start):
+        share = n_good / n_start if n_start else 1.0
+        return rows.select("_row.*", *[F.lit(share).alias(c) for c in out_names[:3]], F.lit(share >= threshold).alias("good"))
     teach = dict.fromkeys(VIEWS, start)
     for _ in range(rounds):
         models = {view: _fit(teach[view], view) for view in VIEWS}
