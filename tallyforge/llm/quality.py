@@ -20,6 +20,8 @@ from tallyforge.llm.common import written
 DIMS, META_DIMS = 1 << 15, 1 << 10
 #: Labelled documents to learn from, and unlabelled ones in the pool that the views label for each other.
 MAX_LABELLED, MAX_POOL = 20_000, 10_000
+#: Tasks that fit the bounded set; an iteration over so few is one stage.
+FIT_TASKS = 4
 #: Rounds, and how sure a view must be of a pseudo-label.
 ROUNDS, SURE = 2, 0.97
 VIEWS = ("text", "meta")
@@ -47,7 +49,7 @@ def views(docs: DataFrame) -> DataFrame:
 
 
 def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=view, labelCol="label", weightCol="weight", regParam=0.01 if view == "text" else 0.001, maxIter=40, standardization=False, predictionCol=f"{view}_y", probabilityCol=f"{view}_p", rawPredictionCol=f"{view}_r").fit(rows)
+    return LogisticRegression(featuresCol=view, labelCol="label", weightCol="weight", regParam=0.01 if view == "text" else 0.001, maxIter=20, tol=1e-4, standardization=False, predictionCol=f"{view}_y", probabilityCol=f"{view}_p", rawPredictionCol=f"{view}_r").fit(rows.coalesce(FIT_TASKS))
 
 
 def _scored(rows: DataFrame, models: dict[str, LogisticRegressionModel]) -> DataFrame:
@@ -98,7 +100,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: i
     joined = VectorAssembler(inputCols=[f"z_{v}" for v in VIEWS], outputCol="z")
     unseen = joined.transform(_scored(fresh, models))
     if unseen.select("label").distinct().count() == 2:
-        final = LogisticRegression(featuresCol="z", labelCol="label", regParam=0.001, predictionCol="_y", probabilityCol="_p", rawPredictionCol="_r").fit(unseen)
+        final = LogisticRegression(featuresCol="z", labelCol="label", regParam=0.001, predictionCol="_y", probabilityCol="_p", rawPredictionCol="_r").fit(unseen.coalesce(FIT_TASKS))
         a, b, c = *final.coefficients.toArray().tolist(), final.intercept
     else:  # too few to calibrate on
         a, b, c = 0.5, 0.5, 0.0

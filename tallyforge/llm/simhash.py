@@ -19,20 +19,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import components, pieces, text_columns, written
+from tallyforge.llm.common import LOWER, SPACE, components, fits, mix, pieces, text_columns, windows, words, written
 
-#: Reference fingerprints: fixed pseudo-random values, the same in every run.
-PIVOTS = np.random.default_rng(7).integers(0, 2**64, 24, dtype=np.uint64)
+#: Reference fingerprints: fixed pseudo-random values of up to 256 bits, the same in every run.
+PIVOTS = np.random.default_rng(7).integers(0, 2**64, (24, 4), dtype=np.uint64)
 #: Rows that meet under one choice of blocks before their pairs are dealt out as squares of this side.
 SQUARE = 8_192
 
 
-def text_fingerprint(text: str | None, words: int) -> int:
+def text_fingerprint(text: str | None, size: int) -> int:
     """Majority bits of the XXH64 (seed 42) of all word shingles, repeats included."""
     parts = (text or "").encode().lower().split()
     if not parts:
         return 0
-    joined, size = b" ".join(parts), min(words, len(parts))
+    joined, size = b" ".join(parts), min(size, len(parts))
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
@@ -43,25 +43,31 @@ def text_fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, words_in: int = 4) -> DataFrame:
     """(doc_id, fp): fp is the 64-bit fingerprint as a signed long; zero where a text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            fps = np.array([text_fingerprint(t, words) for t in part.column("text").to_pylist()], np.uint64)
+            fps = np.array([text_fingerprint(t, words_in) for t in part.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return text_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def linked(left: np.ndarray, right: np.ndarray, left_table: np.ndarray, right_table: np.ndarray, most: int) -> np.ndarray:
-    """Which pairs of equal position are within `most` bits: first by their pivot tables, then exactly."""
-    near = np.arange(len(left))
-    for k in range(left_table.shape[1]):  # a column at a time: few pairs are left after the first
-        if not len(near):
-            break
-        near = near[np.abs(left_table[near, k] - right_table[near, k]) <= most]
-    return near[np.bitwise_count(left[near] ^ right[near]) <= most]
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, each a row of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
+
+
+def linked(fp: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows a and b those within `most` bits: first by the pivot table, then exactly."""
+    for own in table:  # a pivot at a time: few pairs are left after the first
+        near = np.abs(own[a] - own[b]) <= most
+        a, b = a[near], b[near]
+        if not len(a):
+            return a, b
+    near = distance(fp[a], fp[b]) <= most
+    return a[near], b[near]
 
 
 class _Forest:
@@ -97,7 +103,7 @@ class _Forest:
 
 def _meet(choice: np.ndarray, part: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows sorted by (choice, part): all pairs of a run, or only pairs across its two parts."""
-    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    table = np.stack([distance(fp, p[: fp.shape[1]]) for p in PIVOTS])
     forest = _Forest(len(fp))
     starts = np.flatnonzero(np.append(True, choice[1:] != choice[:-1]))
     ends = np.append(starts[1:], len(fp))
@@ -110,41 +116,48 @@ def _meet(choice: np.ndarray, part: np.ndarray, fp: np.ndarray, most: int) -> tu
         for cut in range(0, len(at), 1 << 18):
             a = at[cut : cut + (1 << 18)]
             b = a + shift
-            square = part[a] != part[b]
-            fine = square | (part[a] == 0)  # part 0: an undivided run or the diagonal of a divided one
-            a, b = a[fine], b[fine]
-            hit = linked(fp[a], fp[b], table[a], table[b], most)
-            forest.add(a[hit], b[hit])
+            fine = (part[a] != part[b]) | (part[a] == 0)
+            forest.add(*linked(fp, table, a[fine], b[fine], most))
         shift += 1
 
 
 def links(nodes: DataFrame, max_distance: int = 4, blocks: int = 6) -> DataFrame:
     """(a, b) by node id: a forest per task with the same connected sets as all links of the nodes.
 
-    nodes: (id long, fp long), distinct fp. Choices of blocks under which more than SQUARE nodes meet
-    are dealt out as squares of rows by rows, so no task holds more than two sides of a square.
+    nodes: (id long, fp long), distinct fp. They meet under every choice of blocks - max_distance of the
+    blocks that 64 bits are cut into.
     """
     cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
     masks = [sum(((1 << cuts[k + 1]) - (1 << cuts[k])) for k in some) for some in combinations(range(blocks), blocks - max_distance)]
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-    keys = nodes.select("id", "fp", F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)])).alias("choice"))
+    choices = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)])
+    return _met(nodes.select("id", F.array("fp").alias("fp"), F.explode(choices).alias("choice")), 1, max_distance)
+
+
+def _met(keys: DataFrame, width: int, max_distance: int) -> DataFrame:
+    """links() among the rows (id, fp array of width longs, choice) of each choice.
+
+    Choices under which more than SQUARE nodes meet are dealt out as squares of rows by rows, so no task
+    holds more than two sides of a square of one choice.
+    """
     crowded = keys.groupBy("choice").count().where(F.col("count") > SQUARE).select("choice", F.ceil(F.col("count") / SQUARE).cast("int").alias("sides"))
     keys = keys.join(crowded, "choice", "left")
     side = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("sides")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda j: F.struct(F.least(side, j).alias("i"), F.greatest(side, j).alias("j"), F.when(side < j, 0).when(side > j, 1).otherwise(0).alias("part")))
+    # part 0: all pairs of the run; parts 1 and 2, the sides of a square off the diagonal: only pairs across
+    pairs = F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda j: F.struct(F.least(side, j).alias("i"), F.greatest(side, j).alias("j"), F.when(side == j, 0).when(side < j, 1).otherwise(2).alias("part")))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part")))
     dealt = keys.select("id", "fp", "choice", F.explode(F.when(F.col("sides").isNull(), one).otherwise(pairs)).alias("s"))
-    # of a square off the diagonal only pairs across its sides count: parts 1 and 2
-    part = F.when(F.col("s.i") == F.col("s.j"), 0).otherwise(F.col("s.part") + 1)
-    dealt = dealt.select(F.xxhash64("choice", "s.i", "s.j").alias("choice"), part.alias("part"), "fp", "id")
+    words = [F.col("fp")[k].alias(f"f{k}") for k in range(width)]
+    dealt = dealt.select(F.xxhash64("choice", "s.i", "s.j").alias("choice"), "s.part", "id", *words)
     dealt = dealt.repartition("choice").sortWithinPartitions("choice", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def found(rows: pa.Table) -> pa.RecordBatch:
-            choice, part, fp, ids = (rows.column(c).to_numpy() for c in ("choice", "part", "fp", "id"))
-            a, b = _meet(choice, part, fp.view(np.uint64), max_distance) if len(ids) else (np.zeros(0, np.int64),) * 2
+            choice, part, ids = (rows.column(c).to_numpy() for c in ("choice", "part", "id"))
+            fp = np.stack([rows.column(f"f{k}").to_numpy().view(np.uint64) for k in range(width)], axis=1)
+            a, b = _meet(choice, part, fp, max_distance) if len(ids) else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
         for batch in batches:
@@ -160,7 +173,7 @@ def links(nodes: DataFrame, max_distance: int = 4, blocks: int = 6) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, words_in: int = 4, max_distance: int = 4, blocks: int = 6) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest linked doc_id).
 
     Null and empty texts, and texts of white space, have fingerprint zero and are linked like any other.
@@ -168,23 +181,94 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4, bloc
     fingerprint, or null. Repeated rows stay, each with the same result. Ties (exactly half of the
     shingles) leave a bit at 0. Other columns are not looked at. No rows in, no rows out.
     """
-    fps = written(fingerprints(docs, words))
+    fps = written(fingerprints(docs, words_in))
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"))
     of = components(links(nodes, max_distance, blocks)).select(F.col("node").alias("id"), F.col("component").alias("_component"))
     nodes = nodes.join(of, "id", "left").select("fp", F.coalesce("_component", "id").alias("component_id"))
     return fps.join(nodes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: For similarity: bits of the wide fingerprint, and bands of two least shingles that bring documents together.
+WIDE, BANDS = 256, 10
+_ODD = np.random.default_rng(11).integers(0, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketches(docs: DataFrame, words_in: int) -> DataFrame:
+    """(doc_id, fp, bands): a fingerprint of WIDE bits as longs, and keys that similar documents are likely to share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            w = words(part.column("text"), SPACE, LOWER)
+            size = np.diff(w.first)
+            h, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            of_word = w.row
+            for n in range(1, words_in + 1):  # shorter texts are one shingle
+                at = np.flatnonzero(fits(w.first, n) & ((size >= n) if n == words_in else (size == n))[of_word])
+                if len(at):
+                    h.append(windows(w.hash, n)[at])
+                    row.append(of_word[at])
+            row = np.concatenate(row)
+            order = np.argsort(row, kind="stable")
+            h, row = np.concatenate(h)[order], row[order]
+            there, begin, n = np.unique(row, return_index=True, return_counts=True)
+            fp, bands = np.zeros((part.num_rows, WIDE // 64), np.uint64), np.zeros((part.num_rows, BANDS), np.uint64)
+            if len(there):
+                for k in range(WIDE // 64):
+                    own = mix(h + np.uint64(k) * _ODD[0])
+                    for a, b, r in _cut(begin, n):
+                        bits = np.unpackbits(own[a:b].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                        ones = np.add.reduceat(bits, begin[r] - a, axis=0, dtype=np.int32)
+                        fp[there[r], k] = np.packbits(2 * ones > n[r][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+                least = [np.minimum.reduceat(h * odd ^ h >> np.uint64(29), begin) for odd in _ODD]
+                for k in range(BANDS):
+                    bands[there, k] = mix(least[2 * k] * _ODD[0] + least[2 * k + 1] + np.uint64(k))
+            flat = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(m).view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), flat(fp), flat(bands)], ["doc_id", "fp", "bands"])
+
+    return text_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp array<long>, bands array<long>")
+
+
+def _cut(begin: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, slice]]:
+    """Rows in stretches of about 2^16 shingles, or one longer row: (first, last shingle, rows)."""
+    ends, at = begin + n, 0
+    while at < len(begin):
+        to = max(int(np.searchsorted(ends, begin[at] + (1 << 16), "right")), at + 1)
+        yield int(begin[at]), int(ends[to - 1]), slice(at, to)
+        at = to
+
+
+def allowed_bits(similarity: float, bits: int = WIDE) -> int:
+    """Bits in which two sets of this Jaccard similarity are expected to differ, and two standard deviations."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
+
+
+def similar(docs: DataFrame, words_in: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): documents linked by a similarity of shingle sets, to the smallest linked doc_id.
+
+    At 0.8, fingerprints of 64 bits differ in about ten, too many to meet by equal blocks. So documents meet that
+    share the two least shingles of a band (one pair in 25,000 of that similarity shares no band), and
+    the wide fingerprints decide: pivot tables discard, and the survivors are verified in all bits.
+    Nulls, empty texts and repeats are treated as by near_duplicates.
+    """
+    rows = written(sketches(docs, words_in))
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")).where("id is not null"))
+    keys = nodes.select("id", "fp", F.explode("bands").alias("choice"))
+    of = components(_met(keys, WIDE // 64, allowed_bits(similarity))).select(F.col("node").alias("id"), F.col("component").alias("_component"))
+    nodes = nodes.join(of, "id", "left").select("fp", F.coalesce("_component", "id").alias("component_id"))
+    return rows.select("doc_id", "fp").join(nodes, "fp", "left").select("doc_id", "component_id")
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints over 4-word shingles of whole texts, linked at 4 or fewer differing bits."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, max_distance=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words_in=4, max_distance=4)
 
 
 def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document with the smallest doc_id; all columns.
 
-    Five-word shingles; rows that repeat the kept doc_id stay together, rows without doc_id are kept.
+    Five-word shingles, similarity 0.8 or more; rows that repeat the kept doc_id stay together, rows without
+    doc_id are kept.
     """
-    groups = near_duplicates(docs, words=5, max_distance=4)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = similar(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
