@@ -3,8 +3,8 @@
 Two views of a document each have a classifier: what its text says (hashed words and runs of symbols) and
 what its record says (source, language, length, layout). Both are logistic regressions of Spark ML. They
 start from labelled documents; each round, the unlabelled ones of which one view is sure are handed, with
-that label, to the other view. At last the two scores are calibrated together on labelled documents that
-neither view has seen, and all documents are scored.
+that label, to the other view. At last the two scores are calibrated together, by length, on labelled
+documents that neither view has seen, and all documents are scored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ FIT_TASKS = 4
 #: Rounds, and how sure a view must be of a pseudo-label.
 ROUNDS, SURE = 2, 0.97
 VIEWS = ("text", "meta")
+#: Text lengths at which calibration may shift: a short text has few words to speak for it.
+SCALES = (100, 400, 1500)
 
 
 def _bucket(x: Column) -> Column:
@@ -45,11 +47,11 @@ def views(docs: DataFrame) -> DataFrame:
     out = RegexTokenizer(inputCol="_said", outputCol="_words", pattern=r"\p{L}+|[^\s\p{L}]+", gaps=False).transform(out)
     out = HashingTF(inputCol="_words", outputCol="text", numFeatures=DIMS, binary=True).transform(out)
     out = FeatureHasher(inputCols=list(meta), outputCol="meta", numFeatures=META_DIMS).transform(out)
-    return out.drop(*meta, "_said", "_words")
+    return out.withColumns({f"short_{k}": F.exp(-size / k) for k in SCALES}).drop(*meta, "_said", "_words")
 
 
 def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=view, labelCol="label", weightCol="weight", regParam=0.01 if view == "text" else 0.001, maxIter=20, tol=1e-4, standardization=False, predictionCol=f"{view}_y", probabilityCol=f"{view}_p", rawPredictionCol=f"{view}_r").fit(rows.coalesce(FIT_TASKS))
+    return LogisticRegression(featuresCol=view, labelCol="label", weightCol="weight", regParam=0.01 if view == "text" else 0.001, maxIter=20, tol=1e-4, standardization=False, fitIntercept=view != "text", predictionCol=f"{view}_y", probabilityCol=f"{view}_p", rawPredictionCol=f"{view}_r").fit(rows.coalesce(FIT_TASKS))
 
 
 def _scored(rows: DataFrame, models: dict[str, LogisticRegressionModel]) -> DataFrame:
@@ -78,10 +80,11 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: i
     sample = known.where(at("_id", 1) < 1e6 * max_labelled / max(n, 1))
     total = rows.count()
     pool = rows.where(at("_doc", 2) < 1e6 * max_pool / max(total, 1)).join(known.select(F.col("_id").alias("_doc")), "_doc", "left_anti")
+    short = [f"short_{k}" for k in SCALES]
     # the sample's size is bounded by max_labelled, so it may go to all executors
     taught = rows.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_doc", "label", "_text", "_lang", "_source", "_n")
     both = taught.withColumn("weight", F.lit(1.0)).unionByName(pool.select("_doc", F.lit(None).cast("double").alias("label"), "_text", "_lang", "_source", "_n", F.lit(0.5).alias("weight")))
-    both = written(views(both).select("_doc", "label", "weight", *VIEWS))
+    both = written(views(both).select("_doc", "label", "weight", *VIEWS, *short))
     held = F.pmod(F.xxhash64("_doc", F.lit(3)), F.lit(5)) == 0
     start, unlabelled, fresh = both.where("label is not null").where(~held), both.where("label is null"), both.where("label is not null").where(held)
     n_start, n_good = start.agg(F.count("*"), F.sum("label")).first()
@@ -97,15 +100,16 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: i
             sure = guessed.where((p >= SURE) | (p <= 1 - SURE)).withColumn("label", (p >= SURE).cast("double")).select(*start.columns)
             teach[other] = start.unionByName(sure)
     models = {view: _fit(teach[view], view) for view in VIEWS}
-    joined = VectorAssembler(inputCols=[f"z_{v}" for v in VIEWS], outputCol="z")
+    joined = VectorAssembler(inputCols=[*(f"z_{v}" for v in VIEWS), *short], outputCol="z")
     unseen = joined.transform(_scored(fresh, models))
     if unseen.select("label").distinct().count() == 2:
         final = LogisticRegression(featuresCol="z", labelCol="label", regParam=0.001, predictionCol="_y", probabilityCol="_p", rawPredictionCol="_r").fit(unseen.coalesce(FIT_TASKS))
-        a, b, c = *final.coefficients.toArray().tolist(), final.intercept
+        by, shift = final.coefficients.toArray().tolist(), final.intercept
     else:  # too few to calibrate on
-        a, b, c = 0.5, 0.5, 0.0
+        by, shift = [0.5, 0.5, *[0.0] * len(short)], 0.0
     every = _scored(views(rows), models)
-    score = 1 / (1 + F.exp(-(a * F.col("z_text") + b * F.col("z_meta") + c)))
+    logit = sum((k * F.col(c) for k, c in zip(by, joined.getInputCols())), F.lit(shift))
+    score = 1 / (1 + F.exp(-logit))
     return every.select("_row.*", score.alias("score"), "p_text", "p_meta", (score >= threshold).alias("good"))
 
 
