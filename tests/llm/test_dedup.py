@@ -128,3 +128,38 @@ def test_line_stage_keeps_rows_and_columns(spark, sf):
     out = stage_line_dedup(spark, rows, sf)
     assert out.columns == rows.columns and out.count() == len(HARD)
     assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in out.collect())
+
+
+def test_similar_documents_of_given_ones(spark):
+    """Pairs at 0.85 or more are together; whoever is in a group has a member that is at least half like it."""
+    sf = "/root/testdata/sf0.01"
+    from helpers import words as split
+
+    rows = given_docs(spark, sf)
+    sets = {}
+    for i, t in rows:
+        w = [x.lower() for x in split(t)]
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    where, both = {}, {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    for own in where.values():
+        for k, a in enumerate(own):
+            for b in own[k + 1 :]:
+                both[a, b] = both.get((a, b), 0) + 1
+    like = {(a, b): n / len(sets[a] | sets[b]) for (a, b), n in both.items()}
+    got = {r.doc_id: r.component_id for r in S.similar(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert all(got[a] == got[b] for (a, b), j in like.items() if j >= 0.85)
+    near = {a for (a, b), j in like.items() if j >= 0.5 and got[a] == got[b]} | {b for (a, b), j in like.items() if j >= 0.5 and got[a] == got[b]}
+    sizes = {}
+    for c in got.values():
+        sizes[c] = sizes.get(c, 0) + 1
+    assert all(i in near for i, c in got.items() if sizes[c] > 1)
+    assert any(n > 1 for n in sizes.values())
+
+
+def test_similar_hard_rows(spark):
+    got = sorted((r.doc_id, r.component_id) for r in S.similar(docs(spark, HARD)).where("doc_id is not null").collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 6), (7, 6), (8, 6), (9, 9), (10, 10), (11, 11)]
+    assert S.similar(docs(spark, [])).count() == 0
