@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,24 +67,25 @@ def cooldown(actions: DataFrame, key: str, ts: str, seconds: int = S.COOLDOWN_S)
     """actions (key, ts, id) with accepted and remaining (whole seconds, rounded up, 0 if accepted).
 
     An action is accepted if that much time has gone since the last accepted one of its key. A key's actions
-    are cut where a gap is that long anyway: behind it every action is accepted, so such stretches are judged
-    alone, and a hot key is many groups.
+    are cut where a gap is that long anyway: behind it every action is accepted, so such stretches are dealt out
+    and judged alone, and a hot key goes to many tasks.
     """
     at = Window.partitionBy(key).orderBy(ts, "id")
     gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(at))
     stretch = F.sum(F.when(gap < seconds * 1_000_000, 0).otherwise(1)).over(at)
-    rows = actions.select(key, ts, "id", stretch.alias("stretch"))
-
-    def judge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([ts, "id"])
-        accepted, remaining, last = [], [], None
-        for t in group[ts]:
-            wait = 0.0 if last is None else seconds - (t - last).total_seconds()
-            accepted.append(wait <= 0)
-            remaining.append(max(0, int(-(-wait // 1))))
-            if wait <= 0:
-                last = t
-        return group.assign(accepted=accepted, remaining=remaining)[[key, ts, "id", "accepted", "remaining"]]
-
-    schema = rows.select(key, ts, "id").schema.add("accepted", "boolean").add("remaining", "long")
-    return rows.groupBy(key, "stretch").applyInPandas(judge, schema)
+    rows = actions.select(key, ts, "id", stretch.alias("stretch"), F.unix_micros(F.col(ts)).alias("_at"))
+    rows = rows.repartition(key, "stretch").sortWithinPartitions(key, "stretch", "_at", "id")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, 0
+        for batch in batches:
+            accepted, remaining = [], []
+            for own, at in zip(zip(batch[key].tolist(), batch["stretch"].tolist()), batch["_at"].tolist()):
+                wait = seconds * 1_000_000 - (at - last) if own == now else 0
+                accepted.append(wait <= 0)
+                remaining.append(max(0, -(-wait // 1_000_000)))
+                if wait <= 0:
+                    now, last = own, at
+            yield batch[[key, ts, "id"]].assign(accepted=accepted, remaining=remaining)
+
+    return rows.mapInPandas(judge, rows.select(key, ts, "id").schema.add("accepted", "boolean").add("remaining", "long"))
