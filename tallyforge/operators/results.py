@@ -47,28 +47,27 @@ def any_status(*wanted: str) -> Column:
     return F.coalesce(F.bool_or(F.col("status").isin(*wanted)), F.lit(False))
 
 
-def final_status(tasks: DataFrame, materials: DataFrame, planned: DataFrame, results: DataFrame) -> DataFrame:
+def final_status(planned: DataFrame, results: DataFrame, materials: DataFrame | None = None) -> DataFrame:
     """(task_id, status) of every planned task.
 
     Blank assignment or no material: BLOCK. Else ERROR, BLOCK, UNCERTAINTY, WARNING in this order if any result
     has it; UNCERTAINTY if a planned agent has no result; else ACCEPTED. Results of unplanned agents do not
-    count. Measures are associative, so each side is summed before it is shuffled on task_id.
+    count. Without `materials` the plan's own check of them stands. Both sides are first summed to a row per task,
+    at most a few agents and statuses each, and meet on task_id, by which plan_checks has dealt its rows already.
     """
-    by_agent = results.groupBy("task_id", "agent").agg(*[any_status(s).alias(s) for s in ("ERROR", "BLOCK", "UNCERTAINTY", "WARNING")], F.lit(True).alias("there"))
-    joined = planned.select("task_id", "agent").distinct().join(by_agent, ["task_id", "agent"], "left")
-    flags = joined.groupBy("task_id").agg(*[F.coalesce(F.bool_or(s), F.lit(False)).alias(s) for s in ("ERROR", "BLOCK", "UNCERTAINTY", "WARNING")], F.bool_and(F.coalesce("there", F.lit(False))).alias("complete"))
-    there = materials.select("task_id").distinct().withColumn("_there", F.lit(True))
-    out = flags.join(tasks.select("task_id", "tz"), "task_id", "left").join(there, "task_id", "left")
-    status = (
-        F.when(is_blank(F.col("tz")) | F.col("_there").isNull(), "BLOCK")
-        .when(F.col("ERROR"), "ERROR")
-        .when(F.col("BLOCK"), "BLOCK")
-        .when(F.col("UNCERTAINTY"), "UNCERTAINTY")
-        .when(F.col("WARNING"), "WARNING")
-        .when(~F.col("complete"), "UNCERTAINTY")
-        .otherwise("ACCEPTED")
-    )
-    return out.select("task_id", status.alias("status"))
+    expected = planned.groupBy("task_id").agg(F.collect_set("agent").alias("expected"), F.max("tz").alias("tz"))
+    got = results.groupBy("task_id").agg(F.collect_set(F.struct("agent", "status")).alias("got"))
+    rows = expected.join(got, "task_id", "left")
+    own = F.filter(F.coalesce("got", F.array().cast(got.schema["got"].dataType)), lambda r: F.array_contains("expected", r["agent"]))
+    rows = rows.withColumns({"_statuses": F.transform(own, lambda r: r["status"]), "_missing": F.size(F.array_except("expected", F.transform(own, lambda r: r["agent"]))) > 0})
+    blocked = is_blank(F.col("tz"))
+    if materials is not None:
+        rows = rows.join(materials.select("task_id").distinct().withColumn("_there", F.lit(True)), "task_id", "left")
+        blocked = blocked | F.col("_there").isNull()
+    status = F.when(blocked, "BLOCK")
+    for s in ("ERROR", "BLOCK", "UNCERTAINTY", "WARNING"):
+        status = status.when(F.array_contains("_statuses", s), s)
+    return rows.select("task_id", status.when(F.col("_missing"), "UNCERTAINTY").otherwise("ACCEPTED").alias("status"))
 
 
 def run_summary(planned: DataFrame, results: DataFrame) -> DataFrame:

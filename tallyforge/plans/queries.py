@@ -127,7 +127,7 @@ A1_SQL = """ select p.task_id, case when bool_or(r.status = 'ERROR') then 'ERROR
 
 @query("a1_final_status", WITH_RESULTS + A1_SQL)
 def a1(t: Tables) -> DataFrame:
-    return results.final_status(t.tasks, t.materials, planning.plan_checks(t.tasks, t.materials), t.results)
+    return results.final_status(planning.plan_checks(t.tasks, t.materials), t.results)
 
 
 @query(
@@ -159,7 +159,7 @@ def a6(t: Tables) -> DataFrame:
 )
 def snk1(t: Tables) -> DataFrame:
     planned = planning.plan_checks(t.tasks, t.materials)
-    return results.summary_json(results.run_summary(planned, t.results), results.final_status(t.tasks, t.materials, planned, t.results))
+    return results.summary_json(results.run_summary(planned, t.results), results.final_status(planned, t.results))
 
 
 @query("set2_set_difference", WITH_RESULTS + " select distinct task_id, agent from planned except select task_id, agent from results")

@@ -37,7 +37,7 @@ def test_no_handlers_is_uncertainty(spark):
     p = planned(spark)
     got = handlers.apply_handlers(p, {})
     assert {r.status for r in got.collect()} == {"UNCERTAINTY"}
-    assert results.final_status(task(spark), material(spark), p, got).first().status == "UNCERTAINTY"
+    assert results.final_status(p, got, material(spark)).first().status == "UNCERTAINTY"
 
 
 def test_handlers_accept(spark):
@@ -60,12 +60,17 @@ def test_status_is_order_free_and_severest_wins(spark, statuses, random):
     rows = list(zip(AGENTS, statuses))
     random.shuffle(rows)
     p = planned(spark)
-    got = results.final_status(task(spark), material(spark), p, result(spark, *rows) if rows else result(spark, ("x", "PASS")).where("false")).first().status
+    got = results.final_status(p, result(spark, *rows) if rows else result(spark, ("x", "PASS")).where("false")).first().status
     worst = next((s for s in RANK if s in statuses), None)
     assert got == (worst or ("ACCEPTED" if len(statuses) == 4 else "UNCERTAINTY"))
 
 
 def test_blank_assignment_blocks(spark):
+    p = planned(spark)
+    accepted = result(spark, *[(a, "ACCEPTED") for a in AGENTS])
+    assert results.final_status(p.withColumn("tz", F.lit(" \u2003")), accepted).first().status == "BLOCK"
+    assert results.final_status(p, accepted, material(spark, "other")).first().status == "BLOCK"
+    assert results.final_status(p, accepted, material(spark)).first().status == "ACCEPTED"
     reasons = [planning.validate_tasks(t, m).first().reject_reason for t, m in ((task(spark, tz=" "), material(spark)), (task(spark), material(spark, "other")), (task(spark, checks=()), material(spark)), (task(spark, task_id=" "), material(spark, " ")))]
     assert reasons == ["ТЗ is required", "At least one material is required", "At least one requested check is required", "task_id is required"]
 
@@ -161,7 +166,7 @@ def test_files_and_skills(spark, tmp_path):
 
 def test_summaries_are_written_by_status(spark, tmp_path):
     p = planned(spark)
-    status = results.final_status(task(spark), material(spark), p, result(spark, ("report-audit-agent", "BLOCK")))
+    status = results.final_status(p, result(spark, ("report-audit-agent", "BLOCK")))
     results.write_summaries(results.summary_json(results.run_summary(p, result(spark, ("report-audit-agent", "BLOCK"))), status), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out")).first()
     assert back.status == "BLOCK" and '"message":null' in back.summary
