@@ -13,13 +13,18 @@ from tallyforge.functions import safe_skill_name
 MESSAGE = "method string, params struct<threadId:string, turnId:string, delta:string, item:struct<type:string, text:string, message:string>, turn:struct<status:string, error:struct<message:string>>>"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; made here only where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+def shared_top(spark: SparkSession) -> str:
+    """The folder that all executors see, from spark.checkpoint.dir; one is made here only where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
-        top = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/{name}/{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        top = spark.sparkContext.getCheckpointDir()
+    return top
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder below shared_top."""
+    return f"{shared_top(spark)}/{name}/{uuid.uuid4().hex}"
 
 
 def skill_corpus(spark: SparkSession, path: str) -> DataFrame:
