@@ -6,15 +6,16 @@ follows the piece (or the longest single text), never the partition.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.sources import shared_path
+
 #: Bytes and rows of text handled at once inside a task.
 PIECE_BYTES, PIECE_ROWS = 4_000_000, 2_000
 #: ASCII white space, the separators of `[^\x20\x09-\x0D]+`.
@@ -156,20 +157,9 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             at = to
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or outside a cluster one made here."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, kept when executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "tables")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import LOWER, SPACE, pieces, shared_dir, text_columns, words, written
+from tallyforge.llm.common import LOWER, SPACE, pieces, text_columns, words, written
+from tallyforge.sources import shared_path
 
 #: Distinct words that a worker process remembers before it starts anew.
 MOST_WORDS = 500_000
@@ -123,7 +123,7 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark = spark
-        self.folder = folder or f"{shared_dir(spark)}/rollups/{uuid.uuid4().hex}"
+        self.folder = folder or shared_path(spark, "rollups")
 
     def history(self) -> list[tuple[int, str, str]]:
         """(version, batch id, path) of the whole versions, in order."""
