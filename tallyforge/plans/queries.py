@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge import functions as fn
 from tallyforge import schemas as S
+from tallyforge import sources
 from tallyforge.operators import contract, dashboard, guard, handlers, planning, results, trace, turns
 from tallyforge.plans.derived import Tables, with_
 
@@ -162,6 +163,16 @@ def snk1(t: Tables) -> DataFrame:
     return results.summary_json(results.run_summary(planned, t.results), results.final_status(planned, t.results))
 
 
+@query(
+    "f7_to_json_unescaped",
+    with_("results") + """ select task_id, pos, '{"task_id":"' || task_id || '","agent":"' || agent || '","status":"' || status || '","findings":[' || coalesce('"' || finding || '"', '') || '],"evidence_ids":["' || evidence_id || '"],"message":'
+ || coalesce('"ТЗ ' || message || '"', 'null') || '}' as json from results""",
+)
+def f7(t: Tables) -> DataFrame:
+    rows = t.results.withColumn("message", F.concat(F.lit("ТЗ "), "message"))
+    return rows.select("task_id", F.col("pos").cast("long").alias("pos"), fn.result_json(*results.RESULT).alias("json"))
+
+
 @query("set2_set_difference", WITH_RESULTS + " select distinct task_id, agent from planned except select task_id, agent from results")
 def set2(t: Tables) -> DataFrame:
     return planning.plan_checks(t.tasks, t.materials).select("task_id", "agent").subtract(t.results.select("task_id", "agent"))
@@ -220,6 +231,13 @@ def a5(t: Tables) -> DataFrame:
     return contract.materials_digest(t.materials)
 
 
+@query("src3_skill_corpus", with_("tasks") + _SKILLS + " select skill, md5(skill_text || chr(10)) as text_md5 from skills")
+def src3(t: Tables) -> DataFrame:
+    path = sources.shared_path(t.spark, "skills")
+    _skills(t).repartition("skill").write.partitionBy("skill").text(path)
+    return sources.skill_corpus(t.spark, path, "part-*").select("skill", F.md5("text").alias("text_md5"))
+
+
 @query("j5_skill_join", PLANNED + _SKILLS + " select p.task_id, p.plan_pos, s.skill, s.skill_text from planned p join skills s using (skill)")
 def j5(t: Tables) -> DataFrame:
     return contract.attach_skill(planning.plan_checks(t.tasks, t.materials), _skills(t)).select("task_id", "plan_pos", "skill", "skill_text")

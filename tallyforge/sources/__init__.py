@@ -27,11 +27,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_top(spark)}/{name}/{uuid.uuid4().hex}"
 
 
-def skill_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(skill, text) of path/<skill>/SKILL.md; folders with unsafe names are left out."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "SKILL.md").text(path, wholetext=True)
-    skill = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return rows.select(F.url_decode(skill).alias("skill"), F.col("value").alias("text")).where(safe_skill_name(F.col("skill")))
+def skill_corpus(spark: SparkSession, path: str, file: str = "SKILL.md") -> DataFrame:
+    """(skill, text) of path/<skill>/<file>; folders with unsafe names are left out. A folder skill=x is skill x."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file).text(path, wholetext=True)
+    folder = F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    return rows.select(F.regexp_replace(folder, "^skill=", "").alias("skill"), F.col("value").alias("text")).where(safe_skill_name(F.col("skill")))
 
 
 def load_skills(wanted: DataFrame, skills: DataFrame, optional: bool = False) -> DataFrame:
