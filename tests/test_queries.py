@@ -1,7 +1,7 @@
 """Every registered audit query against its SQL."""
 
 import pytest
-from conftest import plain
+from compare import plain
 
 from tallyforge import plans
 
