@@ -1,10 +1,10 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions alone.
 
 A run of RUN consecutive lines that occurred before, in the order of (doc_id, line), is deleted; the
-earliest occurrence stays. Each document's lines are hashed, and of every WINDOW lines in a row the
-smallest hash is selected, so that equal runs select equal fingerprints. Fingerprints that occur at one
-place only are done with. Around the others all runs that the fingerprint stands for are compared
-in full, which extends the match both ways line by line, and those met before are deleted.
+earliest occurrence stays. Each document's lines are hashed, and of every RUN lines in a row the smallest
+hash is selected, so that equal runs are sure to select equal fingerprints. Fingerprints that occur at one
+place only are done with. Around the others, before and behind, all runs that the fingerprint stands for
+are compared in full; those that were met before join to the whole stretch to be deleted.
 """
 
 from __future__ import annotations

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_token_rollup": tokens.op10_token_rollup,
 }
 
-ORACLE = {"op4_line_dedup": linededup.OP4_SQL}
+ORACLE = {"op4_line_dedup": linededup.OP4_SQL, "op6_substring": substring.OP6_SQL}

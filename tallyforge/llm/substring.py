@@ -246,3 +246,23 @@ def op6_substring(spark, sf_dir: str) -> DataFrame:
     """Windows of 35 words over whole texts."""
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=35)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = r"""
+with w as (
+  select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents
+), windows as (
+  select doc_id, unnest(range(1, len(ws) - 33)) as i, ws from w where len(ws) >= 35
+), repeated as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by array_to_string(ws[i:i + 34], ' ')) as n from windows) where n > 1
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 35)) as pos from repeated
+), each as (
+  select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from w
+), kept as (
+  select e.doc_id, string_agg(e.word, ' ' order by e.pos) as text, count(*) as n from each e
+  where not exists (select 1 from gone g where g.doc_id = e.doc_id and g.pos = e.pos) group by e.doc_id
+)
+select w.doc_id, len(w.ws)::bigint as n_words, (len(w.ws) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from w left join kept k using (doc_id)
+"""
