@@ -25,6 +25,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: ASCII letters, and what in ASCII is neither letter, digit nor white space.
+LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+SYMBOL = NOT_ALNUM & ~SPACE
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,8 +63,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(texts: pa.Array, separators: np.ndarray = SPACE, table: np.ndarray | None = None) -> Words:
-    """Words between separators, after replacing each byte by table's entry for it."""
+def words(texts: pa.Array, separators: np.ndarray = SPACE, table: np.ndarray | None = None, apart: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """Words between separators, after replacing each byte by table's entry for it.
+
+    apart: a word also ends between a byte of the first kind and one of the second.
+    """
     data, offsets = text_bytes(texts)
     if table is not None:
         data = table[data]
@@ -72,6 +78,10 @@ def words(texts: pa.Array, separators: np.ndarray = SPACE, table: np.ndarray | N
     before, after = np.ones(n, bool), np.ones(n, bool)
     before[1:] = ~inside[:-1]
     after[:-1] = ~inside[1:]
+    if apart is not None:
+        parted = apart[0][data[:-1]] & apart[1][data[1:]]
+        before[1:] |= parted
+        after[:-1] |= parted
     start = np.flatnonzero(inside & (before | cut[:-1]))
     end = np.flatnonzero(inside & (after | cut[1:])) + 1
     return Words(hash_ranges(data, start, end), start, end, np.searchsorted(start, offsets), data)

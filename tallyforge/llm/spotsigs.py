@@ -168,7 +168,8 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> t
     classes: doc_id, class_id (smallest doc_id of the fingerprint). pairs: a, b (class ids, a < b), likeness.
     Sets are partitioned by length, band k holding |A| in [1/t^k, 1/t^(k+1)), and meet in their own and the
     next band. There they meet through the first |A| - ceil(t |A|) + 1 signatures, rarest first: two sets that
-    meet through none of these cannot reach the threshold. Empty fingerprints have a class and no pairs.
+    meet through none of these cannot reach the threshold. Empty fingerprints (null texts, texts without words)
+    have a class and no pairs; a class whose rows all lack doc_id has none either. Repeated rows are one class.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer that drops white space, and token totals kept by deltas.
 
-Such a tokenizer never looks across white space, so a text's ids are its words' ids in a row. A worker
-process encodes each distinct word once and looks the others up; memory is bounded by MOST_WORDS.
+Such a tokenizer never looks across white space, nor from a letter to a symbol behind it, so a text's ids are
+its words' ids in a row. A worker process encodes each distinct word once, words of letters many at a time,
+and looks the others up; memory is bounded by MOST_WORDS.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import LOWER, SPACE, pieces, text_columns, words, written
+from tallyforge.llm.common import LETTER, LOWER, SPACE, SYMBOL, pieces, text_columns, words, written
 from tallyforge.sources import shared_path
 
-#: Distinct words that a worker process remembers before it starts anew.
-MOST_WORDS = 500_000
+#: Distinct words that a worker process remembers before it starts anew; words encoded in a call, and in a text.
+MOST_WORDS, TOGETHER, LINE = 500_000, 20_000, 200
+#: What the vocabulary puts at the end of a word's last token.
+WORD_END = "</w>"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -43,17 +46,35 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(described)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.slots: dict[int, int] = {}
         self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _alone(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings in a row, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for x in found for i in x), np.uint32, int(size.sum())), size
+
+    def _together(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, many in a text. Each has an id that ends a word; if there are as many as words, each has one."""
+        lines = [" ".join(strings[k : k + LINE]) for k in range(0, len(strings), LINE)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.uint32)
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != len(strings) or len(ids) != ends[-1] + 1:
+            return self._alone(strings)
+        return ids, np.diff(ends, prepend=-1)
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each row's begin."""
         raw = words(texts, SPACE)
         # lower-casing first makes fewer words; with "<|" about it might make a special token
-        w = raw if ((raw.data[:-1] == 60) & (raw.data[1:] == 124)).any() else words(texts, SPACE, LOWER)
+        w = raw if ((raw.data[:-1] == 60) & (raw.data[1:] == 124)).any() else words(texts, SPACE, LOWER, (LETTER, SYMBOL))
         if len(self.slots) > MOST_WORDS:
             self._forget()
         distinct, one, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
@@ -63,12 +84,16 @@ class Encoder:
             data = w.data.tobytes()
             at = one[new]
             strings = [data[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist())]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            first = len(self.start) - 1
-            known.update(zip(distinct[new].tolist(), range(first, first + len(new))))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+            plain = np.array([s.isalpha() for s in strings], bool)
+            new = np.array(new)
+            for at, encode in ((np.flatnonzero(plain), self._together), (np.flatnonzero(~plain), self._alone)):
+                for cut in range(0, len(at), TOGETHER):
+                    part = at[cut : cut + TOGETHER]
+                    ids, size = encode([strings[i] for i in part])
+                    first = len(self.start) - 1
+                    known.update(zip(distinct[new[part]].tolist(), range(first, first + len(part))))
+                    self.ids = np.concatenate([self.ids, ids])
+                    self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
         slot = np.fromiter((known[h] for h in distinct.tolist()), np.int64, len(distinct))[inverse]
         size = self.start[slot + 1] - self.start[slot]
         ends = np.cumsum(size)
