@@ -10,13 +10,13 @@ are verified bit by bit. A task returns a spanning forest of the links it found,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import LOWER, SPACE, components, fits, mix, pieces, text_columns, windows, words, written
@@ -83,6 +83,9 @@ class _Forest:
         self.up[a] = root
         return root
 
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self._root(a) != self._root(b)
+
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
             of_a, of_b = self._root(a), self._root(b)
@@ -101,8 +104,11 @@ class _Forest:
         return np.concatenate([x for x, _ in self.kept]), np.concatenate([y for _, y in self.kept])
 
 
-def _meet(choice: np.ndarray, part: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows sorted by (choice, part): all pairs of a run, or only pairs across its two parts."""
+def _meet(choice: np.ndarray, part: np.ndarray, fp: np.ndarray, most: int, alike: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows sorted by (choice, part): all pairs of a run, or only pairs across its two parts.
+
+    alike: which of the pairs within `most` bits are links; not asked of pairs that verified links join already.
+    """
     table = np.stack([distance(fp, p[: fp.shape[1]]) for p in PIVOTS])
     forest = _Forest(len(fp))
     starts = np.flatnonzero(np.append(True, choice[1:] != choice[:-1]))
@@ -117,7 +123,13 @@ def _meet(choice: np.ndarray, part: np.ndarray, fp: np.ndarray, most: int) -> tu
             a = at[cut : cut + (1 << 18)]
             b = a + shift
             fine = (part[a] != part[b]) | (part[a] == 0)
-            forest.add(*linked(fp, table, a[fine], b[fine], most))
+            a, b = linked(fp, table, a[fine], b[fine], most)
+            if alike is not None and len(a):
+                open_ = forest.apart(a, b)
+                a, b = a[open_], b[open_]
+                sure = alike(a, b)
+                a, b = a[sure], b[sure]
+            forest.add(a, b)
         shift += 1
 
 
@@ -147,37 +159,48 @@ def _met(keys: DataFrame, width: int, max_distance: int) -> DataFrame:
     Choices under which more than SQUARE nodes meet are dealt out as squares of rows by rows, so no task
     holds more than two sides of a square of one choice.
     """
-    crowded = keys.groupBy("choice").count().where(F.col("count") > SQUARE).select("choice", F.ceil(F.col("count") / SQUARE).cast("int").alias("sides"))
+    words = [F.col("fp")[k].alias(f"f{k}") for k in range(width)]
+    dealt = _dealt(keys, F.count("*") / SQUARE, "id", *words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_runs(batches):
+            choice, part, ids, fp = _columns(rows, width)
+            a, b = _meet(choice, part, fp, max_distance) if len(ids) else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _columns(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    choice, part, ids = (rows.column(c).to_numpy() for c in ("choice", "part", "id"))
+    return choice, part, ids, np.stack([rows.column(f"f{k}").to_numpy().view(np.uint64) for k in range(width)], axis=1)
+
+
+def _dealt(keys: DataFrame, squares: Column, *columns: str | Column) -> DataFrame:
+    """(choice, part, columns) sorted by choice and part; a choice whose sum of squares is above 1 is dealt out as squares."""
+    crowded = keys.groupBy("choice").agg(F.ceil(squares).cast("int").alias("sides")).where("sides > 1")
     keys = keys.join(crowded, "choice", "left")
     side = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("sides")).cast("int")
     # part 0: all pairs of the run; parts 1 and 2, the sides of a square off the diagonal: only pairs across
     pairs = F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda j: F.struct(F.least(side, j).alias("i"), F.greatest(side, j).alias("j"), F.when(side == j, 0).when(side < j, 1).otherwise(2).alias("part")))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part")))
-    dealt = keys.select("id", "fp", "choice", F.explode(F.when(F.col("sides").isNull(), one).otherwise(pairs)).alias("s"))
-    words = [F.col("fp")[k].alias(f"f{k}") for k in range(width)]
-    dealt = dealt.select(F.xxhash64("choice", "s.i", "s.j").alias("choice"), "s.part", "id", *words)
-    dealt = dealt.repartition("choice").sortWithinPartitions("choice", "part")
+    dealt = keys.withColumn("s", F.explode(F.when(F.col("sides").isNull(), one).otherwise(pairs)))
+    dealt = dealt.select(F.xxhash64("choice", "s.i", "s.j").alias("choice"), "s.part", *columns)
+    return dealt.repartition("choice").sortWithinPartitions("choice", "part")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def found(rows: pa.Table) -> pa.RecordBatch:
-            choice, part, ids = (rows.column(c).to_numpy() for c in ("choice", "part", "id"))
-            fp = np.stack([rows.column(f"f{k}").to_numpy().view(np.uint64) for k in range(width)], axis=1)
-            a, b = _meet(choice, part, fp, max_distance) if len(ids) else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
-
-        for batch in batches:
-            choice = batch.column("choice").to_numpy()
-            cut = int(np.searchsorted(choice, choice[-1])) if len(choice) else 0  # the last run may go on
-            if cut:
-                yield found(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield found(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(run, "a long, b long")
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables that hold all rows of each of their choices."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        choice = batch.column("choice").to_numpy()
+        cut = int(np.searchsorted(choice, choice[-1])) if len(choice) else 0  # the last run may go on
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def near_duplicates(docs: DataFrame, words_in: int = 4, max_distance: int = 4, blocks: int | None = None) -> DataFrame:
@@ -197,27 +220,50 @@ def near_duplicates(docs: DataFrame, words_in: int = 4, max_distance: int = 4, b
 
 #: For similarity: bits of the wide fingerprint, and bands of two least shingles that bring documents together.
 WIDE, BANDS = 256, 10
+#: Rows and shingles of one group that a task holds for each side when sets are compared.
+HELD_ROWS, HELD_SHINGLES = 1_024, 1 << 22
 _ODD = np.random.default_rng(11).integers(0, 2**63, 2 * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _shingle_sets(texts: pa.Array, words_in: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(h, there, begin, n): hashes of each row's shingles, sorted and without repeats, and for the rows that have any their number, first and count."""
+    w = words(texts, SPACE, LOWER)
+    size = np.diff(w.first)
+    h, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    of_word = w.row
+    for n in range(1, words_in + 1):  # shorter texts are one shingle
+        at = np.flatnonzero(fits(w.first, n) & ((size >= n) if n == words_in else (size == n))[of_word])
+        if len(at):
+            h.append(windows(w.hash, n)[at])
+            row.append(of_word[at])
+    h, row = np.concatenate(h), np.concatenate(row)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h = h[first]
+    return h, *np.unique(row[first], return_index=True, return_counts=True)
+
+
+def _set_keys(h: np.ndarray, there: np.ndarray, begin: np.ndarray, rows: int) -> np.ndarray:
+    """128 bits by row that stand for its set; zero where it is empty."""
+    keys = np.zeros((rows, 2), np.uint64)
+    if len(there):
+        for k in range(2):
+            keys[there, k] = mix(np.add.reduceat(mix(h ^ _ODD[k]), begin))
+    return keys
+
+
+def _longs(m: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(m).view(np.int64).ravel()))
+
+
 def sketches(docs: DataFrame, words_in: int) -> DataFrame:
-    """(doc_id, fp, bands): a fingerprint of WIDE bits as longs, and keys that similar documents are likely to share."""
+    """(doc_id, key, fp, bands) of each set of shingles: what stands for it, a fingerprint of WIDE bits as longs, and keys that similar sets are likely to share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            w = words(part.column("text"), SPACE, LOWER)
-            size = np.diff(w.first)
-            h, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            of_word = w.row
-            for n in range(1, words_in + 1):  # shorter texts are one shingle
-                at = np.flatnonzero(fits(w.first, n) & ((size >= n) if n == words_in else (size == n))[of_word])
-                if len(at):
-                    h.append(windows(w.hash, n)[at])
-                    row.append(of_word[at])
-            row = np.concatenate(row)
-            order = np.argsort(row, kind="stable")
-            h, row = np.concatenate(h)[order], row[order]
-            there, begin, n = np.unique(row, return_index=True, return_counts=True)
+            h, there, begin, n = _shingle_sets(part.column("text"), words_in)
             fp, bands = np.zeros((part.num_rows, WIDE // 64), np.uint64), np.zeros((part.num_rows, BANDS), np.uint64)
             if len(there):
                 for k in range(WIDE // 64):
@@ -229,10 +275,10 @@ def sketches(docs: DataFrame, words_in: int) -> DataFrame:
                 least = [np.minimum.reduceat(h * odd ^ h >> np.uint64(29), begin) for odd in _ODD]
                 for k in range(BANDS):
                     bands[there, k] = mix(least[2 * k] * _ODD[0] + least[2 * k + 1] + np.uint64(k))
-            flat = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(m).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), flat(fp), flat(bands)], ["doc_id", "fp", "bands"])
+            key = _set_keys(h, there, begin, part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _longs(key), _longs(fp), _longs(bands)], ["doc_id", "key", "fp", "bands"])
 
-    return text_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp array<long>, bands array<long>")
+    return text_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, key array<long>, fp array<long>, bands array<long>")
 
 
 def _cut(begin: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, slice]]:
@@ -245,25 +291,85 @@ def _cut(begin: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, slice]]:
 
 
 def allowed_bits(similarity: float, bits: int = WIDE) -> int:
-    """Bits in which two sets of this Jaccard similarity are expected to differ, and two standard deviations."""
+    """Bits in which two sets of this Jaccard similarity are expected to differ, and six standard deviations.
+
+    The expectation is that of large sets. It is exceeded most by 4 shingles of 5: 0.19 of the bits instead of
+    0.15 at 0.8, for which this bound is four deviations.
+    """
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 6 * np.sqrt(bits * p * (1 - p)))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words_in: int) -> DataFrame:
+    """wanted (id, key, fp, choice) with shingles, the sorted 64-bit hashes of the set, and their count."""
+    texts = text_columns(docs, "doc_id", "text").join(wanted, F.col("doc_id") == F.col("id")).drop("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            h, there, begin, n = _shingle_sets(part.column("text"), words_in)
+            own = _set_keys(h, there, begin, part.num_rows).view(np.int64)
+            ends = np.zeros(part.num_rows, np.int64)
+            ends[there] = n
+            ends = np.cumsum(ends)
+            raw = [h[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
+            # another text under the same doc_id is not the wanted one
+            same = pa.array((np.array(part.column("key").to_pylist(), np.int64).reshape(-1, 2) == own).all(axis=1))
+            out = [part.column(c) for c in ("id", "key", "fp", "choice")] + [pa.array(raw, pa.binary()), pa.array(np.diff(ends, prepend=0))]
+            yield pa.RecordBatch.from_arrays(out, ["id", "key", "fp", "choice", "shingles", "n"]).filter(same)
+
+    return texts.mapInArrow(run, "id long, key array<long>, fp array<long>, choice long, shingles binary, n long").dropDuplicates(["id", "key"])
+
+
+def _alike(sets: list[np.ndarray], similarity: float) -> Callable:
+    """Of pairs of rows, which have that Jaccard similarity at least."""
+    size = np.array([len(s) for s in sets])
+
+    def sure(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        yes = np.minimum(size[a], size[b]) / np.maximum(size[a], size[b]) >= similarity
+        for at in np.flatnonzero(yes):
+            x, y = sets[a[at]], sets[b[at]]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            yes[at] = both / (len(x) + len(y) - both) >= similarity
+        return yes
+
+    return sure
+
+
+def _verified(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links among the rows of each choice whose sets have the similarity, a forest per task."""
+    width = WIDE // 64
+    words = [F.col("fp")[k].alias(f"f{k}") for k in range(width)]
+    dealt = _dealt(sets, F.greatest(F.count("*") / HELD_ROWS, F.sum("n") / HELD_SHINGLES), "id", *words, "shingles")
+    most = allowed_bits(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_runs(batches):
+            choice, part, ids, fp = _columns(rows, width)
+            own = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+            a, b = _meet(choice, part, fp, most, _alike(own, similarity)) if len(ids) else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, words_in: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): documents linked by a similarity of shingle sets, to the smallest linked doc_id.
+    """(doc_id, component_id): documents linked by a Jaccard similarity of shingle sets, to the smallest linked doc_id.
 
     At 0.8, fingerprints of 64 bits differ in about ten, too many to meet by equal blocks. So documents meet that
-    share the two least shingles of a band (one pair in 25,000 of that similarity shares no band), and
-    the wide fingerprints decide: pivot tables discard, and the survivors are verified in all bits.
-    Nulls, empty texts and repeats are treated as by near_duplicates.
+    share the two least shingles of a band (one pair in 25,000 of that similarity shares no band), and the wide
+    fingerprints leave out who is far apart. What is left hangs together in groups; their members' sets are made
+    again from the texts, meet once, by group, and link where the sets themselves have the similarity.
+    Equal sets are one node, so bands and fingerprint are those of every member. Nulls, empty texts and repeats
+    are treated as by near_duplicates.
     """
     rows = written(sketches(docs, words_in))
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")).where("id is not null"))
+    nodes = written(rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("bands").alias("bands")).where("id is not null"))
     keys = nodes.select("id", "fp", F.explode("bands").alias("choice"))
-    of = components(_met(keys, WIDE // 64, allowed_bits(similarity))).select(F.col("node").alias("id"), F.col("component").alias("_component"))
-    nodes = nodes.join(of, "id", "left").select("fp", F.coalesce("_component", "id").alias("component_id"))
-    return rows.select("doc_id", "fp").join(nodes, "fp", "left").select("doc_id", "component_id")
+    groups = components(_met(keys, WIDE // 64, allowed_bits(similarity))).select(F.col("node").alias("id"), F.col("component").alias("choice"))
+    sets = written(_sets(docs, nodes.drop("bands").join(groups, "id"), words_in))
+    of = components(_verified(sets, similarity)).select(F.col("node").alias("id"), F.col("component").alias("_component"))
+    nodes = nodes.join(of, "id", "left").select("key", F.coalesce("_component", "id").alias("component_id"))
+    return rows.select("doc_id", "key").join(nodes, "key", "left").select("doc_id", "component_id")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

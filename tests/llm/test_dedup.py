@@ -163,3 +163,64 @@ def test_similar_hard_rows(spark):
     got = sorted((r.doc_id, r.component_id) for r in S.similar(docs(spark, HARD)).where("doc_id is not null").collect())
     assert got == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 6), (7, 6), (8, 6), (9, 9), (10, 10), (11, 11)]
     assert S.similar(docs(spark, [])).count() == 0
+
+
+def shingle_sets(rows, size=5):
+    from helpers import words as split
+
+    out = {}
+    for i, t in rows:
+        w = [x.lower() for x in split(t)]
+        out[i] = frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1)))
+    return out
+
+
+def alike_groups(sets, similarity=0.8):
+    """Smallest reachable id of each id, all pairs that share a shingle compared by exact Jaccard."""
+    where, up = {}, {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sorted(sets):
+        for j in {j for x in sets[i] for j in where.get(x, ())}:
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+        for x in sets[i]:
+            where.setdefault(x, []).append(i)
+    return {i: root(i) for i in sets}
+
+
+def edited():
+    """Texts of 8 to 300 words and copies whose ends were replaced, to similarities of 0.5 to 0.97; one shingle repeated often before unlike ends."""
+    rng, rows = np.random.default_rng(5), []
+    for n in (8, 9, 14, 40, 300):
+        for _ in range(12):
+            base = [f"w{k}" for k in rng.integers(0, 10**9, n)]
+            rows.append(" ".join(base))
+            for like in (0.5, 0.6, 0.7, 0.75, 0.79, 0.8, 0.81, 0.9, 0.97):
+                keep = max(5, int(np.ceil((n - 4) * 2 * like / (1 + like))) + 4)
+                rows.append(" ".join(base[:keep] + [f"x{k}" for k in rng.integers(0, 10**9, n - keep)]))
+    for _ in range(2):
+        rows.append("same " * 400 + " ".join(f"y{k}" for k in rng.integers(0, 10**9, 30)))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("squares", [False, True])
+def test_similar_is_exact_on_both_sides_of_the_threshold(spark, monkeypatch, squares):
+    if squares:
+        monkeypatch.setattr(S, "HELD_ROWS", 3)
+    rows = edited()
+    sets = shingle_sets(rows)
+    got = {r.doc_id: r.component_id for r in S.similar(docs(spark, rows)).collect()}
+    assert got == alike_groups(sets)
+    assert any(0.7 < len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.8 and got[i] != got[j] for i in range(0, len(rows), 10) for j in range(i + 1, min(i + 10, len(rows))))
+
+
+def test_similar_of_given_documents_is_exact(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r.component_id for r in S.similar(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert got == alike_groups(shingle_sets(given_docs(spark, sf)))
