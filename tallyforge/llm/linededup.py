@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import written
 
-#: Lines of the shortest run that is deleted, and so the window of the guarantee.
-RUN = 2
+#: Lines of the shortest run that is deleted, and so the window of the guarantee: of op4_line_dedup, whose SQL says two,
+#: and of the pipeline's stage, where a line that is repeated alone goes too.
+RUN, STAGE_RUN = 2, 1
 
 
 def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -98,6 +99,6 @@ from documents d
 
 
 def stage_line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without later repeated runs of lines; n_chars follows the text, all rows stay."""
-    out = deduplicated(docs)
+    """The documents without later repeated lines, be it one between others or a whole text; n_chars follows the text, all rows stay."""
+    out = deduplicated(docs, STAGE_RUN)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

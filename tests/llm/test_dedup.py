@@ -224,3 +224,11 @@ def test_similar_of_given_documents_is_exact(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r.component_id for r in S.similar(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
     assert got == alike_groups(shingle_sets(given_docs(spark, sf)))
+
+
+def test_line_stage_takes_single_repeated_lines(spark, sf):
+    rows = [(1, "one of its own\nshared line\nanother of its own"), (2, "first here\n shared line \nlast here"), (3, "a text of one line"), (4, "a text of one line"), (5, "shared line"), (6, None)]
+    got = {r.doc_id: r.text for r in stage_line_dedup(spark, docs(spark, rows), sf).collect()}
+    assert got == {1: rows[0][1], 2: "first here\nlast here", 3: rows[2][1], 4: "", 5: "", 6: None}
+    sizes = {r.doc_id: r.n_chars for r in stage_line_dedup(spark, docs(spark, rows), sf).collect()}
+    assert sizes[2] == len("first here\nlast here") and sizes[4] == 0
