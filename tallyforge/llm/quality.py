@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import written
 
 DIMS, META_DIMS = 1 << 15, 1 << 10
-#: Labelled documents to learn from, and unlabelled ones in the pool that the views label for each other.
-MAX_LABELLED, MAX_POOL = 20_000, 10_000
-#: Tasks that fit the bounded set; an iteration over so few is one stage.
-FIT_TASKS = 4
+#: Labelled documents to learn from. Of unlabelled ones all take part.
+MAX_LABELLED = 20_000
+#: Tasks that fit a small set, an iteration over so few is one stage; and rows a task of a larger one.
+FIT_TASKS, FIT_ROWS = 4, 7_500
 #: Rounds, and how sure a view must be of a pseudo-label.
 ROUNDS, SURE = 2, 0.97
 VIEWS = ("text", "meta")
@@ -50,8 +50,8 @@ def views(docs: DataFrame) -> DataFrame:
     return out.withColumns({f"short_{k}": F.exp(-size / k) for k in SCALES}).drop(*meta, "_said", "_words")
 
 
-def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=view, labelCol="label", weightCol="weight", regParam=0.01 if view == "text" else 0.001, maxIter=20, tol=1e-4, standardization=False, fitIntercept=view != "text", predictionCol=f"{view}_y", probabilityCol=f"{view}_p", rawPredictionCol=f"{view}_r").fit(rows.coalesce(FIT_TASKS))
+def _fit(rows: DataFrame, view: str, tasks: int = FIT_TASKS) -> LogisticRegressionModel:
+    return LogisticRegression(featuresCol=view, labelCol="label", weightCol="weight", regParam=0.01 if view == "text" else 0.001, maxIter=20, tol=1e-4, standardization=False, fitIntercept=view != "text", predictionCol=f"{view}_y", probabilityCol=f"{view}_p", rawPredictionCol=f"{view}_r").fit(rows.coalesce(tasks))
 
 
 def _scored(rows: DataFrame, models: dict[str, LogisticRegressionModel]) -> DataFrame:
@@ -61,12 +61,13 @@ def _scored(rows: DataFrame, models: dict[str, LogisticRegressionModel]) -> Data
     return rows
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, max_pool: int | None = None) -> DataFrame:
     """All rows and columns of docs, and score (0 to 1), p_text, p_meta and good (score >= threshold).
 
     docs: doc_id, text, lang, source, n_chars; labels: doc_id, label (1 good, 0 bad, null unknown). The views
-    learn from at most about max_labelled labelled documents and a pool of about max_pool unlabelled ones,
-    those whose hash of doc_id falls under the bound's share; every fifth labelled one is kept for calibration.
+    learn from at most about max_labelled labelled documents, those whose hash of doc_id falls under the bound's
+    share, and label all unlabelled ones for each other (or a pool of about max_pool, chosen likewise); every fifth
+    labelled one is kept for calibration.
     Documents whose repeated labels differ count as bad. Null and empty texts are texts without words; other
     nulls are values of their own. With labels of one kind only, or none, the score is the share of good
     ones, or 1. Columns of docs with the names of ours are replaced. Empty in, empty out.
@@ -79,7 +80,9 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: i
     at = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1_000_000))
     sample = known.where(at("_id", 1) < 1e6 * max_labelled / max(n, 1))
     total = rows.count()
-    pool = rows.where(at("_doc", 2) < 1e6 * max_pool / max(total, 1)).join(known.select(F.col("_id").alias("_doc")), "_doc", "left_anti")
+    tasks = max(FIT_TASKS, -(-total // FIT_ROWS))
+    pool = rows if max_pool is None else rows.where(at("_doc", 2) < 1e6 * max_pool / max(total, 1))
+    pool = pool.join(known.select(F.col("_id").alias("_doc")), "_doc", "left_anti")
     short = [f"short_{k}" for k in SCALES]
     # the sample's size is bounded by max_labelled, so it may go to all executors
     taught = rows.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_doc", "label", "_text", "_lang", "_source", "_n")
@@ -93,13 +96,13 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: i
         return rows.select("_row.*", *[F.lit(share).alias(c) for c in out_names[:3]], F.lit(share >= threshold).alias("good"))
     teach = dict.fromkeys(VIEWS, start)
     for _ in range(rounds):
-        models = {view: _fit(teach[view], view) for view in VIEWS}
+        models = {view: _fit(teach[view], view, tasks) for view in VIEWS}
         guessed = _scored(unlabelled, models)
         for view, other in (VIEWS, VIEWS[::-1]):
             p = F.col(f"p_{view}")
             sure = guessed.where((p >= SURE) | (p <= 1 - SURE)).withColumn("label", (p >= SURE).cast("double")).select(*start.columns)
             teach[other] = start.unionByName(sure)
-    models = {view: _fit(teach[view], view) for view in VIEWS}
+    models = {view: _fit(teach[view], view, tasks) for view in VIEWS}
     joined = VectorAssembler(inputCols=[*(f"z_{v}" for v in VIEWS), *short], outputCol="z")
     unseen = joined.transform(_scored(fresh, models))
     if unseen.select("label").distinct().count() == 2:

@@ -337,3 +337,22 @@ def test_pipeline(spark, sf):
         ids = now
     assert corpus_pipeline.run(spark, sf).count() == at.count()
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_quality_learns_from_all_unlabelled(spark, monkeypatch):
+    """More unlabelled documents than a fixed pool would hold: every one is judged by the views in each round."""
+    from tallyforge.llm import quality as Q
+
+    n, judged, plain_scored = 12_000, [], Q._scored
+    rows = spark.range(n).selectExpr("id as doc_id", "concat(if(id % 2 = 0, 'fine words here ', 'junk ### buy '), id) as text", "'en' as lang", "'s' as source", "length(text) as n_chars")
+    labels = spark.range(60).selectExpr("id as doc_id", "cast(if(id % 2 = 0, 1, 0) as int) as label")
+
+    def counted(rows, models):
+        if "label" in rows.columns:
+            judged.append(rows.where("label is null").select("_doc").distinct().count())
+        return plain_scored(rows, models)
+
+    monkeypatch.setattr(Q, "_scored", counted)
+    out = Q.scored(rows, labels)
+    assert [k for k in judged if k] == [n - 60] * Q.ROUNDS
+    assert out.where("good <> (doc_id % 2 = 0)").count() == 0
