@@ -1,119 +1,352 @@
 """Quality classifier by co-training.
 
-Two views of a document each have a classifier: what its text says (hashed words and runs of symbols) and
-what its record says (source, language, length, layout). Both are logistic regressions of Spark ML. They
-start from labelled documents; each round, the unlabelled ones of which one view is sure are handed, with
-that label, to the other view. At last the two scores are calibrated together, by length, on labelled
-documents that neither view has seen, and all documents are scored.
+Two views of a document each have a classifier: what its text says (hashed words, runs of symbols, shares of
+symbols, capitals, digits, lines and repeated words) and what its record says (source, language, recorded size).
+The text view is a logistic regression over the buckets that differ between good and bad, the record's view adds
+up log odds. Both start from labelled documents; each round, the unlabelled ones of which one view is sure are
+handed, with that label, to the other view. At last each view is calibrated on labelled documents that neither
+has seen, their log odds are added, and all documents are scored.
+
+Texts are read twice, once for a compact table of chosen buckets, once to be scored, and once more in a round in
+which the record's view is sure of any. Everything learned from unlabelled documents is a sum over all of them, made
+in the tasks, so no document is left out and none moves.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import FeatureHasher, HashingTF, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import written
+from tallyforge.llm.common import LOWER, NOT_ALNUM, SYMBOL, mix, pieces, text_bytes, words, written
 
-DIMS, META_DIMS = 1 << 15, 1 << 10
+#: Buckets of hashed features: of the text view, and of the record's view.
+DIMS_BITS, META_BITS = 17, 12
 #: Labelled documents to learn from. Of unlabelled ones all take part.
 MAX_LABELLED = 20_000
-#: Tasks that fit a small set, an iteration over so few is one stage; and rows a task of a larger one.
-FIT_TASKS, FIT_ROWS = 4, 7_500
-#: Rounds, and how sure a view must be of a pseudo-label.
-ROUNDS, SURE = 2, 0.97
-VIEWS = ("text", "meta")
-#: Text lengths at which calibration may shift: a short text has few words to speak for it.
-SCALES = (100, 400, 1500)
+#: Rounds, and how sure a view must be of a pseudo-label; weight of a pseudo-labelled document.
+ROUNDS, SURE, PSEUDO = 2, 0.97, 0.5
+#: A bucket is chosen if its likelihood ratio statistic is that large (about one in ten thousand by chance), the best ones up to a number.
+LEAST_G, MOST_CHOSEN = 15.0, 4_096
+#: Steps of a fit to labelled documents alone, and of one that pseudo-labelled ones take part in, each a pass over the compact table.
+STEPS, SHARED_STEPS = 60, 12
+NAMES = ("score", "p_text", "p_meta", "good")
 
 
-def _bucket(x: Column) -> Column:
-    return F.floor(2 * F.log2(F.coalesce(x, F.lit(0)).cast("double") + 1)).cast("string")
+def text_buckets(texts: pa.Array, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket), distinct and in order, of all rows; only buckets with a place in chosen, given as that place."""
+    n = len(texts)
+    w, s = words(texts, NOT_ALNUM, LOWER), words(texts, ~SYMBOL)
+    data, offsets = text_bytes(texts)
+    size, n_words = np.diff(offsets), np.diff(w.first)
 
+    def share(of: np.ndarray, steps: int, salt: int) -> np.ndarray:
+        sums = np.append(0, np.cumsum(of))
+        part = sums[offsets[1:]] - sums[offsets[:-1]]
+        return mix(np.ceil(steps * part / np.maximum(size, 1)).astype(np.uint64) + np.uint64(salt))
 
-def views(docs: DataFrame) -> DataFrame:
-    """docs (_text, _lang, _source, _n and others) with the vectors of both views."""
-    text = F.coalesce("_text", F.lit(""))
-    size = F.length(text)
-    count = lambda what: size - F.length(F.translate(text, what, ""))
-    share = lambda n: F.floor(50 * n / F.greatest(size, F.lit(1))).cast("string")
-    meta = {
-        "m_source": F.coalesce("_source", F.lit("")), "m_lang": F.coalesce("_lang", F.lit("")), "m_size": _bucket(F.coalesce("_n", size)),
-        "m_lines": _bucket(count("\n")), "m_spaces": share(count(" ")), "m_digits": share(count("0123456789")), "m_symbols": share(count("|#$%&*<>{}[]=_~^/\\@+")), "m_stops": share(count(".,;:!?")),
-    }
-    out = docs.withColumns(meta).withColumn("_said", text)
-    out = RegexTokenizer(inputCol="_said", outputCol="_words", pattern=r"\p{L}+|[^\s\p{L}]+", gaps=False).transform(out)
-    out = HashingTF(inputCol="_words", outputCol="text", numFeatures=DIMS, binary=True).transform(out)
-    out = FeatureHasher(inputCols=list(meta), outputCol="meta", numFeatures=META_DIMS).transform(out)
-    return out.withColumns({f"short_{k}": F.exp(-size / k) for k in SCALES}).drop(*meta, "_said", "_words")
+    of_word = w.row
+    again = np.zeros(len(w.hash), bool)
+    again[1:] = (w.hash[1:] == w.hash[:-1]) & (of_word[1:] == of_word[:-1])
+    repeats = np.bincount(of_word[again], minlength=n)
+    wholes = [
+        share(SYMBOL[data], 50, 1_000), share((data >= 65) & (data <= 90), 20, 2_000), share((data >= 48) & (data <= 57), 50, 3_000), share(data == 10, 50, 4_000),
+        mix(np.ceil(10 * repeats / np.maximum(n_words, 1)).astype(np.uint64) + np.uint64(5_000)),
+    ]
+    row = np.concatenate([of_word, s.row, *[np.arange(n)] * len(wholes)])
+    bucket = (np.concatenate([w.hash, mix(s.hash + np.uint64(1)), *wholes]) >> np.uint64(64 - DIMS_BITS)).astype(np.int64)
+    if chosen is not None:
+        bucket = chosen[bucket]
+        row, bucket = row[bucket >= 0], bucket[bucket >= 0]
+    both = np.unique(row << DIMS_BITS | bucket)
+    return both >> DIMS_BITS, both & ((1 << DIMS_BITS) - 1)
 
 
-def _fit(rows: DataFrame, view: str, tasks: int = FIT_TASKS) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=view, labelCol="label", weightCol="weight", regParam=0.01 if view == "text" else 0.001, maxIter=20, tol=1e-4, standardization=False, fitIntercept=view != "text", predictionCol=f"{view}_y", probabilityCol=f"{view}_p", rawPredictionCol=f"{view}_r").fit(rows.coalesce(tasks))
+def _lists(row: np.ndarray, bucket: np.ndarray, n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(bucket.astype(np.int32)))
 
 
-def _scored(rows: DataFrame, models: dict[str, LogisticRegressionModel]) -> DataFrame:
-    """With each view's probability and logit of a good document."""
-    for view, model in models.items():
-        rows = model.transform(rows).withColumns({f"p_{view}": vector_to_array(f"{view}_p")[1], f"z_{view}": vector_to_array(f"{view}_r")[1]}).drop(f"{view}_y", f"{view}_p", f"{view}_r")
-    return rows
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of a column of lists without nulls."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    n = np.diff(lists.offsets.to_numpy())
+    return np.repeat(np.arange(len(lists)), n), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, max_pool: int | None = None) -> DataFrame:
-    """All rows and columns of docs, and score (0 to 1), p_text, p_meta and good (score >= threshold).
+def _record(source: str = "_source", lang: str = "_lang", size: str = "_n"):
+    """The record's buckets as an array column: source, language, recorded size in half powers of two, source with language."""
+    key = lambda salt, *c: F.pmod(F.xxhash64(F.lit(salt), *[F.coalesce(F.col(x).cast("string"), F.lit("\0")) for x in c]), F.lit(1 << META_BITS)).cast("int")
+    step = F.floor(2 * F.log2(F.coalesce(F.col(size), F.lit(-1)).cast("double") + 2)).cast("string")
+    of_size = F.pmod(F.xxhash64(F.lit(3), F.coalesce(step, F.lit("\0"))), F.lit(1 << META_BITS)).cast("int")
+    return F.array_distinct(F.array(key(1, source), key(2, lang), of_size, key(4, source, lang)))
 
-    docs: doc_id, text, lang, source, n_chars; labels: doc_id, label (1 good, 0 bad, null unknown). The views
-    learn from at most about max_labelled labelled documents, those whose hash of doc_id falls under the bound's
-    share, and label all unlabelled ones for each other (or a pool of about max_pool, chosen likewise); every fifth
-    labelled one is kept for calibration.
-    Documents whose repeated labels differ count as bad. Null and empty texts are texts without words; other
-    nulls are values of their own. With labels of one kind only, or none, the score is the share of good
-    ones, or 1. Columns of docs with the names of ours are replaced. Empty in, empty out.
+
+class View(NamedTuple):
+    """Weights by place, and the log odds of a document that has none of them."""
+
+    weights: np.ndarray
+    base: float
+
+    def logit(self, row: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(row, weights=self.weights[place], minlength=n)[:n] + self.base
+
+
+def probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def likelihood_ratio(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) -> np.ndarray:
+    """The G statistic of each bucket's presence against the label."""
+    both, n = good + bad, n_good + n_bad
+
+    def term(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+    return 2 * (term(good, both * n_good / n) + term(bad, both * n_bad / n) + term(n_good - good, (n - both) * n_good / n) + term(n_bad - bad, (n - both) * n_bad / n))
+
+
+def odds(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) -> View:
+    """Naive Bayes from sums; a bucket's log odds shrink as its G statistic gets small."""
+    shrunk = np.clip(1 - 4 / np.maximum(likelihood_ratio(good, bad, n_good, n_bad), 1e-9), 0, 1)
+    return View(shrunk * (np.log((good + 0.5) / (n_good + 1)) - np.log((bad + 0.5) / (n_bad + 1))), float(np.log(n_good / n_bad)))
+
+
+def _chosen(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) -> np.ndarray:
+    """The buckets that tell good from bad, in order."""
+    g = likelihood_ratio(good, bad, n_good, n_bad)
+    best = np.argsort(-g, kind="stable")[:MOST_CHOSEN]
+    return np.sort(best[g[best] >= LEAST_G])
+
+
+def _of(which: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of some rows, rows numbered anew."""
+    new, own = np.cumsum(which) - 1, which[pairs[0]]
+    return new[pairs[0][own]], pairs[1][own]
+
+
+def _descended(view: View, steps: int, labelled: tuple, more=None) -> View:
+    """Logistic regression, ridge 1, by steps scaled with each place's sum of weights. more(view): the same sums over pseudo-labelled documents."""
+    row, place, y, weight = labelled
+    w, base, n = view.weights.copy(), view.base, len(y)
+    often = np.bincount(place, weights=weight[row], minlength=len(w))
+    for _ in range(steps):
+        error = weight * (probability(View(w, base).logit(row, place, n)) - y)
+        slope, seen, of_base, total = np.bincount(place, weights=error[row], minlength=len(w)), often, error.sum(), weight.sum()
+        if more is not None:
+            slope2, seen2, of_base2, total2 = more(View(w, base))
+            slope, seen, of_base, total = slope + slope2, seen + seen2, of_base + of_base2, total + total2
+        w = w - (slope + w) / (seen + 1)
+        base -= 2 * of_base / max(total, 1e-9)
+    return View(w, base)
+
+
+def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the log odds on documents not learned from, held to (1, 0) by a ridge as strong as four documents."""
+    x, at = np.stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
+    for _ in range(30):
+        p = probability(at @ x)
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + np.eye(2), x @ (p - y) + (at - [1.0, 0.0]))
+        at = at - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return max(float(at[0]), 0.0), float(at[1])
+
+
+def _sums(rows: DataFrame, state: dict, size: int, add) -> np.ndarray:
+    """A vector of sums over compact rows: add(state, chosen, record, rows, vector) in the tasks, then by place."""
+    sent = rows.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                add(sent.value, _flat(batch.column("chosen")), _flat(batch.column("record")), batch.num_rows, total)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["place", "sum"])
+
+    found = rows.select("chosen", "record").mapInArrow(run, "place int, sum double").groupBy("place").agg(F.sum("sum").alias("sum")).toArrow()
+    out = np.zeros(size)
+    out[found.column("place").to_numpy()] = found.column("sum").to_numpy()
+    return out
+
+
+def _sure(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are surely bad, and surely good."""
+    return p <= 1 - SURE, p >= SURE
+
+
+def _by_label(state: dict, text: tuple, meta: tuple, n: int, total: np.ndarray) -> None:
+    """Buckets of one view's rows of which the other view is sure, by label; then how many rows that are, and how many there were."""
+    teacher, taught = ((text, meta), (meta, text))[state["taught"] == "text"]
+    size = (len(total) - 3) // 2
+    for k, own in enumerate(_sure(probability(state["teacher"].logit(*teacher, n)))):
+        total[k * size : (k + 1) * size] += np.bincount(taught[1][own[taught[0]]], minlength=size)
+        total[2 * size + k] += own.sum()
+    total[-1] += n
+
+
+def _slope(state: dict, text: tuple, meta: tuple, n: int, total: np.ndarray) -> None:
+    """The text view's slope over the rows of which the record's view is sure."""
+    m = (len(total) - 2) // 2
+    bad, good = _sure(probability(state["meta"].logit(*meta, n)))
+    weight = PSEUDO * (bad | good)
+    error = weight * (probability(state["text"].logit(*text, n)) - good)
+    total[:m] += np.bincount(text[1], weights=error[text[0]], minlength=m)
+    total[m : 2 * m] += np.bincount(text[1], weights=weight[text[0]], minlength=m)
+    total[2 * m] += error.sum()
+    total[2 * m + 1] += weight.sum()
+
+
+class Model(NamedTuple):
+    """Both views, the chosen buckets' places, and what calibration found: slope and shift by view, and the log odds that both count."""
+
+    chosen: np.ndarray
+    text: View
+    meta: View
+    slopes: tuple
+    prior: float
+
+    def scores(self, texts: pa.Array, record: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score, p_text, p_meta) of each row."""
+        n = len(texts)
+        a, b = self.text.logit(*text_buckets(texts, self.chosen), n), self.meta.logit(*_flat(record), n)
+        (a1, a0), (b1, b0) = self.slopes
+        a, b = a1 * a + a0, b1 * b + b0
+        return probability(a + b - self.prior), probability(a), probability(b)
+
+
+def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, report: list | None = None) -> Model | float:
+    """A model, or the share of good documents (1 if none is labelled) where labels are of one kind only.
+
+    report: gets a dict for each round: unlabelled documents judged, and of how many the text and the record's view
+    are sure.
     """
+    spark = docs.sparkSession
     known = written(labels.where("doc_id is not null and label is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("label").cast("double").alias("label")))
     n = known.count()
-    out_names = ("score", "p_text", "p_meta", "good")
-    own = [c for c in docs.columns if c not in out_names]
-    rows = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("n_chars").alias("_n"))
     at = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1_000_000))
     sample = known.where(at("_id", 1) < 1e6 * max_labelled / max(n, 1))
-    total = rows.count()
-    tasks = max(FIT_TASKS, -(-total // FIT_ROWS))
-    pool = rows if max_pool is None else rows.where(at("_doc", 2) < 1e6 * max_pool / max(total, 1))
-    pool = pool.join(known.select(F.col("_id").alias("_doc")), "_doc", "left_anti")
-    short = [f"short_{k}" for k in SCALES]
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("n_chars").alias("_n"))
+    record = _record().alias("record")
+
+    def compact(of: DataFrame, chosen: np.ndarray | None, keep: list[str], schema: str, sure: View | None = None) -> DataFrame:
+        """Rows by their buckets; given a view of the record, only those of which it is sure."""
+        sent = spark.sparkContext.broadcast((chosen, sure))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chosen, sure = sent.value
+            for part in pieces(batches):
+                if sure is not None:
+                    bad, good = _sure(probability(sure.logit(*_flat(part.column("record")), part.num_rows)))
+                    part = part.filter(pa.array(bad | good))
+                own = _lists(*text_buckets(part.column("text"), chosen), part.num_rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), part.column("record"), own], [*keep, "record", "chosen"])
+
+        return of.select(*keep, record, "text").mapInArrow(run, f"{schema + ', ' if schema else ''}record array<int>, chosen array<int>")
+
     # the sample's size is bounded by max_labelled, so it may go to all executors
-    taught = rows.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_doc", "label", "_text", "_lang", "_source", "_n")
-    both = taught.withColumn("weight", F.lit(1.0)).unionByName(pool.select("_doc", F.lit(None).cast("double").alias("label"), "_text", "_lang", "_source", "_n", F.lit(0.5).alias("weight")))
-    both = written(views(both).select("_doc", "label", "weight", *VIEWS, *short))
-    held = F.pmod(F.xxhash64("_doc", F.lit(3)), F.lit(5)) == 0
-    start, unlabelled, fresh = both.where("label is not null").where(~held), both.where("label is null"), both.where("label is not null").where(held)
-    n_start, n_good = start.agg(F.count("*"), F.sum("label")).first()
-    if not n_start or n_good in (0, n_start):
-        share = n_good / n_start if n_start else 1.0
-        return rows.select("_row.*", *[F.lit(share).alias(c) for c in out_names[:3]], F.lit(share >= threshold).alias("good"))
-    teach = dict.fromkeys(VIEWS, start)
-    for _ in range(rounds):
-        models = {view: _fit(teach[view], view, tasks) for view in VIEWS}
-        guessed = _scored(unlabelled, models)
-        for view, other in (VIEWS, VIEWS[::-1]):
-            p = F.col(f"p_{view}")
-            sure = guessed.where((p >= SURE) | (p <= 1 - SURE)).withColumn("label", (p >= SURE).cast("double")).select(*start.columns)
-            teach[other] = start.unionByName(sure)
-    models = {view: _fit(teach[view], view, tasks) for view in VIEWS}
-    joined = VectorAssembler(inputCols=[*(f"z_{v}" for v in VIEWS), *short], outputCol="z")
-    unseen = joined.transform(_scored(fresh, models))
-    if unseen.select("label").distinct().count() == 2:
-        final = LogisticRegression(featuresCol="z", labelCol="label", regParam=0.001, predictionCol="_y", probabilityCol="_p", rawPredictionCol="_r").fit(unseen.coalesce(FIT_TASKS))
-        by, shift = final.coefficients.toArray().tolist(), final.intercept
-    else:  # too few to calibrate on
-        by, shift = [0.5, 0.5, *[0.0] * len(short)], 0.0
-    every = _scored(views(rows), models)
-    logit = sum((k * F.col(c) for k, c in zip(by, joined.getInputCols())), F.lit(shift))
-    score = 1 / (1 + F.exp(-logit))
-    return every.select("_row.*", score.alias("score"), "p_text", "p_meta", (score >= threshold).alias("good"))
+    taught = rows.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).withColumn("held", F.pmod(F.xxhash64("_doc", F.lit(3)), F.lit(5)) == 0)
+    taught = written(compact(taught, None, ["label", "held"], "label double, held boolean"))
+    counts = {r.label: r.n for r in taught.where("not held").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_good, n_bad = counts.get(1.0, 0), counts.get(0.0, 0)
+    if not n_good or not n_bad:
+        return float(n_good / (n_good + n_bad)) if n_good + n_bad else 1.0
+    own = taught.where("not held").select("label", F.explode("chosen").alias("b")).groupBy("b").agg(F.sum("label").alias("good"), F.count("*").alias("n")).toArrow()
+    dims, size = 1 << DIMS_BITS, 1 << META_BITS
+    text_good, text_bad = np.zeros(dims), np.zeros(dims)
+    b, g = own.column("b").to_numpy(), own.column("good").to_numpy()
+    text_good[b], text_bad[b] = g, own.column("n").to_numpy() - g
+    # labelled documents: a bounded sample; their text buckets are fetched once some are chosen
+    def fetched(best: np.ndarray) -> tuple:
+        places = F.array(*map(F.lit, best.tolist())) if len(best) else F.array().cast("array<int>")
+        few = taught.select("label", "held", "record", F.array_intersect("chosen", places).alias("chosen")).toArrow()
+        return few.column("label").to_numpy(), few.column("held").to_numpy(zero_copy_only=False).astype(bool), _flat(few.column("record")), _flat(few.column("chosen"))
+
+    y, held, meta, _ = fetched(np.zeros(0, int))
+    start = ~held
+    own_meta, y_start = _of(start, meta), y[start]
+    meta_good, meta_bad = (np.bincount(own_meta[1][y_start[own_meta[0]] == k], minlength=size).astype(float) for k in (1, 0))
+    view_text, view_meta = None, odds(meta_good, meta_bad, n_good, n_bad)
+    unlabelled = rows.join(known.select(F.col("_id").alias("_doc")), "_doc", "left_anti")
+    records = unlabelled.select(record, F.array().cast("array<int>").alias("chosen"))
+    best, chosen, short, made = None, None, None, None
+    for k in range(max(rounds, 1)):
+        good, bad, sure_good, sure_bad = text_good, text_bad, n_good, n_bad
+        # the record's view teaches the text view: first which buckets count, from the whole texts it is sure of
+        of_meta = _sums(records, {"teacher": view_meta, "taught": "text"}, 2 + 3, _by_label)[2:4].sum() if rounds else 0
+        if of_meta:
+            more = _sums(compact(unlabelled, None, [], "", view_meta), {"teacher": view_meta, "taught": "text"}, 2 * dims + 3, _by_label)
+            good, bad = good + PSEUDO * more[dims : 2 * dims], bad + PSEUDO * more[:dims]
+            sure_bad, sure_good = sure_bad + PSEUDO * more[2 * dims], sure_good + PSEUDO * more[2 * dims + 1]
+        now = _chosen(good, bad, sure_good, sure_bad)
+        if best is None or not np.array_equal(now, best):
+            best, chosen = now, np.full(dims, -1, np.int64)
+            chosen[best] = np.arange(len(best))
+            y, held, meta, short = fetched(best)
+            short, start = (short[0], chosen[short[1]]), ~held
+            made, view_text = None, None
+        labelled = (*_of(start, short), y[start], np.ones(start.sum()))
+        if view_text is None:
+            view_text = _descended(View(np.zeros(len(best)), float(np.log(n_good / n_bad))), STEPS, labelled)
+        if not rounds:
+            break
+        made = made or written(compact(unlabelled, chosen, [], ""))  # every unlabelled document, by its chosen buckets
+        if of_meta:
+            m, teacher = len(best), view_meta
+
+            def shared(view: View, made=made, m=m, teacher=teacher) -> tuple:
+                s = _sums(made, {"text": view, "meta": teacher}, 2 * m + 2, _slope)
+                return s[:m], s[m : 2 * m], s[2 * m], s[2 * m + 1]
+
+            view_text = _descended(view_text, SHARED_STEPS, labelled, shared)
+        # and the text view the record's
+        more = _sums(made, {"teacher": view_text, "taught": "meta"}, 2 * size + 3, _by_label)
+        view_meta = odds(meta_good + PSEUDO * more[size : 2 * size], meta_bad + PSEUDO * more[:size], n_good + PSEUDO * more[2 * size + 1], n_bad + PSEUDO * more[2 * size])
+        if report is not None:
+            report.append({"judged": int(more[-1]), "text_sure": int(more[2 * size : 2 * size + 2].sum()), "meta_sure": int(of_meta)})
+    unseen, n_held = y[held], int(held.sum())
+    logits = [view_text.logit(*_of(held, short), n_held), view_meta.logit(*_of(held, meta), n_held)]
+    slopes = tuple(calibrated(z, unseen) for z in logits)
+    prior = float(np.log((n_good + (unseen == 1).sum()) / (n_bad + (unseen == 0).sum())))
+    return Model(chosen, view_text, view_meta, slopes, prior)
+
+
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, report: list | None = None) -> DataFrame:
+    """All rows and columns of docs, and score (0 to 1), p_text, p_meta and good (score >= threshold).
+
+    docs: doc_id, text, lang, source, n_chars; labels: doc_id, label (1 good, 0 bad, null unknown). The views
+    learn from at most about max_labelled labelled documents, those whose hash of doc_id falls under the bound's
+    share, and label all unlabelled ones for each other; every fifth labelled one is kept for calibration.
+    Documents whose repeated labels differ count as bad. Rows with equal doc_id share its label; a null doc_id is
+    unlabelled. Null and empty texts are texts without words, texts of any length are read whole; other nulls are
+    values of their own. With labels of one kind only, or none, the score is the share of good ones, or 1. Columns
+    of docs with the names of ours are replaced. Empty in, empty out.
+    """
+    own = [c for c in docs.columns if c not in NAMES]
+    model = fit(docs, labels, rounds, max_labelled, report)
+    if isinstance(model, float):
+        return docs.select(*own, *[F.lit(model).alias(c) for c in NAMES[:3]], F.lit(model >= threshold).alias("good"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # columns by number, so that no name of the caller's can clash with ours
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)], F.col("text").cast("string").alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("n_chars").alias("_n"))
+    rows = rows.select(*[f"c{i}" for i in range(len(own)) if own[i] != "text"], "_text", _record().alias("_record"))
+    kept = [c for c in rows.columns if c not in ("_text", "_record")]
+    schema = rows.drop("_record").schema
+    for c in NAMES[:3]:
+        schema = schema.add(c, "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "_text"):
+            found = sent.value.scores(part.column("_text"), part.column("_record"))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), part.column("_text"), *map(pa.array, found)], [*kept, "_text", *NAMES[:3]])
+
+    out = rows.mapInArrow(run, schema)
+    back = [(F.col("_text").cast(docs.schema["text"].dataType) if c == "text" else F.col(f"c{i}")).alias(c) for i, c in enumerate(own)]
+    return out.select(*back, *NAMES[:3], (F.col("score") >= threshold).alias("good"))
 
 
 def good_labels(labels: DataFrame) -> DataFrame:
@@ -128,6 +361,6 @@ def op9_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not rejected, all columns."""
+    """The documents that are not rejected, all columns; nulls, repeats and empty tables as `scored` says, so a row without an id or a text is judged like any other."""
     out = scored(docs, good_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return out.where("good").select(*docs.columns)

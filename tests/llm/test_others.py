@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import HARD, docs
 from hypothesis import given, settings
@@ -339,20 +340,54 @@ def test_pipeline(spark, sf):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
-def test_quality_learns_from_all_unlabelled(spark, monkeypatch):
+def test_quality_learns_from_all_unlabelled(spark):
     """More unlabelled documents than a fixed pool would hold: every one is judged by the views in each round."""
-    from tallyforge.llm import quality as Q
-
-    n, judged, plain_scored = 12_000, [], Q._scored
+    n, report = 12_000, []
     rows = spark.range(n).selectExpr("id as doc_id", "concat(if(id % 2 = 0, 'fine words here ', 'junk ### buy '), id) as text", "'en' as lang", "'s' as source", "length(text) as n_chars")
     labels = spark.range(60).selectExpr("id as doc_id", "cast(if(id % 2 = 0, 1, 0) as int) as label")
+    out = quality.scored(rows, labels, report=report)
+    assert [r["judged"] for r in report] == [n - 60] * quality.ROUNDS
+    assert out.where("good <> (doc_id % 2 = 0)").count() == 0
 
-    def counted(rows, models):
-        if "label" in rows.columns:
-            judged.append(rows.where("label is null").select("_doc").distinct().count())
-        return plain_scored(rows, models)
 
-    monkeypatch.setattr(Q, "_scored", counted)
-    out = Q.scored(rows, labels)
-    assert [k for k in judged if k] == [n - 60] * Q.ROUNDS
-    assert out.where("good <> (doc_id % 2 = 0)").count() == 0
+def test_views_teach_each_other(spark):
+    """What a view alone can't know from the labelled documents it learns from the other's pseudo-labels."""
+    rows = [(i, f"{'fine words' if i % 2 else 'junk ### buy'} {i}", "en", "good site" if i % 2 else "bad site", 20) for i in range(600)]
+    rows += [(i, f"{'novel prose' if i % 2 else 'fresh spam'} {i}", "en", "good site" if i % 2 else "bad site", 20) for i in range(600, 1600)]  # words without a label
+    rows += [(i, f"{'fine words' if i % 2 else 'junk ### buy'} {i}", "en", "new good" if i % 2 else "new bad", 20) for i in range(1600, 2600)]  # sources without a label
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, label int")
+    report = []
+    model = quality.fit(docs_, labels, report=report)
+    assert report[0]["meta_sure"] >= 1000 and report[-1]["text_sure"] >= 1000 and all(r["judged"] == 2000 for r in report), report
+    out = quality.scored(docs_, labels).collect()
+    assert all(r.good == (r.doc_id % 2 == 1) for r in out)
+    untaught = quality.fit(docs_, labels, rounds=0)
+    key = lambda s: docs_.where(F.col("source") == s).limit(1).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("n_chars").alias("_n")).select(quality._record()).first()[0][0]
+    for source, sign in (("new good", 1), ("new bad", -1)):
+        assert untaught.meta.weights[key(source)] == 0 and sign * model.meta.weights[key(source)] > 1
+
+
+def auc(score, y):
+    score, y = np.asarray(score), np.asarray(y)
+    return float(np.mean([(score[y == 1] > s).mean() + (score[y == 1] == s).mean() / 2 for s in score[y == 0]]))
+
+
+def test_combined_is_no_worse_than_either_view(spark):
+    sf = "/root/testdata/sf0.01"
+    rows, labels = spark.read.parquet(f"{sf}/documents.parquet"), quality.good_labels(spark.read.parquet(f"{sf}/labels.parquet"))
+    for k in range(3):
+        out = quality.scored(rows, labels.where(f"doc_id % 3 <> {k}")).join(labels.where(f"doc_id % 3 = {k} and label is not null"), "doc_id").select("label", "score", "p_text", "p_meta").collect()
+        got = {c: auc([r[c] for r in out], [r.label for r in out]) for c in ("score", "p_text", "p_meta")}
+        assert got["score"] >= 0.9 and got["score"] >= max(got["p_text"], got["p_meta"]) - 0.01, got
+
+
+def test_quality_of_one_text_longer_than_a_piece(spark, monkeypatch):
+    rows = docs(spark, HARD + [(100 + i, f"good words here number {i}") for i in range(30)] + [(200 + i, f"### ||| junk $$$ {i}") for i in range(30)])
+    label = spark.createDataFrame([(100 + i, 1) for i in range(20)] + [(200 + i, 0) for i in range(20)], "doc_id long, label int")
+    model = quality.fit(rows, label)
+    texts, record = [t for _, t in HARD], [[1, 2]] * len(HARD)
+    whole = model.scores(pa.array(texts, pa.string()), pa.array(record, pa.list_(pa.int32())))
+    for i, t in enumerate(texts):
+        one = model.scores(pa.array([t], pa.string()), pa.array([[1, 2]], pa.list_(pa.int32())))
+        assert [x[0] for x in one] == pytest.approx([x[i] for x in whole])
