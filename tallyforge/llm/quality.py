@@ -4,8 +4,8 @@ Two views of a document each have a classifier: what its text says (hashed words
 symbols, capitals, digits, lines and repeated words) and what its record says (source, language, recorded size).
 The text view is a logistic regression over the buckets that differ between good and bad, the record's view adds
 up log odds. Both start from labelled documents; each round, the unlabelled ones of which one view is sure are
-handed, with that label, to the other view. At last each view is calibrated on labelled documents that neither
-has seen, their log odds are added, and all documents are scored.
+handed, with that label, to the other view. Each view is calibrated on labelled documents from which neither learns;
+at last their log odds are added, and all documents are scored.
 
 Texts are read twice, once for a compact table of chosen buckets, once to be scored, and once more in a round in
 which the record's view is sure of any. Everything learned from unlabelled documents is a sum over all of them, made
@@ -29,7 +29,7 @@ DIMS_BITS, META_BITS = 17, 12
 #: Labelled documents to learn from. Of unlabelled ones all take part.
 MAX_LABELLED = 20_000
 #: Rounds, and how sure a view must be of a pseudo-label; weight of a pseudo-labelled document.
-ROUNDS, SURE, PSEUDO = 2, 0.97, 0.5
+ROUNDS, SURE, PSEUDO = 2, 0.95, 0.5
 #: A bucket is chosen if its likelihood ratio statistic is that large (about one in ten thousand by chance), the best ones up to a number.
 LEAST_G, MOST_CHOSEN = 15.0, 4_096
 #: Steps of a fit to labelled documents alone, and of one that pseudo-labelled ones take part in, each a pass over the compact table.
@@ -110,9 +110,9 @@ def likelihood_ratio(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: fl
 
 
 def odds(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) -> View:
-    """Naive Bayes from sums; a bucket's log odds shrink as its G statistic gets small."""
+    """Naive Bayes from sums; a bucket's log odds shrink as its G statistic gets small, and it takes about 70 documents of one label to be sure."""
     shrunk = np.clip(1 - 4 / np.maximum(likelihood_ratio(good, bad, n_good, n_bad), 1e-9), 0, 1)
-    return View(shrunk * (np.log((good + 0.5) / (n_good + 1)) - np.log((bad + 0.5) / (n_bad + 1))), float(np.log(n_good / n_bad)))
+    return View(shrunk * (np.log((good + 2) / (n_good + 4)) - np.log((bad + 2) / (n_bad + 4))), float(np.log(n_good / n_bad)))
 
 
 def _chosen(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) -> np.ndarray:
@@ -145,15 +145,21 @@ def _descended(view: View, steps: int, labelled: tuple, more=None) -> View:
 
 
 def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, shift) of the log odds on documents not learned from, held to (1, 0) by a ridge as strong as four documents."""
-    x, at = np.stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
+    """(slope, shift) of the log odds on documents not learned from, held to (1, 0) by a ridge; the slope is 2 at most, so a few easy documents make no view sure."""
+    x, at, ridge = np.stack([z, np.ones(len(z))]), np.array([1.0, 0.0]), np.diag([10.0, 1.0])
     for _ in range(30):
         p = probability(at @ x)
-        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + np.eye(2), x @ (p - y) + (at - [1.0, 0.0]))
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + ridge, x @ (p - y) + ridge @ (at - [1.0, 0.0]))
         at = at - step
         if np.abs(step).max() < 1e-6:
             break
-    return max(float(at[0]), 0.0), float(at[1])
+    return min(max(float(at[0]), 0.0), 2.0), float(at[1])
+
+
+def _aligned(view: View, row: np.ndarray, place: np.ndarray, y: np.ndarray) -> View:
+    """The view with calibrated log odds."""
+    slope, shift = calibrated(view.logit(row, place, len(y)), y)
+    return View(slope * view.weights, slope * view.base + shift)
 
 
 def _sums(rows: DataFrame, state: dict, size: int, add) -> np.ndarray:
@@ -202,20 +208,17 @@ def _slope(state: dict, text: tuple, meta: tuple, n: int, total: np.ndarray) ->
 
 
 class Model(NamedTuple):
-    """Both views, the chosen buckets' places, and what calibration found: slope and shift by view, and the log odds that both count."""
+    """Both views, calibrated, the chosen buckets' places, and the log odds of any document, which both views count."""
 
     chosen: np.ndarray
     text: View
     meta: View
-    slopes: tuple
     prior: float
 
     def scores(self, texts: pa.Array, record: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score, p_text, p_meta) of each row."""
         n = len(texts)
         a, b = self.text.logit(*text_buckets(texts, self.chosen), n), self.meta.logit(*_flat(record), n)
-        (a1, a0), (b1, b0) = self.slopes
-        a, b = a1 * a + a0, b1 * b + b0
         return probability(a + b - self.prior), probability(a), probability(b)
 
 
@@ -246,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
                 own = _lists(*text_buckets(part.column("text"), chosen), part.num_rows)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), part.column("record"), own], [*keep, "record", "chosen"])
 
-        return of.select(*keep, record, "text").mapInArrow(run, f"{schema + ', ' if schema else ''}record array<int>, chosen array<int>")
+        return of.select(*keep, record, "text").mapInArrow(run, f"{schema}, record array<int>, chosen array<int>")
 
     # the sample's size is bounded by max_labelled, so it may go to all executors
     taught = rows.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).withColumn("held", F.pmod(F.xxhash64("_doc", F.lit(3)), F.lit(5)) == 0)
@@ -270,16 +273,20 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
     start = ~held
     own_meta, y_start = _of(start, meta), y[start]
     meta_good, meta_bad = (np.bincount(own_meta[1][y_start[own_meta[0]] == k], minlength=size).astype(float) for k in (1, 0))
-    view_text, view_meta = None, odds(meta_good, meta_bad, n_good, n_bad)
-    unlabelled = rows.join(known.select(F.col("_id").alias("_doc")), "_doc", "left_anti")
-    records = unlabelled.select(record, F.array().cast("array<int>").alias("chosen"))
+    view_text, view_meta = None, _aligned(odds(meta_good, meta_bad, n_good, n_bad), *_of(held, meta), y[held])
+    of_id = f"_doc {rows.schema['_doc'].dataType.simpleString()}"
+
+    def unlabelled(compacted: DataFrame) -> DataFrame:
+        return compacted.join(known.select(F.col("_id").alias("_doc")), "_doc", "left_anti").drop("_doc")
+
+    records = written(unlabelled(rows.select("_doc", record, F.array().cast("array<int>").alias("chosen"))))
     best, chosen, short, made = None, None, None, None
     for k in range(max(rounds, 1)):
         good, bad, sure_good, sure_bad = text_good, text_bad, n_good, n_bad
         # the record's view teaches the text view: first which buckets count, from the whole texts it is sure of
         of_meta = _sums(records, {"teacher": view_meta, "taught": "text"}, 2 + 3, _by_label)[2:4].sum() if rounds else 0
         if of_meta:
-            more = _sums(compact(unlabelled, None, [], "", view_meta), {"teacher": view_meta, "taught": "text"}, 2 * dims + 3, _by_label)
+            more = _sums(unlabelled(compact(rows, None, ["_doc"], of_id, view_meta)), {"teacher": view_meta, "taught": "text"}, 2 * dims + 3, _by_label)
             good, bad = good + PSEUDO * more[dims : 2 * dims], bad + PSEUDO * more[:dims]
             sure_bad, sure_good = sure_bad + PSEUDO * more[2 * dims], sure_good + PSEUDO * more[2 * dims + 1]
         now = _chosen(good, bad, sure_good, sure_bad)
@@ -291,10 +298,10 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
             made, view_text = None, None
         labelled = (*_of(start, short), y[start], np.ones(start.sum()))
         if view_text is None:
-            view_text = _descended(View(np.zeros(len(best)), float(np.log(n_good / n_bad))), STEPS, labelled)
+            view_text = _aligned(_descended(View(np.zeros(len(best)), float(np.log(n_good / n_bad))), STEPS, labelled), *_of(held, short), y[held])
         if not rounds:
             break
-        made = made or written(compact(unlabelled, chosen, [], ""))  # every unlabelled document, by its chosen buckets
+        made = made or written(unlabelled(compact(rows, chosen, ["_doc"], of_id)))  # every unlabelled document, by its chosen buckets
         if of_meta:
             m, teacher = len(best), view_meta
 
@@ -302,17 +309,15 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
                 s = _sums(made, {"text": view, "meta": teacher}, 2 * m + 2, _slope)
                 return s[:m], s[m : 2 * m], s[2 * m], s[2 * m + 1]
 
-            view_text = _descended(view_text, SHARED_STEPS, labelled, shared)
+            view_text = _aligned(_descended(view_text, SHARED_STEPS, labelled, shared), *_of(held, short), y[held])
         # and the text view the record's
         more = _sums(made, {"teacher": view_text, "taught": "meta"}, 2 * size + 3, _by_label)
         view_meta = odds(meta_good + PSEUDO * more[size : 2 * size], meta_bad + PSEUDO * more[:size], n_good + PSEUDO * more[2 * size + 1], n_bad + PSEUDO * more[2 * size])
+        view_meta = _aligned(view_meta, *_of(held, meta), y[held])
         if report is not None:
             report.append({"judged": int(more[-1]), "text_sure": int(more[2 * size : 2 * size + 2].sum()), "meta_sure": int(of_meta)})
-    unseen, n_held = y[held], int(held.sum())
-    logits = [view_text.logit(*_of(held, short), n_held), view_meta.logit(*_of(held, meta), n_held)]
-    slopes = tuple(calibrated(z, unseen) for z in logits)
-    prior = float(np.log((n_good + (unseen == 1).sum()) / (n_bad + (unseen == 0).sum())))
-    return Model(chosen, view_text, view_meta, slopes, prior)
+    prior = float(np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1)))
+    return Model(chosen, view_text, view_meta, prior)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, report: list | None = None) -> DataFrame:
