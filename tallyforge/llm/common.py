@@ -155,14 +155,14 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.append(start[1:], n)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about PIECE_BYTES of text; one longer text is a slice of its own."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `most` bytes of text; one longer text is a slice of its own."""
     for batch in batches:
         sizes = np.cumsum(np.diff(text_bytes(batch.column(column))[1]))
         at = 0
         while at < batch.num_rows:
             done = sizes[at - 1] if at else 0
-            to = int(min(max(np.searchsorted(sizes, done + PIECE_BYTES, "right"), at + 1), at + PIECE_ROWS))
+            to = int(min(max(np.searchsorted(sizes, done + most, "right"), at + 1), at + PIECE_ROWS))
             yield batch.slice(at, to - at)
             at = to
 

@@ -28,7 +28,7 @@ from tallyforge.llm.common import LOWER, NOT_ALNUM, SYMBOL, mix, pieces, text_by
 DIMS_BITS, META_BITS = 17, 12
 #: Labelled documents to learn from. Of unlabelled ones all take part.
 MAX_LABELLED = 20_000
-#: Rounds, and how sure a view must be of a pseudo-label; weight of a pseudo-labelled document.
+#: Rounds, and how sure a view must be of a pseudo-label; weight of a pseudo-labelled document, less for the kind of which there are too many.
 ROUNDS, SURE, PSEUDO = 2, 0.95, 0.5
 #: A bucket is chosen if its likelihood ratio statistic is that large (about one in ten thousand by chance), the best ones up to a number.
 LEAST_G, MOST_CHOSEN = 15.0, 4_096
@@ -144,24 +144,33 @@ def _descended(view: View, steps: int, labelled: tuple, more=None) -> View:
     return View(w, base)
 
 
-def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, shift) of the log odds on documents not learned from, held to (1, 0) by a ridge; the slope is 2 at most, so a few easy documents make no view sure."""
-    x, at, ridge = np.stack([z, np.ones(len(z))]), np.array([1.0, 0.0]), np.diag([10.0, 1.0])
+def calibrated(z: np.ndarray, y: np.ndarray, slope: float = 1.0) -> tuple[float, float]:
+    """(slope, shift) of the log odds on documents not learned from, held to (slope, 0) by a ridge; 2 at most, so a few easy documents make no view sure."""
+    held, ridge = np.array([slope, 0.0]), np.diag([2.0, 1.0])
+    x, at = np.stack([z, np.ones(len(z))]), held
     for _ in range(30):
         p = probability(at @ x)
-        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + ridge, x @ (p - y) + ridge @ (at - [1.0, 0.0]))
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + ridge, x @ (p - y) + ridge @ (at - held))
         at = at - step
         if np.abs(step).max() < 1e-6:
             break
     return min(max(float(at[0]), 0.0), 2.0), float(at[1])
 
 
-def _aligned(view: View, row: np.ndarray, place: np.ndarray, y: np.ndarray) -> View:
+def _aligned(view: View, row: np.ndarray, place: np.ndarray, y: np.ndarray, slope: float = 1.0) -> View:
     """The view with calibrated log odds."""
-    slope, shift = calibrated(view.logit(row, place, len(y)), y)
+    slope, shift = calibrated(view.logit(row, place, len(y)), y, slope)
     return View(slope * view.weights, slope * view.base + shift)
 
 
+def _in_proportion(bad: float, good: float, n_bad: float, n_good: float) -> tuple[float, float]:
+    """Weights of surely bad and surely good documents, so that together they are as many to one as labelled ones."""
+    ratio = n_good / n_bad
+    if not bad or not good:
+        return 0.0, 0.0
+    return PSEUDO * min(1.0, good / (ratio * bad)), PSEUDO * min(1.0, ratio * bad / good)
+
+
 def _sums(rows: DataFrame, state: dict, size: int, add) -> np.ndarray:
     """A vector of sums over compact rows: add(state, chosen, record, rows, vector) in the tasks, then by place."""
     sent = rows.sparkSession.sparkContext.broadcast(state)
@@ -199,7 +208,7 @@ def _slope(state: dict, text: tuple, meta: tuple, n: int, total: np.ndarray) ->
     """The text view's slope over the rows of which the record's view is sure."""
     m = (len(total) - 2) // 2
     bad, good = _sure(probability(state["meta"].logit(*meta, n)))
-    weight = PSEUDO * (bad | good)
+    weight = state["weights"][0] * bad + state["weights"][1] * good
     error = weight * (probability(state["text"].logit(*text, n)) - good)
     total[:m] += np.bincount(text[1], weights=error[text[0]], minlength=m)
     total[m : 2 * m] += np.bincount(text[1], weights=weight[text[0]], minlength=m)
@@ -273,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
     start = ~held
     own_meta, y_start = _of(start, meta), y[start]
     meta_good, meta_bad = (np.bincount(own_meta[1][y_start[own_meta[0]] == k], minlength=size).astype(float) for k in (1, 0))
-    view_text, view_meta = None, _aligned(odds(meta_good, meta_bad, n_good, n_bad), *_of(held, meta), y[held])
+    view_text, view_meta = None, _aligned(odds(meta_good, meta_bad, n_good, n_bad), *_of(held, meta), y[held], 0.0)
     of_id = f"_doc {rows.schema['_doc'].dataType.simpleString()}"
 
     def unlabelled(compacted: DataFrame) -> DataFrame:
@@ -284,11 +293,12 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
     for k in range(max(rounds, 1)):
         good, bad, sure_good, sure_bad = text_good, text_bad, n_good, n_bad
         # the record's view teaches the text view: first which buckets count, from the whole texts it is sure of
-        of_meta = _sums(records, {"teacher": view_meta, "taught": "text"}, 2 + 3, _by_label)[2:4].sum() if rounds else 0
-        if of_meta:
+        of_meta = _sums(records, {"teacher": view_meta, "taught": "text"}, 2 + 3, _by_label)[2:4] if rounds else np.zeros(2)
+        w_bad, w_good = _in_proportion(*of_meta, n_bad, n_good)
+        if w_bad:
             more = _sums(unlabelled(compact(rows, None, ["_doc"], of_id, view_meta)), {"teacher": view_meta, "taught": "text"}, 2 * dims + 3, _by_label)
-            good, bad = good + PSEUDO * more[dims : 2 * dims], bad + PSEUDO * more[:dims]
-            sure_bad, sure_good = sure_bad + PSEUDO * more[2 * dims], sure_good + PSEUDO * more[2 * dims + 1]
+            good, bad = good + w_good * more[dims : 2 * dims], bad + w_bad * more[:dims]
+            sure_bad, sure_good = sure_bad + w_bad * of_meta[0], sure_good + w_good * of_meta[1]
         now = _chosen(good, bad, sure_good, sure_bad)
         if best is None or not np.array_equal(now, best):
             best, chosen = now, np.full(dims, -1, np.int64)
@@ -302,20 +312,22 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
         if not rounds:
             break
         made = made or written(unlabelled(compact(rows, chosen, ["_doc"], of_id)))  # every unlabelled document, by its chosen buckets
-        if of_meta:
+        if w_bad:
             m, teacher = len(best), view_meta
 
-            def shared(view: View, made=made, m=m, teacher=teacher) -> tuple:
-                s = _sums(made, {"text": view, "meta": teacher}, 2 * m + 2, _slope)
+            def shared(view: View, made=made, m=m, teacher=teacher, weights=(w_bad, w_good)) -> tuple:
+                s = _sums(made, {"text": view, "meta": teacher, "weights": weights}, 2 * m + 2, _slope)
                 return s[:m], s[m : 2 * m], s[2 * m], s[2 * m + 1]
 
             view_text = _aligned(_descended(view_text, SHARED_STEPS, labelled, shared), *_of(held, short), y[held])
         # and the text view the record's
         more = _sums(made, {"teacher": view_text, "taught": "meta"}, 2 * size + 3, _by_label)
-        view_meta = odds(meta_good + PSEUDO * more[size : 2 * size], meta_bad + PSEUDO * more[:size], n_good + PSEUDO * more[2 * size + 1], n_bad + PSEUDO * more[2 * size])
-        view_meta = _aligned(view_meta, *_of(held, meta), y[held])
+        of_text = more[2 * size : 2 * size + 2]
+        w_bad, w_good = _in_proportion(*of_text, n_bad, n_good)
+        view_meta = odds(meta_good + w_good * more[size : 2 * size], meta_bad + w_bad * more[:size], n_good + w_good * of_text[1], n_bad + w_bad * of_text[0])
+        view_meta = _aligned(view_meta, *_of(held, meta), y[held], 0.0)
         if report is not None:
-            report.append({"judged": int(more[-1]), "text_sure": int(more[2 * size : 2 * size + 2].sum()), "meta_sure": int(of_meta)})
+            report.append({"judged": int(more[-1]), "text_sure": int(of_text.sum()), "meta_sure": int(of_meta.sum())})
     prior = float(np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1)))
     return Model(chosen, view_text, view_meta, prior)
 

@@ -5,7 +5,13 @@ each length (9, then 18 for 35 words) every window still in the race is stood fo
 sub-window of that length, a choice that depends on the window's words alone, so only about one
 position in fourteen is counted. Windows whose sub-window occurs once leave; the others go on at
 twice the length, and at last whole windows are compared. Which sub-windows repeat is handed to the
-next level as a Bloom filter of bounded size: a false hit costs a comparison, never a wrong result.
+next level as a Bloom filter of bounded size: a false hit costs a comparison, never a wrong result, so
+where more repeat than it can tell apart the levels leave out less and at most all windows are compared.
+
+A passage in a large share of the documents would send them all to one task. Sub-windows met in more
+pieces of text than a fair share are therefore known beforehand, at most a few for each task; windows
+behind them are counted by their whole content, in the tasks before they are exchanged, and compared
+apart from each other.
 """
 
 from __future__ import annotations
@@ -25,14 +31,19 @@ from tallyforge.llm.common import SPACE, fits, mix, pieces, runs, sliding, text_
 
 #: Bits of a level's filter: 16 for each repeated sub-window, within these powers of two (32 MB at most).
 LEAST_BITS, MOST_BITS = 20, 28
-#: Windows a reducer holds at once, unless a single sub-window has more.
+#: Windows a reducer holds at once, unless a single sub-window, none of the frequent ones, has more.
 HELD_WINDOWS = 1_000_000
+#: A sub-window or window is frequent if it is in more pieces than this part of a task's share, and in so many at least.
+SHARE, LEAST_PIECES = 0.25, 256
 
 
 class Level(NamedTuple):
+    """Which sub-windows of a length repeat, as a filter, and which of them are frequent, in order."""
+
     length: int
     bits: int
     filter: np.ndarray
+    frequent: np.ndarray
 
 
 def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +57,12 @@ def _known(level: Level, hashes: np.ndarray) -> np.ndarray:
     return (at(a) & at(b)).astype(bool)
 
 
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
 def lengths(size: int, least: int = 5) -> list[int]:
     """Ever doubled lengths below size: 35 gives 9 and 18."""
     out = []
@@ -68,12 +85,15 @@ def _racing(text: pa.Array, size: int, levels: list[Level]):
     return w, starts, stand
 
 
-def _repeated(docs: DataFrame, size: int, length: int, sent: Broadcast) -> DataFrame:
-    """Hashes of sub-windows of this length that stand for racing windows at two places at least."""
+def _counted(docs: DataFrame, size: int, length: int, sent: Broadcast) -> DataFrame:
+    """(h, full, n, pieces): sub-windows of this length that stand for racing windows at two places at least, full null;
+    and windows that repeat and whose sub-window of the level before is frequent, h and full being their two hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = sent.value
         for part in pieces(batches):
-            w, starts, _ = _racing(part.column("text"), size, sent.value)
+            w, starts, stand = _racing(part.column("text"), size, levels)
             if not len(starts):
                 continue
             sub = windows(w.hash, length)
@@ -82,20 +102,40 @@ def _repeated(docs: DataFrame, size: int, length: int, sent: Broadcast) -> DataF
             wanted = np.zeros(len(sub) + width - 1, np.uint64)
             wanted[starts + width - 1] = least[starts]
             # a place is chosen if it equals the minimum of a racing window around it
-            chosen = sub[sliding(wanted, width, np.maximum) == sub]
-            values, counts = np.unique(chosen, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(counts, 2).astype(np.int64))], ["h", "n"])
-
-    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-
-
-def _filter(spark: SparkSession, repeated: DataFrame, length: int) -> Level | None:
-    """The level's filter, set bit by bit on the executors; None if nothing repeats."""
-    repeated = written(repeated)
-    n = repeated.count()
+            values, counts = np.unique(sub[sliding(wanted, width, np.maximum) == sub], return_counts=True)
+            none = pa.nulls(len(values), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), none, pa.array(np.minimum(counts, 2).astype(np.int64))], ["h", "full", "n"])
+            if levels and len(levels[-1].frequent):
+                own = starts[_among(stand, levels[-1].frequent)]
+                a, b = _whole(w.hash, size, own)
+                order = np.lexsort((b, a))
+                lo, hi = runs(a[order], b[order])
+                yield pa.RecordBatch.from_arrays([pa.array(a[order][lo].view(np.int64)), pa.array(b[order][lo].view(np.int64)), pa.array(np.minimum(hi - lo, 2))], ["h", "full", "n"])
+
+    found = docs.mapInArrow(run, "h long, full long, n long").groupBy("h", "full")
+    return found.agg(F.sum("n").alias("n"), F.count("*").alias("pieces")).where("n > 1")
+
+
+def _whole(hashes: np.ndarray, size: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the whole windows at these places."""
+    return windows(hashes, size)[starts], windows(hashes, size, base=0xC2B2AE3D27D4EB4F)[starts]
+
+
+def _level(spark: SparkSession, counted: DataFrame, length: int) -> tuple[Level, tuple[np.ndarray, np.ndarray]] | None:
+    """The level, its filter set bit by bit on the executors, and the frequent windows in order; None if nothing repeats."""
+    counted = written(counted)
+    repeated = counted.where("full is null").select("h")
+    n, total = counted.where("full is null").agg(F.count("*"), F.sum("pieces")).first()
     if not n:
         return None
     bits = min(max((16 * n - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    # of those in more than a quarter of a task's share of all pieces there are at most four a task
+    often = max(SHARE * total / int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_PIECES)
+    frequent = counted.where(F.col("pieces") > often).select("h", "full").toArrow()
+    h, full = frequent.column("h").to_numpy().view(np.uint64), frequent.column("full")
+    sub = np.array(full.is_null())
+    order = np.argsort(h[~sub])
+    frequent_windows = h[~sub][order], full.drop_null().to_numpy().view(np.uint64)[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,59 +145,67 @@ def _filter(spark: SparkSession, repeated: DataFrame, length: int) -> Level | No
     set_words = repeated.mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[set_words.column("w").to_numpy()] = set_words.column("b").to_numpy().view(np.uint64)
-    return Level(length, bits, table)
+    return Level(length, bits, table, np.sort(h[sub])), frequent_windows
 
 
 def repeated_ranges(docs: DataFrame, size: int = 35) -> DataFrame:
-    """(key, lo, hi): ranges of words of the row `key` covered by windows that also start elsewhere.
+    """(key, key2, lo, hi): ranges of words of the row with these keys covered by windows that also start elsewhere.
 
-    docs: (key, text). The union of a row's ranges is what matters; they may touch or overlap.
+    docs: (key, key2, text). The union of a row's ranges is what matters; they may touch or overlap.
     """
     spark = docs.sparkSession
     levels: list[Level] = []
-    schema = "sub long, key long, lo long, n int, seen boolean, hashes binary"
-    none = spark.createDataFrame([], "key long, lo long, hi long")
+    frequent = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    schema = "sub long, key long, key2 long, lo long, n int, seen boolean, hashes binary"
     for length in lengths(size):
-        sent = spark.sparkContext.broadcast(levels)
-        level = _filter(spark, _repeated(docs, size, length, sent), length)
-        if level is None:
-            return none
-        levels = [*levels, level]
-    sent = spark.sparkContext.broadcast(levels)
+        found = _level(spark, _counted(docs, size, length, spark.sparkContext.broadcast(levels)), length)
+        if found is None:
+            return spark.createDataFrame([], "key long, key2 long, lo long, hi long")
+        levels, frequent = [*levels, found[0]], found[1]
+    sent = spark.sparkContext.broadcast((levels, frequent))
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each distinct racing window of a piece once: what repeats inside a piece is settled there."""
+        """Each distinct racing window of a piece once: what repeats inside a piece is settled there, and what is known to be frequent."""
+        levels, frequent = sent.value
         for part in pieces(batches):
-            w, starts, stand = _racing(part.column("text"), size, sent.value)
+            w, starts, stand = _racing(part.column("text"), size, levels)
             if not len(starts):
                 continue
             if stand is None:
                 stand = np.zeros(len(starts), np.uint64)
-            full = windows(w.hash, size, base=0xC2B2AE3D27D4EB4F)[starts]
-            keys, row = part.column("key").to_numpy(), np.searchsorted(w.first, starts, "right") - 1
+            also, full = _whole(w.hash, size, starts)
+            row = np.searchsorted(w.first, starts, "right") - 1
+            keys = tuple(part.column(c).to_numpy()[row] for c in ("key", "key2"))
+            # without levels, and behind frequent sub-windows, windows meet by what they are
+            alone = _among(stand, levels[-1].frequent) if levels else np.ones(len(starts), bool)
+            stand = np.where(alone, mix(also), stand)
             order = np.lexsort((full, stand))
             lo, hi = runs(stand[order], full[order])
             many = np.zeros(len(starts), bool)
             many[order] = np.repeat(hi - lo > 1, hi - lo)
             once = np.zeros(len(starts), bool)
             once[order[lo]] = True
+            if len(frequent[0]):
+                at = np.minimum(np.searchsorted(frequent[0], also), len(frequent[0]) - 1)
+                known = (frequent[0][at] == also) & (frequent[1][at] == full)
+                many, once = many | known, once & ~known
             at = starts - w.first[row]
-            # settled ranges go along with n = 0; windows to compare are packed by stretches
-            yield from _packed(keys[row], at, stand, full, many, many, compare=False)
-            yield from _packed(keys[row], at, stand, full, many, once, compare=True)
+            # settled ranges go along with no hashes; windows to compare are packed by stretches
+            yield from _packed(keys, at, stand, full, many, many, compare=False)
+            yield from _packed(keys, at, stand, full, many, once, compare=True)
 
-    def _packed(key, at, stand, full, seen, take, compare: bool) -> Iterator[pa.RecordBatch]:
+    def _packed(keys, at, stand, full, seen, take, compare: bool) -> Iterator[pa.RecordBatch]:
         take = np.flatnonzero(take)
         if not len(take):
             return
-        at, stand, full, seen, key = at[take], stand[take], full[take], seen[take], key[take]
+        at, stand, full, seen, key, key2 = (x[take] for x in (at, stand, full, seen, *keys))
         slope = at - np.arange(len(at))
-        lo, hi = runs(key, slope, stand, seen) if compare else runs(key, slope)
+        lo, hi = runs(key, key2, slope, stand, seen) if compare else runs(key, key2, slope)
         n = (hi - lo).astype(np.int32)
         sub = stand[lo] if compare else mix(key[lo].astype(np.uint64) + at[lo].astype(np.uint64))
         ends = np.append(lo, hi[-1]) * 8 if compare else np.zeros(len(lo) + 1, np.int64)
         blob = pa.Array.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(full)]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(sub.view(np.int64)), pa.array(key[lo]), pa.array(at[lo]), pa.array(n), pa.array(seen[lo] if compare else np.ones(len(lo), bool)), blob], ["sub", "key", "lo", "n", "seen", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array(sub.view(np.int64)), pa.array(key[lo]), pa.array(key2[lo]), pa.array(at[lo]), pa.array(n), pa.array(seen[lo] if compare else np.ones(len(lo), bool)), blob], ["sub", "key", "key2", "lo", "n", "seen", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -165,7 +213,7 @@ def repeated_ranges(docs: DataFrame, size: int = 35) -> DataFrame:
 
         def settle(rows: pa.Table) -> pa.RecordBatch:
             rows = rows.combine_chunks()
-            sub, key, lo, n, seen = (rows.column(c).to_numpy() for c in ("sub", "key", "lo", "n", "seen"))
+            sub, key, key2, lo, n, seen = (rows.column(c).to_numpy() for c in ("sub", "key", "key2", "lo", "n", "seen"))
             blob = rows.column("hashes").cast(pa.large_binary()).combine_chunks()
             size_of = np.array(pc.binary_length(blob)) // 8
             raw, _ = text_bytes_of(blob)
@@ -179,13 +227,11 @@ def repeated_ranges(docs: DataFrame, size: int = 35) -> DataFrame:
             hit = np.zeros(len(of), bool)
             hit[order] = np.repeat((b - a > 1) | any_seen, b - a)
             hit = np.flatnonzero(hit & ~seen[of])  # seen ones are settled already
-            k, start = key[of[hit]], lo[of[hit]] + inner[hit]
-            c, d = runs(k, of[hit], start - np.arange(len(start)))
+            start = lo[of[hit]] + inner[hit]
+            c, d = runs(of[hit], start - np.arange(len(start)))
             done = np.flatnonzero(size_of == 0)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([k[c], key[done]])), pa.array(np.concatenate([start[c], lo[done]])), pa.array(np.concatenate([start[d - 1] + size, lo[done] + n[done] - 1 + size]))],
-                ["key", "lo", "hi"],
-            )
+            both = [pa.array(np.concatenate([k[of[hit]][c], k[done]])) for k in (key, key2)]
+            return pa.RecordBatch.from_arrays([*both, pa.array(np.concatenate([start[c], lo[done]])), pa.array(np.concatenate([start[d - 1] + size, lo[done] + n[done] - 1 + size]))], ["key", "key2", "lo", "hi"])
 
         for batch in batches:
             sub = batch.column("sub").to_numpy()
@@ -200,7 +246,7 @@ def repeated_ranges(docs: DataFrame, size: int = 35) -> DataFrame:
             yield settle(pa.Table.from_batches(held))
 
     offered = docs.mapInArrow(offer, schema)
-    return offered.repartition("sub").sortWithinPartitions("sub").mapInArrow(compare, "key long, lo long, hi long")
+    return offered.repartition("sub").sortWithinPartitions("sub").mapInArrow(compare, "key long, key2 long, lo long, hi long")
 
 
 def text_bytes_of(blob: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -214,14 +260,14 @@ def substring_dedup(docs: DataFrame, size: int = 35) -> DataFrame:
 
     Null, empty and white texts have no words and keep "". Texts shorter than a window keep all.
     Windows are judged on the input: all places of a repeated window lose its words, the first too.
-    Documents are told apart by (doc_id, text); a repeated row's windows start elsewhere as well, so a
+    Documents are told apart by 128 bits of (doc_id, text); a repeated row's windows start elsewhere as well, so a
     row that occurs twice loses all windows, in both. doc_id may be null. Other columns are not looked at.
     """
     rows = text_columns(docs, "doc_id", "text")
-    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    found = repeated_ranges(keyed.select("key", "text"), size)
-    ranges = found.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    joined = keyed.join(ranges.hint("shuffle_hash"), F.col("key") == F.col("_key"), "left").select("doc_id", "text", "ranges")
+    keyed = rows.withColumns({"key": F.xxhash64("doc_id", "text"), "key2": F.xxhash64("text", F.lit("and"), "doc_id")})
+    found = repeated_ranges(keyed.select("key", "key2", "text"), size)
+    ranges = found.groupBy(F.col("key").alias("_key"), F.col("key2").alias("_key2")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    joined = keyed.join(ranges, (F.col("key") == F.col("_key")) & (F.col("key2") == F.col("_key2")), "left").select("doc_id", "text", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):

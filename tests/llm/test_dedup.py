@@ -1,5 +1,6 @@
 """SimHash, substring and line dedup against plain versions."""
 
+import functools
 import hashlib
 
 import numpy as np
@@ -97,6 +98,22 @@ def test_substring_hard_rows(spark):
     assert substring_dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [35, 6])
+def test_substring_with_frequent_passages_in_small_pieces(spark, sf, monkeypatch, size):
+    """Pieces of a few texts, reducers that settle often, and nearly every repeated window a frequent one; a text is longer than a piece."""
+    from tallyforge.llm import common, substring as M
+
+    for name, value in (("pieces", functools.partial(common.pieces, most=3_000)), ("HELD_WINDOWS", 50), ("SHARE", 0.0), ("LEAST_PIECES", 2)):
+        monkeypatch.setattr(M, name, value)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = given_docs(spark, sf)[:120]
+    rows += [(10_000 + i, f"before {i} {passage} after {i} " + " ".join(f"own{i}x{k}" for k in range(30))) for i in range(60)]
+    rows += [(20_000 + i, f"{passage[:90]} " + " ".join(f"pair{i // 2}x{k}" for k in range(50))) for i in range(40)]
+    rows += [(30_000, " ".join(f"long{k % 700}" for k in range(2_000)))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs(spark, rows).repartition(7), size).collect()}
+    assert got == dict(zip([i for i, _ in rows], substring(rows, size)))
+
+
 @SLOW
 @given(st.lists(st.text("ab \n", max_size=60), min_size=1, max_size=6), st.integers(2, 12))
 def test_substring_of_few_words(spark, texts, size):
