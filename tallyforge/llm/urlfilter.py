@@ -1,7 +1,9 @@
 """URL filter: gradient-boosted trees on what a URL looks like, under rules that go first.
 
 Features are lengths, depth, digit ratio, entropy, parameter counts and statistics of the host's suffix.
-The trees are Spark ML's; features are built-in functions, so judging is one pass without Python.
+The trees are Spark ML's; features are built-in functions, so judging is one pass without Python. A labelled
+URL's own label never reaches its features: rates of hosts and suffixes come from the other folds. One fold is
+kept from the trees; unless they rank it better than chance, they have learned nothing and block nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from tallyforge.llm.common import written
 ALLOW, BLOCK = "allow", "block"
 #: (verdict, host and path) of the registered query.
 RULES = [(ALLOW, "com/"), (BLOCK, "example.com/en/"), (ALLOW, "www.example.com/en/"), (BLOCK, "net/es/"), (BLOCK, "net/fr/")]
+#: Folds of labelled urls, by a hash of the url; the first one is kept from the trees.
+FOLDS = 5
 FEATURES = ["url_len", "host_len", "path_len", "query_len", "depth", "labels", "digits", "digit_ratio", "hyphens", "entropy", "params", "has_fragment", "secure", "suffix_count", "suffix_rate", "host_count", "host_rate"]
 
 
@@ -66,46 +70,80 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def _statistics(urls: DataFrame, labelled: DataFrame, key: Column, name: str, prior: float) -> DataFrame:
-    """Per key: how many urls have it, and its smoothed share of blocked labelled ones."""
-    n = urls.groupBy(key.alias(f"_{name}")).agg(F.log1p(F.count("*").cast("double")).alias(f"{name}_count"))
-    rate = labelled.groupBy(key.alias(f"_{name}")).agg(((F.sum("label") + 20 * prior) / (F.count("*") + 20)).alias(f"{name}_rate"))
-    return written(n.join(rate, f"_{name}", "left"))
+def _statistics(urls: DataFrame, taught: DataFrame, name: str, prior: float) -> DataFrame:
+    """Per key: how many urls have it, and its smoothed share of blocked labelled ones, of all and without each fold."""
+    key = f"_{name}"
+    n = urls.groupBy(key).agg(F.log1p(F.count("*").cast("double")).alias(f"{name}_count"))
+    sums = [F.sum(F.when(F.col("fold") != k, x)) for k in range(FOLDS) for x in (F.col("label"), F.lit(1.0))]
+    rate = taught.groupBy(key).agg(F.sum("label").alias("_b"), F.count("*").alias("_n"), F.array(*[F.coalesce(x, F.lit(0.0)) for x in sums]).alias("_s"))
+    smooth = lambda b, n: (b + 20 * prior) / (n + 20)
+    apart = F.array(*[smooth(F.col("_s")[2 * k], F.col("_s")[2 * k + 1]) for k in range(FOLDS)])
+    rate = rate.select(key, smooth(F.col("_b"), F.col("_n")).alias(f"{name}_rate"), apart.alias(f"{name}_apart"))
+    return written(n.join(rate, key, "left"))
 
 
-def judged(urls: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] = (), max_train: int = 20_000, trees: int = 10, depth: int = 3) -> DataFrame:
+def ranking(rows: DataFrame, score: str, label: str = "label") -> tuple[float, float]:
+    """(area under the ROC curve, its standard error if there were nothing to rank by); (0.5, 0) without both labels.
+
+    Scores are counted in 1000 steps, ties are half.
+    """
+    steps = rows.groupBy(F.floor(F.col(score) * 1000).alias("s")).agg(F.sum(label).alias("bad"), F.count("*").alias("n")).orderBy("s").collect()  # 1001 rows at most
+    below = area = 0.0
+    for r in steps:
+        area += r.bad * (below + (r.n - r.bad) / 2)
+        below += r.n - r.bad
+    bad = sum(r.bad for r in steps)
+    if not bad or not below:
+        return 0.5, 0.0
+    return area / (bad * below), ((bad + below + 1) / (12 * bad * below)) ** 0.5
+
+
+def judged(urls: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] = (), max_train: int = 20_000, trees: int = 10, depth: int = 3, report: dict | None = None) -> DataFrame:
     """Every row of urls with host, path, rule, verdict, p_block and the method's own verdict.
 
     urls: (page_id, url). labelled: (url, label), 1 to block. The trees are fitted to at most about max_train
-    labelled urls, those whose hash falls under max_train / (all of them); suffix and host statistics count all
-    urls and labels. Null urls and urls without :// have empty host and path and are judged by their looks.
-    With labels of one kind only, or none, the method says what they say, or allow. A url is blocked at a
-    probability of one half or more. Repeated rows stay. Other columns are not looked at. Empty in, empty out.
+    labelled urls, those whose hash falls under max_train / (all of them), but for one fold of FOLDS; suffix and host
+    statistics count all urls and labels. If on that fold the area under the ROC curve is not two standard errors above
+    one half, or there are too few labels to tell, p_block is the share of labels to block. report: gets auc and chance.
+    Null urls and urls without :// have empty host and path and are judged by their looks, urls of any length whole.
+    With labels of one kind only, or none, the method says what they say, or allow. A url is blocked at a probability
+    of one half or more. Repeated rows stay; null page_ids too. Other columns are not looked at. Empty in, empty out.
     """
     host, path = parts(F.col("url"))
-    at = urls.select("page_id", "url").withColumns({"host": host, "path": path})
-    taught = labelled.select("url", F.col("label").cast("double")).where("label is not null").withColumns({"host": host, "path": path})
+    keyed = lambda df: df.withColumns({"host": host, "path": path}).withColumns({"_suffix": suffix(F.col("host")), "_host": F.col("host")})
+    at = keyed(urls.select("page_id", "url"))
+    fold = F.pmod(F.xxhash64("url", F.lit(5)), F.lit(FOLDS)).cast("int")
+    taught = keyed(labelled.select("url", F.col("label").cast("double")).where("label is not null")).withColumn("fold", fold)
     n, blocked = taught.agg(F.count("*"), F.sum("label")).first()
     prior = (blocked or 0.0) / n if n else 0.0
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
+    score = F.lit(prior)
+    scored = at
+    if 0 < prior < 1:
+        statistics = {name: _statistics(at, taught, name, prior) for name in ("suffix", "host")}
 
-    keys = {"suffix": suffix(F.col("host")), "host": F.col("host")}
-    statistics = {name: _statistics(at, taught, key, name, prior) for name, key in keys.items()} if 0 < prior < 1 else {}
-
-    def featured(rows: DataFrame) -> DataFrame:
-        rows = lexical(rows).withColumns({f"_{name}": key for name, key in keys.items()})
-        for name, known in statistics.items():
-            rows = rows.join(known, f"_{name}", "left").fillna(prior, [f"{name}_rate"]).fillna(0.0, [f"{name}_count"])
-        return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+        def featured(rows: DataFrame, apart: bool) -> DataFrame:
+            rows = lexical(rows)
+            for name, known in statistics.items():
+                rows = rows.join(known, f"_{name}", "left")
+                rate = F.col(f"{name}_apart")[F.col("fold")] if apart else F.col(f"{name}_rate")
+                rows = rows.withColumns({f"{name}_rate": F.coalesce(rate, F.lit(prior)), f"{name}_count": F.coalesce(f"{name}_count", F.lit(0.0))})
+            return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
 
-    if 0 < prior < 1:
         sample = taught.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < 1e6 * max_train / n)
-        model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).fit(featured(sample))
-        scored = model.transform(featured(at)).withColumn("p_block", vector_to_array("probability")[1])
-    else:
-        scored = at.withColumn("p_block", F.lit(prior))
+        sample = written(featured(sample, True).select("features", "label", "fold"))
+        start, kept_out = sample.where("fold > 0"), sample.where("fold = 0")
+        both = start.agg(F.min("label"), F.max("label")).first()
+        auc, chance = 0.5, 0.0
+        if both[0] != both[1]:
+            model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7).fit(start)
+            auc, chance = ranking(model.transform(kept_out).withColumn("p", vector_to_array("probability")[1]), "p")
+        if report is not None:
+            report.update(auc=auc, chance=chance)
+        if chance and auc > 0.5 + 2 * chance:
+            scored, score = model.transform(featured(at, False)), vector_to_array("probability")[1]
     own = F.when(F.col("p_block") >= 0.5, BLOCK).otherwise(ALLOW)
-    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "p_block", own.alias("method_verdict"))
+    return scored.withColumn("p_block", score).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "p_block", own.alias("method_verdict"))
 
 
 def op2_urlfilter(spark, sf_dir: str) -> DataFrame:

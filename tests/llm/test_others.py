@@ -353,6 +353,44 @@ def test_urls(spark):
     assert urlfilter.judged(urls.where("false"), teach).count() == 0
 
 
+def test_labels_that_say_nothing_block_nothing(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    report, blind, seeing = {}, [], {}
+    for salt in range(3):
+        shuffled = pages.select("url", (F.pmod(F.xxhash64("url", F.lit(100 + salt)), F.lit(4)) == 0).cast("int").alias("label"))
+        out = urlfilter.judged(pages, shuffled, report=report)
+        assert (report["auc"] <= 0.5 + 2 * report["chance"]) == (out.where("method_verdict = 'block'").count() == 0)
+        blind.append(report["auc"])
+    assert sum(a > 0.5 + 2 * report["chance"] for a in blind) <= 1
+    telling = pages.select("url", F.col("url").contains("?").cast("int").alias("label"))
+    out = urlfilter.judged(pages, telling, report=seeing)
+    assert seeing["auc"] > 0.95 and out.join(pages, "page_id").where("(method_verdict = 'block') <> contains(url, '?')").count() <= 0.05 * pages.count()
+
+
+def plain_features(url):
+    from math import log2
+
+    u = url or ""
+    host, path, *_ = judge(url)
+    query = re.search(r"\?([^#]*)", u)
+    query = query[1] if query else ""
+    shares = [u.count(c) / len(u) for c in set(u)]
+    digits = sum("0" <= c <= "9" for c in u)
+    return {
+        "url_len": len(u), "host_len": len(host), "path_len": len(path), "query_len": len(query), "depth": path.rstrip("/").count("/"), "labels": host.count(".") + 1 if host else 0, "digits": digits,
+        "digit_ratio": digits / len(u) if u else 0, "hyphens": host.count("-"), "entropy": -sum(p * log2(p) for p in shares), "params": query.count("&") + 1 if query else 0,
+        "has_fragment": "#" in u, "secure": u.startswith("https:"),
+    }
+
+
+def test_url_features(spark):
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    host, path = urlfilter.parts(F.col("url"))
+    for r in urlfilter.lexical(rows.withColumns({"host": host, "path": path})).collect():
+        want = plain_features(r.url)
+        assert {k: r[k] for k in want} == pytest.approx({k: float(v) for k, v in want.items()}), r.url
+
+
 def test_url_query(spark, sf):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = urlfilter.op2_urlfilter(spark, sf).collect()
