@@ -2,9 +2,11 @@
 
 A run of RUN consecutive lines that occurred before, in the order of (doc_id, line), is deleted; the
 earliest occurrence stays. Each document's lines are hashed, and of every RUN lines in a row the smallest
-hash is selected, so that equal runs are sure to select equal fingerprints. Fingerprints that occur at one
-place only are done with. Around the others, before and behind, all runs that the fingerprint stands for
-are compared in full; those that were met before join to the whole stretch to be deleted.
+hash is selected, so that equal runs are sure to select equal fingerprints: about 2 / (RUN + 1) of the
+lines, and only these positions leave the documents, with the hashes of their RUN - 1 neighbours on either
+side. Positions meet by fingerprint, and those that meet nobody are done with. From the others matches
+are extended before and behind, to each run that the fingerprint stands for; runs that were met before
+join to the whole stretch to be deleted.
 """
 
 from __future__ import annotations
@@ -35,25 +37,39 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     lines = F.transform(F.filter(lines, lambda s: s["line"] != ""), lambda s: F.struct(s["at"], F.xxhash64(s["line"]).alias("h")))
     hashed = docs.select(doc.alias("doc"), copy.alias("copy"), lines.alias("lines")).where(F.size("lines") >= run)
 
-    def window(i: Column) -> Column:
-        own = F.slice("lines", i + 1, run)
-        least = F.array_min(F.transform(own, lambda s: F.struct(s["h"], s["at"])))
-        return F.struct(least["h"].alias("fingerprint"), least["at"].alias("place"), F.xxhash64(F.transform(own, lambda s: s["h"])).alias("whole"), i.alias("first"), F.transform(own, lambda s: s["at"]).alias("at"))
-
-    windows = hashed.select("doc", "copy", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - run), window)).alias("w"))
-    windows = written(windows.select("doc", "copy", "w.*"))
-    # selected positions meet by fingerprint; sums come before the shuffle, so a frequent line is a row per task
-    met = windows.groupBy("fingerprint").agg(F.min(F.struct("doc", "place")).alias("lo"), F.max(F.struct("doc", "place")).alias("hi"))
-    repeated = written(met.where("lo <> hi").select("fingerprint"))
-    race = written(windows.join(repeated, "fingerprint", "left_semi"))
-    # extended to whole runs: where each occurs first, if it occurs again
+    n = F.size("lines")
+
+    def least(i: Column) -> Column:
+        """Where the smallest hash of the run from i on is."""
+        return F.array_min(F.transform(F.slice("lines", i + 1, run), lambda s, j: F.struct(s["h"], (i + j).alias("i"))))["i"]
+
+    def position(i: Column) -> Column:
+        from_ = F.greatest(i - run + 1, F.lit(0))
+        around = F.slice("lines", from_ + 1, F.least(i + run, n) - from_)
+        return F.struct(F.element_at("lines", i + 1)["h"].alias("fingerprint"), from_.alias("from"), around.alias("around"))
+
+    selected = F.array_distinct(F.transform(F.sequence(F.lit(0), n - run), least)) if run > 1 else F.sequence(F.lit(0), n - 1)
+    positions = hashed.select("doc", "copy", F.explode(F.transform(selected, position)).alias("p"))
+    positions = written(positions.select("doc", "copy", "p.*"))
+    # sums come before the shuffle, so a frequent line is a row per task
+    repeated = positions.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+    race = positions.join(repeated, "fingerprint", "left_semi")
+
+    def extended(i: Column) -> Column:
+        own = F.slice("around", i + 1, run)
+        h = F.transform(own, lambda s: s["h"])
+        return F.struct((F.col("from") + i).alias("first"), F.array_min(h).alias("least"), F.xxhash64(h).alias("whole"), F.transform(own, lambda s: s["at"]).alias("at"))
+
+    runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("around") - run), extended), lambda r: r["least"] == F.col("fingerprint"))
+    race = written(race.select("doc", "copy", "fingerprint", F.explode(runs).alias("r")).select("doc", "copy", "fingerprint", "r.first", "r.whole", "r.at"))
+    # where each run occurs first, if it occurs again
     spans = race.groupBy("fingerprint", "whole").agg(F.min(F.struct("doc", "first")).alias("earliest"), F.max(F.struct("doc", "first")).alias("latest"))
     spans = written(spans.where("earliest <> latest").drop("latest"))
     later = race.join(spans, ["fingerprint", "whole"]).where(F.struct("doc", "first") > F.col("earliest"))
     gone = later.groupBy(F.col("doc").alias("_doc"), F.col("copy").alias("_copy")).agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("_gone"))
 
     rows = docs.select(F.struct(*others).alias("_row"), "text", doc.alias("_d"), copy.alias("_c"))
-    rows = rows.join(gone.hint("shuffle_hash"), (F.col("_d") == F.col("_doc")) & (F.col("_c") == F.col("_copy")), "left")
+    rows = rows.join(gone, (F.col("_d") == F.col("_doc")) & (F.col("_c") == F.col("_copy")), "left")
     every = F.split("text", "\n")
 
     def without(s: Column) -> Column:

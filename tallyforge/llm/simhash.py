@@ -381,7 +381,7 @@ def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document with the smallest doc_id; all columns.
 
     Five-word shingles, similarity 0.8 or more; rows that repeat the kept doc_id stay together, rows without
-    doc_id are kept.
+    doc_id are kept, null and empty texts are alike and one of them stays. No rows in, no rows out.
     """
     gone = similar(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

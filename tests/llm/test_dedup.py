@@ -140,6 +140,30 @@ def test_lines_hard_rows(spark, run):
     assert deduplicated(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("run", [2, 4, 7])
+def test_lines_leave_at_the_density_of_winnowing(spark, monkeypatch, run):
+    from tallyforge.llm import linededup as L
+
+    rng, tables, keep = np.random.default_rng(8), [], L.written
+    monkeypatch.setattr(L, "written", lambda df: tables.append(keep(df)) or tables[-1])
+    body = [f"line {k}" for k in rng.integers(0, 10**9, 4_000)]
+    rows = [(i, "\n".join(body[i * 200 : i * 200 + 200])) for i in range(20)] + [(99, "\n".join(["own start", *body[930:960], "own end"]))]
+    got = {r.doc_id: r.text for r in deduplicated(docs(spark, rows), run).collect()}
+    want = line_dedup(rows, run)
+    assert got == {i: want[i, t] for i, t in rows} and got[99] == "own start\nown end"
+    n_lines = sum(t.count("\n") + 1 for _, t in rows)
+    assert tables[0].count() <= 1.15 * n_lines * 2 / (run + 1)
+    assert tables[1].count() <= 200  # only what meets goes on
+
+
+@SLOW
+@given(st.lists(st.lists(st.sampled_from("abcd "), max_size=14), min_size=1, max_size=5), st.integers(1, 4))
+def test_lines_of_few_letters(spark, texts, run):
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    want = line_dedup(rows, run)
+    assert {r.doc_id: r.text for r in deduplicated(docs(spark, rows), run).collect()} == {i: want[i, t] for i, t in rows}
+
+
 def test_line_stage_keeps_rows_and_columns(spark, sf):
     rows = docs(spark, HARD)
     out = stage_line_dedup(spark, rows, sf)
