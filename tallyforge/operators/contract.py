@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge import schemas as S
+from tallyforge.sources import load_skills
 
 NOT_JSON = "Output is not JSON."
 NOT_OBJECT = "Result must be a JSON object."
@@ -99,9 +100,10 @@ def materials_digest(materials: DataFrame) -> DataFrame:
     return lines.select("task_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("digest"))
 
 
-def attach_skill(planned: DataFrame, skills: DataFrame, optional: bool = False) -> DataFrame:
-    """planned with skill_text; without `optional` a planned row whose skill is missing goes."""
-    return planned.join(skills.select("skill", F.col("text").alias("skill_text")), "skill", "left" if optional else "inner")
+def attach_skill(planned: DataFrame, skills: DataFrame, optional: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(attached, rejected): planned with skill_text, and planned rows whose skill is missing, with a reason; none if optional."""
+    found, rejected = load_skills(planned, skills, optional)
+    return found.withColumnRenamed("text", "skill_text"), rejected
 
 
 RULES = (
@@ -111,8 +113,11 @@ RULES = (
 
 
 def assemble_prompts(planned: DataFrame, materials: DataFrame, skills: DataFrame, prior: DataFrame) -> DataFrame:
-    """(task_id, plan_pos, agent, prompt) for batch inference; prior: (task_id, plan_pos, context)."""
-    rows = attach_skill(planned, skills).join(materials_digest(materials), "task_id", "left").join(prior, ["task_id", "plan_pos"], "left")
+    """(task_id, plan_pos, agent, prompt) for batch inference; prior: (task_id, plan_pos, context).
+
+    A planned row whose skill is missing has no prompt; attach_skill says which these are.
+    """
+    rows = attach_skill(planned, skills)[0].join(materials_digest(materials), "task_id", "left").join(prior, ["task_id", "plan_pos"], "left")
     field = lambda name, c: F.concat(F.lit(name), F.coalesce(c, F.lit("")))
     prompt = F.concat_ws(
         "\n",

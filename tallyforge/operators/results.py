@@ -70,6 +70,18 @@ def final_status(planned: DataFrame, results: DataFrame, materials: DataFrame |
     return rows.select("task_id", status.when(F.col("_missing"), "UNCERTAINTY").otherwise("ACCEPTED").alias("status"))
 
 
+def task_status(tasks: DataFrame, planned: DataFrame, results: DataFrame, materials: DataFrame) -> DataFrame:
+    """(task_id, status) of every task, planned or not.
+
+    Blank assignment or no material: BLOCK. A task that planning rejects for another reason has no check that could
+    accept it: UNCERTAINTY. Else what final_status says.
+    """
+    there = materials.select("task_id").distinct().withColumn("_there", F.lit(True))
+    rows = tasks.select("task_id", "tz").join(there, "task_id", "left").join(final_status(planned, results), "task_id", "left")
+    blocked = is_blank(F.col("tz")) | F.col("_there").isNull()
+    return rows.select("task_id", F.when(blocked, "BLOCK").otherwise(F.coalesce("status", F.lit("UNCERTAINTY"))).alias("status"))
+
+
 def run_summary(planned: DataFrame, results: DataFrame) -> DataFrame:
     """Per task, in result order, duplicates kept: completed_agents, blocking_agents and results as arrays."""
     kept, _ = reject_unplanned(results, planned)

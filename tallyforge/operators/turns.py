@@ -29,9 +29,10 @@ def reassemble_turns(messages: DataFrame) -> DataFrame:
     """(thread_id, turn_id, text, completed, turn_status, turn_error, first_ts, last_ts), one row per turn.
 
     The text is all deltas in order, an empty one too. A completed agent message counts only if it is not empty
-    and nothing came before it. Messages after the turn's end are ignored.
+    and nothing came before it. Messages after the turn's end are ignored. Messages without ids belong to the turn
+    that their connection was in.
     """
-    rows = cutoff_at_completion(messages)
+    rows = cutoff_at_completion(fill_ids(messages) if "connection" in messages.columns else messages)
     is_delta = (F.col("method") == "item/agentMessage/delta") & F.col("delta").isNotNull()
     is_item = (F.col("method") == "item/completed") & (F.col("item_type") == "agentMessage") & (F.col("item_text") != "")
     part = F.when(is_delta, F.col("delta")).when(is_item, F.col("item_text"))

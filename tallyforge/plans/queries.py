@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge import functions as fn
@@ -126,9 +126,13 @@ A1_SQL = """ select p.task_id, case when bool_or(r.status = 'ERROR') then 'ERROR
  from planned p left join results r on r.task_id = p.task_id and r.agent = p.agent group by p.task_id"""
 
 
-@query("a1_final_status", WITH_RESULTS + A1_SQL)
+@query(
+    "a1_final_status",
+    WITH_RESULTS + f""", s as ({A1_SQL}) select t.task_id, case when trim(t.tz) = '' or t.task_id not in (select task_id from materials) then 'BLOCK' else coalesce(s.status, 'UNCERTAINTY') end as status
+ from tasks t left join s using (task_id)""",
+)
 def a1(t: Tables) -> DataFrame:
-    return results.final_status(planning.plan_checks(t.tasks, t.materials), t.results)
+    return results.task_status(t.tasks, planning.plan_checks(t.tasks, t.materials), t.results, t.materials)
 
 
 @query(
@@ -216,13 +220,12 @@ def c3(t: Tables) -> DataFrame:
 
 
 def _skills(t: Tables) -> DataFrame:
-    """A text for each skill, from the documents' first characters by source number."""
-    rows = t.documents.where("doc_id < 4").select("doc_id", F.substring("text", 1, 40).alias("text"))
-    names = [c[2] for c in S.CHECKS]
-    return rows.withColumn("skill", F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") + 1).cast("int"))).select("skill", "text")
+    """A whole text for each skill: of all documents whose doc_id leaves the skill's number, that of the smallest doc_id."""
+    names = F.array(*[F.lit(c[2]) for c in S.CHECKS])
+    return t.documents.groupBy((F.col("doc_id") % len(S.CHECKS)).alias("k")).agg(F.min_by("text", "doc_id").alias("text")).select(F.element_at(names, (F.col("k") + 1).cast("int")).alias("skill"), "text")
 
 
-_SKILLS = f", skills as (select substr(text, 1, 40) as skill_text, ['{"', '".join(c[2] for c in S.CHECKS)}'][doc_id + 1] as skill from documents where doc_id < 4)"
+_SKILLS = f", skills as (select arg_min(text, doc_id) as skill_text, ['{"', '".join(c[2] for c in S.CHECKS)}'][doc_id % {len(S.CHECKS)} + 1] as skill from documents group by all)"
 _DIGEST = ", digest as (select task_id, string_agg('- ' || id || ': ' || name || ' [' || kind || '] URI=' || coalesce(uri, 'n/a'), chr(10) order by pos) as digest from materials group by task_id)"
 
 
@@ -231,16 +234,20 @@ def a5(t: Tables) -> DataFrame:
     return contract.materials_digest(t.materials)
 
 
-@query("src3_skill_corpus", with_("tasks") + _SKILLS + " select skill, md5(skill_text || chr(10)) as text_md5 from skills")
+@query("src3_skill_corpus", "select source as skill, md5(arg_min(text, doc_id) || chr(10)) as text_md5 from documents where source is not null group by source")
 def src3(t: Tables) -> DataFrame:
+    """A folder for each source of documents, with the whole text of its first one."""
     path = sources.shared_path(t.spark, "skills")
-    _skills(t).repartition("skill").write.partitionBy("skill").text(path)
+    texts = t.documents.where("source is not null").groupBy(F.col("source").alias("skill")).agg(F.min_by("text", "doc_id").alias("text"))
+    texts.repartition("skill").write.partitionBy("skill").text(path)
     return sources.skill_corpus(t.spark, path, "part-*").select("skill", F.md5("text").alias("text_md5"))
 
 
-@query("j5_skill_join", PLANNED + _SKILLS + " select p.task_id, p.plan_pos, s.skill, s.skill_text from planned p join skills s using (skill)")
+@query("j5_skill_join", PLANNED + _SKILLS + " select p.task_id, p.plan_pos, s.skill, md5(s.skill_text) as text_md5 from planned p left join skills s using (skill)")
 def j5(t: Tables) -> DataFrame:
-    return contract.attach_skill(planning.plan_checks(t.tasks, t.materials), _skills(t)).select("task_id", "plan_pos", "skill", "skill_text")
+    found, missing = contract.attach_skill(planning.plan_checks(t.tasks, t.materials), _skills(t))
+    rows = found.unionByName(missing.drop("reason"), allowMissingColumns=True)
+    return rows.select("task_id", "plan_pos", "skill", F.md5("skill_text").alias("text_md5"))
 
 
 _CONTEXT = """, ok as (select task_id, pos, status <> 'ERROR' as ok, task_id || ':' || pos || ':' || status as json from results),
@@ -262,7 +269,7 @@ def w2(t: Tables) -> DataFrame:
     "c4_prompt_assembly",
     WITH_RESULTS + _SKILLS + _DIGEST + _CONTEXT + f""" select p.task_id, p.plan_pos, sha256(concat_ws(chr(10), 'Agent: ' || p.agent, 'Skill: ' || p.skill, 'Purpose: ' || p.purpose, 'Task: ' || p.task_id, 'Assignment: ' || p.tz,
  'Materials:', coalesce(d.digest, '- NONE'), 'Earlier results:', coalesce(c.context, 'NONE'), 'Instructions:', s.skill_text, '{contract.RULES}')) as prompt_sha
- from planned p join skills s using (skill) left join digest d using (task_id) left join context c on c.task_id = p.task_id and c.pos = p.plan_pos + 1""",
+ from planned p left join skills s using (skill) left join digest d using (task_id) left join context c on c.task_id = p.task_id and c.pos = p.plan_pos + 1""",
 )
 def c4(t: Tables) -> DataFrame:
     prior = _prior(t).select("task_id", (F.col("pos") - 1).cast("int").alias("plan_pos"), "context")
@@ -421,7 +428,11 @@ _TURNS = """, d as (select thread_id, turn_id, seq, text, method, turn_status, m
 
 @query("st1_turn_reassembly", with_("messages") + _TURNS + " select thread_id, turn_id, md5(text) as text_md5, completed, turn_status from turns")
 def st1(t: Tables) -> DataFrame:
-    return turns.reassemble_turns(_messages(t)).select("thread_id", "turn_id", F.md5("text").alias("text_md5"), "completed", "turn_status")
+    # some messages after a connection's first one lack their ids
+    lacking = F.row_number().over(Window.partitionBy("connection").orderBy("seq")) % 3 == 2
+    sent = _messages(t).withColumn("_lacking", lacking)
+    sent = sent.withColumns({c: F.when(~F.col("_lacking"), F.col(c)) for c in turns.TURN}).drop("_lacking")
+    return turns.reassemble_turns(sent).select("thread_id", "turn_id", F.md5("text").alias("text_md5"), "completed", "turn_status")
 
 
 @query("w4_turn_cutoff", with_("messages") + " select thread_id, seq from messages")

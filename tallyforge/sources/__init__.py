@@ -14,9 +14,11 @@ MESSAGE = "method string, params struct<threadId:string, turnId:string, delta:st
 
 
 def shared_top(spark: SparkSession) -> str:
-    """The folder that all executors see, from spark.checkpoint.dir; one is made here only where that is unset."""
+    """The folder that all executors see, from spark.checkpoint.dir; where that is unset, a local master gets one of its own."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         top = spark.sparkContext.getCheckpointDir()
     return top
@@ -34,10 +36,14 @@ def skill_corpus(spark: SparkSession, path: str, file: str = "SKILL.md") -> Data
     return rows.select(F.regexp_replace(folder, "^skill=", "").alias("skill"), F.col("value").alias("text")).where(safe_skill_name(F.col("skill")))
 
 
-def load_skills(wanted: DataFrame, skills: DataFrame, optional: bool = False) -> DataFrame:
-    """wanted (skill) with text. Unsafe names are rejected; a missing skill is null if optional, else it goes."""
-    safe = wanted.where(safe_skill_name(F.col("skill")))
-    return safe.join(skills, "skill", "left" if optional else "inner")
+def load_skills(wanted: DataFrame, skills: DataFrame, optional: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(found, rejected) of wanted (skill): found has the text, rejected a reason. If optional, a missing skill is found with a null text."""
+    safe = F.coalesce(safe_skill_name(F.col("skill")), F.lit(False))
+    rows = wanted.join(skills.select("skill", "text").withColumn("_there", F.lit(True)), "skill", "left")
+    missing = F.lit(False) if optional else F.col("_there").isNull()
+    reason = F.when(~safe, F.concat(F.lit("Invalid skill name: "), F.coalesce("skill", F.lit("")))).when(missing, F.concat(F.lit("Skill not found: "), "skill"))
+    rows = rows.withColumn("reason", reason).drop("_there")
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").drop("text")
 
 
 def parse_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

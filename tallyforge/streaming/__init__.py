@@ -21,7 +21,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class TurnProcessor(StatefulProcessor):
-    """Collects a turn's parts; gives the turn once, when it completes or when its time is over."""
+    """Collects a turn's parts; gives the turn once, when it completes or when its time is over, and forgets it then."""
 
     def __init__(self, seconds: int) -> None:
         self.seconds = seconds
@@ -29,21 +29,20 @@ class TurnProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.parts = handle.getListState("parts", "seq long, delta boolean, part string")
-        self.state = handle.getValueState("state", "done boolean")
+        self.state = handle.getValueState("state", "done boolean, deadline long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self.state.exists() and self.state.get()[0]:
             return
-        if not self.state.exists():
-            self.state.update((False,))
-            first = True
-        else:
-            first = False
         batch = pd.concat(list(rows)).sort_values("seq")
-        if first:
-            self.handle.registerTimer(int(batch["ts"].min().timestamp() * 1000) + self.seconds * 1000)
-        new = []
+        if not self.state.exists():
+            self.state.update((False, int(batch["ts"].min().timestamp() * 1000) + self.seconds * 1000))
+            self.handle.registerTimer(self.state.get()[1])
+        deadline, new = self.state.get()[1], []
         for r in batch.itertuples():
+            if r.ts.timestamp() * 1000 > deadline:
+                yield self._end(key, new, None, None, True)
+                return
             if r.method == "item/agentMessage/delta" and isinstance(r.delta, str):
                 new.append((int(r.seq), True, r.delta))
             elif r.method == "item/completed" and r.item_type == "agentMessage" and isinstance(r.item_text, str) and r.item_text:
@@ -55,14 +54,20 @@ class TurnProcessor(StatefulProcessor):
             self.parts.appendList(new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and not self.state.get()[0]:
+        if not self.state.exists():
+            return
+        if self.state.get()[0]:
+            self.state.clear()
+        else:
+            # known as ended for as long again, so that what comes late starts no other turn
+            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.seconds * 1000)
             yield self._end(key, [], None, None, True)
 
     def _end(self, key, new, status, error, timed_out) -> pd.DataFrame:
         parts = sorted([*self.parts.get(), *new]) if self.parts.exists() else sorted(new)
         text = "".join(p[2] for i, p in enumerate(parts) if p[1] or i == 0)
         self.parts.clear()
-        self.state.update((True,))
+        self.state.update((True, self.state.get()[1]))
         clean = lambda x: x if isinstance(x, str) else None
         return pd.DataFrame({"thread_id": [key[0]], "turn_id": [key[1]], "text": [text], "turn_status": [clean(status)], "turn_error": [clean(error)], "timed_out": [timed_out]})
 
@@ -78,17 +83,18 @@ def stream_turns(messages: DataFrame, seconds: int = S.TURN_TIMEOUT_S, slack: st
 
 
 class CooldownProcessor(StatefulProcessor):
-    """Remembers a key's last accepted action."""
+    """Remembers a key's last accepted action for as long as it counts."""
 
     def __init__(self, key: str, ts: str, seconds: int) -> None:
         self.key, self.ts, self.seconds = key, ts, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "micros long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values([self.ts, "id"])
-        last = self.last.get()[0] if self.last.exists() else None
+        last = before = self.last.get()[0] if self.last.exists() else None
         accepted, remaining = [], []
         for t in batch[self.ts]:
             at = int(t.value // 1000)
@@ -98,21 +104,33 @@ class CooldownProcessor(StatefulProcessor):
             if wait <= 0:
                 last = at
         self.last.update((last,))
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(self._over(before))
+            self.handle.registerTimer(self._over(last))
         yield pd.DataFrame({self.key: batch[self.key], "id": batch["id"], "accepted": accepted, "remaining": remaining})
 
+    def _over(self, micros: int) -> int:
+        return micros // 1000 + self.seconds * 1000 + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self._over(self.last.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def stream_cooldown(actions: DataFrame, key: str, ts: str, seconds: int = S.COOLDOWN_S) -> DataFrame:
+def stream_cooldown(actions: DataFrame, key: str, ts: str, seconds: int = S.COOLDOWN_S, slack: str = "1 minute") -> DataFrame:
     """(key, id, accepted, remaining) of a stream of actions (key, ts, id), each key's in order of time."""
     use_rocksdb(actions.sparkSession)
     schema = actions.select(key, "id").schema.add("accepted", "boolean").add("remaining", "long")
-    return actions.groupBy(key).transformWithStateInPandas(statefulProcessor=CooldownProcessor(key, ts, seconds), outputStructType=schema, outputMode="Update", timeMode="None")
+    return actions.withWatermark(ts, slack).groupBy(key).transformWithStateInPandas(statefulProcessor=CooldownProcessor(key, ts, seconds), outputStructType=schema, outputMode="Update", timeMode="EventTime")
 
 
 class LeaseProcessor(StatefulProcessor):
-    """Knows a job's last state; says what becomes of it when its lease runs out."""
+    """Knows a job's last state until its lease would run out; says what becomes of it if it still runs then."""
 
     def __init__(self, minutes: int) -> None:
         self.minutes = minutes
@@ -122,16 +140,25 @@ class LeaseProcessor(StatefulProcessor):
         self.job = handle.getValueState("job", "locked long, attempts long, most long, running boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(rows)).sort_values("locked_at").iloc[-1]
+        last = pd.concat(list(rows)).sort_values("locked_at", kind="stable").iloc[-1]
         locked = int(last["locked_at"].timestamp() * 1000)
-        self.job.update((locked, int(last["attempts"]), int(last["max_attempts"]), last["status"] == "RUNNING"))
+        if self.job.exists():
+            before = self.job.get()[0]
+            if before > locked:  # an older state that came late
+                return iter(())
+            self.handle.deleteTimer(before + self.minutes * 60_000)
+        self.job.update((locked, int(last["attempts"]), int(last["max_attempts"]), bool(last["status"] == "RUNNING")))
         self.handle.registerTimer(locked + self.minutes * 60_000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.job.exists():
+            return
         locked, attempts, most, running = self.job.get()
-        if running and expiredTimerInfo.getExpiryTimeInMs() >= locked + self.minutes * 60_000:
-            self.job.clear()
+        if expiredTimerInfo.getExpiryTimeInMs() < locked + self.minutes * 60_000:
+            return
+        self.job.clear()  # whatever is older comes behind the watermark and is not let in
+        if running:
             yield pd.DataFrame({"id": [key[0]], "next_status": ["FAILED" if attempts >= most else "QUEUED"]})
 
     def close(self) -> None:

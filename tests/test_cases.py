@@ -159,7 +159,11 @@ def test_files_and_skills(spark, tmp_path):
     assert [tuple(r) for r in sources.skill_corpus(spark, str(tmp_path)).collect()] == [("demo", "text")]
     wanted = spark.createDataFrame([("demo",), ("../secret",), ("none",)], "skill string")
     corpus = sources.skill_corpus(spark, str(tmp_path))
-    assert sources.load_skills(wanted, corpus).count() == 1 and sources.load_skills(wanted, corpus, optional=True).count() == 2
+    found, rejected = sources.load_skills(wanted, corpus)
+    assert [r.skill for r in found.collect()] == ["demo"]
+    assert {r.skill: r.reason for r in rejected.collect()} == {"../secret": "Invalid skill name: ../secret", "none": "Skill not found: none"}
+    found, rejected = sources.load_skills(wanted, corpus, optional=True)
+    assert {r.skill: r.text for r in found.collect()} == {"demo": "text", "none": None} and rejected.count() == 1
     read = {r.path.rsplit("/", 1)[-1]: r.content for r in guard.read_files(spark, str(tmp_path)).collect()}
     assert read["bad.bin"] is None and read["SKILL.md"] == "text"
 
@@ -190,3 +194,25 @@ def test_trace_and_norms(spark):
     cites = spark.createDataFrame([(1, "n", 5), (2, "n", 10), (3, "n", 25), (4, "m", 9)], "citation_id long, norm string, cited_on int")
     got = {r.citation_id: (r.edition, r.status) for r in trace.normative_asof(cites, clauses).collect()}
     assert got == {1: (None, "UNCERTAINTY"), 2: (1, "HISTORICAL"), 3: (2, "CURRENT"), 4: (None, "UNCERTAINTY")}
+
+
+def test_rejected_tasks_have_a_status(spark):
+    tasks = spark.createDataFrame([("t", "tz", ["report"]), ("u", " ", ["report"]), ("v", "tz", ["report"]), ("w", "tz", ["nonsense"]), ("x", "tz", None)], "task_id string, tz string, requested_checks array<string>")
+    materials = spark.createDataFrame([(i, 0, "m", "k", "n", None) for i in "tuwx"], S.MATERIALS)
+    planned = planning.plan_checks(tasks, materials)
+    accepted = spark.createDataFrame([("t", 0, a, "ACCEPTED", [], [], None) for a in ("report-audit-agent", "final-audit-agent")], S.RESULTS)
+    got = {r.task_id: r.status for r in results.task_status(tasks, planned, accepted, materials).collect()}
+    assert got == {"t": "ACCEPTED", "u": "BLOCK", "v": "BLOCK", "w": "UNCERTAINTY", "x": "UNCERTAINTY"}
+
+
+def test_missing_skills_are_rejected_with_a_reason(spark):
+    plan = spark.createDataFrame([("t", 0, "a", "known"), ("t", 1, "b", "gone")], "task_id string, plan_pos int, agent string, skill string")
+    found, rejected = contract.attach_skill(plan, spark.createDataFrame([("known", "text")], "skill string, text string"))
+    assert [(r.plan_pos, r.skill_text) for r in found.collect()] == [(0, "text")]
+    assert [(r.plan_pos, r.reason) for r in rejected.collect()] == [(1, "Skill not found: gone")]
+    assert contract.attach_skill(plan, spark.createDataFrame([], "skill string, text string"), optional=True)[0].count() == 2
+
+
+def test_messages_without_ids_belong_to_the_open_turn(spark):
+    rows = [("c", 0, None, "item/agentMessage/delta", "th", "tu", "a", None, None, None, None), ("c", 1, None, "item/agentMessage/delta", None, None, "b", None, None, None, None), ("c", 2, None, "turn/completed", None, None, None, None, None, "completed", None)]
+    assert [(r.thread_id, r.turn_id, r.text, r.completed) for r in turns.reassemble_turns(spark.createDataFrame(rows, S.MESSAGES)).collect()] == [("th", "tu", "ab", True)]
