@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.sources import shared_path
@@ -209,3 +209,48 @@ def _followed(found: DataFrame, up: DataFrame) -> DataFrame:
     step = up.select(F.col("node").alias("component"), F.col("component").alias("_to"))
     to = F.coalesce("_to", "component")
     return found.drop("moved").join(step, "component", "left").select("node", to.alias("component"), (to != F.col("component")).alias("moved"))
+
+
+#: A key is frequent if it has more than this part of a task's share of the rows, and so many at least.
+SHARE, LEAST_ROWS = 0.25, 256
+
+
+def joined(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """rows inner-joined with the written table known (keys, n, others): a row for each key, n of rows at most have it.
+
+    Of keys that more than a quarter of a task's share of all n have, there are at most four a task. They are broadcast
+    and their rows stay where they are; all others meet by an exchange, in which no key is frequent.
+    """
+    total = known.agg(F.sum("n")).first()[0] or 0
+    often = max(SHARE * total / int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_ROWS)
+    frequent, others = known.where(F.col("n") > often), known.where(F.col("n") <= often)
+    here = rows.join(F.broadcast(frequent), keys)
+    there = rows.join(F.broadcast(frequent.select(*keys)), keys, "left_anti").join(others, keys)
+    return here.unionByName(there)
+
+
+def dealt(keys: DataFrame, squares: Column, *columns: str | Column) -> DataFrame:
+    """Rows (choice, fp, columns) as (choice, part, columns), sorted by choice and part; a choice whose sum of squares is above 1 is dealt out as squares."""
+    crowded = keys.groupBy("choice").agg(F.ceil(squares).cast("int").alias("sides")).where("sides > 1")
+    keys = keys.join(crowded, "choice", "left")
+    side = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("sides")).cast("int")
+    # part 0: all pairs of the run; parts 1 and 2, the sides of a square off the diagonal: only pairs across
+    pairs = F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda j: F.struct(F.least(side, j).alias("i"), F.greatest(side, j).alias("j"), F.when(side == j, 0).when(side < j, 1).otherwise(2).alias("part")))
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part")))
+    rows = keys.withColumn("s", F.explode(F.when(F.col("sides").isNull(), one).otherwise(pairs)))
+    rows = rows.select(F.xxhash64("choice", "s.i", "s.j").alias("choice"), "s.part", *columns)
+    return rows.repartition("choice").sortWithinPartitions("choice", "part")
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables that hold all rows of each of their choices."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        choice = batch.column("choice").to_numpy()
+        cut = int(np.searchsorted(choice, choice[-1])) if len(choice) else 0  # the last run may go on
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)

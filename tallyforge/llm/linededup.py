@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import written
+from tallyforge.llm.common import joined, written
 
 #: Lines of the shortest run that is deleted, and so the window of the guarantee: of op4_line_dedup, whose SQL says two,
 #: and of the pipeline's stage, where a line that is repeated alone goes too.
@@ -52,8 +52,8 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     positions = hashed.select("doc", "copy", F.explode(F.transform(selected, position)).alias("p"))
     positions = written(positions.select("doc", "copy", "p.*"))
     # sums come before the shuffle, so a frequent line is a row per task
-    repeated = positions.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
-    race = positions.join(repeated, "fingerprint", "left_semi")
+    repeated = written(positions.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1"))
+    race = joined(positions, repeated, ["fingerprint"])
 
     def extended(i: Column) -> Column:
         own = F.slice("around", i + 1, run)
@@ -63,9 +63,9 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("around") - run), extended), lambda r: r["least"] == F.col("fingerprint"))
     race = written(race.select("doc", "copy", "fingerprint", F.explode(runs).alias("r")).select("doc", "copy", "fingerprint", "r.first", "r.whole", "r.at"))
     # where each run occurs first, if it occurs again
-    spans = race.groupBy("fingerprint", "whole").agg(F.min(F.struct("doc", "first")).alias("earliest"), F.max(F.struct("doc", "first")).alias("latest"))
+    spans = race.groupBy("fingerprint", "whole").agg(F.min(F.struct("doc", "first")).alias("earliest"), F.max(F.struct("doc", "first")).alias("latest"), F.count("*").alias("n"))
     spans = written(spans.where("earliest <> latest").drop("latest"))
-    later = race.join(spans, ["fingerprint", "whole"]).where(F.struct("doc", "first") > F.col("earliest"))
+    later = joined(race, spans, ["fingerprint", "whole"]).where(F.struct("doc", "first") > F.col("earliest"))
     gone = later.groupBy(F.col("doc").alias("_doc"), F.col("copy").alias("_copy")).agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("_gone"))
 
     rows = docs.select(F.struct(*others).alias("_row"), "text", doc.alias("_d"), copy.alias("_c"))

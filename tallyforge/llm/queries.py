@@ -13,6 +13,7 @@ QUERIES = {
     "op6_substring": substring.op6_substring,
     "op7_packing": packing.op7_packing,
     "op8_spotsigs": spotsigs.op8_spotsigs,
+    "spotsigs_near_classes": spotsigs.spotsigs_near_classes,
     "op9_quality": quality.op9_quality,
     "op10_token_rollup": tokens.op10_token_rollup,
 }

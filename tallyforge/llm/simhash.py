@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import LOWER, SPACE, components, fits, mix, pieces, text_columns, windows, words, written
+from tallyforge.llm.common import LOWER, SPACE, components, dealt, fits, mix, pieces, text_columns, whole_runs, windows, words, written
 
 #: Reference fingerprints: fixed pseudo-random values of up to 256 bits, the same in every run.
 PIVOTS = np.random.default_rng(7).integers(0, 2**64, (24, 4), dtype=np.uint64)
@@ -160,15 +160,15 @@ def _met(keys: DataFrame, width: int, max_distance: int) -> DataFrame:
     holds more than two sides of a square of one choice.
     """
     words = [F.col("fp")[k].alias(f"f{k}") for k in range(width)]
-    dealt = _dealt(keys, F.count("*") / SQUARE, "id", *words)
+    rows = dealt(keys, F.count("*") / SQUARE, "id", *words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_runs(batches):
-            choice, part, ids, fp = _columns(rows, width)
+        for run_rows in whole_runs(batches):
+            choice, part, ids, fp = _columns(run_rows, width)
             a, b = _meet(choice, part, fp, max_distance) if len(ids) else (np.zeros(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _columns(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,33 +176,6 @@ def _columns(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return choice, part, ids, np.stack([rows.column(f"f{k}").to_numpy().view(np.uint64) for k in range(width)], axis=1)
 
 
-def _dealt(keys: DataFrame, squares: Column, *columns: str | Column) -> DataFrame:
-    """(choice, part, columns) sorted by choice and part; a choice whose sum of squares is above 1 is dealt out as squares."""
-    crowded = keys.groupBy("choice").agg(F.ceil(squares).cast("int").alias("sides")).where("sides > 1")
-    keys = keys.join(crowded, "choice", "left")
-    side = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("sides")).cast("int")
-    # part 0: all pairs of the run; parts 1 and 2, the sides of a square off the diagonal: only pairs across
-    pairs = F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda j: F.struct(F.least(side, j).alias("i"), F.greatest(side, j).alias("j"), F.when(side == j, 0).when(side < j, 1).otherwise(2).alias("part")))
-    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part")))
-    dealt = keys.withColumn("s", F.explode(F.when(F.col("sides").isNull(), one).otherwise(pairs)))
-    dealt = dealt.select(F.xxhash64("choice", "s.i", "s.j").alias("choice"), "s.part", *columns)
-    return dealt.repartition("choice").sortWithinPartitions("choice", "part")
-
-
-def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows in tables that hold all rows of each of their choices."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        choice = batch.column("choice").to_numpy()
-        cut = int(np.searchsorted(choice, choice[-1])) if len(choice) else 0  # the last run may go on
-        if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def near_duplicates(docs: DataFrame, words_in: int = 4, max_distance: int = 4, blocks: int | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest linked doc_id).
 
@@ -339,17 +312,17 @@ def _verified(sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links among the rows of each choice whose sets have the similarity, a forest per task."""
     width = WIDE // 64
     words = [F.col("fp")[k].alias(f"f{k}") for k in range(width)]
-    dealt = _dealt(sets, F.greatest(F.count("*") / HELD_ROWS, F.sum("n") / HELD_SHINGLES), "id", *words, "shingles")
+    rows = dealt(sets, F.greatest(F.count("*") / HELD_ROWS, F.sum("n") / HELD_SHINGLES), "id", *words, "shingles")
     most = allowed_bits(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_runs(batches):
-            choice, part, ids, fp = _columns(rows, width)
-            own = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        for run_rows in whole_runs(batches):
+            choice, part, ids, fp = _columns(run_rows, width)
+            own = [np.frombuffer(x, np.uint64) for x in run_rows.column("shingles").to_pylist()]
             a, b = _meet(choice, part, fp, most, _alike(own, similarity)) if len(ids) else (np.zeros(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, words_in: int = 5, similarity: float = 0.8) -> DataFrame:

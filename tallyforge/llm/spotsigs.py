@@ -15,10 +15,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import NOT_ALNUM, mix, pieces, text_columns, words
+from tallyforge.llm.common import NOT_ALNUM, dealt, joined, mix, pieces, runs, text_columns, whole_runs, words, written
 
 # Articles and forms of "to be" of four languages, and other words that carry no content.
 ANCHORS = "a an the is are was were be das dem den der die ein eine ist war el es la las los un una le les une est de du des".split()
@@ -26,6 +26,8 @@ COMMON = ANCHORS + "and as at by for from in it of on or that this to with aber
 CHAIN = 3
 #: Parts into which the order of documents is cut, at most, and documents of one part.
 PARTS, PART_ROWS = 20_000, 1_000
+#: Frequent signatures, at most; and classes that meet through one before their pairs are dealt out as squares of this side.
+MOST_FREQUENT, SIDE = 100_000, 2_048
 
 _START = np.uint64(0x2545F4914F6CDD1D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -36,6 +38,8 @@ def _hashes(of: list[str]) -> np.ndarray:
 
 
 def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(h), bool)
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
@@ -162,41 +166,113 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     return in_order(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs): equal fingerprints are one class, and classes at or over the threshold are paired.
+def _order(sigs: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Signatures as values whose order puts frequent ones last."""
+    return sigs.astype(np.uint64) | _among(sigs, frequent).astype(np.uint64) << np.uint64(32)
 
-    classes: doc_id, class_id (smallest doc_id of the fingerprint). pairs: a, b (class ids, a < b), likeness.
-    Sets are partitioned by length, band k holding |A| in [1/t^k, 1/t^(k+1)), and meet in their own and the
-    next band. There they meet through the first |A| - ceil(t |A|) + 1 signatures, rarest first: two sets that
-    meet through none of these cannot reach the threshold. Empty fingerprints (null texts, texts without words)
-    have a class and no pairs; a class whose rows all lack doc_id has none either. Repeated rows are one class.
+
+def near_classes(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> DataFrame:
+    """One row per document: doc_id, class_id, n_docs, n_links.
+
+    Equal fingerprints are one class, by its smallest doc_id; n_docs documents are in it, and n_links other classes
+    have a Jaccard coefficient of the threshold at least. Sets are partitioned by length, band k holding |A| in
+    [1/t^k, 1/t^(k+1)), and meet in their own and the next band. There they meet through the first |A| - ceil(t |A|) + 1
+    signatures, frequent ones last: two sets that meet through none of these cannot reach the threshold. A pair counts
+    where its first common signature brings it together. Who meets through a crowded signature is dealt out as squares,
+    and a task returns counts, never pairs. Empty fingerprints (null texts, texts without words) are a class without
+    links. Rows without doc_id are in their class, whose id is null if all of it lack one. Repeated rows are one class.
+    Texts of any length are read whole; other columns are not looked at; empty in, empty out.
     """
+    spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             row, sig = signatures(piece.column("text"), chain)
-            cut = np.searchsorted(row, np.arange(piece.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(cut), pa.array(sig.astype(np.int64)))], ["doc_id", "sigs"])
-
-    sets = text_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, sigs array<long>").withColumn("of", F.sha2(F.concat_ws(" ", "sigs"), 256))
-    ids = sets.groupBy("of").agg(F.min("doc_id").alias("class_id"), F.any_value("sigs").alias("sigs"))
-    classes = sets.select("doc_id", "of").join(ids.select("of", "class_id"), "of").select("doc_id", "class_id")
-    band = F.floor(F.log(F.size("sigs").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
-    ids = ids.where("size(sigs) > 0").select("class_id", "sigs", band.alias("band"))
-    one = ids.select("class_id", "band", F.explode("sigs").alias("sig"))
-    ranked = one.join(one.groupBy("sig").count(), "sig")
-    rare = Window.partitionBy("class_id").orderBy("count", "sig")
-    prefix = ranked.withColumns({"nth": F.row_number().over(rare), "n": F.count("*").over(Window.partitionBy("class_id"))})
-    prefix = prefix.where(F.col("nth") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    left = prefix.select(F.col("class_id").alias("a"), "sig", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("n").alias("n_a"))
-    right = prefix.select(F.col("class_id").alias("b"), "sig", "band", F.col("n").alias("n_b"))
-    fits = (F.col("a") != F.col("b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9)
-    met = left.join(right, ["sig", "band"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    of_a, of_b = (ids.select(F.col("class_id").alias(c), F.col("sigs").alias(f"sigs_{c}")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("sigs_a", "sigs_b"))
-    like = both / (F.size("sigs_a") + F.size("sigs_b") - both)
-    pairs = met.join(of_a, "a").join(of_b, "b").select("a", "b", like.alias("likeness")).where(F.col("likeness") >= threshold - 1e-12)
-    return classes, pairs
+            cut = np.searchsorted(row, np.arange(piece.num_rows + 1))
+            keys = []
+            for salt in (1, 2):
+                sums = np.append(np.uint64(0), np.cumsum(mix(sig.astype(np.uint64) * np.uint64(2 * salt + 1) + np.uint64(salt)), dtype=np.uint64))
+                keys.append(pa.array(mix(sums[cut[1:]] - sums[cut[:-1]]).view(np.int64)))
+            sigs = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(sig.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *keys, sigs], ["doc_id", "k1", "k2", "sigs"])
+
+    sets = written(text_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, sigs array<long>"))
+    classes = written(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"), F.any_value("sigs").alias("sigs")))
+    counts = written(classes.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    frequent = np.sort(counts.where(F.col("n") > max(total / MOST_FREQUENT, 64)).select("sig").toArrow().column("sig").to_numpy().astype(np.uint64))
+    sent = spark.sparkContext.broadcast(frequent)
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = np.diff(batch.column("sigs").offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            value = _order(batch.column("sigs").flatten().to_numpy(), sent.value)
+            order = np.lexsort((value, row))
+            value, first = value[order], np.append(0, np.cumsum(n))
+            band = np.floor(np.log(np.maximum(n, 1)) / np.log(1 / threshold) + 1e-9).astype(np.int64)
+            prefix = np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
+            of = np.repeat(np.arange(len(n)), prefix)
+            through = value[np.repeat(first[:-1], prefix) + np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)]
+            raw = [value[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            for role in (0, 1):  # 0 at home in the band, 1 from the next one
+                choice = mix(through * np.uint64(0x9E3779B97F4A7C15) + (band[of] - role).astype(np.uint64))
+                columns = [pa.array(choice.view(np.int64)), pa.array(through.view(np.int64)), pa.array(np.full(len(of), role, np.int32))]
+                columns += [batch.column(c).take(pa.array(of)) for c in ("k1", "k2")] + [pa.array(raw, pa.binary()).take(pa.array(of))]
+                yield pa.RecordBatch.from_arrays(columns, ["choice", "through", "role", "fp", "k2", "raw"])
+
+    keys = classes.select("k1", "k2", "sigs").mapInArrow(meeting, "choice long, through long, role int, fp long, k2 long, raw binary")
+    several = written(keys.groupBy("choice").agg(F.count("*").alias("n"), F.min("role").alias("least")).where("n > 1 and least = 0").drop("least"))
+    rows = dealt(joined(keys, several, ["choice"]).drop("n"), F.count("*") / SIDE, "through", "role", "fp", "k2", "raw")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in whole_runs(batches):
+            choice, part, through, role = (own.column(c).to_numpy() for c in ("choice", "part", "through", "role"))
+            n = _links(choice, part, through.view(np.uint64), role, own.column("raw").to_pylist(), threshold)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([own.column("fp").combine_chunks().take(pa.array(at)), own.column("k2").combine_chunks().take(pa.array(at)), pa.array(n[at])], ["k1", "k2", "n"])
+
+    links = rows.mapInArrow(compare, "k1 long, k2 long, n long").groupBy("k1", "k2").agg(F.sum("n").alias("n_links"))
+    found = written(classes.select("k1", "k2", "class_id", "n_docs").join(links, ["k1", "k2"], "left").withColumnRenamed("n_docs", "n"))
+    return joined(sets.select("doc_id", "k1", "k2"), found, ["k1", "k2"]).select("doc_id", "class_id", F.col("n").alias("n_docs"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _links(choice: np.ndarray, part: np.ndarray, through: np.ndarray, role: np.ndarray, raw: list[bytes], threshold: float) -> np.ndarray:
+    """How many of the rows they meet each row is near to, of pairs whose first common value is the one they meet through."""
+    size = np.array([len(r) // 8 for r in raw])
+    values, first = np.frombuffer(b"".join(raw), np.uint64), np.append(0, np.cumsum(size))
+    out = np.zeros(len(raw), np.int64)
+    _, ends = runs(choice)
+    last = ends[np.searchsorted(ends, np.arange(len(choice)), "right")] if len(ends) else ends
+    shift, at = 1, np.arange(len(choice))
+    while len(at := at[at + shift < last[at]]):
+        for cut in range(0, len(at), 1 << 14):
+            a = at[cut : cut + (1 << 14)]
+            b = a + shift
+            fine = ((part[a] != part[b]) | (part[a] == 0)) & ((role[a] == 0) | (role[b] == 0)) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
+            a, b = a[fine], b[fine]
+            if not len(a):
+                continue
+            pair, theirs = np.repeat(np.arange(len(a)), size[a]), np.repeat(np.arange(len(b)), size[b])
+            x = values[np.arange(len(pair)) + np.repeat(first[a] - (np.cumsum(size[a]) - size[a]), size[a])]
+            y = values[np.arange(len(theirs)) + np.repeat(first[b] - (np.cumsum(size[b]) - size[b]), size[b])]
+            # values are of 33 bits, pairs of 14
+            common = np.flatnonzero(np.isin(pair.astype(np.uint64) << np.uint64(33) | x, theirs.astype(np.uint64) << np.uint64(33) | y, assume_unique=True))
+            both = np.bincount(pair[common], minlength=len(a))
+            met, where = np.unique(pair[common], return_index=True)
+            near = both[met] / (size[a[met]] + size[b[met]] - both[met]) >= threshold - 1e-12
+            near &= x[common[where]] == through[a[met]]
+            np.add.at(out, a[met[near]], 1)
+            np.add.at(out, b[met[near]], 1)
+        shift += 1
+    return out
+
+
+def spotsigs_near_classes(spark, sf_dir: str) -> DataFrame:
+    """The class of each document and to how many classes it is near."""
+    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op8_spotsigs(spark, sf_dir: str) -> DataFrame:

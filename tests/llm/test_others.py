@@ -283,17 +283,25 @@ def test_spot_order_in_many_parts(spark, sf):
     assert got.where("tail").count() == got.select("part").distinct().count() and got.where("not tail").count() == rows.count()
 
 
-def test_spot_pairs(spark, sf):
-    rows = {r.doc_id: spot_set(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    classes, pairs = spotsigs.near_pairs(spark.read.parquet(f"{sf}/documents.parquet"), 0.5)
-    of = {r.doc_id: r.class_id for r in classes.collect()}
-    reps = {}
-    for i in sorted(rows):
-        reps.setdefault(frozenset(rows[i]), i)
-    assert of == {i: reps[frozenset(rows[i])] for i in rows}
-    ids = sorted(reps.values())
-    want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if rows[a] and rows[b] and alike(rows[a], rows[b]) >= 0.5}
-    assert {(r.a, r.b) for r in pairs.collect()} == want
+@pytest.mark.parametrize("side", [2_048, 3])
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_spot_classes(spark, sf, monkeypatch, side, threshold):
+    monkeypatch.setattr(spotsigs, "SIDE", side)
+    template = " ".join(f"the word{k} item{k} thing{k} part{k}" for k in range(12))
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(5_000 + i, f"{template} the own{i} kind{i} sort{i}" + (f" an extra{i} word{i} more{i}" if i % 3 else "")) for i in range(40)] + [(6_000 + i, f"{template} the own1 kind1 sort1") for i in range(5)]
+    rows += [(7_000, None), (7_001, ""), (None, "a row without an id"), (None, f"{template} the own2 kind2 sort2")]
+    own = [spot_set(t) for _, t in rows]
+    members = {}
+    for (i, _), s in zip(rows, own):
+        members.setdefault(frozenset(s), []).append(i)
+    links = {s: sum(t != s and bool(s) and bool(t) and alike(s, t) >= threshold for t in members) for s in members}
+    smallest = lambda ids: min((i for i in ids if i is not None), default=None)
+    want = sorted(((i or -1, smallest(members[frozenset(s)]) or -1, len(members[frozenset(s)]), links[frozenset(s)]) for (i, _), s in zip(rows, own)))
+    got = spotsigs.near_classes(spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string"), threshold).collect()
+    assert sorted((r.doc_id or -1, r.class_id or -1, r.n_docs, r.n_links) for r in got) == want
+    assert max(links.values()) >= 30
+    assert spotsigs.near_classes(docs(spark, [])).count() == 0
 
 
 def test_languages(spark, sf):
