@@ -112,9 +112,12 @@ class Seeds:
         for length, (known, item) in self.openers.items():
             h = windows(w.hash, length)
             at = np.flatnonzero(fits(w.first, length)[: len(h)])
-            both = np.unique(np.stack([h[at].view(np.int64), row[at]]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-            h, of = both[0].view(np.uint64), both[1]
-            lo = np.searchsorted(known, h)
+            lo = np.searchsorted(known, h[at])
+            hit = known[np.minimum(lo, len(known) - 1)] == h[at] if len(known) else np.zeros(len(at), bool)
+            h, of, lo = h[at][hit], row[at][hit], lo[hit]
+            order = np.lexsort((lo, of))  # a seed that a row repeats is met once
+            once = order[runs(of[order], lo[order])[0]]
+            h, of, lo = h[once], of[once], lo[once]
             n = np.searchsorted(known, h, "right") - lo
             met = [np.zeros(0, np.int64)]
             for cut in _stretches(n, MOST_MET):
