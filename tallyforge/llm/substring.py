@@ -34,7 +34,7 @@ LEAST_BITS, MOST_BITS = 20, 28
 #: Windows a reducer holds at once, unless a single sub-window, none of the frequent ones, has more.
 HELD_WINDOWS = 1_000_000
 #: A sub-window or window is frequent if it is in more pieces than this part of a task's share, and in so many at least.
-SHARE, LEAST_PIECES = 0.25, 256
+SHARE, LEAST_PIECES = 0.05, 64
 
 
 class Level(NamedTuple):
@@ -129,7 +129,7 @@ def _level(spark: SparkSession, counted: DataFrame, length: int) -> tuple[Level,
     if not n:
         return None
     bits = min(max((16 * n - 1).bit_length(), LEAST_BITS), MOST_BITS)
-    # of those in more than a quarter of a task's share of all pieces there are at most four a task
+    # of those in more than a twentieth of a task's share of all pieces there are at most twenty a task
     often = max(SHARE * total / int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_PIECES)
     frequent = counted.where(F.col("pieces") > often).select("h", "full").toArrow()
     h, full = frequent.column("h").to_numpy().view(np.uint64), frequent.column("full")
