@@ -8,8 +8,8 @@ twice the length, and at last whole windows are compared. Which sub-windows repe
 next level as a Bloom filter of bounded size: a false hit costs a comparison, never a wrong result, so
 where more repeat than it can tell apart the levels leave out less and at most all windows are compared.
 
-A passage in a large share of the documents would send them all to one task. Sub-windows met in more
-pieces of text than a fair share are therefore known beforehand, at most a few for each task; windows
+A passage in a large share of the documents would send them all to one task. Sub-windows behind which are
+more windows than a fair share are therefore known beforehand, at most a few for each task; windows
 behind them are counted by their whole content, in the tasks before they are exchanged, and compared
 apart from each other.
 """
@@ -33,8 +33,8 @@ from tallyforge.llm.common import SPACE, fits, mix, pieces, runs, sliding, text_
 LEAST_BITS, MOST_BITS = 20, 28
 #: Windows a reducer holds at once, unless a single sub-window, none of the frequent ones, has more.
 HELD_WINDOWS = 1_000_000
-#: A sub-window or window is frequent if it is in more pieces than this part of a task's share, and in so many at least.
-SHARE, LEAST_PIECES = 0.05, 64
+#: A sub-window is frequent if it has more than this part of a task's share of windows, and so many at least; a window likewise by pieces of text that have it.
+SHARE, LEAST_WINDOWS, LEAST_PIECES = 0.05, 256, 16
 
 
 class Level(NamedTuple):
@@ -86,8 +86,9 @@ def _racing(text: pa.Array, size: int, levels: list[Level]):
 
 
 def _counted(docs: DataFrame, size: int, length: int, sent: Broadcast) -> DataFrame:
-    """(h, full, n, pieces): sub-windows of this length that stand for racing windows at two places at least, full null;
+    """(h, full, n, rows): sub-windows of this length that stand for racing windows at two places at least, full null;
     and windows that repeat and whose sub-window of the level before is frequent, h and full being their two hashes.
+    rows: windows behind the sub-window, and pieces of text that have the window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,17 +104,17 @@ def _counted(docs: DataFrame, size: int, length: int, sent: Broadcast) -> DataFr
             wanted[starts + width - 1] = least[starts]
             # a place is chosen if it equals the minimum of a racing window around it
             values, counts = np.unique(sub[sliding(wanted, width, np.maximum) == sub], return_counts=True)
-            none = pa.nulls(len(values), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), none, pa.array(np.minimum(counts, 2).astype(np.int64))], ["h", "full", "n"])
+            none, behind = pa.nulls(len(values), pa.int64()), np.bincount(np.searchsorted(values, least[starts]), minlength=len(values))
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), none, pa.array(np.minimum(counts, 2).astype(np.int64)), pa.array(behind)], ["h", "full", "n", "rows"])
             if levels and len(levels[-1].frequent):
                 own = starts[_among(stand, levels[-1].frequent)]
                 a, b = _whole(w.hash, size, own)
                 order = np.lexsort((b, a))
                 lo, hi = runs(a[order], b[order])
-                yield pa.RecordBatch.from_arrays([pa.array(a[order][lo].view(np.int64)), pa.array(b[order][lo].view(np.int64)), pa.array(np.minimum(hi - lo, 2))], ["h", "full", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[order][lo].view(np.int64)), pa.array(b[order][lo].view(np.int64)), pa.array(np.minimum(hi - lo, 2)), pa.array(np.ones(len(lo), np.int64))], ["h", "full", "n", "rows"])
 
-    found = docs.mapInArrow(run, "h long, full long, n long").groupBy("h", "full")
-    return found.agg(F.sum("n").alias("n"), F.count("*").alias("pieces")).where("n > 1")
+    found = docs.mapInArrow(run, "h long, full long, n long, rows long").groupBy("h", "full")
+    return found.agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).where("n > 1")
 
 
 def _whole(hashes: np.ndarray, size: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,13 +126,14 @@ def _level(spark: SparkSession, counted: DataFrame, length: int) -> tuple[Level,
     """The level, its filter set bit by bit on the executors, and the frequent windows in order; None if nothing repeats."""
     counted = written(counted)
     repeated = counted.where("full is null").select("h")
-    n, total = counted.where("full is null").agg(F.count("*"), F.sum("pieces")).first()
+    n, behind, pieces_ = counted.agg(F.count_if(F.col("full").isNull()), F.sum(F.when(F.col("full").isNull(), F.col("rows"))), F.sum(F.when(F.col("full").isNotNull(), F.col("rows")))).first()
     if not n:
         return None
     bits = min(max((16 * n - 1).bit_length(), LEAST_BITS), MOST_BITS)
-    # of those in more than a twentieth of a task's share of all pieces there are at most twenty a task
-    often = max(SHARE * total / int(spark.conf.get("spark.sql.shuffle.partitions")), LEAST_PIECES)
-    frequent = counted.where(F.col("pieces") > often).select("h", "full").toArrow()
+    # of those with more than a twentieth of a task's share of all rows there are at most twenty a task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    often = F.when(F.col("full").isNull(), max(SHARE * behind / tasks, LEAST_WINDOWS)).otherwise(max(SHARE * (pieces_ or 0) / tasks, LEAST_PIECES))
+    frequent = counted.where(F.col("rows") > often).select("h", "full").toArrow()
     h, full = frequent.column("h").to_numpy().view(np.uint64), frequent.column("full")
     sub = np.array(full.is_null())
     order = np.argsort(h[~sub])

@@ -103,7 +103,7 @@ def test_substring_with_frequent_passages_in_small_pieces(spark, sf, monkeypatch
     """Pieces of a few texts, reducers that settle often, and nearly every repeated window a frequent one; a text is longer than a piece."""
     from tallyforge.llm import common, substring as M
 
-    for name, value in (("pieces", functools.partial(common.pieces, most=3_000)), ("HELD_WINDOWS", 50), ("SHARE", 0.0), ("LEAST_PIECES", 2)):
+    for name, value in (("pieces", functools.partial(common.pieces, most=3_000)), ("HELD_WINDOWS", 50), ("SHARE", 0.0), ("LEAST_WINDOWS", 2), ("LEAST_PIECES", 1)):
         monkeypatch.setattr(M, name, value)
     passage = " ".join(f"p{k}" for k in range(40))
     rows = given_docs(spark, sf)[:120]
