@@ -8,27 +8,17 @@ from pyspark.sql import functions as F
 from tallyforge import schemas as S
 from tallyforge.sources import load_skills
 
-NOT_JSON = "Output is not JSON."
-NOT_OBJECT = "Result must be a JSON object."
-BAD_STATUS = "Result has an invalid status."
-BAD_FINDINGS = "findings must be a JSON array of objects."
-BAD_EVIDENCE = "evidence_ids must be a JSON array of strings."
-BAD_MESSAGE = "message must be a string or null."
 _MARK = "#END#"
 
 
-def _at(v: Column, path: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(v, path, kind)
+def _as(v: Column, kind: str) -> Column:
+    return F.try_variant_get(v, "$", kind)
 
 
 def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit(""))
 
 
-def _every(items: Column, kind: str) -> Column:
-    return F.coalesce(F.forall(items, lambda v: _kind(v).startswith(kind)), F.lit(False))
-
-
 def parse_result_contract(raw: DataFrame) -> DataFrame:
     """raw (task_id, agent, raw_text, …) with reason, status, findings, evidence_ids and message.
 
@@ -39,23 +29,22 @@ def parse_result_contract(raw: DataFrame) -> DataFrame:
     """
     raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.col("raw_text")
-    rows = raw.withColumn("_all", F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]'))))
-    alone = F.coalesce((_at(F.col("_all"), "$[1]", "string") == _MARK) & _at(F.col("_all"), "$[2]").isNull(), F.lit(False))
-    rows = rows.withColumn("_v", F.when(alone, _at(F.col("_all"), "$[0]")))
-    v = F.col("_v")
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    lacking = F.array_sort(F.array_except(F.array(*map(F.lit, S.RESULT_KEYS)), keys))
-    rows = rows.withColumns({"_findings": _at(v, "$.findings", "array<variant>"), "_evidence": _at(v, "$.evidence_ids", "array<variant>"), "_status": _at(v, "$.status"), "_message": _at(v, "$.message"), "_lacking": lacking})
-    status = F.when(_kind(F.col("_status")) == "STRING", _at(F.col("_status"), "$", "string"))
-    is_list = lambda path: _kind(_at(v, path)).startswith("ARRAY")
+    rows = raw.withColumn("_all", _as(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]'))), "array<variant>"))
+    alone = F.coalesce((F.size("_all") == 2) & (_as(F.get("_all", F.lit(1)), "string") == _MARK), F.lit(False))
+    rows = rows.withColumns({"_alone": alone, "_v": F.when(alone, _as(F.get("_all", F.lit(0)), "map<string,variant>"))})
+    field = lambda key: F.try_element_at("_v", F.lit(key))
+    rows = rows.withColumns({"_findings": _as(field("findings"), "array<variant>"), "_evidence": _as(field("evidence_ids"), "array<variant>"), "_status": field("status"), "_message": field("message")})
+    lacking = F.array_except(F.array(*map(F.lit, S.RESULT_KEYS)), F.map_keys("_v"))
+    status = F.when(_kind(F.col("_status")) == "STRING", _as(F.col("_status"), "string"))
+    every = lambda items, is_one: F.coalesce(F.forall(items, is_one), F.lit(False))
     reason = (
-        F.when(v.isNull(), NOT_JSON)
-        .when(~_kind(v).startswith("OBJECT"), NOT_OBJECT)
-        .when(F.size("_lacking") > 0, F.concat(F.lit("Result is missing fields: ['"), F.array_join("_lacking", "', '"), F.lit("'].")))
-        .when(~F.coalesce(status.isin(*S.STATUSES), F.lit(False)), BAD_STATUS)
-        .when(~is_list("$.findings") | ~_every(F.col("_findings"), "OBJECT"), BAD_FINDINGS)
-        .when(~is_list("$.evidence_ids") | ~_every(F.col("_evidence"), "STRING"), BAD_EVIDENCE)
-        .when(~_kind(F.col("_message")).isin("STRING", "VOID"), BAD_MESSAGE)
+        F.when(~F.col("_alone"), S.NOT_JSON)
+        .when(F.col("_v").isNull(), S.NOT_OBJECT)
+        .when(F.size(lacking) > 0, F.concat(F.lit("Result is missing fields: ['"), F.array_join(F.array_sort(lacking), "', '"), F.lit("'].")))
+        .when(~F.coalesce(status.isin(*S.STATUSES), F.lit(False)), S.BAD_STATUS)
+        .when(~every("_findings", lambda v: _as(v, "map<string,variant>").isNotNull()), S.BAD_FINDINGS)
+        .when(~every("_evidence", lambda v: _kind(v) == "STRING"), S.BAD_EVIDENCE)
+        .when(~_kind(F.col("_message")).isin("STRING", "VOID"), S.BAD_MESSAGE)
     )
     rows = rows.withColumns({"reason": reason, "_ok_status": status})
     ids = [F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("thread_id", "turn_id") if c in raw.columns]
@@ -63,10 +52,10 @@ def parse_result_contract(raw: DataFrame) -> DataFrame:
     out = {
         "status": F.when(F.col("reason").isNull(), F.col("_ok_status")).otherwise("UNCERTAINTY"),
         "findings": F.when(F.col("reason").isNull(), F.transform("_findings", lambda f: F.to_json(f))).otherwise(F.array(envelope)),
-        "evidence_ids": F.when(F.col("reason").isNull(), F.transform("_evidence", lambda e: F.try_variant_get(e, "$", "string"))).otherwise(F.array().cast("array<string>")),
-        "message": F.when(F.col("reason").isNull(), F.when(_kind(F.col("_message")) == "STRING", _at(F.col("_message"), "$", "string"))).otherwise(F.col("reason")),
+        "evidence_ids": F.when(F.col("reason").isNull(), F.transform("_evidence", lambda e: _as(e, "string"))).otherwise(F.array().cast("array<string>")),
+        "message": F.when(F.col("reason").isNull(), F.when(_kind(F.col("_message")) == "STRING", _as(F.col("_message"), "string"))).otherwise(F.col("reason")),
     }
-    return rows.withColumns(out).drop("_all", "_v", "_findings", "_evidence", "_status", "_message", "_lacking", "_ok_status")
+    return rows.withColumns(out).drop("_all", "_alone", "_v", "_findings", "_evidence", "_status", "_message", "_ok_status")
 
 
 def contract_quality(parsed: DataFrame) -> DataFrame:
@@ -77,16 +66,18 @@ def contract_quality(parsed: DataFrame) -> DataFrame:
 def turn_outcome(turns: DataFrame) -> DataFrame:
     """Finished turns (thread_id, turn_id, task_id, agent, text, turn_status, turn_error) as results.
 
-    A turn without thread or turn id is an ERROR, so is a failed one, with its error's message; an interrupted
-    one is BLOCK; a status that is null counts as completed, and its text goes through the contract.
+    A turn without thread or turn id is an ERROR, so is a failed one, with its error's message, and one that is
+    timed_out, where turns have that column; an interrupted one is BLOCK; a status that is null counts as completed,
+    and its text goes through the contract.
     """
     parsed = parse_result_contract(turns.withColumnRenamed("text", "raw_text"))
     blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
     special = (
-        F.when(blank("thread_id"), F.struct(F.lit("ERROR").alias("s"), F.lit("No thread id.").alias("m")))
-        .when(blank("turn_id"), F.struct(F.lit("ERROR").alias("s"), F.lit("No turn id.").alias("m")))
-        .when(F.col("turn_status") == "failed", F.struct(F.lit("ERROR").alias("s"), F.coalesce("turn_error", F.lit("Turn failed.")).alias("m")))
-        .when(F.col("turn_status") == "interrupted", F.struct(F.lit("BLOCK").alias("s"), F.lit("Turn was interrupted.").alias("m")))
+        F.when(blank("thread_id"), F.struct(F.lit("ERROR").alias("s"), F.lit(S.NO_THREAD).alias("m")))
+        .when(blank("turn_id"), F.struct(F.lit("ERROR").alias("s"), F.lit(S.NO_TURN).alias("m")))
+        .when(F.coalesce("timed_out", F.lit(False)) if "timed_out" in turns.columns else F.lit(False), F.struct(F.lit("ERROR").alias("s"), F.lit(S.LATE_TURN).alias("m")))
+        .when(F.col("turn_status") == "failed", F.struct(F.lit("ERROR").alias("s"), F.coalesce("turn_error", F.lit(S.FAILED_TURN)).alias("m")))
+        .when(F.col("turn_status") == "interrupted", F.struct(F.lit("BLOCK").alias("s"), F.lit(S.INTERRUPTED_TURN).alias("m")))
     )
     rows = parsed.withColumn("_special", special)
     return rows.withColumns({"status": F.coalesce("_special.s", "status"), "message": F.when(F.col("_special").isNull(), F.col("message")).otherwise(F.col("_special.m"))}).drop("_special")

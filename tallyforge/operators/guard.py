@@ -14,10 +14,10 @@ def path_violations(manifest: DataFrame) -> DataFrame:
     low = F.lower("path")
     name = file_name(low)
     rules = [
-        (name == S.SECRET_NAME, "tracked secret-like file"),
-        (name.startswith(S.ENV_PREFIX) & (name != S.ENV_EXAMPLE), "tracked environment file"),
-        (any_token(low, S.SECRET_PARTS), "tracked credential-like path"),
-        (name.isin(*S.KEY_NAMES) | file_suffix(name).isin(*S.KEY_SUFFIXES) | name.rlike("^(" + "|".join(S.KEY_PREFIXES) + ")"), "tracked private credential/key file"),
+        (name == S.SECRET_NAME, S.SECRET_FILE),
+        (name.startswith(S.ENV_PREFIX) & (name != S.ENV_EXAMPLE), S.ENV_FILE),
+        (any_token(low, S.SECRET_PARTS), S.CREDENTIAL_PATH),
+        (name.isin(*S.KEY_NAMES) | file_suffix(name).isin(*S.KEY_SUFFIXES) | name.rlike("^(" + "|".join(S.KEY_PREFIXES) + ")"), S.KEY_FILE),
     ]
     found = F.array_compact(F.array(*[F.when(broken, said) for broken, said in rules]))
     return manifest.select("repo", "path", F.explode(found).alias("violation"))
@@ -29,20 +29,20 @@ def content_violations(manifest: DataFrame, scanner: str | None = None) -> DataF
     rows = manifest.where(~skipped & all_tokens(F.col("content"), S.CONFLICT_TOKENS))
     if scanner:
         rows = rows.where(F.col("path") != scanner)
-    return rows.select("repo", "path", F.lit("unresolved merge markers").alias("violation"))
+    return rows.select("repo", "path", F.lit(S.MERGE_MARKERS).alias("violation"))
 
 
 def missing_required(manifest: DataFrame, required: DataFrame) -> DataFrame:
     """(repo, path, violation) of required paths (repo, path) that the manifest lacks, in order of path."""
     out = required.join(manifest.select("repo", "path").distinct(), ["repo", "path"], "left_anti")
-    return out.select("repo", "path", F.lit("required file missing").alias("violation")).orderBy("repo", "path")
+    return out.select("repo", "path", F.lit(S.FILE_MISSING).alias("violation")).orderBy("repo", "path")
 
 
 def missing_owner(manifest: DataFrame, rules: DataFrame) -> DataFrame:
     """(repo, path, violation): rules (repo, path, token) whose file lacks the token, or is absent."""
     out = rules.join(manifest, ["repo", "path"], "left")
     lacks = ~F.coalesce(F.contains("content", "token"), F.lit(False))
-    return out.where(lacks).select("repo", "path", F.lit("required owner missing").alias("violation"))
+    return out.where(lacks).select("repo", "path", F.lit(S.OWNER_MISSING).alias("violation"))
 
 
 def guard_verdict(violations: DataFrame, manifest: DataFrame) -> DataFrame:

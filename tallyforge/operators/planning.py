@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tallyforge import schemas as S
 from tallyforge.functions import is_blank, normalize_key
 
-REASONS = ["task_id is required", "ТЗ is required", "At least one material is required", "At least one requested check is required"]
-
 
 def registry(spark: SparkSession) -> DataFrame:
     """The five known checks."""
@@ -23,7 +21,7 @@ def validate_tasks(tasks: DataFrame, materials: DataFrame) -> DataFrame:
     no_checks = F.coalesce(F.size("requested_checks"), F.lit(0)) <= 0
     failing = (is_blank(F.col("task_id")), is_blank(F.col("tz")), ~F.col("has_materials"), no_checks)
     reason = F.lit(None).cast("string")
-    for fails, said in reversed(list(zip(failing, REASONS))):
+    for fails, said in reversed(list(zip(failing, S.TASK_REASONS))):
         reason = F.when(fails, said).otherwise(reason)
     return out.withColumn("reject_reason", reason)
 
@@ -47,7 +45,7 @@ def check_lookup(tasks: DataFrame) -> DataFrame:
 def unknown_checks(tasks: DataFrame) -> DataFrame:
     """(task_id, reason): the first unknown check of each task that has one; the whole task is rejected."""
     bad = check_lookup(tasks).where("agent is null").groupBy("task_id").agg(F.min_by("original", "pos").alias("original"))
-    return bad.select("task_id", F.concat(F.lit("Unknown requested check: "), "original").alias("reason"))
+    return bad.select("task_id", F.concat(F.lit(S.UNKNOWN_CHECK), "original").alias("reason"))
 
 
 def dedupe_checks(tasks: DataFrame) -> DataFrame:

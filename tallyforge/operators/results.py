@@ -11,28 +11,31 @@ from tallyforge.functions import blocks_progress, is_blank, result_json
 RESULT = ["task_id", "agent", "status", "findings", "evidence_ids", "message"]
 
 
-def reject_unplanned(results: DataFrame, planned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, rejected): rejected results have a reason, the agent's before the task's."""
-    agents = planned.select("task_id", "agent").distinct().withColumn("_planned", F.lit(True))
-    tasks = planned.select("task_id").distinct().withColumn("_task", F.lit(True))
-    seen = results.join(agents, ["task_id", "agent"], "left")
-    kept = seen.where("_planned").drop("_planned")
-    bad = seen.where("_planned is null").drop("_planned").join(tasks, "task_id", "left")
-    reason = F.concat(F.lit("Result from unplanned agent: "), F.coalesce("agent", F.lit("")))
-    return kept, bad.withColumns({"reason": reason, "task_known": F.coalesce("_task", F.lit(False))}).drop("_task")
+def reject_unplanned(results: DataFrame, planned: DataFrame, run: str = "task_id") -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected): rejected results have a reason, the agent's before the task's.
+
+    `run` names the column of the task that collected the result: its plan must have the agent, and the result's own
+    task_id must be the same.
+    """
+    agents = planned.select(F.col("task_id").alias("_run"), F.col("agent").alias("_agent")).distinct().withColumn("_planned", F.lit(True))
+    seen = results.join(agents, (F.col(run) == F.col("_run")) & (F.col("agent") == F.col("_agent")), "left")
+    unplanned = F.concat(F.lit(S.UNPLANNED_AGENT), F.coalesce("agent", F.lit("")))
+    reason = F.when(F.col("_planned").isNull(), unplanned).when(~F.col("task_id").eqNullSafe(F.col(run)), S.OTHER_TASK)
+    seen = seen.withColumn("reason", reason).drop("_run", "_agent", "_planned")
+    return seen.where("reason is null").drop("reason"), seen.where("reason is not null")
 
 
 def reject_wrong_owner(dispatched: DataFrame) -> DataFrame:
     """Rows (task_id, agent, result_task_id, result_agent) with reason; null where the owner is right."""
     wrong = ~(F.col("task_id").eqNullSafe(F.col("result_task_id")) & F.col("agent").eqNullSafe(F.col("result_agent")))
-    return dispatched.withColumn("reason", F.when(wrong, "Runtime handler returned a result for the wrong task or agent"))
+    return dispatched.withColumn("reason", F.when(wrong, S.WRONG_OWNER))
 
 
 def fill_missing(planned: DataFrame, results: DataFrame) -> DataFrame:
     """Results of planned agents, with a synthetic UNCERTAINTY row for each planned agent that has none."""
     got = results.select("task_id", "agent", *[c for c in RESULT[2:] if c in results.columns])
     out = planned.select("task_id", "plan_pos", "agent").join(got.withColumn("_there", F.lit(True)), ["task_id", "agent"], "left")
-    said = F.concat(F.lit("No runtime handler registered for "), "agent", F.lit("."))
+    said = F.concat(F.lit(S.NO_HANDLER), "agent", F.lit("."))
     missing = F.col("_there").isNull()
     return out.withColumns({"status": F.when(missing, "UNCERTAINTY").otherwise(F.col("status")), "message": F.when(missing, said).otherwise(F.col("message")), "synthetic": missing}).drop("_there")
 
@@ -84,9 +87,10 @@ def task_status(tasks: DataFrame, planned: DataFrame, results: DataFrame, materi
 
 def run_summary(planned: DataFrame, results: DataFrame) -> DataFrame:
     """Per task, in result order, duplicates kept: completed_agents, blocking_agents and results as arrays."""
-    kept, _ = reject_unplanned(results, planned)
-    rows = kept.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("pos", *RESULT))).alias("r"))
-    out = planned.select("task_id").distinct().join(rows, "task_id", "left").withColumn("r", F.coalesce("r", F.array().cast(rows.schema["r"].dataType)))
+    expected = planned.groupBy("task_id").agg(F.collect_set("agent").alias("expected"))
+    rows = results.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("pos", *RESULT))).alias("r"))
+    own = F.filter(F.coalesce("r", F.array().cast(rows.schema["r"].dataType)), lambda x: F.array_contains("expected", x["agent"]))
+    out = expected.join(rows, "task_id", "left").withColumn("r", own)
     return out.select(
         "task_id",
         F.transform("r", lambda x: x["agent"]).alias("completed_agents"),
@@ -100,17 +104,28 @@ def summary_json(summary: DataFrame, status: DataFrame) -> DataFrame:
     return summary.join(status, "task_id").select("task_id", "status", result_json("task_id", "status", "completed_agents", "blocking_agents", "results").alias("summary"))
 
 
+def prior_bounds(results: DataFrame) -> DataFrame:
+    """results (task_id, pos, ok) with n_prior: how many of its task's first results, by pos, a result gets to see.
+
+    A failed result does not refresh the context: what it sees and adds appears once a later result succeeds.
+    """
+    task = Window.partitionBy("task_id").orderBy("pos")
+    rows = results.withColumn("_rn", F.row_number().over(task))
+    last_ok = F.max(F.when(F.col("ok"), F.col("_rn"))).over(task.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("n_prior", F.coalesce(last_ok, F.lit(0))).drop("_rn")
+
+
 def prior_results(results: DataFrame) -> DataFrame:
     """results (task_id, pos, ok, json) with context: JSON lines of earlier results, or NONE.
 
-    A failed result does not refresh the context: what it sees and adds appears once a later result succeeds.
+    Each task's lines are gathered once, and a row takes the first n_prior of them (see prior_bounds). A plan has at
+    most one result per known check, so a task's lines are few; for results of any number per task use prior_bounds,
+    for written out the contexts of one task grow with its square.
     """
-    before = Window.partitionBy("task_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last_ok = F.max(F.when(F.col("ok"), F.col("pos"))).over(before)
-    earlier = F.collect_list(F.struct("pos", "json")).over(before)
-    rows = results.withColumns({"_last": last_ok, "_all": earlier})
-    seen = F.transform(F.filter("_all", lambda x: x["pos"] <= F.col("_last")), lambda x: x["json"])
-    return rows.withColumn("context", F.when(F.col("_last").isNull(), "NONE").otherwise(F.array_join(seen, "\n"))).drop("_last", "_all")
+    lines = results.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("pos", "json"))).alias("_lines"))
+    rows = prior_bounds(results).join(lines, "task_id", "left")
+    seen = F.transform(F.slice("_lines", F.lit(1), F.col("n_prior")), lambda x: x["json"])
+    return rows.withColumn("context", F.when(F.col("n_prior") == 0, "NONE").otherwise(F.array_join(seen, "\n"))).drop("n_prior", "_lines")
 
 
 def write_summaries(summaries: DataFrame, path: str, mode: str = "errorifexists") -> None:

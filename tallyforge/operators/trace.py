@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyforge import schemas as S
 
+ACCEPTING = ["PASS", "ACCEPTED", "ACCEPTED_ALTERNATIVE"]
+
 
 def fact_class_check(claims: DataFrame) -> DataFrame:
     """claims with valid_class, and fact: fact, soft (assumed, interpreted, unknown) or invalid; null is invalid."""
@@ -51,10 +53,34 @@ def normative_asof(citations: DataFrame, clauses: DataFrame) -> DataFrame:
     return out.select("citation_id", "norm", "cited_on", edition.alias("edition"), status.alias("status"))
 
 
+def contradictions(findings: DataFrame) -> DataFrame:
+    """(task_id, element, n_accepting, n_blocking, accepting, blocking): each element on which findings contradict each other.
+
+    The last two are the smallest finding_id of either side; with contested_findings they say every pair of
+    contradiction_pairs in one row per element and finding, whatever the number of findings.
+    """
+    yes, no = F.col("status").isin(*ACCEPTING), F.col("status").isin(*S.BLOCKING)
+    found = findings.where(yes | no).groupBy("task_id", "element").agg(
+        F.count_if(yes).alias("n_accepting"), F.count_if(no).alias("n_blocking"), F.min(F.when(yes, F.col("finding_id"))).alias("accepting"), F.min(F.when(no, F.col("finding_id"))).alias("blocking")
+    )
+    return found.where("n_accepting > 0 and n_blocking > 0")
+
+
+def contested_findings(findings: DataFrame) -> DataFrame:
+    """(task_id, element, finding_id, accepts, n_against): the findings that contradict others, and how many these are."""
+    rows = findings.where(F.col("status").isin(*ACCEPTING, *S.BLOCKING)).select("task_id", "element", "finding_id", F.col("status").isin(*ACCEPTING).alias("accepts"))
+    rows = rows.join(contradictions(findings).select("task_id", "element", "n_accepting", "n_blocking"), ["task_id", "element"])
+    return rows.select("task_id", "element", "finding_id", "accepts", F.when(F.col("accepts"), F.col("n_blocking")).otherwise(F.col("n_accepting")).alias("n_against"))
+
+
 def contradiction_pairs(findings: DataFrame) -> DataFrame:
-    """(task_id, element, a, b): findings of one element of a task of which one accepts and the other blocks, a < b."""
-    accepts, blocks = ("PASS", "ACCEPTED", "ACCEPTED_ALTERNATIVE"), S.BLOCKING
-    yes = findings.where(F.col("status").isin(*accepts)).select("task_id", "element", F.col("finding_id").alias("x"))
+    """(task_id, element, a, b): findings of one element of a task of which one accepts and the other blocks, a < b.
+
+    For elements of few findings: an element's rows are the product of its two sides. contradictions and
+    contested_findings hold the same in rows that grow with the findings.
+    """
+    blocks = S.BLOCKING
+    yes = findings.where(F.col("status").isin(*ACCEPTING)).select("task_id", "element", F.col("finding_id").alias("x"))
     no = findings.where(F.col("status").isin(*blocks)).select("task_id", "element", F.col("finding_id").alias("y"))
     return yes.join(no, ["task_id", "element"]).where("x <> y").select("task_id", "element", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 

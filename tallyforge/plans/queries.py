@@ -103,6 +103,20 @@ def j2(t: Tables) -> DataFrame:
     return bad.select("task_id", F.col("pos").cast("long").alias("pos"), "reason")
 
 
+@query(
+    "j2_task_mismatch",
+    WITH_RESULTS + """, c as (select *, case when pos % 3 = 0 then (task_id::bigint + 1)::varchar else task_id end as run from results),
+ s as (select c.*, exists (select 1 from planned p where p.task_id = c.run and p.agent = c.agent) as there from c)
+ select task_id, pos, run, case when not there then 'Result from unplanned agent: ' || agent when run <> task_id then 'Result task_id does not match core task' else 'kept' end as outcome from s""",
+)
+def j2_mismatch(t: Tables) -> DataFrame:
+    """Every third result is collected by the task with the next number."""
+    run = F.when(F.col("pos") % 3 == 0, (F.col("task_id").cast("long") + 1).cast("string")).otherwise(F.col("task_id"))
+    kept, bad = results.reject_unplanned(t.results.withColumn("run", run), planning.plan_checks(t.tasks, t.materials), "run")
+    rows = kept.withColumn("reason", F.lit("kept")).unionByName(bad)
+    return rows.select("task_id", F.col("pos").cast("long").alias("pos"), "run", F.col("reason").alias("outcome"))
+
+
 @query(
     "j3_wrong_owner",
     with_("results") + " select task_id, pos, case when pos % 5 = 0 or pos % 7 = 0 then 'Runtime handler returned a result for the wrong task or agent' end as reason from results",
@@ -426,13 +440,16 @@ _TURNS = """, d as (select thread_id, turn_id, seq, text, method, turn_status, m
   max(turn_status) filter (where method = 'turn/completed') as turn_status, bool_or(method = 'turn/completed') as completed, max(seq) - min(seq) as span from d group by all)"""
 
 
-@query("st1_turn_reassembly", with_("messages") + _TURNS + " select thread_id, turn_id, md5(text) as text_md5, completed, turn_status from turns")
-def st1(t: Tables) -> DataFrame:
-    # some messages after a connection's first one lack their ids
+def _sent(t: Tables) -> DataFrame:
+    """_messages, of which some after a connection's first one lack their ids."""
     lacking = F.row_number().over(Window.partitionBy("connection").orderBy("seq")) % 3 == 2
     sent = _messages(t).withColumn("_lacking", lacking)
-    sent = sent.withColumns({c: F.when(~F.col("_lacking"), F.col(c)) for c in turns.TURN}).drop("_lacking")
-    return turns.reassemble_turns(sent).select("thread_id", "turn_id", F.md5("text").alias("text_md5"), "completed", "turn_status")
+    return sent.withColumns({c: F.when(~F.col("_lacking"), F.col(c)) for c in turns.TURN}).drop("_lacking")
+
+
+@query("st1_turn_reassembly", with_("messages") + _TURNS + " select thread_id, turn_id, md5(text) as text_md5, completed, turn_status from turns")
+def st1(t: Tables) -> DataFrame:
+    return turns.reassemble_turns(_sent(t)).select("thread_id", "turn_id", F.md5("text").alias("text_md5"), "completed", "turn_status")
 
 
 @query("w4_turn_cutoff", with_("messages") + " select thread_id, seq from messages")
@@ -616,8 +633,25 @@ def j8(t: Tables) -> DataFrame:
  select x.task_id, x.element, least(x.pos, y.pos) as a, greatest(x.pos, y.pos) as b from f x join f y on x.task_id = y.task_id and x.element = y.element and x.status in ('PASS', 'ACCEPTED', 'ACCEPTED_ALTERNATIVE') and y.status in ('ERROR', 'BLOCK')""",
 )
 def j11(t: Tables) -> DataFrame:
-    found = t.results.select("task_id", F.col("agent").alias("element"), F.col("pos").cast("long").alias("finding_id"), "status")
-    return trace.contradiction_pairs(found)
+    return trace.contradiction_pairs(_findings(t))
+
+
+_SIDES = """, f as (select task_id, agent as element, pos, status in ('PASS', 'ACCEPTED', 'ACCEPTED_ALTERNATIVE') as accepts from results where status in ('PASS', 'ACCEPTED', 'ACCEPTED_ALTERNATIVE', 'ERROR', 'BLOCK')),
+ e as (select task_id, element, count(*) filter (where accepts) as n_accepting, count(*) filter (where not accepts) as n_blocking, min(pos) filter (where accepts) as accepting, min(pos) filter (where not accepts) as blocking from f group by all)"""
+
+
+def _findings(t: Tables) -> DataFrame:
+    return t.results.select("task_id", F.col("agent").alias("element"), F.col("pos").cast("long").alias("finding_id"), "status")
+
+
+@query("j11_contradictions", with_("results") + _SIDES + " select * from e where n_accepting > 0 and n_blocking > 0")
+def j11_elements(t: Tables) -> DataFrame:
+    return trace.contradictions(_findings(t))
+
+
+@query("j11_contested_findings", with_("results") + _SIDES + " select f.task_id, f.element, f.pos as finding_id, f.accepts, case when accepts then n_blocking else n_accepting end as n_against from f join e on e.task_id = f.task_id and e.element = f.element where n_accepting > 0 and n_blocking > 0")
+def j11_findings(t: Tables) -> DataFrame:
+    return trace.contested_findings(_findings(t))
 
 
 @query(

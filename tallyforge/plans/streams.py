@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge import streaming
-from tallyforge.operators import planning
+from tallyforge.operators import contract, planning
 from tallyforge.plans import queries as q
 from tallyforge.plans.derived import Tables, with_
 from tallyforge.sources import parse_messages, shared_path
@@ -19,8 +19,14 @@ def _replayed(t: Tables, rows: DataFrame, name: str) -> DataFrame:
     return t.spark.readStream.schema(rows.schema).parquet(path)
 
 
-def _run(t: Tables, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    return streaming.run_available(stream, shared_path(t.spark, name), mode)
+def _run(t: Tables, stream: DataFrame, name: str, mode: str = "append", **how) -> DataFrame:
+    return streaming.run_available(stream, shared_path(t.spark, name), mode, **how)
+
+
+def _and_a_day_later(rows: DataFrame) -> DataFrame:
+    """rows and one without ids a day after them, so that the stream's time passes all of them."""
+    later = [(F.max(c) + F.expr("interval 1 day")).alias(c) if c == "ts" else F.max(F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns]
+    return rows.unionByName(rows.agg(*later))
 
 
 @q.query("src4_message_source", with_("messages") + " select thread_id, seq, method, md5(text) as text_md5 from messages where seq % 11 <> 7 union all select thread_id, seq, 'malformed', md5('') from messages where seq % 11 = 7")
@@ -35,8 +41,25 @@ def src4(t: Tables) -> DataFrame:
 
 @q.query("st1_stream_turns", with_("messages") + q._TURNS + " select thread_id, turn_id, md5(text) as text_md5, turn_status, false as timed_out from turns")
 def st1_stream(t: Tables) -> DataFrame:
-    out = streaming.stream_turns(_replayed(t, q._messages(t), "messages"), seconds=1_000_000)
-    return _run(t, out, "turns", "update").select("thread_id", "turn_id", F.md5("text").alias("text_md5"), "turn_status", "timed_out")
+    out = streaming.stream_turns(_replayed(t, q._sent(t), "messages"), seconds=1_000_000, fill=True)
+    return _run(t, out, "turns").select("thread_id", "turn_id", F.md5("text").alias("text_md5"), "turn_status", "timed_out")
+
+
+#: Turns of every third thread never complete, and those that take over 900 seconds (three messages) do so too late.
+@q.query(
+    "st2_stream_timeout",
+    with_("messages") + """, e as (select *, min(seq) over (partition by thread_id) as s0 from messages where not (method = 'turn/completed' and thread_id::bigint % 3 = 0)),
+ d as (select *, method like '%delta' as delta, min(seq) filter (where method = 'item/completed' and text <> '' or method like '%delta') over (partition by thread_id) as first from e where (seq - s0) * 400 <= 900),
+ k as (select thread_id, coalesce(string_agg(text, '' order by seq) filter (where delta or (method = 'item/completed' and text <> '' and seq = first)), '') as text, not bool_or(method = 'turn/completed') as timed_out,
+  max(turn_status) filter (where method = 'turn/completed') as s from d group by 1)
+ select thread_id, md5(text) as text_md5, timed_out, case when timed_out or s = 'failed' then 'ERROR' when s = 'interrupted' then 'BLOCK' else 'UNCERTAINTY' end as status,
+ case when timed_out then 'Turn did not complete in time.' when s = 'failed' then 'model error' when s = 'interrupted' then 'Turn was interrupted.' else 'Output is not JSON.' end as message from k""",
+)
+def st2_stream(t: Tables) -> DataFrame:
+    sent = q._messages(t).where(~((F.col("method") == "turn/completed") & (F.col("thread_id").cast("long") % 3 == 0)))
+    out = _run(t, streaming.stream_turns(_replayed(t, _and_a_day_later(sent), "messages")), "turns", "update").drop("batch")
+    ended = contract.turn_outcome(out.withColumns({"task_id": F.col("thread_id"), "agent": F.lit("report-audit-agent"), "_text": F.col("text")}))
+    return ended.select("thread_id", F.md5("_text").alias("text_md5"), "timed_out", "status", "message")
 
 
 #: The stream's own time ends a minute before its last lease; a later job is still running then.
@@ -58,9 +81,8 @@ def st5_stream(t: Tables) -> DataFrame:
 
 @q.query("st6_live_status", q.WITH_RESULTS + q.A1_SQL)
 def st6(t: Tables) -> DataFrame:
-    flags = _run(t, streaming.live_status(_replayed(t, t.results.select("task_id", "agent", "status"), "results")), "status", "update")
-    last = flags.groupBy("task_id", "agent").agg(*[F.max_by(s, "batch").alias(s) for s in ("ERROR", "BLOCK", "UNCERTAINTY", "WARNING")])
-    return streaming.complete_status(planning.plan_checks(t.tasks, t.materials), last)
+    flags = _run(t, _replayed(t, t.results.select("task_id", "agent", "status"), "results"), "status", "update", each=streaming.live_status)
+    return streaming.complete_status(planning.plan_checks(t.tasks, t.materials), flags)
 
 
 @q.query("j10_stream_pairs", "select q.event_id // 2 as id, a.event_id is not null as answered from events q left join events a on a.event_id = q.event_id + 1 and a.ts between q.ts and q.ts + interval 900 second where q.event_id % 2 = 0 and (a.event_id is not null)")
@@ -68,3 +90,10 @@ def j10_stream(t: Tables) -> DataFrame:
     asked, answered = q._rpc(t)
     out = streaming.stream_pairs(_replayed(t, asked, "asked"), _replayed(t, answered, "answered"))
     return _run(t, out, "pairs").where("response_ts is not null").select("id", F.lit(True).alias("answered"))
+
+
+@q.query("j10_stream_outcomes", q.ORACLE["j10_request_response_pairing"])
+def j10_stream_outcomes(t: Tables) -> DataFrame:
+    asked, answered = (_and_a_day_later(rows) for rows in q._rpc(t))
+    out = _run(t, streaming.stream_pairs(_replayed(t, asked, "asked"), _replayed(t, answered, "answered")), "outcomes")
+    return out.where("id is not null").groupBy("id").agg(F.min_by("outcome", "response_ts").alias("outcome"), F.first("outcome").alias("only")).select("id", F.coalesce("outcome", "only").alias("outcome"))

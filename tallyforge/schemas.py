@@ -23,6 +23,22 @@ KEY_SUFFIXES = [".pem", ".key", ".p12", ".pfx"]
 KEY_PREFIXES = ["id_rsa", "id_ed25519"]
 BINARY_SUFFIXES = [".png", ".jpg", ".jpeg", ".gif", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".lir", ".zip"]
 CONFLICT_TOKENS = ["<<<<<<< ", "=======", ">>>>>>> "]
+# What rejected tasks, results and files are told.
+TASK_REASONS = ["task_id is required", "ТЗ is required", "At least one material is required", "At least one requested check is required"]
+UNKNOWN_CHECK = "Unknown requested check: "
+UNPLANNED_AGENT = "Result from unplanned agent: "
+OTHER_TASK = "Result task_id does not match core task"
+WRONG_OWNER = "Runtime handler returned a result for the wrong task or agent"
+NO_HANDLER = "No runtime handler registered for "
+NOT_JSON = "Output is not JSON."
+NOT_OBJECT = "Result must be a JSON object."
+BAD_STATUS = "Result has an invalid status."
+BAD_FINDINGS = "findings must be a JSON array of objects."
+BAD_EVIDENCE = "evidence_ids must be a JSON array of strings."
+BAD_MESSAGE = "message must be a string or null."
+NO_THREAD, NO_TURN, FAILED_TURN, INTERRUPTED_TURN, LATE_TURN = "No thread id.", "No turn id.", "Turn failed.", "Turn was interrupted.", "Turn did not complete in time."
+SECRET_FILE, ENV_FILE, CREDENTIAL_PATH, KEY_FILE = "tracked secret-like file", "tracked environment file", "tracked credential-like path", "tracked private credential/key file"
+MERGE_MARKERS, FILE_MISSING, OWNER_MISSING = "unresolved merge markers", "required file missing", "required owner missing"
 
 REGISTRY = "check string, agent string, skill string, purpose string"
 TASKS = "task_id string, project_id long, tz string, requested_checks array<string>, created_at timestamp"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyforge import schemas as S
 from tallyforge.operators.results import any_status
+from tallyforge.operators.turns import TURN
 
 TURN_OUT = "thread_id string, turn_id string, text string, turn_status string, turn_error string, timed_out boolean"
 
@@ -75,11 +76,54 @@ class TurnProcessor(StatefulProcessor):
         pass
 
 
-def stream_turns(messages: DataFrame, seconds: int = S.TURN_TIMEOUT_S, slack: str = "1 minute") -> DataFrame:
-    """Completed and timed-out turns of a message stream whose rows come in order of seq."""
+class IdProcessor(StatefulProcessor):
+    """Gives messages without ids those that their connection had last; forgets a connection that has rested for a turn's time."""
+
+    def __init__(self, columns: list[str], seconds: int) -> None:
+        self.columns, self.seconds = columns, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ids = handle.getValueState("ids", "thread_id string, turn_id string, until long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("seq")
+        *ids, over = self.ids.get() if self.ids.exists() else (None, None, None)
+        for k, c in enumerate(TURN):
+            filled = []
+            for own in batch[c]:
+                ids[k] = own if isinstance(own, str) else ids[k]
+                filled.append(ids[k])
+            batch[c] = filled
+        until = max(int(batch["ts"].max().timestamp() * 1000) + self.seconds * 1000, over or 0)
+        if over is not None:
+            self.handle.deleteTimer(over)
+        self.ids.update((*ids, until))
+        self.handle.registerTimer(until)
+        yield batch[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.ids.exists() and self.ids.get()[2] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.ids.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_turns(messages: DataFrame, seconds: int = S.TURN_TIMEOUT_S, slack: str = "1 minute", fill: bool = False) -> DataFrame:
+    """Completed and timed-out turns of a message stream whose rows come in order of seq, for update mode.
+
+    With `fill`, messages without ids belong to the turn that their connection was in, as in the batch form. Then two
+    stateful steps follow each other, which Spark runs in append mode only.
+    """
     use_rocksdb(messages.sparkSession)
-    rows = messages.withWatermark("ts", slack)
-    return rows.groupBy("thread_id", "turn_id").transformWithStateInPandas(statefulProcessor=TurnProcessor(seconds), outputStructType=TURN_OUT, outputMode="Update", timeMode="EventTime")
+    rows, mode = messages.withWatermark("ts", slack), "Update"
+    if fill:
+        mode = "Append"
+        known = IdProcessor(messages.columns, seconds)
+        rows = rows.groupBy("connection").transformWithStateInPandas(statefulProcessor=known, outputStructType=messages.schema, outputMode=mode, timeMode="EventTime", eventTimeColumnName="ts")
+    return rows.groupBy(*TURN).transformWithStateInPandas(statefulProcessor=TurnProcessor(seconds), outputStructType=TURN_OUT, outputMode=mode, timeMode="EventTime")
 
 
 class CooldownProcessor(StatefulProcessor):
@@ -173,39 +217,50 @@ def stream_stale_leases(jobs: DataFrame, minutes: int = S.LEASE_MINUTES, slack:
 
 
 def stream_pairs(requests: DataFrame, responses: DataFrame, seconds: int = S.TURN_TIMEOUT_S, slack: str = "1 minute") -> DataFrame:
-    """Requests (id, ts) with their response in time (response_ts, error, result), null once it can't come any more."""
+    """Requests (id, ts) with each response in time (response_ts, error, result), and outcome: ok, failed or timed_out.
+
+    A request is timed_out, with result {}, once the stream's time says that no response can come any more.
+    """
     asked = requests.withWatermark("ts", slack)
     answered = responses.select(F.col("id").alias("_id"), F.col("ts").alias("response_ts"), "error", "result").withWatermark("response_ts", slack)
     within = F.expr(f"id = _id and response_ts >= ts and response_ts <= ts + interval {int(seconds)} seconds")
-    return asked.join(answered, within, "leftOuter").drop("_id")
+    outcome = F.when(F.col("response_ts").isNull(), "timed_out").when(F.col("error").isNotNull(), "failed").otherwise("ok")
+    return asked.join(answered, within, "leftOuter").drop("_id").withColumns({"outcome": outcome, "result": F.coalesce("result", F.lit("{}"))})
 
 
 def live_status(results: DataFrame) -> DataFrame:
-    """Running measures of each task and agent over a stream of results, for update mode.
+    """Measures of each task and agent in one batch of results.
 
-    Joined with planned checks (see complete_status) they give the status at any time.
+    They only ever add up, so a stream keeps no state for them: each batch's measures are written (run_available with
+    each=live_status), and all of them together with the planned checks (complete_status) give the status at any time.
     """
     flags = [any_status(s).alias(s) for s in ("ERROR", "BLOCK", "UNCERTAINTY", "WARNING")]
     return results.groupBy("task_id", "agent").agg(*flags)
 
 
 def complete_status(planned: DataFrame, flags: DataFrame) -> DataFrame:
-    """(task_id, status) from planned checks and the latest measures of live_status."""
-    rows = planned.select("task_id", "agent").distinct().join(flags.withColumn("there", F.lit(True)), ["task_id", "agent"], "left")
+    """(task_id, status) from planned checks and the measures of live_status, of any number of batches."""
     names = ("ERROR", "BLOCK", "UNCERTAINTY", "WARNING")
+    summed = flags.groupBy("task_id", "agent").agg(*[F.bool_or(s).alias(s) for s in names], F.lit(True).alias("there"))
+    rows = planned.select("task_id", "agent").distinct().join(summed, ["task_id", "agent"], "left")
     found = rows.groupBy("task_id").agg(*[F.coalesce(F.bool_or(s), F.lit(False)).alias(s) for s in names], F.bool_and(F.coalesce("there", F.lit(False))).alias("complete"))
     status = F.when(F.col("ERROR"), "ERROR").when(F.col("BLOCK"), "BLOCK").when(F.col("UNCERTAINTY"), "UNCERTAINTY").when(F.col("WARNING"), "WARNING")
     return found.select("task_id", status.when(~F.col("complete"), "UNCERTAINTY").otherwise("ACCEPTED").alias("status"))
 
 
-def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote below path (a shared folder)."""
+def run_available(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote below path (a shared folder).
+
+    `each` is applied to every batch (not in append mode); a batch that runs again replaces what it wrote before.
+    """
+    change = each or (lambda batch: batch)
     writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{path}/rows").outputMode("append").start()
     else:
-        query = writer.outputMode(mode).foreachBatch(lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/rows/n={n}")).start()
+        query = writer.outputMode(mode).foreachBatch(lambda batch, n: change(batch).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/rows/n={n}")).start()
     query.awaitTermination()
     rows = f"{path}/rows" if mode == "append" else f"{path}/rows/*"
-    out = stream.sparkSession.read.schema(stream.schema if mode == "append" else stream.schema.add("batch", "long"))
+    schema = stream.schema if mode == "append" else change(stream.sparkSession.createDataFrame([], stream.schema)).schema.add("batch", "long")
+    out = stream.sparkSession.read.schema(schema)
     return out.parquet(rows)

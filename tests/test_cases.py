@@ -90,18 +90,18 @@ def test_summary(spark):
 CONTRACT = [
     ('{"status":"ACCEPTED","findings":[],"evidence_ids":["e1"],"message":"ok"}', None),
     (' {"status":"PASS","findings":[{}],"evidence_ids":[],"message":null,"extra":1} ', None),
-    ("not json", contract.NOT_JSON),
-    (None, contract.NOT_JSON),
-    ("", contract.NOT_JSON),
-    ("null", contract.NOT_OBJECT),
-    ('{"status":"PASS","findings":[],"evidence_ids":[],"message":null} x', contract.NOT_JSON),
-    ('{"status":"PASS","findings":[],"evidence_ids":[],"message":null},"#END#"', contract.NOT_JSON),
-    ('{"status":"DONE","findings":[],"evidence_ids":[],"message":null}', contract.BAD_STATUS),
-    ('{"status":5,"findings":[],"evidence_ids":[],"message":null}', contract.BAD_STATUS),
-    ('{"status":"PASS","findings":"bad","evidence_ids":[],"message":null}', contract.BAD_FINDINGS),
-    ('{"status":"PASS","findings":[null],"evidence_ids":[],"message":null}', contract.BAD_FINDINGS),
-    ('{"status":"PASS","findings":[],"evidence_ids":["a",null],"message":null}', contract.BAD_EVIDENCE),
-    ('{"status":"PASS","findings":[],"evidence_ids":[],"message":{}}', contract.BAD_MESSAGE),
+    ("not json", S.NOT_JSON),
+    (None, S.NOT_JSON),
+    ("", S.NOT_JSON),
+    ("null", S.NOT_OBJECT),
+    ('{"status":"PASS","findings":[],"evidence_ids":[],"message":null} x', S.NOT_JSON),
+    ('{"status":"PASS","findings":[],"evidence_ids":[],"message":null},"#END#"', S.NOT_JSON),
+    ('{"status":"DONE","findings":[],"evidence_ids":[],"message":null}', S.BAD_STATUS),
+    ('{"status":5,"findings":[],"evidence_ids":[],"message":null}', S.BAD_STATUS),
+    ('{"status":"PASS","findings":"bad","evidence_ids":[],"message":null}', S.BAD_FINDINGS),
+    ('{"status":"PASS","findings":[null],"evidence_ids":[],"message":null}', S.BAD_FINDINGS),
+    ('{"status":"PASS","findings":[],"evidence_ids":["a",null],"message":null}', S.BAD_EVIDENCE),
+    ('{"status":"PASS","findings":[],"evidence_ids":[],"message":{}}', S.BAD_MESSAGE),
     ('{"status":"PASS","findings":[]}', "Result is missing fields: ['evidence_ids', 'message']."),
     ('{"status":"DONE","status":"PASS","findings":[],"evidence_ids":[],"message":null}', None),
 ]
