@@ -26,8 +26,9 @@ COMMON = ANCHORS + "and as at by for from in it of on or that this to with aber
 CHAIN = 3
 #: Parts into which the order of documents is cut, at most, and documents of one part.
 PARTS, PART_ROWS = 20_000, 1_000
-#: Frequent signatures, at most; and classes that meet through one before their pairs are dealt out as squares of this side.
-MOST_FREQUENT, SIDE = 100_000, 2_048
+#: Frequent signatures, at most, and classes that each is in, at least; and classes that meet through one before their
+#: pairs are dealt out as squares of this side.
+MOST_FREQUENT, LEAST_FREQUENT, SIDE = 100_000, 64, 2_048
 
 _START = np.uint64(0x2545F4914F6CDD1D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -193,14 +194,14 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) ->
             for salt in (1, 2):
                 sums = np.append(np.uint64(0), np.cumsum(mix(sig.astype(np.uint64) * np.uint64(2 * salt + 1) + np.uint64(salt)), dtype=np.uint64))
                 keys.append(pa.array(mix(sums[cut[1:]] - sums[cut[:-1]]).view(np.int64)))
-            sigs = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(sig.astype(np.int64)))
+            sigs = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(sig.view(np.int32)))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *keys, sigs], ["doc_id", "k1", "k2", "sigs"])
 
-    sets = written(text_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, sigs array<long>"))
+    sets = written(text_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, sigs array<int>"))
     classes = written(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_docs"), F.any_value("sigs").alias("sigs")))
     counts = written(classes.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = np.sort(counts.where(F.col("n") > max(total / MOST_FREQUENT, 64)).select("sig").toArrow().column("sig").to_numpy().astype(np.uint64))
+    frequent = np.sort(counts.where(F.col("n") > max(total / MOST_FREQUENT, LEAST_FREQUENT)).select("sig").toArrow().column("sig").to_numpy().astype(np.uint32))
     sent = spark.sparkContext.broadcast(frequent)
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,28 +210,29 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) ->
                 continue
             n = np.diff(batch.column("sigs").offsets.to_numpy())
             row = np.repeat(np.arange(len(n)), n)
-            value = _order(batch.column("sigs").flatten().to_numpy(), sent.value)
+            value = _order(batch.column("sigs").flatten().to_numpy().view(np.uint32), sent.value)
             order = np.lexsort((value, row))
             value, first = value[order], np.append(0, np.cumsum(n))
             band = np.floor(np.log(np.maximum(n, 1)) / np.log(1 / threshold) + 1e-9).astype(np.int64)
             prefix = np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
             of = np.repeat(np.arange(len(n)), prefix)
             through = value[np.repeat(first[:-1], prefix) + np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)]
-            raw = [value[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            ordered = value.astype("<u4").tobytes()
+            raw = [ordered[4 * a : 4 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
             for role in (0, 1):  # 0 at home in the band, 1 from the next one
                 choice = mix(through * np.uint64(0x9E3779B97F4A7C15) + (band[of] - role).astype(np.uint64))
-                columns = [pa.array(choice.view(np.int64)), pa.array(through.view(np.int64)), pa.array(np.full(len(of), role, np.int32))]
+                columns = [pa.array(choice.view(np.int64)), pa.array(through.astype(np.uint32).view(np.int32)), pa.array(np.full(len(of), role, np.int32))]
                 columns += [batch.column(c).take(pa.array(of)) for c in ("k1", "k2")] + [pa.array(raw, pa.binary()).take(pa.array(of))]
                 yield pa.RecordBatch.from_arrays(columns, ["choice", "through", "role", "fp", "k2", "raw"])
 
-    keys = classes.select("k1", "k2", "sigs").mapInArrow(meeting, "choice long, through long, role int, fp long, k2 long, raw binary")
+    keys = classes.select("k1", "k2", "sigs").mapInArrow(meeting, "choice long, through int, role int, fp long, k2 long, raw binary")
     several = written(keys.groupBy("choice").agg(F.count("*").alias("n"), F.min("role").alias("least")).where("n > 1 and least = 0").drop("least"))
     rows = dealt(joined(keys, several, ["choice"]).drop("n"), F.count("*") / SIDE, "through", "role", "fp", "k2", "raw")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in whole_runs(batches):
             choice, part, through, role = (own.column(c).to_numpy() for c in ("choice", "part", "through", "role"))
-            n = _links(choice, part, through.view(np.uint64), role, own.column("raw").to_pylist(), threshold)
+            n = _links(choice, part, through.view(np.uint32), role, own.column("raw").to_pylist(), threshold)
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([own.column("fp").combine_chunks().take(pa.array(at)), own.column("k2").combine_chunks().take(pa.array(at)), pa.array(n[at])], ["k1", "k2", "n"])
 
@@ -240,9 +242,9 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) ->
 
 
 def _links(choice: np.ndarray, part: np.ndarray, through: np.ndarray, role: np.ndarray, raw: list[bytes], threshold: float) -> np.ndarray:
-    """How many of the rows they meet each row is near to, of pairs whose first common value is the one they meet through."""
-    size = np.array([len(r) // 8 for r in raw])
-    values, first = np.frombuffer(b"".join(raw), np.uint64), np.append(0, np.cumsum(size))
+    """How many of the rows they meet each row is near to, of pairs whose first common signature is the one they meet through; raw has each row's, frequent ones last."""
+    size = np.array([len(r) // 4 for r in raw])
+    values, first = np.frombuffer(b"".join(raw), "<u4").astype(np.uint64), np.append(0, np.cumsum(size))
     out = np.zeros(len(raw), np.int64)
     _, ends = runs(choice)
     last = ends[np.searchsorted(ends, np.arange(len(choice)), "right")] if len(ends) else ends
@@ -258,8 +260,7 @@ def _links(choice: np.ndarray, part: np.ndarray, through: np.ndarray, role: np.n
             pair, theirs = np.repeat(np.arange(len(a)), size[a]), np.repeat(np.arange(len(b)), size[b])
             x = values[np.arange(len(pair)) + np.repeat(first[a] - (np.cumsum(size[a]) - size[a]), size[a])]
             y = values[np.arange(len(theirs)) + np.repeat(first[b] - (np.cumsum(size[b]) - size[b]), size[b])]
-            # values are of 33 bits, pairs of 14
-            common = np.flatnonzero(np.isin(pair.astype(np.uint64) << np.uint64(33) | x, theirs.astype(np.uint64) << np.uint64(33) | y, assume_unique=True))
+            common = np.flatnonzero(np.isin(pair.astype(np.uint64) << np.uint64(32) | x, theirs.astype(np.uint64) << np.uint64(32) | y, assume_unique=True))
             both = np.bincount(pair[common], minlength=len(a))
             met, where = np.unique(pair[common], return_index=True)
             near = both[met] / (size[a[met]] + size[b[met]] - both[met]) >= threshold - 1e-12

@@ -287,6 +287,8 @@ def test_spot_order_in_many_parts(spark, sf):
 @pytest.mark.parametrize("threshold", [0.8, 0.5])
 def test_spot_classes(spark, sf, monkeypatch, side, threshold):
     monkeypatch.setattr(spotsigs, "SIDE", side)
+    if side == 3:
+        monkeypatch.setattr(spotsigs, "LEAST_FREQUENT", 5)
     template = " ".join(f"the word{k} item{k} thing{k} part{k}" for k in range(12))
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows += [(5_000 + i, f"{template} the own{i} kind{i} sort{i}" + (f" an extra{i} word{i} more{i}" if i % 3 else "")) for i in range(40)] + [(6_000 + i, f"{template} the own1 kind1 sort1") for i in range(5)]
