@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from tallyforge.llm.common import LETTER, SPACE, SYMBOL, hash_ranges, pieces, te
 from tallyforge.llm.tokens import send_tokenizer, vocabulary
 from tallyforge.sources import shared_path
 
-#: Distinct pieces, and ids in all, that a worker process remembers before it starts anew; pieces encoded in a call.
-MOST_PIECES, MOST_IDS, TOGETHER = 500_000, 5_000_000, 20_000
+#: Distinct pieces, and ids in all, that a worker process remembers before it starts anew; pieces encoded in a call, and in a text.
+MOST_PIECES, MOST_IDS, TOGETHER, LINE = 2_000_000, 10_000_000, 20_000, 200
 #: Bytes of a row group and of a page before compression; rows of a page.
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 64 << 10, 1_000
 #: The id that ends a document in the registered query.
@@ -55,56 +56,87 @@ def _has(data: np.ndarray, needle: bytes) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Ids of the whole texts of a batch; remembers the pieces it has met."""
+    """Ids of the whole texts of a batch; remembers the pieces it has met, by hash in order."""
 
     def __init__(self, described: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(described)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = [t for t in added.values() if t]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: bytes of a token, in whose name each byte is a character
+        self.length = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.length[i] = len(added[i] if i in added else token)
         self._forget()
         self.cuts = True
         self.cuts = self(pa.array([PROBE]))[0].tolist() == self.tokenizer.encode(PROBE, add_special_tokens=False).ids
+        self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of the texts, where pieces begin and end in all, and rows' offsets."""
         data, offsets = text_bytes(texts)
-        if not self.cuts:
-            return data, np.unique(offsets), offsets
-        ends = words(texts, SPACE, None, (LETTER, SYMBOL)).end
-        wide = _has(data, ODD_START)
-        odd = np.concatenate([*(_has(data, needle) for needle in [*ODD_SPACE, *self.special]), wide[data[wide + 2] <= 0x8A]])
-        if len(odd):
-            rows = np.unique(np.searchsorted(offsets, odd, "right") - 1)
-            ends = ends[~np.isin(np.searchsorted(offsets, ends, "left") - 1, rows)]
-        return data, np.unique(np.concatenate([ends, offsets])), offsets
+        bound = np.zeros(len(data) + 1, bool)
+        if self.cuts:
+            ends = words(texts, SPACE, None, (LETTER, SYMBOL)).end
+            wide = _has(data, ODD_START)
+            odd = np.concatenate([*(_has(data, needle) for needle in [*ODD_SPACE, *self.special]), wide[data[wide + 2] <= 0x8A]])
+            bound[ends] = True
+            for row in sorted(set((np.searchsorted(offsets, odd, "right") - 1).tolist())):
+                bound[offsets[row] : offsets[row + 1]] = False
+        bound[offsets] = True
+        return data, np.flatnonzero(bound), offsets
+
+    def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the strings in a row, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _pieces(self, pieces_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces. Those that begin with a blank and end in a plain character may follow each other in one text; ids are parted again by their lengths."""
+        size = np.fromiter(map(len, pieces_), np.int64, len(pieces_))
+        plain = np.fromiter((self.cuts and len(p) > 1 and p[0] == 32 and 32 < p[-1] < 127 for p in pieces_), bool, len(pieces_))
+        alone, joined = np.flatnonzero(~plain), np.flatnonzero(plain)
+        lines = [b"".join([pieces_[i] for i in joined[k : k + LINE]]).decode() for k in range(0, len(joined), LINE)]
+        ids, _ = self._encoded(lines)
+        ends = np.cumsum(self.length[ids])
+        at = np.searchsorted(ends, np.cumsum(size[joined]))
+        if len(joined) and (at[-1] != len(ids) - 1 or (ends[at] != np.cumsum(size[joined])).any()):
+            alone, joined, ids, at = np.arange(len(pieces_)), joined[:0], ids[:0], at[:0]
+        others, n_others = self._encoded([pieces_[i].decode() for i in alone])
+        n = np.zeros(len(pieces_), np.int64)
+        n[alone], n[joined] = n_others, np.diff(at, prepend=-1)
+        out = np.zeros(int(n.sum()), np.int32)
+        from_joined = np.repeat(np.isin(np.arange(len(pieces_)), joined), n)
+        out[from_joined], out[~from_joined] = ids, others
+        return out, n
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each row's begin."""
         data, bounds, offsets = self._cut(texts)
-        if len(self.slots) > MOST_PIECES or len(self.ids) > MOST_IDS:
+        if len(self.known) > MOST_PIECES or len(self.ids) > MOST_IDS:
             self._forget()
         start, end = bounds[:-1], bounds[1:]
-        hashes = hash_ranges(data, start, end)
-        distinct, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        new = [i for i, h in enumerate(distinct.tolist()) if h not in self.slots]
+        distinct, one, inverse = np.unique(hash_ranges(data, start, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
         raw, grown, sizes = data.tobytes(), [self.ids], []
         for cut in range(0, len(new), TOGETHER):
-            at = one[new[cut : cut + TOGETHER]]
-            strings = [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist())]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-            sizes += map(len, found)
-            grown.append(np.fromiter((i for x in found for i in x), np.int32))
-        first = len(self.start) - 1
-        self.slots.update(zip(distinct[new].tolist(), range(first, first + len(new))))
-        if new:
-            self.ids, self.start = np.concatenate(grown), np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        slot = np.fromiter((self.slots[h] for h in distinct.tolist()), np.int64, len(distinct))[inverse]
+            own = one[new[cut : cut + TOGETHER]]
+            ids, n = self._pieces([raw[a:b] for a, b in zip(start[own].tolist(), end[own].tolist())])
+            grown.append(ids)
+            sizes.append(n)
+        if len(new):
+            first = len(self.start) - 1
+            self.known, self.slot = np.insert(self.known, at[new], distinct[new]), np.insert(self.slot, at[new], np.arange(first, first + len(new)))
+            self.ids, self.start = np.concatenate(grown), np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
+        slot = self.slot[np.searchsorted(self.known, distinct)][inverse]
         size = self.start[slot + 1] - self.start[slot]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[slot] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]

@@ -114,7 +114,7 @@ def test_codes_equal_full_search(spark):
 
     rng = np.random.default_rng(5)
     near = lambda n, spread: [[float(np.float32(x)) for x in rng.integers(-spread, spread, 6) / 64] for _ in range(n)]
-    vectors = [*near(60, 3), *near(40, 40), [0.0] * 6, [0.0] * 6, [1000.0] * 6, [-1e9, 0, 0, 0, 0, 1e9], [float("nan")] * 6, [float("inf"), 0, 0, 0, 0, 0], None, [], [0.5], [None, 0, 0, 0, 0, 0]]
+    vectors = [*near(60, 3), *near(40, 40), [0.0] * 6, [0.0] * 6, [1000.0] * 6, [-1e9, 0.0, 1e9], [float("nan")] * 6, [float("inf"), 0.0], None, [], [0.5], [None, 0.0]]
     rows = [(None if k % 17 == 3 else k // 2 if k % 5 == 0 else k, v, None if k % 7 == 0 else k % 3) for k, v in enumerate(vectors)]
     limit = int((2**61 // 10) ** 0.5)
     held = [(i, v and [x if x is None or not np.isfinite(x) else min(max(x, -limit / 1024), limit / 1024) for x in v], y) for i, v, y in rows]
