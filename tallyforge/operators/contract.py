@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge import schemas as S
+from tallyforge.operators.results import render_contexts
 from tallyforge.sources import load_skills
 
 _MARK = "#END#"
@@ -103,14 +104,15 @@ RULES = (
 )
 
 
-def assemble_prompts(planned: DataFrame, materials: DataFrame, skills: DataFrame, prior: DataFrame) -> DataFrame:
-    """(task_id, plan_pos, agent, prompt) for batch inference; prior: (task_id, plan_pos, context).
+def assemble_prompts(planned: DataFrame, materials: DataFrame, refs: DataFrame) -> DataFrame:
+    """(task_id, plan_pos, agent, skill, head, n_prior): prompts whose large parts are pointed to.
 
-    A planned row whose skill is missing has no prompt; attach_skill says which these are.
+    head is what stands before the earlier results, of which the prompt has its task's first n_prior, as refs
+    (task_id, plan_pos, n_prior) say, or none; the skill goes by its name. render_prompts makes the texts.
     """
-    rows = attach_skill(planned, skills)[0].join(materials_digest(materials), "task_id", "left").join(prior, ["task_id", "plan_pos"], "left")
+    rows = planned.join(materials_digest(materials), "task_id", "left").join(refs.select("task_id", "plan_pos", "n_prior"), ["task_id", "plan_pos"], "left")
     field = lambda name, c: F.concat(F.lit(name), F.coalesce(c, F.lit("")))
-    prompt = F.concat_ws(
+    head = F.concat_ws(
         "\n",
         field("Agent: ", F.col("agent")),
         field("Skill: ", F.col("skill")),
@@ -120,9 +122,15 @@ def assemble_prompts(planned: DataFrame, materials: DataFrame, skills: DataFrame
         F.lit("Materials:"),
         F.coalesce("digest", F.lit("- NONE")),
         F.lit("Earlier results:"),
-        F.coalesce("context", F.lit("NONE")),
-        F.lit("Instructions:"),
-        F.col("skill_text"),
-        F.lit(RULES),
     )
-    return rows.select("task_id", "plan_pos", "agent", prompt.alias("prompt"))
+    return rows.select("task_id", "plan_pos", "agent", "skill", head.alias("head"), F.coalesce("n_prior", F.lit(0)).alias("n_prior"))
+
+
+def render_prompts(prompts: DataFrame, lines: DataFrame, skills: DataFrame) -> DataFrame:
+    """(task_id, plan_pos, agent, prompt) for batch inference, from assemble_prompts, context_lines and the skills' texts.
+
+    A prompt whose skill is missing has no text; attach_skill says which these are.
+    """
+    rows = render_contexts(attach_skill(prompts, skills)[0], lines)
+    text = F.concat_ws("\n", "head", "context", F.lit("Instructions:"), "skill_text", F.lit(RULES))
+    return rows.select("task_id", "plan_pos", "agent", text.alias("prompt"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge import schemas as S
@@ -17,6 +17,37 @@ def project_scan(table: DataFrame, columns: list[str], project_id: object = None
     return (out.limit(limit) if limit is not None else out).select(*columns)
 
 
+class ProjectStore:
+    """A table (project_id, …) stored so that one project is read from few files.
+
+    Rows are in folders by a bucket of their project, and within a bucket in order of project and, newest first, of a
+    time: a scan of a project names its bucket, so other folders are not opened, and in its files row groups of other
+    projects are left out. Rows are dealt out by ranges, so a project of any size is written by many tasks. Null projects
+    are in a bucket of their own kind. `buckets` is part of the layout: read with the number that was written.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32) -> None:
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _bucket(self, project: Column) -> Column:
+        return F.coalesce(F.pmod(F.xxhash64(project), F.lit(self.buckets)).cast("int"), F.lit(-1))
+
+    def write(self, table: DataFrame, order: str) -> None:
+        by = [F.col("project_bucket"), F.asc_nulls_first("project_id"), F.desc_nulls_first(order)]
+        rows = table.withColumn("project_bucket", self._bucket(F.col("project_id")))
+        rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("project_bucket").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def scan(self, columns: list[str], project_id: object, order: str | None = None, limit: int | None = None) -> DataFrame:
+        """project_scan of one project."""
+        table = self.table()
+        wanted = F.lit(project_id).cast(table.schema["project_id"].dataType)
+        own = table.where(F.col("project_bucket") == self._bucket(wanted)) if project_id else table
+        return project_scan(own.drop("project_bucket"), columns, project_id, order, limit)
+
+
 def top_k(df: DataFrame, order: str, n: int, tie: str) -> DataFrame:
     """The n rows with the largest `order`, nulls first; equal ones by `tie`."""
     return df.orderBy(F.desc_nulls_first(order), tie).limit(n)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge import schemas as S
 from tallyforge.functions import blocks_progress, is_blank, result_json
+from tallyforge.sources import folders, rename_folder
 
 RESULT = ["task_id", "agent", "status", "findings", "evidence_ids", "message"]
 
@@ -104,30 +107,64 @@ def summary_json(summary: DataFrame, status: DataFrame) -> DataFrame:
     return summary.join(status, "task_id").select("task_id", "status", result_json("task_id", "status", "completed_agents", "blocking_agents", "results").alias("summary"))
 
 
-def prior_bounds(results: DataFrame) -> DataFrame:
-    """results (task_id, pos, ok) with n_prior: how many of its task's first results, by pos, a result gets to see.
+def context_refs(results: DataFrame) -> DataFrame:
+    """results (task_id, pos, ok, json) with the context that each gets to see, by reference: n_prior, n_bytes and chain.
 
-    A failed result does not refresh the context: what it sees and adds appears once a later result succeeds.
+    The context is the first n_prior of its task's lines (context_lines), by pos, which are n_bytes of UTF-8 as a text.
+    chain names its content: the same lines in the same order have the same chain in every task, other ones another; it
+    is null without lines. A failed result does not refresh the context: what it sees and adds appears once a later
+    result succeeds. No text is made here, so the rows grow with the results, however many a task has.
     """
     task = Window.partitionBy("task_id").orderBy("pos")
+    upto = task.rowsBetween(Window.unboundedPreceding, 0)
     rows = results.withColumn("_rn", F.row_number().over(task))
-    last_ok = F.max(F.when(F.col("ok"), F.col("_rn"))).over(task.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("n_prior", F.coalesce(last_ok, F.lit(0))).drop("_rn")
+    size = F.coalesce(F.sum(F.octet_length("json") + 1).over(upto) - 1, F.lit(0)).cast("long")
+    so_far = F.struct(F.col("_rn").alias("n"), size.alias("bytes"), F.bit_xor(F.xxhash64("_rn", "json")).over(upto).alias("chain"))
+    rows = rows.withColumn("_so_far", so_far)
+    last_ok = F.max(F.when(F.col("ok"), F.col("_so_far"))).over(task.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_seen", last_ok)
+    refs = {"n_prior": F.coalesce("_seen.n", F.lit(0)), "n_bytes": F.coalesce("_seen.bytes", F.lit(0)), "chain": F.lower(F.lpad(F.hex("_seen.chain"), 16, "0"))}
+    return rows.withColumns(refs).drop("_rn", "_so_far", "_seen")
 
 
-def prior_results(results: DataFrame) -> DataFrame:
-    """results (task_id, pos, ok, json) with context: JSON lines of earlier results, or NONE.
+def context_lines(results: DataFrame) -> DataFrame:
+    """(task_id, pos, json): each result's line once, which contexts of any number point to."""
+    return results.select("task_id", "pos", "json")
+
 
-    Each task's lines are gathered once, and a row takes the first n_prior of them (see prior_bounds). A plan has at
-    most one result per known check, so a task's lines are few; for results of any number per task use prior_bounds,
-    for written out the contexts of one task grow with its square.
+def render_contexts(refs: DataFrame, lines: DataFrame) -> DataFrame:
+    """refs (task_id, n_prior, …) with context: the text of the first n_prior lines of their task, or NONE.
+
+    For whoever writes texts out, in which a line is there as often as it is seen. A task's lines come together once.
     """
-    lines = results.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("pos", "json"))).alias("_lines"))
-    rows = prior_bounds(results).join(lines, "task_id", "left")
+    of_task = lines.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("pos", "json"))).alias("_lines"))
     seen = F.transform(F.slice("_lines", F.lit(1), F.col("n_prior")), lambda x: x["json"])
-    return rows.withColumn("context", F.when(F.col("n_prior") == 0, "NONE").otherwise(F.array_join(seen, "\n"))).drop("n_prior", "_lines")
+    context = F.when(F.coalesce("n_prior", F.lit(0)) == 0, "NONE").otherwise(F.array_join(seen, "\n"))
+    return refs.join(of_task, "task_id", "left").withColumn("context", context).drop("_lines")
 
 
-def write_summaries(summaries: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """As Parquet, a folder per status."""
-    summaries.write.mode(mode).partitionBy("status").parquet(path)
+def prior_results(results: DataFrame) -> DataFrame:
+    """results (task_id, pos, ok, json) with context as a text: JSON lines of earlier results, or NONE."""
+    return render_contexts(context_refs(results), context_lines(results)).drop("n_prior", "n_bytes", "chain")
+
+
+def write_summaries(summaries: DataFrame, path: str, run_id: str) -> bool:
+    """Writes a run's summaries once, as Parquet below path/run=<run_id>, a folder per status; False if the run is there already.
+
+    They are staged in a hidden folder and get their place by one rename when whole, so readers see all of a run or
+    nothing, and a run that failed anywhere may be written again: what it had staged is removed. One writer of a run
+    at a time; different runs do not wait for each other.
+    """
+    if not re.fullmatch(r"[\w.-]+", run_id):
+        raise ValueError(f"a run id has letters, digits, _, . and - only: {run_id!r}")
+    spark = summaries.sparkSession
+    place, staged = f"{path}/run={run_id}", f"{path}/_staged/{run_id}"
+    if f"run={run_id}" in folders(spark, path):
+        return False
+    summaries.write.mode("overwrite").partitionBy("status").parquet(staged)
+    return rename_folder(spark, staged, place)
+
+
+def read_summaries(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """What write_summaries has written of a run."""
+    return spark.read.schema("task_id string, summary string, status string").parquet(f"{path}/run={run_id}")

@@ -177,8 +177,12 @@ def a6(t: Tables) -> DataFrame:
  from s left join k using (task_id) group by s.task_id, s.status""",
 )
 def snk1(t: Tables) -> DataFrame:
+    """Summaries written and read back."""
     planned = planning.plan_checks(t.tasks, t.materials)
-    return results.summary_json(results.run_summary(planned, t.results), results.final_status(planned, t.results))
+    summaries = results.summary_json(results.run_summary(planned, t.results), results.final_status(planned, t.results))
+    path = sources.shared_path(t.spark, "summaries")
+    results.write_summaries(summaries, path, "first")
+    return results.read_summaries(t.spark, path, "first")
 
 
 @query(
@@ -269,14 +273,25 @@ _CONTEXT = """, ok as (select task_id, pos, status <> 'ERROR' as ok, task_id ||
  context as (select a.task_id, a.pos, coalesce(string_agg(b.json, chr(10) order by b.pos), 'NONE') as context from lastok a left join ok b on b.task_id = a.task_id and b.pos <= a.lo group by all)"""
 
 
-def _prior(t: Tables) -> DataFrame:
-    rows = t.results.select("task_id", "pos", (F.col("status") != "ERROR").alias("ok"), F.concat_ws(":", "task_id", "pos", "status").alias("json"))
-    return results.prior_results(rows).select("task_id", F.col("pos").cast("long").alias("pos"), "context")
+def _earlier(t: Tables) -> DataFrame:
+    return t.results.select("task_id", "pos", (F.col("status") != "ERROR").alias("ok"), F.concat_ws(":", "task_id", "pos", "status").alias("json"))
 
 
 @query("w2_prior_results", with_("results") + _CONTEXT + " select task_id, pos, context from context")
 def w2(t: Tables) -> DataFrame:
-    return _prior(t)
+    return results.prior_results(_earlier(t)).select("task_id", F.col("pos").cast("long").alias("pos"), "context")
+
+
+@query(
+    "w2_context_refs",
+    with_("results") + _CONTEXT + """ select task_id, pos, case when context = 'NONE' then 0 else len(string_split(context, chr(10))) end::bigint as n_prior, case when context = 'NONE' then 0 else strlen(context) end::bigint as n_bytes,
+ dense_rank() over (partition by task_id order by case when context = 'NONE' then 0 else strlen(context) end) as nth_chain from context""",
+)
+def w2_refs(t: Tables) -> DataFrame:
+    """The same contexts without their texts; a task's chains are numbered as they grow."""
+    refs = results.context_refs(_earlier(t))
+    nth = F.dense_rank().over(Window.partitionBy("task_id").orderBy("n_prior", F.coalesce("chain", F.lit(""))))
+    return refs.select("task_id", F.col("pos").cast("long").alias("pos"), F.col("n_prior").cast("long").alias("n_prior"), "n_bytes", nth.cast("long").alias("nth_chain"))
 
 
 @query(
@@ -286,8 +301,10 @@ def w2(t: Tables) -> DataFrame:
  from planned p left join skills s using (skill) left join digest d using (task_id) left join context c on c.task_id = p.task_id and c.pos = p.plan_pos + 1""",
 )
 def c4(t: Tables) -> DataFrame:
-    prior = _prior(t).select("task_id", (F.col("pos") - 1).cast("int").alias("plan_pos"), "context")
-    out = contract.assemble_prompts(planning.plan_checks(t.tasks, t.materials), t.materials, _skills(t), prior)
+    earlier = _earlier(t)
+    refs = results.context_refs(earlier).select("task_id", (F.col("pos") - 1).cast("int").alias("plan_pos"), "n_prior")
+    prompts = contract.assemble_prompts(planning.plan_checks(t.tasks, t.materials), t.materials, refs)
+    out = contract.render_prompts(prompts, results.context_lines(earlier), _skills(t))
     return out.select("task_id", "plan_pos", fn.sha256_hex(F.col("prompt")).alias("prompt_sha"))
 
 
@@ -296,7 +313,10 @@ def c4(t: Tables) -> DataFrame:
 
 @query("src1_project_scan", with_("tasks") + " select task_id, created_at::varchar as created_at from tasks where project_id = 7 order by tasks.created_at desc nulls first limit 1000000")
 def src1(t: Tables) -> DataFrame:
-    return dashboard.project_scan(t.tasks, ["task_id", "created_at"], 7, "created_at").withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+    """Tasks stored by project, and one project's read from its own files."""
+    store = dashboard.ProjectStore(t.spark, sources.shared_path(t.spark, "projects"))
+    store.write(t.tasks, "created_at")
+    return store.scan(["task_id", "created_at"], 7, "created_at").withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("src2_project_list", with_("projects") + " select id, name, updated_at from projects order by updated_at desc nulls first")

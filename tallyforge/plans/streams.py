@@ -9,14 +9,16 @@ from tallyforge import streaming
 from tallyforge.operators import contract, planning
 from tallyforge.plans import queries as q
 from tallyforge.plans.derived import Tables, with_
-from tallyforge.sources import parse_messages, shared_path
+from tallyforge.sources import route_messages, shared_path
+from tallyforge.streaming.status import StatusTable, stream_status
 
 
-def _replayed(t: Tables, rows: DataFrame, name: str) -> DataFrame:
-    """rows written once and read back as a stream."""
+def _replayed(t: Tables, rows: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """rows written once and read back as a stream, so many files at a time."""
     path = shared_path(t.spark, name)
     rows.write.parquet(path)
-    return t.spark.readStream.schema(rows.schema).parquet(path)
+    reader = t.spark.readStream.schema(rows.schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def _run(t: Tables, stream: DataFrame, name: str, mode: str = "append", **how) -> DataFrame:
@@ -31,10 +33,11 @@ def _and_a_day_later(rows: DataFrame) -> DataFrame:
 
 @q.query("src4_message_source", with_("messages") + " select thread_id, seq, method, md5(text) as text_md5 from messages where seq % 11 <> 7 union all select thread_id, seq, 'malformed', md5('') from messages where seq % 11 = 7")
 def src4(t: Tables) -> DataFrame:
+    """Lines as a stream, parsed once and routed to messages and quarantine."""
     item = F.struct(F.lit("agentMessage").alias("type"), F.col("text"))
     line = F.to_json(F.struct("method", F.struct(F.col("thread_id").alias("threadId"), F.col("turn_id").alias("turnId"), item.alias("item")).alias("params")))
     lines = t.messages.select("thread_id", "seq", F.when(F.col("seq") % 11 == 7, F.concat(F.lit("{broken"), line)).otherwise(line).alias("value"))
-    good, bad = parse_messages(lines.withColumnRenamed("thread_id", "file"))
+    good, bad = route_messages(_replayed(t, lines.withColumnRenamed("thread_id", "file"), "lines", files=3), shared_path(t.spark, "routed"))
     read = good.select("thread_id", "seq", "method", F.md5("item_text").alias("text_md5"))
     return read.unionByName(bad.select(F.col("file").alias("thread_id"), "seq", F.lit("malformed").alias("method"), F.md5(F.lit("")).alias("text_md5")))
 
@@ -81,19 +84,23 @@ def st5_stream(t: Tables) -> DataFrame:
 
 @q.query("st6_live_status", q.WITH_RESULTS + q.A1_SQL)
 def st6(t: Tables) -> DataFrame:
-    flags = _run(t, _replayed(t, t.results.select("task_id", "agent", "status"), "results"), "status", "update", each=streaming.live_status)
-    return streaming.complete_status(planning.plan_checks(t.tasks, t.materials), flags)
+    """Results in several micro-batches, each of which brings the table up to date."""
+    table = StatusTable(t.spark, shared_path(t.spark, "status"), planning.plan_checks(t.tasks, t.materials), buckets=4, every=3)
+    stream = _replayed(t, t.results.select("task_id", "agent", "status"), "results", files=3)
+    stream_status(stream, table, shared_path(t.spark, "checkpoints"))
+    return table.status()
 
 
 @q.query("j10_stream_pairs", "select q.event_id // 2 as id, a.event_id is not null as answered from events q left join events a on a.event_id = q.event_id + 1 and a.ts between q.ts and q.ts + interval 900 second where q.event_id % 2 = 0 and (a.event_id is not null)")
 def j10_stream(t: Tables) -> DataFrame:
     asked, answered = q._rpc(t)
     out = streaming.stream_pairs(_replayed(t, asked, "asked"), _replayed(t, answered, "answered"))
-    return _run(t, out, "pairs").where("response_ts is not null").select("id", F.lit(True).alias("answered"))
+    return _run(t, out, "pairs", "update").where("response_ts is not null").select("id", F.lit(True).alias("answered"))
 
 
 @q.query("j10_stream_outcomes", q.ORACLE["j10_request_response_pairing"])
 def j10_stream_outcomes(t: Tables) -> DataFrame:
+    """A row per request as it comes out: nothing is summed behind the stream."""
     asked, answered = (_and_a_day_later(rows) for rows in q._rpc(t))
-    out = _run(t, streaming.stream_pairs(_replayed(t, asked, "asked"), _replayed(t, answered, "answered")), "outcomes")
-    return out.where("id is not null").groupBy("id").agg(F.min_by("outcome", "response_ts").alias("outcome"), F.first("outcome").alias("only")).select("id", F.coalesce("outcome", "only").alias("outcome"))
+    out = _run(t, streaming.stream_pairs(_replayed(t, asked, "asked"), _replayed(t, answered, "answered")), "outcomes", "update")
+    return out.where("id is not null").select("id", "outcome")

@@ -49,6 +49,8 @@ RAW_OUTPUTS = "task_id string, agent string, raw_text string, thread_id string,
 MESSAGES = "connection string, seq long, ts timestamp, method string, thread_id string, turn_id string, delta string, item_type string, item_text string, turn_status string, turn_error string"
 
 TURN_TIMEOUT_S = 900
+#: How long a stream remembers that a turn has ended, since its last message.
+TURN_HORIZON_S = 86_400
 LEASE_MINUTES = 10
 COOLDOWN_S = 60
 COUNT_CAP = 1000

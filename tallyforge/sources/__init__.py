@@ -29,6 +29,44 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_top(spark)}/{name}/{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), top
+
+
+def folders(spark: SparkSession, path: str, whole: bool = False) -> list[str]:
+    """Names of the folders in a folder, none where it isn't there; if whole, of those that a writer has finished."""
+    fs, top = _file_system(spark, path)
+    found = [s.getPath() for s in fs.listStatus(top) if s.isDirectory()] if fs.exists(top) else []
+    done = lambda p: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return sorted(p.getName() for p in found if not whole or done(p))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, top = _file_system(spark, path)
+    fs.delete(top, True)
+
+
+def rename_folder(spark: SparkSession, path: str, to: str) -> bool:
+    """Whether the folder has got its new name, which nothing had before."""
+    (fs, top), (_, there) = _file_system(spark, path), _file_system(spark, to)
+    return not fs.exists(there) and fs.rename(top, there)
+
+
+def written(df: DataFrame, name: str = "tables") -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, kept when executors are lost."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df dealt out by ranges of these columns, nulls first, and in that order in each task: a key with many rows goes to many tasks."""
+    by = [F.asc_nulls_first(c) for c in order]
+    return df.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
 def skill_corpus(spark: SparkSession, path: str, file: str = "SKILL.md") -> DataFrame:
     """(skill, text) of path/<skill>/<file>; folders with unsafe names are left out. A folder skill=x is skill x."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file).text(path, wholetext=True)
@@ -46,17 +84,46 @@ def load_skills(wanted: DataFrame, skills: DataFrame, optional: bool = False) ->
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null").drop("text")
 
 
-def parse_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages, malformed) of JSON lines (value and any other columns), batch or stream."""
+def tagged_messages(lines: DataFrame) -> DataFrame:
+    """JSON lines (value and any other columns), parsed once: the messages' fields and kind, `message` or `malformed`; value is kept of the malformed ones."""
     rows = lines.withColumn("_m", F.from_json("value", MESSAGE, {"mode": "PERMISSIVE"}))
     good = F.coalesce(F.col("_m.method").isNotNull(), F.lit(False))
     p = F.col("_m.params")
-    flat = rows.where(good).select(
-        *[c for c in lines.columns if c != "value"],
+    return rows.select(
+        *[c for c in lines.columns if c != "value"], F.when(~good, F.col("value")).alias("value"), F.when(good, "message").otherwise("malformed").alias("kind"),
         F.col("_m.method").alias("method"), p["threadId"].alias("thread_id"), p["turnId"].alias("turn_id"), p["delta"].alias("delta"), p["item"]["type"].alias("item_type"),
         F.coalesce(F.when(p["item"]["text"] != "", p["item"]["text"]), p["item"]["message"]).alias("item_text"), p["turn"]["status"].alias("turn_status"), p["turn"]["error"]["message"].alias("turn_error"),
     )
-    return flat, rows.where(~good).drop("_m")
+
+
+def _apart(tagged: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(messages, malformed) of tagged messages; columns are those of the lines."""
+    fields = ["method", "thread_id", "turn_id", "delta", "item_type", "item_text", "turn_status", "turn_error"]
+    return tagged.where("kind = 'message'").select(*[c for c in columns if c != "value"], *fields), tagged.where("kind = 'malformed'").select(*columns)
+
+
+def parse_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages, malformed) of JSON lines (value and any other columns), batch or stream; each frame parses for itself. route_messages parses once."""
+    return _apart(tagged_messages(lines), lines.columns)
+
+
+def route_messages(lines: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Runs a stream of JSON lines over all that is there: (messages, malformed) as tables below path, the second a quarantine.
+
+    A micro-batch is parsed once, and one write deals its rows out to the folders of both kinds. Its folder bears its
+    number, so a batch that runs again replaces what it had written. In one run a batch is all that is there, or what
+    the stream's options allow it.
+    """
+    schema = tagged_messages(lines.sparkSession.createDataFrame([], lines.schema)).schema
+
+    def route(batch: DataFrame, n: int) -> None:
+        tagged_messages(batch).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/rows/n={n}")
+
+    lines.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(route).start().awaitTermination()
+    # a folder with no file yet can't be read
+    there = folders(lines.sparkSession, f"{path}/rows", whole=True)
+    rows = lines.sparkSession.read.schema(schema).parquet(f"{path}/rows") if there else lines.sparkSession.createDataFrame([], schema)
+    return _apart(rows, lines.columns)
 
 
 def read_messages(spark: SparkSession, path: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyforge import schemas as S
-from tallyforge.operators.results import any_status
 from tallyforge.operators.turns import TURN
 
+#: A row's time for processors, as a number: what they get as timestamps is in the session's time zone.
+MILLIS = "ts_millis"
 TURN_OUT = "thread_id string, turn_id string, text string, turn_status string, turn_error string, timed_out boolean"
 
 
@@ -21,54 +23,82 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def _keyed(c: str) -> Column:
+    """A column as a key that is never null: timers of a null key give keys of other groups as null too."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+
+def _unkeyed(c: str, kind: T.DataType) -> Column:
+    return F.when(F.col(c) != "", F.substr(F.col(c), F.lit(2))).cast(kind)
+
+
 class TurnProcessor(StatefulProcessor):
-    """Collects a turn's parts; gives the turn once, when it completes or when its time is over, and forgets it then."""
+    """Collects a turn's parts and gives the turn once: when it completes or when its time is over.
 
-    def __init__(self, seconds: int) -> None:
-        self.seconds = seconds
+    An ended turn is remembered without its parts until `horizon` seconds have gone since its last message, so each
+    straggler renews that time and none starts the turn again. One timer stands for a turn: first for its deadline, then
+    for the end of its memory.
+    """
+
+    def __init__(self, seconds: int, horizon: int) -> None:
+        self.seconds, self.horizon = seconds, horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.parts = handle.getListState("parts", "seq long, delta boolean, part string")
-        self.state = handle.getValueState("state", "done boolean, deadline long")
+        self.state = handle.getValueState("state", "ended boolean, until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.state.exists() and self.state.get()[0]:
-            return
         batch = pd.concat(list(rows)).sort_values("seq")
-        if not self.state.exists():
-            self.state.update((False, int(batch["ts"].min().timestamp() * 1000) + self.seconds * 1000))
-            self.handle.registerTimer(self.state.get()[1])
-        deadline, new = self.state.get()[1], []
+        last = int(batch[MILLIS].max())
+        ended, until = self.state.get() if self.state.exists() else (False, None)
+        if ended:
+            self._remember(until, last)
+            return
+        if until is None:
+            until = int(batch[MILLIS].min()) + self.seconds * 1000
+            self.state.update((False, until))
+            self.handle.registerTimer(until)
+        new, end = [], None
         for r in batch.itertuples():
-            if r.ts.timestamp() * 1000 > deadline:
-                yield self._end(key, new, None, None, True)
-                return
-            if r.method == "item/agentMessage/delta" and isinstance(r.delta, str):
+            if getattr(r, MILLIS) > until:
+                end = (None, None, True)
+            elif r.method == "turn/completed":
+                end = (r.turn_status, r.turn_error, False)
+            elif r.method == "item/agentMessage/delta" and isinstance(r.delta, str):
                 new.append((int(r.seq), True, r.delta))
             elif r.method == "item/completed" and r.item_type == "agentMessage" and isinstance(r.item_text, str) and r.item_text:
                 new.append((int(r.seq), False, r.item_text))
-            elif r.method == "turn/completed":
-                yield self._end(key, new, r.turn_status, r.turn_error, False)
+            if end:
+                yield self._turn(key, new, *end)
+                self._remember(until, last)
                 return
         if new:
             self.parts.appendList(new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        ended, until = self.state.get() if self.state.exists() else (True, None)
+        if until is None or now < until:
             return
-        if self.state.get()[0]:
+        if ended:
             self.state.clear()
         else:
-            # known as ended for as long again, so that what comes late starts no other turn
-            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.seconds * 1000)
-            yield self._end(key, [], None, None, True)
-
-    def _end(self, key, new, status, error, timed_out) -> pd.DataFrame:
+            yield self._turn(key, [], None, None, True)
+            self.state.update((True, until + self.horizon * 1000))
+            self.handle.registerTimer(until + self.horizon * 1000)
+
+    def _remember(self, timer: int, last: int) -> None:
+        until = max(last + self.horizon * 1000, timer)
+        if until > timer:
+            self.handle.deleteTimer(timer)
+            self.handle.registerTimer(until)
+        self.state.update((True, until))
+
+    def _turn(self, key, new, status, error, timed_out) -> pd.DataFrame:
         parts = sorted([*self.parts.get(), *new]) if self.parts.exists() else sorted(new)
         text = "".join(p[2] for i, p in enumerate(parts) if p[1] or i == 0)
         self.parts.clear()
-        self.state.update((True, self.state.get()[1]))
         clean = lambda x: x if isinstance(x, str) else None
         return pd.DataFrame({"thread_id": [key[0]], "turn_id": [key[1]], "text": [text], "turn_status": [clean(status)], "turn_error": [clean(error)], "timed_out": [timed_out]})
 
@@ -111,9 +141,10 @@ class IdProcessor(StatefulProcessor):
         pass
 
 
-def stream_turns(messages: DataFrame, seconds: int = S.TURN_TIMEOUT_S, slack: str = "1 minute", fill: bool = False) -> DataFrame:
-    """Completed and timed-out turns of a message stream whose rows come in order of seq, for update mode.
+def stream_turns(messages: DataFrame, seconds: int = S.TURN_TIMEOUT_S, slack: str = "1 minute", fill: bool = False, horizon: int = S.TURN_HORIZON_S) -> DataFrame:
+    """Completed and timed-out turns of a message stream whose rows come in order of seq, for update mode; what turns.ended_turns gives.
 
+    Messages up to `horizon` seconds behind a turn's end, or behind the straggler before them, never make it a second time.
     With `fill`, messages without ids belong to the turn that their connection was in, as in the batch form. Then two
     stateful steps follow each other, which Spark runs in append mode only.
     """
@@ -123,7 +154,9 @@ def stream_turns(messages: DataFrame, seconds: int = S.TURN_TIMEOUT_S, slack: st
         mode = "Append"
         known = IdProcessor(messages.columns, seconds)
         rows = rows.groupBy("connection").transformWithStateInPandas(statefulProcessor=known, outputStructType=messages.schema, outputMode=mode, timeMode="EventTime", eventTimeColumnName="ts")
-    return rows.groupBy(*TURN).transformWithStateInPandas(statefulProcessor=TurnProcessor(seconds), outputStructType=TURN_OUT, outputMode=mode, timeMode="EventTime")
+    rows = rows.withColumns({MILLIS: F.unix_millis("ts"), **{c: _keyed(c) for c in TURN}})
+    out = rows.groupBy(*TURN).transformWithStateInPandas(statefulProcessor=TurnProcessor(seconds, horizon), outputStructType=TURN_OUT, outputMode=mode, timeMode="EventTime")
+    return out.withColumns({c: _unkeyed(c, T.StringType()) for c in TURN})
 
 
 class CooldownProcessor(StatefulProcessor):
@@ -184,8 +217,8 @@ class LeaseProcessor(StatefulProcessor):
         self.job = handle.getValueState("job", "locked long, attempts long, most long, running boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(rows)).sort_values("locked_at", kind="stable").iloc[-1]
-        locked = int(last["locked_at"].timestamp() * 1000)
+        last = pd.concat(list(rows)).sort_values(MILLIS, kind="stable").iloc[-1]
+        locked = int(last[MILLIS])
         if self.job.exists():
             before = self.job.get()[0]
             if before > locked:  # an older state that came late
@@ -212,40 +245,96 @@ class LeaseProcessor(StatefulProcessor):
 def stream_stale_leases(jobs: DataFrame, minutes: int = S.LEASE_MINUTES, slack: str = "1 minute") -> DataFrame:
     """(id, next_status) of jobs whose lease ran out, by the time of the stream."""
     use_rocksdb(jobs.sparkSession)
-    rows = jobs.withWatermark("locked_at", slack)
+    rows = jobs.withWatermark("locked_at", slack).withColumn(MILLIS, F.unix_millis("locked_at"))
     return rows.groupBy("id").transformWithStateInPandas(statefulProcessor=LeaseProcessor(minutes), outputStructType="id long, next_status string", outputMode="Update", timeMode="EventTime")
 
 
-def stream_pairs(requests: DataFrame, responses: DataFrame, seconds: int = S.TURN_TIMEOUT_S, slack: str = "1 minute") -> DataFrame:
-    """Requests (id, ts) with each response in time (response_ts, error, result), and outcome: ok, failed or timed_out.
+class PairProcessor(StatefulProcessor):
+    """Holds a request until its first response in time comes, or none can come any more; a response that comes first waits for as long as a request may still come."""
 
-    A request is timed_out, with result {}, once the stream's time says that no response can come any more.
-    """
-    asked = requests.withWatermark("ts", slack)
-    answered = responses.select(F.col("id").alias("_id"), F.col("ts").alias("response_ts"), "error", "result").withWatermark("response_ts", slack)
-    within = F.expr(f"id = _id and response_ts >= ts and response_ts <= ts + interval {int(seconds)} seconds")
-    outcome = F.when(F.col("response_ts").isNull(), "timed_out").when(F.col("error").isNotNull(), "failed").otherwise("ok")
-    return asked.join(answered, within, "leftOuter").drop("_id").withColumns({"outcome": outcome, "result": F.coalesce("result", F.lit("{}"))})
+    def __init__(self, seconds: int) -> None:
+        self.micros = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.asked = handle.getListState("asked", "at long")
+        self.early = handle.getListState("early", "at long, error string, result string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        clean = lambda x: x if isinstance(x, str) else None
+        new = {int(at) for at in batch["at"][batch["asks"]]}
+        said = batch[~batch["asks"]]
+        answers = [(int(at), clean(e), clean(r)) for at, e, r in zip(said["at"], said["error"], said["result"])]
+        before, waiting = self._listed(self.asked), self._listed(self.early)
+        answers.sort(key=lambda a: (a[0], a[1] is not None, a[1] or "", a[2] is not None, a[2] or ""))
+        left = []
+        for (at,) in sorted({*before, *((a,) for a in new)}):
+            first = next((a for a in [*waiting, *answers] if at <= a[0] <= at + self.micros), None)
+            if first is None:
+                left.append((at,))
+            else:
+                yield self._row(key, at, first)
+        # a request can only come before the watermark reaches its own time, so not behind that of its response
+        now = timerValues.getCurrentWatermarkInMs()
+        self._keep(before, waiting, left, [a for a in [*waiting, *answers] if a[0] // 1000 >= now])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        asked, early = ([x for x in self._listed(state) if over(x[0]) > now] for state, over in ((self.asked, self._over), (self.early, self._past)))
+        for (at,) in self._listed(self.asked):
+            if self._over(at) <= now:
+                yield self._row(key, at, None)
+        self._keep(asked, early, asked, early)
+
+    def _past(self, at: int) -> int:
+        return at // 1000 + 1
+
+    def _over(self, at: int) -> int:
+        return (at + self.micros) // 1000 + 1
+
+    @staticmethod
+    def _listed(state) -> list[tuple]:
+        return [tuple(x) for x in state.get()] if state.exists() else []
+
+    def _keep(self, asked_before: list, early_before: list, asked: list, early: list) -> None:
+        """The new state, and a timer for each time that something in it ends, be it for one or several."""
+        had, want = ({*(self._over(a[0]) for a in x), *(self._past(a[0]) for a in y)} for x, y in ((asked_before, early_before), (asked, early)))
+        for timer in had - want:
+            self.handle.deleteTimer(timer)
+        for timer in want - had:
+            self.handle.registerTimer(timer)
+        for state, rows in ((self.asked, asked), (self.early, early)):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+
+    def _row(self, key, at: int, answer: tuple | None) -> pd.DataFrame:
+        said, error, result = answer or (None, None, None)
+        outcome = "timed_out" if answer is None else "failed" if error is not None else "ok"
+        return pd.DataFrame({"id": [key[0]], "at": [at], "said": pd.array([said], "Int64"), "error": [error], "result": ["{}" if result is None else result], "outcome": [outcome]})
 
-def live_status(results: DataFrame) -> DataFrame:
-    """Measures of each task and agent in one batch of results.
+    def close(self) -> None:
+        pass
+
+
+def stream_pairs(requests: DataFrame, responses: DataFrame, seconds: int = S.TURN_TIMEOUT_S, slack: str = "1 minute") -> DataFrame:
+    """One row per request (id, ts): response_ts, error and result of its first response in time, and outcome: ok, failed or timed_out.
 
-    They only ever add up, so a stream keeps no state for them: each batch's measures are written (run_available with
-    each=live_status), and all of them together with the planned checks (complete_status) give the status at any time.
+    The first response to arrive counts, of one batch that with the least time. The request is forgotten with it, so
+    further responses give no row, and neither do those that no request comes to. A request is timed_out, with result {},
+    once the stream's time says that no response can come any more. For update mode; equal requests of one batch are one.
     """
-    flags = [any_status(s).alias(s) for s in ("ERROR", "BLOCK", "UNCERTAINTY", "WARNING")]
-    return results.groupBy("task_id", "agent").agg(*flags)
-
-
-def complete_status(planned: DataFrame, flags: DataFrame) -> DataFrame:
-    """(task_id, status) from planned checks and the measures of live_status, of any number of batches."""
-    names = ("ERROR", "BLOCK", "UNCERTAINTY", "WARNING")
-    summed = flags.groupBy("task_id", "agent").agg(*[F.bool_or(s).alias(s) for s in names], F.lit(True).alias("there"))
-    rows = planned.select("task_id", "agent").distinct().join(summed, ["task_id", "agent"], "left")
-    found = rows.groupBy("task_id").agg(*[F.coalesce(F.bool_or(s), F.lit(False)).alias(s) for s in names], F.bool_and(F.coalesce("there", F.lit(False))).alias("complete"))
-    status = F.when(F.col("ERROR"), "ERROR").when(F.col("BLOCK"), "BLOCK").when(F.col("UNCERTAINTY"), "UNCERTAINTY").when(F.col("WARNING"), "WARNING")
-    return found.select("task_id", status.when(~F.col("complete"), "UNCERTAINTY").otherwise("ACCEPTED").alias("status"))
+    use_rocksdb(requests.sparkSession)
+    asks = requests.select("id", "ts", F.unix_micros("ts").alias("at"), F.lit(True).alias("asks"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("result"))
+    says = responses.select("id", "ts", F.unix_micros("ts").alias("at"), F.lit(False).alias("asks"), "error", "result")
+    kind = asks.schema["id"].dataType
+    # a null id is equal to none: such responses answer nothing, such requests run out of time
+    rows = asks.unionByName(says.where("id is not null")).withWatermark("ts", slack).withColumn("id", _keyed("id"))
+    schema = "id string, at long, said long, error string, result string, outcome string"
+    out = rows.groupBy("id").transformWithStateInPandas(statefulProcessor=PairProcessor(seconds), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+    return out.select(_unkeyed("id", kind).alias("id"), F.timestamp_micros("at").alias("ts"), F.timestamp_micros("said").alias("response_ts"), "error", "result", "outcome")
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

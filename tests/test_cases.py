@@ -171,8 +171,8 @@ def test_files_and_skills(spark, tmp_path):
 def test_summaries_are_written_by_status(spark, tmp_path):
     p = planned(spark)
     status = results.final_status(p, result(spark, ("report-audit-agent", "BLOCK")))
-    results.write_summaries(results.summary_json(results.run_summary(p, result(spark, ("report-audit-agent", "BLOCK"))), status), str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out")).first()
+    results.write_summaries(results.summary_json(results.run_summary(p, result(spark, ("report-audit-agent", "BLOCK"))), status), str(tmp_path / "out"), "run")
+    back = results.read_summaries(spark, str(tmp_path / "out"), "run").first()
     assert back.status == "BLOCK" and '"message":null' in back.summary
 
 
