@@ -1,7 +1,7 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions alone.
 
-A run of RUN consecutive lines that occurred before, in the order of (doc_id, line), is deleted; the
-earliest occurrence stays. Each document's lines are hashed, and of every RUN lines in a row the smallest
+A run of RUN consecutive lines that occurred before, in the order of (doc_id, hash of the text, line), is
+deleted; the earliest occurrence stays. Each document's lines are hashed, and of every RUN lines in a row the smallest
 hash is selected, so that equal runs are sure to select equal fingerprints: about 2 / (RUN + 1) of the
 lines, and only these positions leave the documents, with the hashes of their RUN - 1 neighbours on either
 side. Positions meet by fingerprint, and those that meet nobody are done with. From the others matches
@@ -27,7 +27,8 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     Lines end at \\n. Lines of white space alone take no part: they stay and do not part a run. A document
     with fewer than `run` other lines keeps all. Null text stays null with no lines, and a text whose lines all
     go becomes empty. Lines are compared without white space at their ends. Rows with equal doc_id and
-    text are one document and get the same result; a null doc_id comes before all others. Columns of
+    text are one document and get the same result; of different texts under one doc_id, or without one, that with the
+    smaller 64-bit hash comes first; a null doc_id comes before all others. Columns of
     docs named n_lines or n_removed are replaced. No rows in, no rows out.
     """
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
@@ -63,9 +64,9 @@ def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("around") - run), extended), lambda r: r["least"] == F.col("fingerprint"))
     race = written(race.select("doc", "copy", "fingerprint", F.explode(runs).alias("r")).select("doc", "copy", "fingerprint", "r.first", "r.whole", "r.at"))
     # where each run occurs first, if it occurs again
-    spans = race.groupBy("fingerprint", "whole").agg(F.min(F.struct("doc", "first")).alias("earliest"), F.max(F.struct("doc", "first")).alias("latest"), F.count("*").alias("n"))
+    spans = race.groupBy("fingerprint", "whole").agg(F.min(F.struct("doc", "copy", "first")).alias("earliest"), F.max(F.struct("doc", "copy", "first")).alias("latest"), F.count("*").alias("n"))
     spans = written(spans.where("earliest <> latest").drop("latest"))
-    later = joined(race, spans, ["fingerprint", "whole"]).where(F.struct("doc", "first") > F.col("earliest"))
+    later = joined(race, spans, ["fingerprint", "whole"]).where(F.struct("doc", "copy", "first") > F.col("earliest"))
     gone = later.groupBy(F.col("doc").alias("_doc"), F.col("copy").alias("_copy")).agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("_gone"))
 
     rows = docs.select(F.struct(*others).alias("_row"), "text", doc.alias("_d"), copy.alias("_c"))

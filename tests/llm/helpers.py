@@ -71,21 +71,22 @@ def substring(rows, size):
 
 
 def line_dedup(rows, run):
-    """Text left of each distinct (doc_id, text)."""
+    """Text left of each distinct (doc_id, text); one of two texts under one id is first, by their hashes."""
     lines = {}
     for i, t in rows:
         lines[i, t] = [(n, x.strip(" \t\n\x0b\f\r")) for n, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\x0b\f\r")]
     first = {}
-    at = lambda i: -(2**63) if i is None else i
-    for (i, _), own in lines.items():
+    signed = lambda h: h - (h >> 63 << 64)
+    at = lambda i, t: (-(2**63) if i is None else i, 42 if t is None else signed(xxhash.xxh64_intdigest(t.encode(), 42)))
+    for (i, t), own in lines.items():
         for k in range(len(own) - run + 1):
             key = tuple(x for _, x in own[k : k + run])
-            first[key] = min(first.get(key, (at(i), k)), (at(i), k))
+            first[key] = min(first.get(key, (at(i, t), k)), (at(i, t), k))
     out = {}
     for (i, t), own in lines.items():
         gone = set()
         for k in range(len(own) - run + 1):
-            if first[tuple(x for _, x in own[k : k + run])] < (at(i), k):
+            if first[tuple(x for _, x in own[k : k + run])] < (at(i, t), k):
                 gone.update(n for n, _ in own[k : k + run])
         out[i, t] = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
     return out
