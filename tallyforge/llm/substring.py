@@ -268,7 +268,8 @@ def substring_dedup(docs: DataFrame, size: int = 35) -> DataFrame:
     rows = text_columns(docs, "doc_id", "text")
     keyed = rows.withColumns({"key": F.xxhash64("doc_id", "text"), "key2": F.xxhash64("text", F.lit("and"), "doc_id")})
     found = repeated_ranges(keyed.select("key", "key2", "text"), size)
-    ranges = found.groupBy(F.col("key").alias("_key"), F.col("key2").alias("_key2")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    # a row that is there many times gives its ranges each time: they are one set, and a plain table lets Spark split the join
+    ranges = written(found.groupBy(F.col("key").alias("_key"), F.col("key2").alias("_key2")).agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
     joined = keyed.join(ranges, (F.col("key") == F.col("_key")) & (F.col("key2") == F.col("_key2")), "left").select("doc_id", "text", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,7 +132,10 @@ def test_lines_of_given_documents(spark, sf):
 @pytest.mark.parametrize("run", [1, 2, 4])
 def test_lines_hard_rows(spark, run):
     rows = [*HARD, (20, "x\n\nline number 3 of the long document goes on and on\n  line number 4 of the long document goes on and on  \ny"), (21, "a\na\na\na\na\nb")]
+    shared = "p\nq\nr\ns"
+    rows += [(22, f"{shared}\nx1"), (22, f"{shared}\nx2"), (None, f"{shared}\ny1"), (None, f"{shared}\ny2"), (None, f"{shared}\ny2")]  # texts under one id, and without one
     want = line_dedup(rows, run)
+    assert sum(shared in (want[i, t] or "") for i, t in {(i, t) for i, t in rows}) == 1
     got = deduplicated(docs(spark, rows), run).collect()
     key = lambda x: (x[0] or 0, x[1] or "", x[1] is None)
     assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(((i, want[i, t]) for i, t in rows), key=key)
@@ -156,6 +159,21 @@ def test_lines_leave_at_the_density_of_winnowing(spark, monkeypatch, run):
     assert tables[1].count() <= 200  # only what meets goes on
 
 
+def test_substring_of_a_row_that_is_there_very_often(spark):
+    """Ranges of equal rows are one set: work and results grow with the copies, not with their square."""
+    import time
+
+    text = " ".join(f"w{k}" for k in range(60))
+    took = []
+    for n in (500, 8_000):
+        rows = spark.range(n).selectExpr("cast(null as long) as doc_id", f"'{text}' as text").repartition(4)
+        began = time.monotonic()
+        got = substring_dedup(rows).groupBy("n_words", "n_removed").count().collect()
+        took.append(time.monotonic() - began)
+        assert [tuple(r) for r in got] == [(60, 60, n)]
+    assert took[1] < 8 * max(took[0], 2)
+
+
 @SLOW
 @given(st.lists(st.lists(st.sampled_from("abcd "), max_size=14), min_size=1, max_size=5), st.integers(1, 4))
 def test_lines_of_few_letters(spark, texts, run):
