@@ -3,13 +3,14 @@
 Two views of a document each have a classifier: what its text says (hashed words, runs of symbols, shares of
 symbols, capitals, digits, lines and repeated words) and what its record says (source, language, recorded size).
 The text view is a logistic regression over the buckets that differ between good and bad, the record's view adds
-up log odds. Both start from labelled documents; each round, the unlabelled ones of which one view is sure are
-handed, with that label, to the other view. Each view is calibrated on labelled documents from which neither learns;
-at last their log odds are added, and all documents are scored.
-
-Texts are read twice, once for a compact table of chosen buckets, once to be scored, and once more in a round in
-which the record's view is sure of any. Everything learned from unlabelled documents is a sum over all of them, made
-in the tasks, so no document is left out and none moves.
+up log odds. Both start from labelled documents; each round, each view hands the unlabelled documents of which it is
+surest, a share of all that grows by the round, to the other one with its label for them. Each view is calibrated on labelled documents
+from which neither learns, and what it has learned in a round is taken back if that makes it worse on them; at last
+their log odds are added, and all documents are scored.
+
+Texts are read three times: for which buckets count among the documents that the record's view hands over at first, for
+a compact table of chosen buckets, and to be scored. Everything learned from unlabelled documents is a sum over all of
+them, made in the tasks, so no document is left out and none moves.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from tallyforge.llm.common import LOWER, NOT_ALNUM, SYMBOL, mix, pieces, text_by
 DIMS_BITS, META_BITS = 17, 12
 #: Labelled documents to learn from. Of unlabelled ones all take part.
 MAX_LABELLED = 20_000
-#: Rounds, and how sure a view must be of a pseudo-label; weight of a pseudo-labelled document, less for the kind of which there are too many.
-ROUNDS, SURE, PSEUDO = 2, 0.95, 0.5
+#: Rounds, and the share of the unlabelled documents by which what a view hands over grows in each; weight of a pseudo-labelled document, less for the kind of which there are too many.
+ROUNDS, HANDED, PSEUDO = 2, 0.2, 0.5
+#: Steps in which log odds from -20 to 20 are counted; loss a held document by which a view may get worse before it forgets a round.
+BINS, WORSE = 4_000, 0.01
 #: A bucket is chosen if its likelihood ratio statistic is that large (about one in ten thousand by chance), the best ones up to a number.
 LEAST_G, MOST_CHOSEN = 15.0, 4_096
 #: Steps of a fit to labelled documents alone, and of one that pseudo-labelled ones take part in, each a pass over the compact table.
@@ -128,8 +131,8 @@ def _of(which: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.nda
     return new[pairs[0][own]], pairs[1][own]
 
 
-def _descended(view: View, steps: int, labelled: tuple, more=None) -> View:
-    """Logistic regression, ridge 1, by steps scaled with each place's sum of weights. more(view): the same sums over pseudo-labelled documents."""
+def _descended(view: View, steps: int, labelled: tuple, more=None, free: np.ndarray | None = None) -> View:
+    """Logistic regression, ridge 1, by steps scaled with each place's sum of weights. more(view): the same sums over pseudo-labelled documents. free: the places that may move."""
     row, place, y, weight = labelled
     w, base, n = view.weights.copy(), view.base, len(y)
     often = np.bincount(place, weights=weight[row], minlength=len(w))
@@ -139,7 +142,7 @@ def _descended(view: View, steps: int, labelled: tuple, more=None) -> View:
         if more is not None:
             slope2, seen2, of_base2, total2 = more(View(w, base))
             slope, seen, of_base, total = slope + slope2, seen + seen2, of_base + of_base2, total + total2
-        w = w - (slope + w) / (seen + 1)
+        w = w - (slope + w) / (seen + 1) * (1 if free is None else free)
         base -= 2 * of_base / max(total, 1e-9)
     return View(w, base)
 
@@ -163,6 +166,43 @@ def _aligned(view: View, row: np.ndarray, place: np.ndarray, y: np.ndarray, slop
     return View(slope * view.weights, slope * view.base + shift)
 
 
+def _loss(view: View, row: np.ndarray, place: np.ndarray, y: np.ndarray) -> float:
+    """Mean log loss on documents not learned from."""
+    return float(np.mean(np.logaddexp(0, np.where(y > 0, -1, 1) * view.logit(row, place, len(y))))) if len(y) else 0.0
+
+
+def bins(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((z + 20) * (BINS / 40)), 0, BINS - 1).astype(np.int64)
+
+
+class Surest(NamedTuple):
+    """A view, and the bins of log odds up to which it hands documents over as bad, and from which on as good."""
+
+    view: View
+    bad: int
+    good: int
+
+    def __call__(self, row: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        at = bins(self.view.logit(row, place, n))
+        return at <= self.bad, at >= self.good
+
+
+def surest(view: View, counts: np.ndarray, n_bad: float, n_good: float, base: float, share: float = HANDED) -> Surest:
+    """The documents of which the view is surest: that share of all counted ones, in the labelled ones' proportion.
+
+    A bin of equals goes whole or not at all, but the most extreme one goes in any case. Bad ones lie below the log odds
+    of all documents, good ones above; a view that tells nothing apart hands nothing over.
+    """
+    wanted, middle = share * counts.sum(), int(bins(np.array([base]))[0])
+    there = np.flatnonzero(counts)
+    if not len(there) or there[0] >= middle or there[-1] <= middle:
+        return Surest(view, -1, BINS)
+    up, down = np.cumsum(counts), np.cumsum(counts[::-1])
+    bad = max(int(np.searchsorted(up, wanted * n_bad / (n_bad + n_good), "right")) - 1, int(there[0]))
+    good = min(BINS - int(np.searchsorted(down, wanted * n_good / (n_bad + n_good), "right")), int(there[-1]))
+    return Surest(view, min(bad, middle - 1), max(good, middle + 1))
+
+
 def _in_proportion(bad: float, good: float, n_bad: float, n_good: float) -> tuple[float, float]:
     """Weights of surely bad and surely good documents, so that together they are as many to one as labelled ones."""
     ratio = n_good / n_bad
@@ -189,25 +229,25 @@ def _sums(rows: DataFrame, state: dict, size: int, add) -> np.ndarray:
     return out
 
 
-def _sure(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are surely bad, and surely good."""
-    return p <= 1 - SURE, p >= SURE
+def _histogram(state: dict, text: tuple, meta: tuple, n: int, total: np.ndarray) -> None:
+    """How many rows are in each bin of a view's log odds."""
+    np.add.at(total, bins(state["view"].logit(*(text if state["of"] == "text" else meta), n)), 1)
 
 
 def _by_label(state: dict, text: tuple, meta: tuple, n: int, total: np.ndarray) -> None:
-    """Buckets of one view's rows of which the other view is sure, by label; then how many rows that are, and how many there were."""
+    """Buckets of one view's rows that the other view hands over, by label; then how many rows that are, and how many there were."""
     teacher, taught = ((text, meta), (meta, text))[state["taught"] == "text"]
     size = (len(total) - 3) // 2
-    for k, own in enumerate(_sure(probability(state["teacher"].logit(*teacher, n)))):
+    for k, own in enumerate(state["teacher"](*teacher, n)):
         total[k * size : (k + 1) * size] += np.bincount(taught[1][own[taught[0]]], minlength=size)
         total[2 * size + k] += own.sum()
     total[-1] += n
 
 
 def _slope(state: dict, text: tuple, meta: tuple, n: int, total: np.ndarray) -> None:
-    """The text view's slope over the rows of which the record's view is sure."""
+    """The text view's slope over the rows that the record's view hands over."""
     m = (len(total) - 2) // 2
-    bad, good = _sure(probability(state["meta"].logit(*meta, n)))
+    bad, good = state["meta"](*meta, n)
     weight = state["weights"][0] * bad + state["weights"][1] * good
     error = weight * (probability(state["text"].logit(*text, n)) - good)
     total[:m] += np.bincount(text[1], weights=error[text[0]], minlength=m)
@@ -234,8 +274,9 @@ class Model(NamedTuple):
 def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, report: list | None = None) -> Model | float:
     """A model, or the share of good documents (1 if none is labelled) where labels are of one kind only.
 
-    report: gets a dict for each round: unlabelled documents judged, and of how many the text and the record's view
-    are sure.
+    report: gets a dict for each round: unlabelled documents judged, how many the text and the record's view have handed
+    over (text_sure, meta_sure), and whether the text and the record's view have kept what they learned of the other
+    (text_kept, meta_kept).
     """
     spark = docs.sparkSession
     known = written(labels.where("doc_id is not null and label is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("label").cast("double").alias("label")))
@@ -245,15 +286,15 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
     rows = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("n_chars").alias("_n"))
     record = _record().alias("record")
 
-    def compact(of: DataFrame, chosen: np.ndarray | None, keep: list[str], schema: str, sure: View | None = None) -> DataFrame:
-        """Rows by their buckets; given a view of the record, only those of which it is sure."""
+    def compact(of: DataFrame, chosen: np.ndarray | None, keep: list[str], schema: str, sure: Surest | None = None) -> DataFrame:
+        """Rows by their buckets; given what the record's view hands over, only those."""
         sent = spark.sparkContext.broadcast((chosen, sure))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen, sure = sent.value
             for part in pieces(batches):
                 if sure is not None:
-                    bad, good = _sure(probability(sure.logit(*_flat(part.column("record")), part.num_rows)))
+                    bad, good = sure(*_flat(part.column("record")), part.num_rows)
                     part = part.filter(pa.array(bad | good))
                 own = _lists(*text_buckets(part.column("text"), chosen), part.num_rows)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), part.column("record"), own], [*keep, "record", "chosen"])
@@ -282,52 +323,60 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
     start = ~held
     own_meta, y_start = _of(start, meta), y[start]
     meta_good, meta_bad = (np.bincount(own_meta[1][y_start[own_meta[0]] == k], minlength=size).astype(float) for k in (1, 0))
-    view_text, view_meta = None, _aligned(odds(meta_good, meta_bad, n_good, n_bad), *_of(held, meta), y[held], 0.0)
+    view_meta = _aligned(odds(meta_good, meta_bad, n_good, n_bad), *_of(held, meta), y[held], 0.0)
     of_id = f"_doc {rows.schema['_doc'].dataType.simpleString()}"
+    base = float(np.log(n_good / n_bad))
 
     def unlabelled(compacted: DataFrame) -> DataFrame:
         return compacted.join(known.select(F.col("_id").alias("_doc")), "_doc", "left_anti").drop("_doc")
 
-    records = written(unlabelled(rows.select("_doc", record, F.array().cast("array<int>").alias("chosen"))))
-    best, chosen, short, made = None, None, None, None
-    for k in range(max(rounds, 1)):
-        good, bad, sure_good, sure_bad = text_good, text_bad, n_good, n_bad
-        # the record's view teaches the text view: first which buckets count, from the whole texts it is sure of
-        of_meta = _sums(records, {"teacher": view_meta, "taught": "text"}, 2 + 3, _by_label)[2:4] if rounds else np.zeros(2)
-        w_bad, w_good = _in_proportion(*of_meta, n_bad, n_good)
-        if w_bad:
-            more = _sums(unlabelled(compact(rows, None, ["_doc"], of_id, view_meta)), {"teacher": view_meta, "taught": "text"}, 2 * dims + 3, _by_label)
-            good, bad = good + w_good * more[dims : 2 * dims], bad + w_bad * more[:dims]
-            sure_bad, sure_good = sure_bad + w_bad * of_meta[0], sure_good + w_good * of_meta[1]
-        now = _chosen(good, bad, sure_good, sure_bad)
-        if best is None or not np.array_equal(now, best):
-            best, chosen = now, np.full(dims, -1, np.int64)
-            chosen[best] = np.arange(len(best))
-            y, held, meta, short = fetched(best)
-            short, start = (short[0], chosen[short[1]]), ~held
-            made, view_text = None, None
-        labelled = (*_of(start, short), y[start], np.ones(start.sum()))
-        if view_text is None:
-            view_text = _aligned(_descended(View(np.zeros(len(best)), float(np.log(n_good / n_bad))), STEPS, labelled), *_of(held, short), y[held])
-        if not rounds:
-            break
-        made = made or written(unlabelled(compact(rows, chosen, ["_doc"], of_id)))  # every unlabelled document, by its chosen buckets
-        if w_bad:
-            m, teacher = len(best), view_meta
-
-            def shared(view: View, made=made, m=m, teacher=teacher, weights=(w_bad, w_good)) -> tuple:
-                s = _sums(made, {"text": view, "meta": teacher, "weights": weights}, 2 * m + 2, _slope)
-                return s[:m], s[m : 2 * m], s[2 * m], s[2 * m + 1]
+    def handed_over(by: str, of: DataFrame, view: View, k: int = 0) -> Surest:
+        return surest(view, _sums(of, {"of": by, "view": view}, BINS, _histogram), n_bad, n_good, base, HANDED * (k + 1))
 
-            view_text = _aligned(_descended(view_text, SHARED_STEPS, labelled, shared), *_of(held, short), y[held])
+    records = written(unlabelled(rows.select("_doc", record, F.array().cast("array<int>").alias("chosen"))))
+    best = by_labels = _chosen(text_good, text_bad, n_good, n_bad)
+    meta_says = handed_over("meta", records, view_meta) if rounds else Surest(view_meta, -1, BINS)
+    if meta_says.bad >= 0:
+        # buckets that count among what the record's view hands over, besides those that count among labelled documents
+        more = _sums(unlabelled(compact(rows, None, ["_doc"], of_id, meta_says)), {"teacher": meta_says, "taught": "text"}, 2 * dims + 3, _by_label)
+        also = _chosen(more[dims : 2 * dims], more[:dims], max(more[2 * dims + 1], 1), max(more[2 * dims], 1))
+        best = np.sort(np.append(by_labels, also[~np.isin(also, by_labels)][: MOST_CHOSEN - len(by_labels)]))
+    chosen = np.full(dims, -1, np.int64)
+    chosen[best] = np.arange(len(best))
+    y, held, meta, short = fetched(best)
+    short, start = (short[0], chosen[short[1]]), ~held
+    labelled = (*_of(start, short), y[start], np.ones(start.sum()))
+    held_text, held_meta = (*_of(held, short), y[held]), (*_of(held, meta), y[held])
+    view_text = _aligned(_descended(View(np.zeros(len(best)), base), STEPS, labelled, free=np.isin(best, by_labels)), *held_text)
+    made = written(unlabelled(compact(rows, chosen, ["_doc"], of_id))) if rounds else None  # every unlabelled document, by its chosen buckets
+    m = len(best)
+    for k in range(rounds):
+        # the record's view teaches the text view
+        meta_says = meta_says if not k else handed_over("meta", records, view_meta, k)
+        of_meta = _sums(records, {"teacher": meta_says, "taught": "text"}, 2 + 3, _by_label)[2:4]
+        weights = _in_proportion(*of_meta, n_bad, n_good)
+
+        def shared(view: View, teacher=meta_says, weights=weights) -> tuple:
+            s = _sums(made, {"text": view, "meta": teacher, "weights": weights}, 2 * m + 2, _slope)
+            return s[:m], s[m : 2 * m], s[2 * m], s[2 * m + 1]
+
+        text_kept = meta_kept = False
+        if weights[0]:
+            taught_text = _aligned(_descended(view_text, SHARED_STEPS, labelled, shared), *held_text)
+            text_kept = _loss(taught_text, *held_text) <= _loss(view_text, *held_text) + WORSE
+            view_text = taught_text if text_kept else view_text
         # and the text view the record's
-        more = _sums(made, {"teacher": view_text, "taught": "meta"}, 2 * size + 3, _by_label)
+        text_says = handed_over("text", made, view_text, k)
+        more = _sums(made, {"teacher": text_says, "taught": "meta"}, 2 * size + 3, _by_label)
         of_text = more[2 * size : 2 * size + 2]
         w_bad, w_good = _in_proportion(*of_text, n_bad, n_good)
-        view_meta = odds(meta_good + w_good * more[size : 2 * size], meta_bad + w_bad * more[:size], n_good + w_good * of_text[1], n_bad + w_bad * of_text[0])
-        view_meta = _aligned(view_meta, *_of(held, meta), y[held], 0.0)
+        if w_bad:
+            taught_meta = odds(meta_good + w_good * more[size : 2 * size], meta_bad + w_bad * more[:size], n_good + w_good * of_text[1], n_bad + w_bad * of_text[0])
+            taught_meta = _aligned(taught_meta, *held_meta, 0.0)
+            meta_kept = _loss(taught_meta, *held_meta) <= _loss(view_meta, *held_meta) + WORSE
+            view_meta = taught_meta if meta_kept else view_meta
         if report is not None:
-            report.append({"judged": int(more[-1]), "text_sure": int(of_text.sum()), "meta_sure": int(of_meta.sum())})
+            report.append({"judged": int(more[-1]), "text_sure": int(of_text.sum()), "meta_sure": int(of_meta.sum()), "text_kept": bool(text_kept), "meta_kept": bool(meta_kept)})
     prior = float(np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1)))
     return Model(chosen, view_text, view_meta, prior)
 
@@ -338,7 +387,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rounds: i
     docs: doc_id, text, lang, source, n_chars; labels: doc_id, label (1 good, 0 bad, null unknown). The views
     learn from at most about max_labelled labelled documents, those whose hash of doc_id falls under the bound's
     share, and label all unlabelled ones for each other; every fifth labelled one is kept for calibration.
-    Documents whose repeated labels differ count as bad. Rows with equal doc_id share its label; a null doc_id is
+    A view that gets worse by what the other hands over takes it back. Documents whose repeated labels differ count as bad. Rows with equal doc_id share its label; a null doc_id is
     unlabelled. Null and empty texts are texts without words, texts of any length are read whole; other nulls are
     values of their own. With labels of one kind only, or none, the score is the share of good ones, or 1. Columns
     of docs with the names of ours are replaced. Empty in, empty out.
