@@ -187,6 +187,19 @@ class Surest(NamedTuple):
         return at <= self.bad, at >= self.good
 
 
+class Handed(NamedTuple):
+    """What a view has handed over in all rounds so far; of a document's labels the last one counts."""
+
+    rounds: tuple[Surest, ...]
+
+    def __call__(self, row: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        bad, good = np.zeros(n, bool), np.zeros(n, bool)
+        for says in self.rounds:
+            b, g = says(row, place, n)
+            bad, good = bad & ~g | b, good & ~b | g
+        return bad, good
+
+
 def surest(view: View, counts: np.ndarray, n_bad: float, n_good: float, base: float, share: float = HANDED) -> Surest:
     """The documents of which the view is surest: that share of all counted ones, in the labelled ones' proportion.
 
@@ -335,10 +348,10 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
 
     records = written(unlabelled(rows.select("_doc", record, F.array().cast("array<int>").alias("chosen"))))
     best = by_labels = _chosen(text_good, text_bad, n_good, n_bad)
-    meta_says = handed_over("meta", records, view_meta) if rounds else Surest(view_meta, -1, BINS)
-    if meta_says.bad >= 0:
+    first = handed_over("meta", records, view_meta) if rounds else Surest(view_meta, -1, BINS)
+    if first.bad >= 0:
         # buckets that count among what the record's view hands over, besides those that count among labelled documents
-        more = _sums(unlabelled(compact(rows, None, ["_doc"], of_id, meta_says)), {"teacher": meta_says, "taught": "text"}, 2 * dims + 3, _by_label)
+        more = _sums(unlabelled(compact(rows, None, ["_doc"], of_id, first)), {"teacher": first, "taught": "text"}, 2 * dims + 3, _by_label)
         also = _chosen(more[dims : 2 * dims], more[:dims], max(more[2 * dims + 1], 1), max(more[2 * dims], 1))
         best = np.sort(np.append(by_labels, also[~np.isin(also, by_labels)][: MOST_CHOSEN - len(by_labels)]))
     chosen = np.full(dims, -1, np.int64)
@@ -349,10 +362,10 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
     held_text, held_meta = (*_of(held, short), y[held]), (*_of(held, meta), y[held])
     view_text = _aligned(_descended(View(np.zeros(len(best)), base), STEPS, labelled, free=np.isin(best, by_labels)), *held_text)
     made = written(unlabelled(compact(rows, chosen, ["_doc"], of_id))) if rounds else None  # every unlabelled document, by its chosen buckets
-    m = len(best)
+    m, by_meta, by_text = len(best), Handed(()), Handed(())
     for k in range(rounds):
         # the record's view teaches the text view
-        meta_says = meta_says if not k else handed_over("meta", records, view_meta, k)
+        meta_says = Handed((*by_meta.rounds, handed_over("meta", records, view_meta, k) if k else first))
         of_meta = _sums(records, {"teacher": meta_says, "taught": "text"}, 2 + 3, _by_label)[2:4]
         weights = _in_proportion(*of_meta, n_bad, n_good)
 
@@ -364,9 +377,9 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
         if weights[0]:
             taught_text = _aligned(_descended(view_text, SHARED_STEPS, labelled, shared), *held_text)
             text_kept = _loss(taught_text, *held_text) <= _loss(view_text, *held_text) + WORSE
-            view_text = taught_text if text_kept else view_text
+            view_text, by_meta = (taught_text, meta_says) if text_kept else (view_text, by_meta)
         # and the text view the record's
-        text_says = handed_over("text", made, view_text, k)
+        text_says = Handed((*by_text.rounds, handed_over("text", made, view_text, k)))
         more = _sums(made, {"teacher": text_says, "taught": "meta"}, 2 * size + 3, _by_label)
         of_text = more[2 * size : 2 * size + 2]
         w_bad, w_good = _in_proportion(*of_text, n_bad, n_good)
@@ -374,7 +387,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
             taught_meta = odds(meta_good + w_good * more[size : 2 * size], meta_bad + w_bad * more[:size], n_good + w_good * of_text[1], n_bad + w_bad * of_text[0])
             taught_meta = _aligned(taught_meta, *held_meta, 0.0)
             meta_kept = _loss(taught_meta, *held_meta) <= _loss(view_meta, *held_meta) + WORSE
-            view_meta = taught_meta if meta_kept else view_meta
+            view_meta, by_text = (taught_meta, text_says) if meta_kept else (view_meta, by_text)
         if report is not None:
             report.append({"judged": int(more[-1]), "text_sure": int(of_text.sum()), "meta_sure": int(of_meta.sum()), "text_kept": bool(text_kept), "meta_kept": bool(meta_kept)})
     prior = float(np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1)))
