@@ -107,13 +107,24 @@ def summary_json(summary: DataFrame, status: DataFrame) -> DataFrame:
     return summary.join(status, "task_id").select("task_id", "status", result_json("task_id", "status", "completed_agents", "blocking_agents", "results").alias("summary"))
 
 
+def prior_bounds(results: DataFrame) -> DataFrame:
+    """results (task_id, pos, ok) with n_prior: how many of its task's first results, by pos, a result gets to see.
+
+    A failed result does not refresh the context: what it sees and adds appears once a later result succeeds.
+    """
+    task = Window.partitionBy("task_id").orderBy("pos")
+    rows = results.withColumn("_rn", F.row_number().over(task))
+    last_ok = F.max(F.when(F.col("ok"), F.col("_rn"))).over(task.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("n_prior", F.coalesce(last_ok, F.lit(0))).drop("_rn")
+
+
 def context_refs(results: DataFrame) -> DataFrame:
     """results (task_id, pos, ok, json) with the context that each gets to see, by reference: n_prior, n_bytes and chain.
 
     The context is the first n_prior of its task's lines (context_lines), by pos, which are n_bytes of UTF-8 as a text.
     chain names its content: the same lines in the same order have the same chain in every task, other ones another; it
-    is null without lines. A failed result does not refresh the context: what it sees and adds appears once a later
-    result succeeds. No text is made here, so the rows grow with the results, however many a task has.
+    is null without lines. See prior_bounds for what a result sees. No text is made here, so the rows grow with the
+    results, however many a task has.
     """
     task = Window.partitionBy("task_id").orderBy("pos")
     upto = task.rowsBetween(Window.unboundedPreceding, 0)
@@ -145,7 +156,7 @@ def render_contexts(refs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def prior_results(results: DataFrame) -> DataFrame:
     """results (task_id, pos, ok, json) with context as a text: JSON lines of earlier results, or NONE."""
-    return render_contexts(context_refs(results), context_lines(results)).drop("n_prior", "n_bytes", "chain")
+    return render_contexts(prior_bounds(results), context_lines(results)).drop("n_prior")
 
 
 def write_summaries(summaries: DataFrame, path: str, run_id: str) -> bool:

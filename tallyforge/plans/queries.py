@@ -302,7 +302,7 @@ def w2_refs(t: Tables) -> DataFrame:
 )
 def c4(t: Tables) -> DataFrame:
     earlier = _earlier(t)
-    refs = results.context_refs(earlier).select("task_id", (F.col("pos") - 1).cast("int").alias("plan_pos"), "n_prior")
+    refs = results.prior_bounds(earlier).select("task_id", (F.col("pos") - 1).cast("int").alias("plan_pos"), "n_prior")
     prompts = contract.assemble_prompts(planning.plan_checks(t.tasks, t.materials), t.materials, refs)
     out = contract.render_prompts(prompts, results.context_lines(earlier), _skills(t))
     return out.select("task_id", "plan_pos", fn.sha256_hex(F.col("prompt")).alias("prompt_sha"))

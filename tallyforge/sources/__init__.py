@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +50,18 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def rename_folder(spark: SparkSession, path: str, to: str) -> bool:
-    """Whether the folder has got its new name, which nothing had before."""
+    """Whether the folder has got its new name in one step; False if there is something of that name, which then stays as it is."""
+    sc = spark.sparkContext
     (fs, top), (_, there) = _file_system(spark, path), _file_system(spark, to)
-    return not fs.exists(there) and fs.rename(top, there)
+    context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    fs.mkdirs(there.getParent())
+    try:
+        context.rename(top, there, sc._gateway.new_array(getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
 
 
 def written(df: DataFrame, name: str = "tables") -> DataFrame:

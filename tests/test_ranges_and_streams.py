@@ -415,6 +415,17 @@ def test_summaries_are_written_once(spark, tmp_path, monkeypatch):
         results.write_summaries(first, path, "../x")
 
 
+def test_a_folder_gets_a_name_that_is_free(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x").write_text(name)
+    assert sources.rename_folder(spark, str(tmp_path / "a"), str(tmp_path / "new" / "c"))
+    assert not sources.rename_folder(spark, str(tmp_path / "b"), str(tmp_path / "new" / "c"))
+    assert (tmp_path / "new" / "c" / "x").read_text() == "a" and (tmp_path / "b" / "x").read_text() == "b" and sources.folders(spark, str(tmp_path / "new")) == ["c"]
+    with pytest.raises(Exception, match="FileNotFound"):
+        sources.rename_folder(spark, str(tmp_path / "gone"), str(tmp_path / "d"))
+
+
 def test_messages_are_routed_once(spark, tmp_path):
     lines = ['{"method":"item/completed","params":{"threadId":"a","turnId":"b","item":{"type":"agentMessage","text":"x"}}}', "{broken", "", None, '{"params":{}}', '{"method":"turn/completed","params":{"turn":{"status":"failed","error":{"message":"m"}}}}']
     for k in range(3):
