@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import LETTER, LOWER, SPACE, SYMBOL, pieces, text_columns, words, written
-from tallyforge.sources import shared_path
+from tallyforge.sources import folders, remove_folder, rename_folder, shared_path
 
 #: Distinct words that a worker process remembers before it starts anew; words encoded in a call, and in a text.
 MOST_WORDS, TOGETHER, LINE = 500_000, 20_000, 200
@@ -136,49 +137,65 @@ STATE = "source string, lang string, tokenizer string, n_docs long, n_tokens lon
 class Rollup:
     """Totals by source, language and tokenizer version, kept in a folder that all executors share.
 
-    A batch of changes is a table (source, lang, tokenizer, sign, n_tokens): +1 for an insert, -1 for a
-    delete, and both, -1 with the old count and +1 with the new one, for a revised count. commit() adds a
-    batch's sums to the last version of the totals and writes the next version, named by its number and
-    batch; Spark's file committer makes a version visible (_SUCCESS) only when whole. A batch id that is
-    already in the history changes nothing, so a job may replay any commit after a failure. Sums are taken
-    before the shuffle, and only groups, never documents, are kept. Null keys are groups like any other;
-    null signs count 0, null counts 0 tokens; groups whose documents and tokens are both 0 go. An empty
-    batch is recorded. One writer at a time.
+    A batch of changes is a table (source, lang, tokenizer, sign, n_tokens): +1 for an insert, -1 for a delete, and both,
+    -1 with the old count and +1 with the new one, for a revised count. commit() adds a batch's sums to the newest version
+    of the totals. A version is a folder with the totals and the ids of all batches in them; it is staged under a name of
+    its own and gets its number by one rename, which fails if another writer has taken that number. Then the batch is
+    added to that writer's version instead: of two writers neither loses an update. A batch id that is in already changes
+    nothing, so a job may replay any commit after a failure. The newest KEPT versions stay for readers that have begun,
+    older ones go, so a commit lists and reads as much after many commits as after few, but for the batch ids. Sums are
+    taken before the shuffle, and only groups, never documents, are kept. Null keys are groups like any other; null signs
+    count 0, null counts 0 tokens; groups whose documents and tokens are both 0 go. An empty batch is recorded.
     """
 
+    #: Versions that stay, and how often a commit starts anew behind other writers before it gives up.
+    KEPT, TRIES = 3, 8
+
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark = spark
         self.folder = folder or shared_path(spark, "rollups")
 
-    def history(self) -> list[tuple[int, str, str]]:
-        """(version, batch id, path) of the whole versions, in order."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        top = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = top.getFileSystem(conf)
-        found = []
-        for status in fs.listStatus(top) if fs.exists(top) else []:
-            named = re.fullmatch(r"v(\d{8})-(.+)", status.getPath().getName())
-            if named and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found.append((int(named[1]), named[2], status.getPath().toString()))
-        return sorted(found)
+    def _versions(self) -> list[int]:
+        return sorted(int(name[1:]) for name in folders(self.spark, self.folder) if re.fullmatch(r"v\d{8}", name))
+
+    def _path(self, version: int) -> str:
+        return f"{self.folder}/v{version:08d}"
+
+    def _batches(self, version: int) -> DataFrame:
+        """(version, batch) of all that is in a version of the totals."""
+        return self.spark.read.schema("version int, batch string").parquet(f"{self._path(version)}/batches") if version else self.spark.createDataFrame([], "version int, batch string")
+
+    def _totals(self, version: int) -> DataFrame:
+        return self.spark.read.schema(STATE).parquet(f"{self._path(version)}/totals") if version else self.spark.createDataFrame([], STATE)
+
+    def history(self) -> list[tuple[int, str]]:
+        """(version, batch id) of all commits, in order."""
+        return sorted(tuple(r) for r in self._batches(max(self._versions(), default=0)).collect())
 
     def totals(self) -> DataFrame:
-        history = self.history()
-        return self.spark.read.schema(STATE).parquet(history[-1][2]) if history else self.spark.createDataFrame([], STATE)
+        return self._totals(max(self._versions(), default=0))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds the batch and says so; False if this batch id is in already."""
         if not re.fullmatch(r"[\w.]+", batch_id):
             raise ValueError(f"a batch id has letters, digits, _ and . only: {batch_id!r}")
-        history = self.history()
-        if batch_id in {batch for _, batch, _ in history}:
-            return False
         sign = F.coalesce(F.col("sign"), F.lit(0)).cast("long")
         delta = changes.select(*TOTALS, sign.alias("n_docs"), (sign * F.coalesce("n_tokens", F.lit(0))).alias("n_tokens"))
-        state = self.totals().unionByName(delta).groupBy(*TOTALS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        version = history[-1][0] + 1 if history else 1
-        state.where("n_docs <> 0 or n_tokens <> 0").write.mode("overwrite").parquet(f"{self.folder}/v{version:08d}-{batch_id}")
-        return True
+        for _ in range(self.TRIES):
+            newest = max(self._versions(), default=0)
+            before = self._batches(newest)
+            if before.where(F.col("batch") == batch_id).count():
+                return False
+            state = self._totals(newest).unionByName(delta).groupBy(*TOTALS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+            staged = f"{self.folder}/_staged/{uuid.uuid4().hex}"
+            state.where("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{staged}/totals")
+            before.unionByName(self.spark.createDataFrame([(newest + 1, batch_id)], before.schema)).coalesce(1).write.parquet(f"{staged}/batches")
+            if rename_folder(self.spark, staged, self._path(newest + 1)):
+                for version in self._versions()[: -self.KEPT]:
+                    remove_folder(self.spark, self._path(version))
+                return True
+            remove_folder(self.spark, staged)
+        raise RuntimeError(f"other writers were faster {self.TRIES} times; batch {batch_id} is not in")
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

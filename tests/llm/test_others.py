@@ -216,12 +216,39 @@ def test_rollup_by_deltas(spark, tmp_path):
     again = tokens.Rollup(spark, str(tmp_path / "r"))
     assert not again.commit("b2", revised) and again.commit("empty", first.where("false"))
     assert sorted(map(tuple, again.totals().fillna("?").collect())) == [("?", "?", "v1", 1, 0), ("a", "en", "v1", 1, 10), ("a", "en", "v2", 1, 6)]
-    (tmp_path / "r" / "v00000003-b3").mkdir()  # a version that was not finished
-    assert [b for _, b, _ in again.history()] == ["b1", "b2", "empty"]
+    (tmp_path / "r" / "_staged" / "x" / "totals").mkdir(parents=True)  # a version that was not finished
+    assert again.history() == [(1, "b1"), (2, "b2"), (3, "empty")]
     with pytest.raises(ValueError, match="batch id"):
         again.commit("a/b", first)
 
 
+def test_two_writers_lose_no_update(spark, tmp_path, monkeypatch):
+    changes = "source string, lang string, tokenizer string, sign int, n_tokens long"
+    one = lambda source, n: spark.createDataFrame([(source, "en", "v1", 1, n)], changes)
+    mine, other = (tokens.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    rename, calls = tokens.rename_folder, []
+
+    def late(*a):  # another writer commits between this one's reading and its rename, twice, and one of them the same batch
+        calls.append(a)
+        if len(calls) in (1, 3):
+            assert other.commit(f"other{len(calls)}", one("b", 1))
+        return rename(*a)
+
+    monkeypatch.setattr(tokens, "rename_folder", late)
+    assert mine.commit("mine", one("a", 10))
+    assert mine.history() == [(1, "other1"), (2, "other3"), (3, "mine")]
+    assert sorted((r.source, r.n_docs, r.n_tokens) for r in other.totals().collect()) == [("a", 1, 10), ("b", 2, 2)]
+    monkeypatch.setattr(tokens, "rename_folder", rename)
+    assert not other.commit("mine", one("a", 10))
+    for k in range(5):
+        assert other.commit(f"more{k}", one("c", 1))
+    assert len(list((tmp_path / "r").glob("v*"))) == tokens.Rollup.KEPT and not list((tmp_path / "r" / "_staged").glob("*"))
+    assert len(mine.history()) == 8 and not mine.commit("other1", one("b", 1))
+    monkeypatch.setattr(tokens, "rename_folder", lambda *a: False)
+    with pytest.raises(RuntimeError, match="other writers"):
+        mine.commit("never", one("a", 1))
+
+
 def test_rollup_query_equals_recount(spark, sf):
     t, want = tokenizer(), {}
     labels = {}
