@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +23,49 @@ def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit(""))
 
 
+def _once(text: str) -> str | None:
+    """The same JSON with each key once, the last one's value; null if no key is there twice or it is no JSON."""
+    repeated = False
+
+    def last(pairs: list[tuple]) -> dict:
+        nonlocal repeated
+        out = dict(pairs)
+        repeated |= len(out) < len(pairs)
+        return out
+
+    def refuse(name: str) -> None:
+        raise ValueError(name)
+
+    try:
+        value = json.loads(text, object_pairs_hook=last, parse_constant=refuse)
+    except (ValueError, RecursionError):
+        return None
+    return json.dumps(value, ensure_ascii=False) if repeated else None
+
+
+def keys_once(texts: pd.Series) -> pd.Series:
+    return texts.map(_once, na_action="ignore").astype(object)
+
+
+def _parsed(text: Column) -> Column:
+    """The array of a JSON value and the end mark, null if text is not a JSON value alone."""
+    return _as(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]'))), "array<variant>")
+
+
 def parse_result_contract(raw: DataFrame) -> DataFrame:
     """raw (task_id, agent, raw_text, …) with reason, status, findings, evidence_ids and message.
 
     reason is null for an accepted row; rejected rows have status UNCERTAINTY, the reason as message, no
     evidence, and one finding that holds the reason, the text and the ids of thread and turn, if there are
     any. Text after the JSON value is an error: the value is parsed inside an array with an end mark.
-    Of repeated keys the last counts; extra keys are ignored; findings are JSON texts.
+    Of repeated keys, at any depth, the last counts; extra keys are ignored; findings are JSON texts. Spark's parser
+    refuses repeated keys, so a text that it can't read and that might be an object is looked at again, in Python,
+    whether that is why; of all other rows Python gets a null.
     """
-    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.col("raw_text")
-    rows = raw.withColumn("_all", _as(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]'))), "array<variant>"))
+    rows = raw.withColumn("_first", _parsed(text))
+    again = F.pandas_udf(keys_once, "string")(F.when(F.col("_first").isNull() & text.contains("{"), text))
+    rows = rows.withColumn("_again", again).withColumn("_all", F.coalesce("_first", _parsed(F.col("_again")))).drop("_first", "_again")
     alone = F.coalesce((F.size("_all") == 2) & (_as(F.get("_all", F.lit(1)), "string") == _MARK), F.lit(False))
     rows = rows.withColumns({"_alone": alone, "_v": F.when(alone, _as(F.get("_all", F.lit(0)), "map<string,variant>"))})
     field = lambda key: F.try_element_at("_v", F.lit(key))

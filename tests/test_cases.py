@@ -104,9 +104,21 @@ CONTRACT = [
     ('{"status":"PASS","findings":[],"evidence_ids":[],"message":{}}', S.BAD_MESSAGE),
     ('{"status":"PASS","findings":[]}', "Result is missing fields: ['evidence_ids', 'message']."),
     ('{"status":"DONE","status":"PASS","findings":[],"evidence_ids":[],"message":null}', None),
+    ('{"status":"PASS","status":"DONE","findings":[],"evidence_ids":[],"message":null}', S.BAD_STATUS),
+    ('{"status":"PASS","findings":[{"a":1,"ТЗ":[{"b":1,"b":2}],"a":"x"}],"evidence_ids":["é","{"],"message":null}', None),
+    ('{"status":"PASS","findings":[{"a":1,"a":2}],"evidence_ids":[],"message":null} x', S.NOT_JSON),
+    ('{"status":"PASS","status":"PASS","findings":[{"a":NaN}],"evidence_ids":[],"message":null}', S.NOT_JSON),
 ]
 
 
+def test_repeated_keys_need_no_setting(spark):
+    before = spark.sql("set -v").collect(), spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    text = next(t for t, _ in CONTRACT if t and "ТЗ" in t)
+    got = contract.parse_result_contract(spark.createDataFrame([("1", "a", text, None, None)], S.RAW_OUTPUTS)).first()
+    assert got.findings == ['{"a":"x","ТЗ":[{"b":2}]}'] and got.evidence_ids == ["é", "{"]
+    assert (spark.sql("set -v").collect(), spark.conf.get("spark.sql.variant.allowDuplicateKeys")) == before
+
+
 def test_contract(spark):
     raw = spark.createDataFrame([(str(i), "a", text, "th", "") for i, (text, _) in enumerate(CONTRACT)], S.RAW_OUTPUTS)
     got = {r.task_id: r for r in contract.parse_result_contract(raw).collect()}
