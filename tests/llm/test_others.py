@@ -200,6 +200,25 @@ def test_plan_places_every_piece_once(capacity, data):
     assert n >= -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.integers(6, 30), st.integers(0, 10**6))
+def test_repeat_counts_fit_the_histogram(capacity, seed):
+    """As good a fit as projected gradient steps find that go on until nothing moves."""
+    rng = np.random.default_rng(seed)
+    counts = np.append(0, rng.integers(0, 60, capacity)) * (rng.random(capacity + 1) < 0.7)
+    chosen = packing.patterns(counts)
+    x = packing.fitted(counts, chosen)
+    assert (x >= 0).all() and len(x) == len(chosen)
+    if not chosen:
+        return
+    use = np.array([[p.count(n) for n in range(capacity + 1)] for p in chosen], float)
+    best, step = np.zeros(len(chosen)), 1 / np.linalg.norm(use @ use.T, 2)
+    for _ in range(4_000):
+        best = np.maximum(best - step * (use @ (best @ use - counts)), 0)
+    loss = lambda x: float(((x @ use - counts) ** 2).sum())
+    assert loss(x) <= 1.02 * loss(best) + 2.0 * len(chosen)
+
+
 def test_given_documents_fill_their_sequences(spark, sf):
     out = packing.op7_packing(spark, sf).agg(F.countDistinct("sequence_id"), F.sum("length")).first()
     assert out[0] <= -(-out[1] // 2048) * 1.01 + 1
@@ -342,6 +361,45 @@ def test_languages(spark, sf):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def plain_trigrams(text):
+    """Hashed trigrams of the lower-cased bytes, everything in ASCII but letters being one space, with a space at both ends."""
+    folded = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in (text or "").lower().encode())
+    spaced = re.sub(rb" +", b" ", b" " + folded + b" ")
+    out = {}
+    for k in range(len(spaced) - 2):
+        a, b, c = spaced[k : k + 3]
+        if b != 32 or (a != 32 and c != 32):
+            code = ((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 20
+            out[code] = out.get(code, 0) + 1
+    return out
+
+
+def test_languages_equal_a_plain_nearest_centroid(spark, sf):
+    """IDF and cosines written out, for the given documents and hard rows, against the model's own centroids."""
+    from math import log, sqrt
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    taught = [(i, t, y) for i, t, y in rows if y is not None and t]
+    model = langid.fit(spark.createDataFrame(taught, "doc_id long, text string, lang string"))
+    grams = {t: plain_trigrams(t) for _, t, _ in [*rows, *((i, t, None) for i, t in HARD)]}
+    df = {}
+    for _, t, _ in taught:
+        for g in grams[t]:
+            df[g] = df.get(g, 0) + 1
+    idf = [log((1 + len(taught)) / (1 + df.get(g, 0))) + 1 for g in range(langid.DIMS)]
+    assert model.idf == pytest.approx(idf)
+    assert len(model.langs) <= 4 * len({y for _, _, y in taught}) and np.linalg.norm(model.centroids, axis=1) == pytest.approx(1, abs=1e-4)
+    got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in langid.predict(docs(spark, [(i, t) for i, t, _ in rows] + HARD), model, ["doc_id", "text"]).collect()}
+    for (_, t), (lang, score) in got.items():
+        x = {g: (1 + log(n)) * idf[g] for g, n in grams[t].items()}
+        norm = sqrt(sum(v * v for v in x.values())) or 1
+        cos = [sum(v * c[g] for g, v in x.items()) / norm for c in model.centroids.tolist()]
+        if not any(c.isalpha() for c in t or ""):
+            assert (lang, score) == ("und", 0.0)
+        else:
+            assert score == pytest.approx(max(0, min(1, max(cos))), abs=1e-4) and cos[model.langs.index(lang)] >= -1 and max(c for c, y in zip(cos, model.langs) if y == lang) >= max(cos) - 1e-4
+
+
 def test_languages_hard_rows(spark, sf):
     model = langid.fit(spark.read.parquet(f"{sf}/documents.parquet"))
     rows = langid.predict(docs(spark, HARD), model, ["doc_id", "text"], least=0.3).collect()
