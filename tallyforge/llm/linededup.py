@@ -116,6 +116,10 @@ from documents d
 
 
 def stage_line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without later repeated lines, be it one between others or a whole text; n_chars follows the text, all rows stay."""
+    """The documents without later repeated lines, be it one between others or a whole text; n_chars follows the text, all rows stay.
+
+    A null text stays null, with null n_chars; a text all of whose lines go becomes empty. Rows with equal doc_id and text
+    stay alike; other ties, null ids and extra columns are as `deduplicated` says. Empty in, empty out.
+    """
     out = deduplicated(docs, STAGE_RUN)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -191,5 +191,9 @@ def op7_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: where each piece of each document goes."""
+    """The last stage: where each piece of each document goes.
+
+    A null or empty text is one piece of the end id alone. Each of repeated rows is placed, rows without a doc_id too,
+    and pieces of one length, in whatever order, fill the same places. Other columns are not looked at. Empty in, empty out.
+    """
     return pack(docs, capacity=2048)

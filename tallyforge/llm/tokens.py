@@ -115,7 +115,11 @@ def encoder(sent: Broadcast) -> Encoder:
 
 
 def token_counts(docs: DataFrame, keep: list[str], path: str | None = None) -> DataFrame:
-    """The kept columns and n_tokens (long) of every row's whole text; null and empty texts have none."""
+    """The kept columns and n_tokens (long) of every row's whole text; null and empty texts have none.
+
+    Each of repeated rows counts; other columns are not looked at, whatever their names; nulls are carried along. Empty
+    in, empty out.
+    """
     sent = send_tokenizer(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +206,9 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after inserts of all documents, deletes of toxic ones, revised counts, and replays.
 
     Counts are ids of word_bpe_49k.json. Version 2 of the tokenizer setting adds the end-of-text id, so
-    the revision of a labelled, non-toxic document takes its old count out and puts one more in.
+    the revision of a labelled, non-toxic document takes its old count out and puts one more in. Null texts have no
+    tokens but are documents; null sources and languages are groups; rows without a doc_id have no label. Each of
+    repeated rows counts, and a doc_id with several labels is toxic if any says so. No documents, no totals.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumnRenamed("doc_id", "_doc")
