@@ -21,38 +21,14 @@ TURN = ["thread_id", "turn_id"]
 def fill_ids(messages: DataFrame) -> DataFrame:
     """Null thread and turn ids become those of the connection's last message that had them.
 
-    Messages are dealt out by ranges of (connection, seq), so a connection may have any number of them. Each task carries
-    ids forward in its range; of the ranges, a row each, follows what a range's first connection had before, and that is
+    Messages are dealt out by ranges of (connection, seq), so a connection may have any number of them. Ids are carried
+    forward within each range; of the ranges, a row each, follows what a range's first connection had before, and that is
     given to those of its rows that are still without. A connection without ids keeps nulls; a null connection is one.
     """
     name = messages.columns
-    rows = ranged(messages, ["connection", "seq"])
-    schema = T.StructType([*rows.schema]).add("_part", "integer").add("_row", "long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, own, last = TaskContext.get().partitionId(), 0, None, dict.fromkeys(TURN)
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            connection = batch.column("connection").dictionary_encode("encode").indices.to_numpy()
-            first = np.flatnonzero(np.append(True, connection[1:] != connection[:-1]))
-            begins = np.repeat(first, np.diff(np.append(first, n)))
-            goes_on = at > 0 and batch.column("connection")[0].as_py() == own
-            columns = {c: batch.column(c) for c in name}
-            for c in TURN:
-                there = np.maximum.accumulate(np.where(columns[c].is_valid().to_numpy(zero_copy_only=False), np.arange(n), -1))
-                found = columns[c].take(pa.array(there, mask=there < begins))
-                if goes_on and last[c] is not None:
-                    run_end = int(first[1]) if len(first) > 1 else n
-                    found = pa.concat_arrays([found[:run_end].fill_null(last[c]), found[run_end:]])
-                columns[c] = found
-                last[c] = found[n - 1].as_py()
-            own = batch.column("connection")[n - 1].as_py()
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], schema.names)
-            at += n
-
-    filled = written(rows.mapInArrow(run, schema))
+    rows = written(ranged(messages, ["connection", "seq"]).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    so_far = Window.partitionBy("_part", "connection").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in TURN})
     ends = filled.groupBy("_part").agg(F.min_by(F.struct("connection"), "_row").alias("head"), F.max_by(F.struct("connection", *TURN), "_row").alias("tail"))
     # one row for each range; a range's last connection begins in it unless it is also the last one of the range before
     in_order = Window.orderBy("_part")
