@@ -1,8 +1,12 @@
-"""The order-dependent operators over streams; each gives on a finished stream what its batch form gives."""
+"""The order-dependent operators over streams; each gives on a finished stream what its batch form gives.
+
+Their processors need the state store that `rocksdb` sets while a stream is started; run_available does so.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +22,18 @@ MILLIS = "ts_millis"
 TURN_OUT = "thread_id string, turn_id string, text string, turn_status string, turn_error string, timed_out boolean"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """The state store that stateful processors need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """While a stream is started: the state store that stateful processors need. A started stream keeps its settings, and the session gets its own back."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before)
 
 
 def _keyed(c: str) -> Column:
@@ -148,7 +161,6 @@ def stream_turns(messages: DataFrame, seconds: int = S.TURN_TIMEOUT_S, slack: st
     With `fill`, messages without ids belong to the turn that their connection was in, as in the batch form. Then two
     stateful steps follow each other, which Spark runs in append mode only.
     """
-    use_rocksdb(messages.sparkSession)
     rows, mode = messages.withWatermark("ts", slack), "Update"
     if fill:
         mode = "Append"
@@ -201,7 +213,6 @@ class CooldownProcessor(StatefulProcessor):
 
 def stream_cooldown(actions: DataFrame, key: str, ts: str, seconds: int = S.COOLDOWN_S, slack: str = "1 minute") -> DataFrame:
     """(key, id, accepted, remaining) of a stream of actions (key, ts, id), each key's in order of time."""
-    use_rocksdb(actions.sparkSession)
     schema = actions.select(key, "id").schema.add("accepted", "boolean").add("remaining", "long")
     return actions.withWatermark(ts, slack).groupBy(key).transformWithStateInPandas(statefulProcessor=CooldownProcessor(key, ts, seconds), outputStructType=schema, outputMode="Update", timeMode="EventTime")
 
@@ -244,7 +255,6 @@ class LeaseProcessor(StatefulProcessor):
 
 def stream_stale_leases(jobs: DataFrame, minutes: int = S.LEASE_MINUTES, slack: str = "1 minute") -> DataFrame:
     """(id, next_status) of jobs whose lease ran out, by the time of the stream."""
-    use_rocksdb(jobs.sparkSession)
     rows = jobs.withWatermark("locked_at", slack).withColumn(MILLIS, F.unix_millis("locked_at"))
     return rows.groupBy("id").transformWithStateInPandas(statefulProcessor=LeaseProcessor(minutes), outputStructType="id long, next_status string", outputMode="Update", timeMode="EventTime")
 
@@ -326,7 +336,6 @@ def stream_pairs(requests: DataFrame, responses: DataFrame, seconds: int = S.TUR
     further responses give no row, and neither do those that no request comes to. A request is timed_out, with result {},
     once the stream's time says that no response can come any more. For update mode; equal requests of one batch are one.
     """
-    use_rocksdb(requests.sparkSession)
     asks = requests.select("id", "ts", F.unix_micros("ts").alias("at"), F.lit(True).alias("asks"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("result"))
     says = responses.select("id", "ts", F.unix_micros("ts").alias("at"), F.lit(False).alias("asks"), "error", "result")
     kind = asks.schema["id"].dataType
@@ -345,9 +354,11 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", each: Call
     change = each or (lambda batch: batch)
     writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").option("path", f"{path}/rows").outputMode("append").start()
+        writer = writer.format("parquet").option("path", f"{path}/rows").outputMode("append")
     else:
-        query = writer.outputMode(mode).foreachBatch(lambda batch, n: change(batch).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/rows/n={n}")).start()
+        writer = writer.outputMode(mode).foreachBatch(lambda batch, n: change(batch).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/rows/n={n}"))
+    with rocksdb(stream.sparkSession):
+        query = writer.start()
     query.awaitTermination()
     rows = f"{path}/rows" if mode == "append" else f"{path}/rows/*"
     schema = stream.schema if mode == "append" else change(stream.sparkSession.createDataFrame([], stream.schema)).schema.add("batch", "long")

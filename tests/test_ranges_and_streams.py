@@ -259,6 +259,7 @@ def test_stream_turns_equal_the_batch_form(spark, tmp_path):
         streamed = streaming.run_available(streaming.stream_turns(stream), str(tmp_path / "out"), "update").where("turn_id <> 'last'").collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+    assert spark.conf.get(streaming.STORE) != streaming.ROCKS  # the session's own setting is back
     batch = turns.ended_turns(spark.createDataFrame(rows, S.MESSAGES), as_of=str(start + datetime.timedelta(seconds=s + 4900))).collect()
     columns = ["turn_id", "text", "turn_status", "turn_error", "timed_out"]
     assert streamed and sorted(tuple(r[c] for c in columns) for r in streamed) == sorted(tuple(r[c] for c in columns) for r in batch)
