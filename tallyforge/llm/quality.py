@@ -351,7 +351,9 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
     first = handed_over("meta", records, view_meta) if rounds else Surest(view_meta, -1, BINS)
     if first.bad >= 0:
         # buckets that count among what the record's view hands over, besides those that count among labelled documents
-        more = _sums(unlabelled(compact(rows, None, ["_doc"], of_id, first)), {"teacher": first, "taught": "text"}, 2 * dims + 3, _by_label)
+        # written first, so that no task has two Python workers behind each other
+        some = written(unlabelled(compact(rows, None, ["_doc"], of_id, first)))
+        more = _sums(some, {"teacher": first, "taught": "text"}, 2 * dims + 3, _by_label)
         also = _chosen(more[dims : 2 * dims], more[:dims], max(more[2 * dims + 1], 1), max(more[2 * dims], 1))
         best = np.sort(np.append(by_labels, also[~np.isin(also, by_labels)][: MOST_CHOSEN - len(by_labels)]))
     chosen = np.full(dims, -1, np.int64)
