@@ -2,7 +2,8 @@
 
 A common word (anchor) and the content words that follow it make a signature; a document's fingerprint
 is the set of its signatures. Anchors are frequent in running prose and rare in menus and tables, so
-the set follows what a page says. Likeness is the Jaccard coefficient of two sets. Near pairs are sought
+the set follows what a page says. Which words are common is taken from the documents: articles and the like
+of a few languages are anchors anywhere, and a stretch without them has its word of most documents. Likeness is the Jaccard coefficient of two sets. Near pairs are sought
 only among sets of like length, since |A| / |B| bounds it, and only through their rarest signatures.
 """
 
@@ -18,14 +19,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import NOT_ALNUM, dealt, joined, mix, pieces, runs, text_columns, whole_runs, words, written
+from tallyforge.llm.common import NOT_ALNUM, Words, dealt, fits, joined, mix, pieces, runs, sliding, text_columns, whole_runs, words, written
 
 # Articles and forms of "to be" of four languages, and other words that carry no content.
 ANCHORS = "a an the is are was were be das dem den der die ein eine ist war el es la las los un una le les une est de du des".split()
 COMMON = ANCHORS + "and as at by for from in it of on or that this to with aber auf aus bei für im in mit nicht sich und von zu als con del en lo no para por que se su y au avec dans en et il ne pas pour qui sur".split()
 CHAIN = 3
+#: So many words in a row have an anchor; without a listed one it is the word of most documents.
+STRETCH = 8
+#: Numbers of documents are kept for so many buckets of words, 0.5 MB whatever the vocabulary: a rare word in a common word's bucket counts as common.
+BUCKETS = 1 << 16
+#: First bytes of the characters (U+3000 to U+9FFF, U+F000 to U+3FFFF) that begin a word of their own, for scripts without blanks.
+ALONE = np.isin(np.arange(256), [*range(0xE3, 0xEA), 0xEF, 0xF0])
 #: Parts into which the order of documents is cut, at most, and documents of one part.
-PARTS, PART_ROWS = 20_000, 1_000
+PARTS, PART_ROWS = 100_000, 1_000
 #: Frequent signatures, at most, and classes that each is in, at least; and classes that meet through one before their
 #: pairs are dealt out as squares of this side.
 MOST_FREQUENT, LEAST_FREQUENT, SIDE = 100_000, 64, 2_048
@@ -44,19 +51,60 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
-def signatures(texts: pa.Array, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature of 32 bits) of all rows, distinct and in order.
+def spot_words(texts: pa.Array) -> Words:
+    """Words of letters and digits in lower case."""
+    return words(pc.utf8_lower(texts.cast(pa.large_string())), NOT_ALNUM, None, (np.ones(256, bool), ALONE))
 
-    A chain holds the next `chain` content words after an anchor. The first words of a text, whatever they
-    are, make one more signature, so any text with a word has one.
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.int64)
+
+
+def document_counts(docs: DataFrame) -> np.ndarray:
+    """In how many rows of docs (text) each bucket's words occur: BUCKETS sums, added up in the tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, np.int64)
+        for piece in pieces(batches):
+            w = spot_words(piece.column("text"))
+            n += np.bincount(np.unique(w.row * BUCKETS + _bucket(w.hash)) % BUCKETS, minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["bucket", "n"])
+
+    sums = text_columns(docs, "text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def _anchors(w: Words, counts: np.ndarray) -> np.ndarray:
+    """Which words are anchors: listed ones, and the word of most documents of any STRETCH words of a text without these."""
+    most = np.uint64(2**64 - 1)
+    rank = counts[_bucket(w.hash)].astype(np.uint64) << np.uint64(24) | w.hash & np.uint64(0xFFFFFF)
+    listed = _among(w.hash, _hashes(ANCHORS))
+    rank[listed] = most
+    starts = np.flatnonzero(fits(w.first, STRETCH))
+    best = sliding(rank, STRETCH, np.maximum)
+    least = np.full(len(rank) + STRETCH - 1, most)
+    least[starts + STRETCH - 1] = best[starts]
+    # the highest of some stretch around it: as high as the least of these stretches' highest
+    return listed | (sliding(least, STRETCH, np.minimum) == rank)
+
+
+def signatures(texts: pa.Array, counts: np.ndarray, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature of 32 bits) of all rows, distinct and in order; counts as of document_counts.
+
+    A chain holds the next `chain` content words after an anchor: words that are neither listed as common nor anchors
+    themselves. The first words of a text, whatever they are, make one more signature, so any text with a word has one.
     """
-    w = words(pc.utf8_lower(texts.cast(pa.large_string())), NOT_ALNUM)
-    content = ~_among(w.hash, _hashes(COMMON))
+    w = spot_words(texts)
+    anchors = _anchors(w, counts)
+    content = ~(anchors | _among(w.hash, _hashes(COMMON)))
     before = np.append(0, np.cumsum(content))
     at_content = np.flatnonzero(content)
     row = w.row
     last = before[w.first[1:]]
-    anchor = np.flatnonzero(_among(w.hash, _hashes(ANCHORS)))
+    anchor = np.flatnonzero(anchors)
     anchor = anchor[before[anchor] + chain <= last[row[anchor]]]
     h = mix(w.hash[anchor])
     for k in range(chain):
@@ -84,33 +132,37 @@ def likeness(row_a: np.ndarray, sig_a: np.ndarray, row_b: np.ndarray, sig_b: np.
     return np.where(either > 0, both / np.maximum(either, 1), 1.0)
 
 
+#: Where a row stands in the order: without an id or not, the id turned round, and the text's hash.
+_KEY = np.dtype([("none", np.int8), ("id", np.int64), ("text", np.int64)])
+
+
 def in_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows (part, tail, doc_id, text), each part stored in descending doc_id and ended by the row that follows it.
 
-    The order is cut at quantiles of doc_id, so no task sorts all rows; a part's first row is also sent to the
-    part before, as its tail, and the very first row to the last part. Nulls come last, equal ids by text.
+    Nulls come last; rows of one id, or none, are in the order of their texts' hashes. The order is cut into ranges of
+    all three, so no task sorts all rows and many rows of one id are many parts; only equal rows are never parted. A
+    part's first row is also sent to the part before, as its tail, and the very first row to the last part.
     """
     spark = docs.sparkSession
     rows = text_columns(docs, "doc_id", "text")
-    n = rows.count()
-    parts = parts or min(max(-(-n // PART_ROWS), 1), PARTS)
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
-    sent = spark.sparkContext.broadcast(np.unique(np.array(bounds or [], np.int64)))
-
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(sent.value) - np.searchsorted(sent.value, ids.to_numpy(), "left")).astype(np.int32)
-
-    last = F.lit(len(sent.value) + 1)
-    part = F.when(F.col("doc_id").isNull(), last).otherwise(part_of(F.coalesce("doc_id", F.lit(0))))
-    placed = rows.withColumn("part", part)
-    firsts = placed.select("part", "doc_id").groupBy("part").agg(F.max("doc_id").alias("doc_id")).orderBy("part").collect()
-    follow = [(firsts[k].doc_id, firsts[k - 1].part) for k in range(len(firsts))]
-    tails = spark.createDataFrame(follow, "_first long, _before int")  # a row for each part
-    placed = placed.join(F.broadcast(tails), F.col("doc_id").eqNullSafe(F.col("_first")), "left")
-    own = F.struct("part", F.lit(False).alias("tail"))
-    copy = F.struct(F.col("_before").alias("part"), F.lit(True).alias("tail"))
-    placed = placed.select("doc_id", "text", F.explode(F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("at")).select("at.part", "at.tail", "doc_id", "text")
+    keys = [F.col("doc_id").isNull().cast("tinyint").alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("h")]
+    parts = parts or min(max(-(-rows.count() // PART_ROWS), 1), PARTS)
+    ranges = rows.select(*keys).repartitionByRange(parts, "none", "id", "h").withColumn("range", F.spark_partition_id())
+    firsts = ranges.groupBy("range").agg(F.min(F.struct("none", "id", "h")).alias("first")).select("first.*").collect()  # a row for each part
+    sent = spark.sparkContext.broadcast(np.sort(np.array([tuple(r) for r in firsts], _KEY)))
+
+    @F.pandas_udf("part int, before int")
+    def place(none: pd.Series, ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        own = np.zeros(len(none), _KEY)
+        own["none"], own["id"], own["text"] = none, ids, texts
+        part = np.searchsorted(sent.value, own, "right") - 1
+        before = np.where(sent.value[part] == own, (part - 1) % len(sent.value), -1)
+        return pd.DataFrame({"part": part.astype(np.int32), "before": before.astype(np.int32)})
+
+    own = F.struct(F.col("_at.part").alias("part"), F.lit(False).alias("tail"))
+    copy = F.struct(F.col("_at.before").alias("part"), F.lit(True).alias("tail"))
+    placed = rows.withColumn("_at", place(*keys))
+    placed = placed.select("doc_id", "text", F.explode(F.when(F.col("_at.before") < 0, F.array(own)).otherwise(F.array(own, copy))).alias("at")).select("at.part", "at.tail", "doc_id", "text")
     return placed.repartition("part").sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
 
 
@@ -121,8 +173,10 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     near_next. The edited text has its last third (rounded down) replaced by as many first characters of the
     next document in descending doc_id, after the last the first; a lone document follows itself. Null
     texts are empty; texts without words have an empty fingerprint, and two such are alike. Repeated ids
-    follow each other in the order of a hash of their texts. Other columns are not looked at.
+    follow each other in the order of a hash of their texts. Other columns are not looked at. Which words are
+    anchors depends on all documents, so fingerprints of two tables are not to be compared.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(document_counts(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -141,8 +195,8 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
             for i in has.tolist():
                 cut = len(texts[i]) // 3
                 edited.append(texts[i][: len(texts[i]) - cut] + texts[i + 1][:cut])
-            row, sig = signatures(rows.column("text"), chain)
-            edited_row, edited_sig = signatures(pa.array(edited, pa.string()), chain)
+            row, sig = signatures(rows.column("text"), sent.value, chain)
+            edited_row, edited_sig = signatures(pa.array(edited, pa.string()), sent.value, chain)
             back = np.full(n + 1, -1)
             back[has] = np.arange(len(has))
             own = back[row] >= 0
@@ -185,10 +239,11 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) ->
     Texts of any length are read whole; other columns are not looked at; empty in, empty out.
     """
     spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(document_counts(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            row, sig = signatures(piece.column("text"), chain)
+            row, sig = signatures(piece.column("text"), known.value, chain)
             cut = np.searchsorted(row, np.arange(piece.num_rows + 1))
             keys = []
             for salt in (1, 2):

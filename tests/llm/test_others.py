@@ -2,9 +2,11 @@
 
 import functools
 import hashlib
+import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -284,13 +286,33 @@ def test_rollup_query_equals_recount(spark, sf):
     assert got == want
 
 
-def spot_set(text, chain=3):
+def spot_words(text):
     w = [x for x in re.split(r"[\x00-/:-@\[-`{-\x7f]+", (text or "").lower()) if x]
-    content = [(k, x) for k, x in enumerate(w) if x not in spotsigs.COMMON]
+    return [x for y in w for x in re.split(r"(?=[\u3000-\u9fff\uf000-\U0003ffff])", y) if x]
+
+
+@functools.cache
+def spot_hash(word):
+    return int(spotsigs.spot_words(pa.array([word])).hash[0])
+
+
+def spot_counts(texts):
+    """In how many texts a word of each bucket occurs."""
+    return Counter(b for t in texts for b in {spot_hash(x) >> 48 for x in spot_words(t)})
+
+
+def spot_set(text, counts, chain=3):
+    w = spot_words(text)
+    h = [spot_hash(x) for x in w]
+    rank = [(float("inf"), 0) if x in spotsigs.ANCHORS else (counts[y >> 48], y & 0xFFFFFF) for x, y in zip(w, h)]
+    anchors = {k for k, x in enumerate(w) if x in spotsigs.ANCHORS}
+    for k in range(len(w) - 7):
+        anchors |= {j for j in range(k, k + 8) if rank[j] == max(rank[k : k + 8])}
+    content = [k for k, x in enumerate(w) if x not in spotsigs.COMMON and k not in anchors]
     out = {("", *w[:chain])} if w else set()
-    for k, x in enumerate(w):
-        if x in spotsigs.ANCHORS and len(after := [c for j, c in content if j >= k][:chain]) == chain:
-            out.add((x, *after))
+    for k in anchors:
+        if len(after := [w[j] for j in content if j >= k][:chain]) == chain:
+            out.add((w[k], *after))
     return out
 
 
@@ -302,12 +324,13 @@ def check_spots(rows, got):
     key = lambda r: (r[0] is None, -(r[0] or 0))
     rows = sorted(rows, key=key)
     assert len({i for i, _ in rows}) == len(rows)
+    counts = spot_counts(t for _, t in rows)
     for (i, t), (_, nxt) in zip(rows, [*rows[1:], rows[0]]):
         t, nxt, r = t or "", nxt or "", got[i]
         cut = len(t) // 3
         edited = t[: len(t) - cut] + nxt[:cut]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        a, b, c = spot_set(t), spot_set(edited), spot_set(nxt)
+        a, b, c = (spot_set(x, counts) for x in (t, edited, nxt))
         assert len(r.fingerprint) == 8 * len(a) and len(r.edited_fingerprint) == 8 * len(b)
         assert r.near_edited == pytest.approx(alike(a, b)) and r.near_next == pytest.approx(alike(a, c))
 
@@ -329,6 +352,38 @@ def test_spot_order_in_many_parts(spark, sf):
     assert got.where("tail").count() == got.select("part").distinct().count() and got.where("not tail").count() == rows.count()
 
 
+def test_spot_order_of_rows_of_one_id(spark):
+    """Rows that share an id, or have none, are many parts, and each is followed by the next of the one order."""
+    rows = [(None, f"none {k}") for k in range(300)] + [(7, f"seven {k}") for k in range(300)] + [(9, "nine")]
+    placed = spotsigs.in_order(docs(spark, rows), parts=12)
+    sizes = [r["count"] for r in placed.where("not tail").groupBy("part").count().collect()]
+    assert len(sizes) == 12 and sum(sizes) == len(rows) and max(sizes) < 150
+    got = placed.orderBy("part", "tail").collect()
+    order = [r.text for r in placed.where("not tail").selectExpr("*", "xxhash64(text) as h").orderBy("part", F.desc_nulls_last("doc_id"), "h").collect()]
+    assert order[0] == "nine" and {t.split()[0] for t in order[1:301]} == {"seven"}
+    first = {p: next(r.text for r in spotsigs.in_order(docs(spark, rows), parts=12).where(f"part = {p} and not tail").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()) for p in (0, 5, 11)}
+    tails = {r.part: r.text for r in got if r.tail}
+    assert tails[11] == first[0] and tails[4] == first[5] and tails[10] == first[11] and len(tails) == 12
+
+
+def test_spots_in_five_scripts(spark):
+    """Texts of 100 words in languages without listed anchors have several signatures, also where words are not parted by blanks."""
+    rng = random.Random(5)
+    common = {"sv": "och att som på av för", "ru": "и в не на что с", "zh": "的 是 了 在 不 我", "el": "και το να της με στο", "hi": "और के में है की से"}
+    letters = {"sv": "abcdefåäö", "ru": "абвгдежз", "zh": "一丁七万丈三上下丑且世丘丙业东丝两严", "el": "αβγδεζηθ", "hi": "कखगघचछजझ"}
+    rows, lang = [], {}
+    for k, name in enumerate(list(common) * 6):
+        blank = "" if name == "zh" else " "
+        own = ["".join(rng.choices(letters[name], k=1 if name == "zh" else 6)) for _ in range(100)]
+        rows.append((k, blank.join(rng.choice(common[name].split()) if j % 4 == 0 else x for j, x in enumerate(own))))
+        lang[k] = name
+    got = {r.doc_id: r for r in spotsigs.fingerprints(docs(spark, rows)).collect()}
+    check_spots(rows, got)
+    assert all(len(r.fingerprint) >= 8 * 8 for r in got.values())
+    low = [(lang[i], r.near_edited, r.near_next, len(r.fingerprint) // 8) for i, r in got.items() if r.near_edited <= max(r.near_next, 0.2)]
+    assert not low
+
+
 @pytest.mark.parametrize("side", [2_048, 3])
 @pytest.mark.parametrize("threshold", [0.8, 0.5])
 def test_spot_classes(spark, sf, monkeypatch, side, threshold):
@@ -339,7 +394,8 @@ def test_spot_classes(spark, sf, monkeypatch, side, threshold):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows += [(5_000 + i, f"{template} the own{i} kind{i} sort{i}" + (f" an extra{i} word{i} more{i}" if i % 3 else "")) for i in range(40)] + [(6_000 + i, f"{template} the own1 kind1 sort1") for i in range(5)]
     rows += [(7_000, None), (7_001, ""), (None, "a row without an id"), (None, f"{template} the own2 kind2 sort2")]
-    own = [spot_set(t) for _, t in rows]
+    counts = spot_counts(t for _, t in rows)
+    own = [spot_set(t, counts) for _, t in rows]
     members = {}
     for (i, _), s in zip(rows, own):
         members.setdefault(frozenset(s), []).append(i)
