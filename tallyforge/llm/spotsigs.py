@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import NOT_ALNUM, Words, dealt, fits, joined, mix, pieces, runs, sliding, text_columns, whole_runs, words, written
+from tallyforge.llm.common import NOT_ALNUM, PIECE_BYTES, Words, dealt, fits, joined, mix, pieces, runs, sliding, text_columns, whole_runs, words, written
 
 # Articles and forms of "to be" of four languages, and other words that carry no content.
 ANCHORS = "a an the is are was were be das dem den der die ein eine ist war el es la las los un una le les une est de du des".split()
@@ -274,11 +274,19 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) ->
             through = value[np.repeat(first[:-1], prefix) + np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)]
             ordered = value.astype("<u4").tobytes()
             raw = [ordered[4 * a : 4 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            for role in (0, 1):  # 0 at home in the band, 1 from the next one
-                choice = mix(through * np.uint64(0x9E3779B97F4A7C15) + (band[of] - role).astype(np.uint64))
-                columns = [pa.array(choice.view(np.int64)), pa.array(through.astype(np.uint32).view(np.int32)), pa.array(np.full(len(of), role, np.int32))]
-                columns += [batch.column(c).take(pa.array(of)) for c in ("k1", "k2")] + [pa.array(raw, pa.binary()).take(pa.array(of))]
-                yield pa.RecordBatch.from_arrays(columns, ["choice", "through", "role", "fp", "k2", "raw"])
+            # a class's set goes along with each signature it may meet through: so many bytes at once, or one set
+            ends = np.cumsum(4 * n[of])
+            at = 0
+            while at < len(of):
+                to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_BYTES, "right")), at + 1)
+                own, by = of[at:to], through[at:to]
+                whose = pa.array(own)
+                for role in (0, 1):  # 0 at home in the band, 1 from the next one
+                    choice = mix(by * np.uint64(0x9E3779B97F4A7C15) + (band[own] - role).astype(np.uint64))
+                    columns = [pa.array(choice.view(np.int64)), pa.array(by.astype(np.uint32).view(np.int32)), pa.array(np.full(len(own), role, np.int32))]
+                    columns += [batch.column(c).take(whose) for c in ("k1", "k2")] + [pa.array([raw[i] for i in own.tolist()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["choice", "through", "role", "fp", "k2", "raw"])
+                at = to
 
     keys = classes.select("k1", "k2", "sigs").mapInArrow(meeting, "choice long, through int, role int, fp long, k2 long, raw binary")
     several = written(keys.groupBy("choice").agg(F.count("*").alias("n"), F.min("role").alias("least")).where("n > 1 and least = 0").drop("least"))
