@@ -128,14 +128,16 @@ def context_refs(results: DataFrame) -> DataFrame:
     """
     task = Window.partitionBy("task_id").orderBy("pos")
     upto = task.rowsBetween(Window.unboundedPreceding, 0)
-    rows = results.withColumn("_rn", F.row_number().over(task))
-    size = F.coalesce(F.sum(F.octet_length("json") + 1).over(upto) - 1, F.lit(0)).cast("long")
-    so_far = F.struct(F.col("_rn").alias("n"), size.alias("bytes"), F.bit_xor(F.xxhash64("_rn", "json")).over(upto).alias("chain"))
+    # of a line, only these two go to its task, unless the caller wants it there
+    rows = results.withColumns({"_size": F.octet_length("json") + 1, "_line": F.when(F.col("json").isNotNull(), F.xxhash64("json"))})
+    rows = rows.withColumn("_rn", F.row_number().over(task))
+    size = F.coalesce(F.sum("_size").over(upto) - 1, F.lit(0)).cast("long")
+    so_far = F.struct(F.col("_rn").alias("n"), size.alias("bytes"), F.bit_xor(F.xxhash64("_rn", "_line")).over(upto).alias("chain"))
     rows = rows.withColumn("_so_far", so_far)
     last_ok = F.max(F.when(F.col("ok"), F.col("_so_far"))).over(task.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_seen", last_ok)
     refs = {"n_prior": F.coalesce("_seen.n", F.lit(0)), "n_bytes": F.coalesce("_seen.bytes", F.lit(0)), "chain": F.lower(F.lpad(F.hex("_seen.chain"), 16, "0"))}
-    return rows.withColumns(refs).drop("_rn", "_so_far", "_seen")
+    return rows.withColumns(refs).drop("_size", "_line", "_rn", "_so_far", "_seen")
 
 
 def context_lines(results: DataFrame) -> DataFrame:

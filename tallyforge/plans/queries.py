@@ -290,7 +290,9 @@ def w2(t: Tables) -> DataFrame:
 def w2_refs(t: Tables) -> DataFrame:
     """The same contexts without their texts; a task's chains are numbered as they grow."""
     refs = results.context_refs(_earlier(t))
-    nth = F.dense_rank().over(Window.partitionBy("task_id").orderBy("n_prior", F.coalesce("chain", F.lit(""))))
+    task = Window.partitionBy("task_id").orderBy("pos")  # as the contexts are made, so tasks are sorted once
+    refs = refs.withColumn("_new", (~F.col("chain").eqNullSafe(F.lag("chain").over(task))).cast("int"))
+    nth = 1 + F.sum("_new").over(task.rowsBetween(Window.unboundedPreceding, 0))
     return refs.select("task_id", F.col("pos").cast("long").alias("pos"), F.col("n_prior").cast("long").alias("n_prior"), "n_bytes", nth.cast("long").alias("nth_chain"))
 
 

@@ -526,3 +526,12 @@ def test_turns_of_a_bucket_are_those_of_its_turns(seed):
     found = [sorted(repr(r) for batch in batches for r in driven.run(batch)) for driven in (each, together)]
     assert found[0] == found[1] and found[0]
     assert all(len(handle.timers) <= 1 for _, handle in together.own.values())
+
+
+def test_tasks_are_sorted_once_for_their_contexts(spark, sf):
+    from tallyforge import plans
+
+    plan = plans.QUERIES["w2_context_refs"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2  # the results of an order, and those of a task
+    of_task = [line for line in plan.splitlines() if "Exchange hashpartitioning(task_id" in line]
+    assert len(of_task) == 1 and "concat_ws" not in plan.split(of_task[0])[0]
