@@ -82,7 +82,8 @@ def parse_result_contract(raw: DataFrame) -> DataFrame:
         .when(~every("_evidence", lambda v: _kind(v) == "STRING"), S.BAD_EVIDENCE)
         .when(~_kind(F.col("_message")).isin("STRING", "VOID"), S.BAD_MESSAGE)
     )
-    rows = rows.withColumns({"reason": reason, "_ok_status": status})
+    # a filter on reason stays above an explode; below, it would parse the value anew wherever its conditions name a field
+    rows = rows.withColumn("_ok_status", status).select("*", F.explode(F.array(reason)).alias("reason"))
     ids = [F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("thread_id", "turn_id") if c in raw.columns]
     envelope = F.to_json(F.struct(F.col("reason").alias("parser_reason"), text, *ids))
     out = {
