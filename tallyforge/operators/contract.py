@@ -146,7 +146,10 @@ def assemble_prompts(planned: DataFrame, materials: DataFrame, refs: DataFrame)
     head is what stands before the earlier results, of which the prompt has its task's first n_prior, as refs
     (task_id, plan_pos, n_prior) say, or none; the skill goes by its name. render_prompts makes the texts.
     """
-    rows = planned.join(materials_digest(materials), "task_id", "left").join(refs.select("task_id", "plan_pos", "n_prior"), ["task_id", "plan_pos"], "left")
+    # a row of refs for each task, so all of it meets on task_id and no text is shuffled again
+    of_task = refs.groupBy("task_id").agg(F.collect_list(F.struct("plan_pos", "n_prior")).alias("_refs"))
+    rows = planned.join(of_task, "task_id", "left").join(materials_digest(materials), "task_id", "left")
+    rows = rows.withColumn("n_prior", F.get(F.filter("_refs", lambda r: r["plan_pos"] == F.col("plan_pos")), F.lit(0))["n_prior"])
     field = lambda name, c: F.concat(F.lit(name), F.coalesce(c, F.lit("")))
     head = F.concat_ws(
         "\n",
@@ -165,8 +168,9 @@ def assemble_prompts(planned: DataFrame, materials: DataFrame, refs: DataFrame)
 def render_prompts(prompts: DataFrame, lines: DataFrame, skills: DataFrame) -> DataFrame:
     """(task_id, plan_pos, agent, prompt) for batch inference, from assemble_prompts, context_lines and the skills' texts.
 
-    A prompt whose skill is missing has no text; attach_skill says which these are.
+    A prompt whose skill is missing has no text; attach_skill says which these are. The skills, some files that all
+    prompts share, are broadcast, and come last, so that neither they nor the prompts' other texts are shuffled by skill.
     """
-    rows = render_contexts(attach_skill(prompts, skills)[0], lines)
+    rows = attach_skill(render_contexts(prompts, lines), F.broadcast(skills))[0]
     text = F.concat_ws("\n", "head", "context", F.lit("Instructions:"), "skill_text", F.lit(RULES))
     return rows.select("task_id", "plan_pos", "agent", text.alias("prompt"))

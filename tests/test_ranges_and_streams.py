@@ -544,3 +544,11 @@ def test_a_filter_on_reason_parses_nothing_again(spark):
     filters = [line for line in plan.splitlines() if "Filter " in line]
     assert filters and not any("variant_get" in line or "parse_json" in line for line in filters)
     assert parsed.count() == 3
+
+
+def test_prompts_are_not_shuffled_again(spark, sf):
+    from tallyforge import plans
+
+    plan = plans.QUERIES["c4_prompt_assembly"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not any("hashpartitioning(skill" in line or "hashpartitioning(task_id" in line and "plan_pos" in line for line in exchanges)
