@@ -44,6 +44,11 @@ def folders(spark: SparkSession, path: str, whole: bool = False) -> list[str]:
     return sorted(p.getName() for p in found if not whole or done(p))
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    fs, top = _file_system(spark, path)
+    return fs.getContentSummary(top).getLength()
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     fs, top = _file_system(spark, path)
     fs.delete(top, True)

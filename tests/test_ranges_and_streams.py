@@ -346,6 +346,32 @@ def test_status_table_equals_final_status_after_every_batch(spark, tmp_path):
     assert {r.task_id: r.status for r in StatusTable(spark, str(tmp_path / "t"), buckets=3).status().collect()} == seen[6]
 
 
+def test_status_batches_write_what_they_say(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tallyforge.streaming.status.MERGED", 3)
+    planned = spark.range(20_000).select(F.col("id").cast("string").alias("task_id"), F.lit(0).alias("plan_pos"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("agent"), *[F.lit("x").alias(c) for c in ("skill", "purpose", "tz")])
+    table = StatusTable(spark, str(tmp_path / "t"), planned, buckets=2, every=2)
+    schema = "task_id string, agent string, status string"
+    batches = [[(str(n % 4), "ab"[n % 2 - n // 4], "PASS"), ("7", "z", "ERROR"), (str(n), None, "BLOCK")] for n in range(7)] + [[("3", "a", "WARNING")] * 5]
+    for n, batch in enumerate(batches):
+        table.upsert(spark.createDataFrame(batch, schema), n)
+        assert spark.read.parquet(table._path("delta", n + 1)).count() <= 2
+        # parts of a merged delta stay until the next one is made
+        assert len(table._deltas()) <= 8 and len(table._upto()[1]) <= 4
+    assert table._versions("base") == [0]
+    seen = {}
+    for batch in batches:
+        for task, agent, status in batch:
+            seen.setdefault(task, {}).setdefault(agent, set()).add(status)
+    own = lambda t: {k: v for k, v in seen.get(t, {}).items() if k in ("a", "b")}
+    want = {str(t): "WARNING" if t == 3 else "ACCEPTED" if len(own(str(t))) == 2 else "UNCERTAINTY" for t in range(10)}
+    assert {r.task_id: r.status for r in table.status().where("length(task_id) = 1").collect()} == want and "ACCEPTED" in want.values()
+    assert [tuple(r) for r in table.changes(8).collect()] == [("3", "WARNING")]
+    table.upsert(spark.createDataFrame([("0", "a", "ERROR")], schema), 1)  # a part of a merged delta is there
+    assert table._upto()[1][-1][1] == 8
+    with pytest.raises(ValueError):
+        table.status(1)
+
+
 def test_status_stream_goes_on_where_it_was(spark, tmp_path):
     planned = spark.createDataFrame([("t", 0, "a", "s", "p", "tz"), ("t", 1, "b", "s", "p", "tz")], S.PLANNED)
     table = StatusTable(spark, str(tmp_path / "t"), planned)
