@@ -36,6 +36,8 @@ PARTS, PART_ROWS = 100_000, 1_000
 #: Frequent signatures, at most, and classes that each is in, at least; and classes that meet through one before their
 #: pairs are dealt out as squares of this side.
 MOST_FREQUENT, LEAST_FREQUENT, SIDE = 100_000, 64, 2_048
+#: Signatures through which classes may meet that leave a task at once.
+POSTINGS = 50_000
 
 _START = np.uint64(0x2545F4914F6CDD1D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -232,9 +234,12 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) ->
     Equal fingerprints are one class, by its smallest doc_id; n_docs documents are in it, and n_links other classes
     have a Jaccard coefficient of the threshold at least. Sets are partitioned by length, band k holding |A| in
     [1/t^k, 1/t^(k+1)), and meet in their own and the next band. There they meet through the first |A| - ceil(t |A|) + 1
-    signatures, frequent ones last: two sets that meet through none of these cannot reach the threshold. A pair counts
-    where its first common signature brings it together. Who meets through a crowded signature is dealt out as squares,
-    and a task returns counts, never pairs. Empty fingerprints (null texts, texts without words) are a class without
+    signatures, frequent ones last: two sets that meet through none of these cannot reach the threshold. Ids and sketches
+    meet first: a sketch has the parity of the signatures in each of 128 cells, so sketches differ in no more cells than
+    sets in signatures, and who has nobody near enough by it leaves. Those that are left of several signatures are one
+    group where they are the same classes, and each class's set goes to a group once. A pair counts where its first common
+    signature brings it together. Who meets through a crowded signature is dealt out as squares, and a task returns counts,
+    never pairs. Empty fingerprints (null texts, texts without words) are a class without
     links. Rows without doc_id are in their class, whose id is null if all of it lack one. Repeated rows are one class.
     Texts of any length are read whole; other columns are not looked at; empty in, empty out.
     """
@@ -259,43 +264,73 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) ->
     frequent = np.sort(counts.where(F.col("n") > max(total / MOST_FREQUENT, LEAST_FREQUENT)).select("sig").toArrow().column("sig").to_numpy().astype(np.uint32))
     sent = spark.sparkContext.broadcast(frequent)
 
-    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def arranged(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each class's number of signatures, all of them with frequent ones last, and where a class's begin."""
+        n = np.diff(batch.column("sigs").offsets.to_numpy())
+        value = _order(batch.column("sigs").flatten().to_numpy().view(np.uint32), sent.value)
+        return n, value[np.lexsort((value, np.repeat(np.arange(len(n)), n)))], np.append(0, np.cumsum(n))
+
+    def meeting(batches: Iterator[pa.RecordBatch], whole: bool = True) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n = np.diff(batch.column("sigs").offsets.to_numpy())
-            row = np.repeat(np.arange(len(n)), n)
-            value = _order(batch.column("sigs").flatten().to_numpy().view(np.uint32), sent.value)
-            order = np.lexsort((value, row))
-            value, first = value[order], np.append(0, np.cumsum(n))
+            n, value, first = arranged(batch)
+            sketch = _sketch(value, first).view(np.int64) if whole else None
             band = np.floor(np.log(np.maximum(n, 1)) / np.log(1 / threshold) + 1e-9).astype(np.int64)
             prefix = np.where(n > 0, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0)
             of = np.repeat(np.arange(len(n)), prefix)
             through = value[np.repeat(first[:-1], prefix) + np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix)]
-            ordered = value.astype("<u4").tobytes()
-            raw = [ordered[4 * a : 4 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            # a class's set goes along with each signature it may meet through: so many bytes at once, or one set
-            ends = np.cumsum(4 * n[of])
-            at = 0
-            while at < len(of):
-                to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_BYTES, "right")), at + 1)
-                own, by = of[at:to], through[at:to]
-                whose = pa.array(own)
+            for at in range(0, len(of), POSTINGS):
+                own, by = of[at : at + POSTINGS], through[at : at + POSTINGS]
                 for role in (0, 1):  # 0 at home in the band, 1 from the next one
                     choice = mix(by * np.uint64(0x9E3779B97F4A7C15) + (band[own] - role).astype(np.uint64))
-                    columns = [pa.array(choice.view(np.int64)), pa.array(by.astype(np.uint32).view(np.int32)), pa.array(np.full(len(own), role, np.int32))]
-                    columns += [batch.column(c).take(whose) for c in ("k1", "k2")] + [pa.array([raw[i] for i in own.tolist()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["choice", "through", "role", "fp", "k2", "raw"])
-                at = to
+                    columns = {"choice": pa.array(choice.view(np.int64)), "role": pa.array(np.full(len(own), role, np.int32))}
+                    if whole:
+                        columns |= {"through": pa.array(by.astype(np.uint32).view(np.int32)), "fp": batch.column("k1").take(pa.array(own)), "k2": batch.column("k2").take(pa.array(own)), "n": pa.array(n[own].astype(np.int32))}
+                        columns |= {"s0": pa.array(sketch[own, 0]), "s1": pa.array(sketch[own, 1])}
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, value, first = arranged(batch)
+            offsets = pa.py_buffer((4 * first).astype(np.int32).tobytes())
+            raw = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, pa.py_buffer(value.astype("<u4").tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), raw], ["fp", "k2", "raw"])
 
-    keys = classes.select("k1", "k2", "sigs").mapInArrow(meeting, "choice long, through int, role int, fp long, k2 long, raw binary")
-    several = written(keys.groupBy("choice").agg(F.count("*").alias("n"), F.min("role").alias("least")).where("n > 1 and least = 0").drop("least"))
-    rows = dealt(joined(keys, several, ["choice"]).drop("n"), F.count("*") / SIDE, "through", "role", "fp", "k2", "raw")
+    several = classes.select("sigs").mapInArrow(lambda batches: meeting(batches, False), "choice long, role int")
+    several = written(several.groupBy("choice").agg(F.count("*").alias("n"), F.min("role").alias("least")).where("n > 1 and least = 0").drop("least"))
+    keys = classes.select("k1", "k2", "sigs").mapInArrow(meeting, "choice long, role int, through int, fp long, k2 long, n int, s0 long, s1 long").withColumnRenamed("n", "size")
+    keys = written(joined(keys, several, ["choice"]).drop("n"))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in whole_runs(batches):
+            choice, part, role, size, k1, k2 = (own.column(c).to_numpy() for c in ("choice", "part", "role", "size", "fp", "k2"))
+            sketch = np.stack([own.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")], 1)
+            has = np.zeros(len(choice), bool)
+            for a, b in _meetings(choice, part, role, size, sketch, threshold, has):
+                has[a] = has[b] = True
+            at = np.flatnonzero(has)
+            if not len(at):
+                continue
+            # a group is named by its classes and their roles and parts
+            named = mix(mix(k1[at].view(np.uint64)) + mix(k2[at].view(np.uint64) ^ _STEP) + (3 * role[at] + part[at]).astype(np.uint64) * _STEP)
+            start, end = runs(choice[at])
+            sums = np.append(np.uint64(0), np.cumsum(named, dtype=np.uint64))
+            group = np.repeat(mix(sums[end] - sums[start]), end - start).view(np.int64)
+            rest = own.select(["part", "role", "fp", "k2", "through"]).take(pa.array(at)).combine_chunks()
+            yield from rest.add_column(0, "choice", pa.array(group)).to_batches()
+
+    met = dealt(keys, F.count("*") / SIDE, "role", "through", "fp", "k2", "size", "s0", "s1")
+    met = met.mapInArrow(candidates, "choice long, part int, role int, fp long, k2 long, through int")
+    groups = met.groupBy("choice", "part", "role", "fp", "k2").agg(F.collect_set("through").alias("through"))
+    rows = groups.join(classes.select("k1", "k2", "sigs").mapInArrow(ordered, "fp long, k2 long, raw binary"), ["fp", "k2"])
+    rows = rows.select("choice", "part", "role", "fp", "k2", "through", "raw").repartition("choice").sortWithinPartitions("choice", "part")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in whole_runs(batches):
-            choice, part, through, role = (own.column(c).to_numpy() for c in ("choice", "part", "through", "role"))
-            n = _links(choice, part, through.view(np.uint32), role, own.column("raw").to_pylist(), threshold)
+            choice, part, role = (own.column(c).to_numpy() for c in ("choice", "part", "role"))
+            through = own.column("through").combine_chunks()
+            n = _links(choice, part, through.value_lengths().to_numpy(), through.flatten().to_numpy().view(np.uint32), role, own.column("raw").to_pylist(), threshold)
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([own.column("fp").combine_chunks().take(pa.array(at)), own.column("k2").combine_chunks().take(pa.array(at)), pa.array(n[at])], ["k1", "k2", "n"])
 
@@ -304,36 +339,67 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) ->
     return joined(sets.select("doc_id", "k1", "k2"), found, ["k1", "k2"]).select("doc_id", "class_id", F.col("n").alias("n_docs"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _links(choice: np.ndarray, part: np.ndarray, through: np.ndarray, role: np.ndarray, raw: list[bytes], threshold: float) -> np.ndarray:
-    """How many of the rows they meet each row is near to, of pairs whose first common signature is the one they meet through; raw has each row's, frequent ones last."""
-    size = np.array([len(r) // 4 for r in raw])
-    values, first = np.frombuffer(b"".join(raw), "<u4").astype(np.uint64), np.append(0, np.cumsum(size))
-    out = np.zeros(len(raw), np.int64)
+def _sketch(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two words for each row's values: the parity of those in each of 128 cells."""
+    cell = mix(values.astype(np.uint64) & np.uint64(0xFFFFFFFF)) & np.uint64(127)
+    bit = np.uint64(1) << (cell & np.uint64(63))
+    out = []
+    for word in (0, 1):
+        sums = np.append(np.uint64(0), np.bitwise_xor.accumulate(np.where(cell >> np.uint64(6) == word, bit, np.uint64(0))))
+        out.append(sums[first[1:]] ^ sums[first[:-1]])
+    return np.stack(out, 1)
+
+
+def _meetings(choice: np.ndarray, part: np.ndarray, role: np.ndarray, size: np.ndarray, sketch: np.ndarray, threshold: float, done: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of rows of one choice that may be near by their parts, roles, sizes and sketches, a few thousand at a time; not those that are both done."""
     _, ends = runs(choice)
     last = ends[np.searchsorted(ends, np.arange(len(choice)), "right")] if len(ends) else ends
+    apart = (1 - threshold) / (1 + threshold)
     shift, at = 1, np.arange(len(choice))
     while len(at := at[at + shift < last[at]]):
         for cut in range(0, len(at), 1 << 14):
             a = at[cut : cut + (1 << 14)]
             b = a + shift
             fine = ((part[a] != part[b]) | (part[a] == 0)) & ((role[a] == 0) | (role[b] == 0)) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
+            if done is not None:
+                fine &= ~(done[a] & done[b])
             a, b = a[fine], b[fine]
-            if not len(a):
-                continue
-            pair, theirs = np.repeat(np.arange(len(a)), size[a]), np.repeat(np.arange(len(b)), size[b])
-            x = values[np.arange(len(pair)) + np.repeat(first[a] - (np.cumsum(size[a]) - size[a]), size[a])]
-            y = values[np.arange(len(theirs)) + np.repeat(first[b] - (np.cumsum(size[b]) - size[b]), size[b])]
-            common = np.flatnonzero(np.isin(pair.astype(np.uint64) << np.uint64(32) | x, theirs.astype(np.uint64) << np.uint64(32) | y, assume_unique=True))
-            both = np.bincount(pair[common], minlength=len(a))
-            met, where = np.unique(pair[common], return_index=True)
-            near = both[met] / (size[a[met]] + size[b[met]] - both[met]) >= threshold - 1e-12
-            near &= x[common[where]] == through[a[met]]
-            np.add.at(out, a[met[near]], 1)
-            np.add.at(out, b[met[near]], 1)
+            near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) <= apart * (size[a] + size[b]) + 1e-6
+            if near.any():
+                yield a[near], b[near]
         shift += 1
+
+
+def _links(choice: np.ndarray, part: np.ndarray, n_through: np.ndarray, through: np.ndarray, role: np.ndarray, raw: list[bytes], threshold: float) -> np.ndarray:
+    """How many of the rows they meet each row is near to, of pairs whose first common signature is one of those they meet through; raw has each row's, frequent ones last."""
+    size = np.array([len(r) // 4 for r in raw], np.int64)
+    values, first = np.frombuffer(b"".join(raw), "<u4").astype(np.uint64), np.append(0, np.cumsum(size))
+    out = np.zeros(len(raw), np.int64)
+    start, end = runs(choice)
+    run = np.repeat(np.arange(len(start)), end - start).astype(np.uint64) << np.uint64(32)
+    allowed = np.unique(np.repeat(run, n_through) | through)
+    for a, b in _meetings(choice, part, role, size, _sketch(values, first), threshold):
+        ends, at = np.cumsum(size[a] + size[b]), 0
+        while at < len(a):  # so many signatures at once, or one pair
+            to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE_BYTES // 8, "right")), at + 1)
+            _count_near(a[at:to], b[at:to], size, values, first, run, allowed, threshold, out)
+            at = to
     return out
 
 
+def _count_near(a: np.ndarray, b: np.ndarray, size: np.ndarray, values: np.ndarray, first: np.ndarray, run: np.ndarray, allowed: np.ndarray, threshold: float, out: np.ndarray) -> None:
+    pair, theirs = np.repeat(np.arange(len(a)), size[a]), np.repeat(np.arange(len(b)), size[b])
+    x = values[np.arange(len(pair)) + np.repeat(first[a] - (np.cumsum(size[a]) - size[a]), size[a])]
+    y = values[np.arange(len(theirs)) + np.repeat(first[b] - (np.cumsum(size[b]) - size[b]), size[b])]
+    common = np.flatnonzero(np.isin(pair.astype(np.uint64) << np.uint64(32) | x, theirs.astype(np.uint64) << np.uint64(32) | y, assume_unique=True))
+    both = np.bincount(pair[common], minlength=len(a))
+    met, where = np.unique(pair[common], return_index=True)
+    near = both[met] / (size[a[met]] + size[b[met]] - both[met]) >= threshold - 1e-12
+    near &= _among(run[a[met]] | x[common[where]], allowed)
+    np.add.at(out, a[met[near]], 1)
+    np.add.at(out, b[met[near]], 1)
+
+
 def spotsigs_near_classes(spark, sf_dir: str) -> DataFrame:
     """The class of each document and to how many classes it is near."""
     return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -408,6 +409,35 @@ def test_spot_classes(spark, sf, monkeypatch, side, threshold):
     assert spotsigs.near_classes(docs(spark, [])).count() == 0
 
 
+def test_spot_sets_of_long_near_copies_move_once(spark):
+    def shuffled():
+        spark.range(10).repartition(2).count()
+        time.sleep(1)  # the status store is written with some delay
+        return sum(e.totalShuffleWrite() for e in (store.apply(k) for store in [spark.sparkContext._jsc.sc().statusStore().executorList(False)] for k in range(store.size())))
+
+    parts = [f"the thing{k} sort{k} kind{k}" for k in range(2_000)]
+    texts = [" ".join([*parts[:50 * i], f"the own{i} word{i} part{i}", *parts[50 * i :]]) for i in range(30)]
+    before = shuffled()
+    got = spotsigs.near_classes(docs(spark, list(enumerate(texts)))).collect()
+    assert {r.n_links for r in got} == {29} and len(got) == 30
+    assert shuffled() - before < 3 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_spot_sketches_lose_no_near_pair(threshold):
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 5, 40, 300, 3_000):
+        a = [np.unique(rng.integers(0, 2**32, size, np.uint64)) for _ in range(20)]
+        b = [np.concatenate([x[: int(np.ceil(2 * threshold / (1 + threshold) * len(x)))], rng.integers(2**31, 2**32, len(x) - int(np.ceil(2 * threshold / (1 + threshold) * len(x))), np.uint64)]) for x in a]
+        sets = [np.unique(x) for pair in zip(a, b) for x in pair]
+        n = np.array([len(x) for x in sets])
+        sketch = spotsigs._sketch(np.concatenate(sets), np.append(0, np.cumsum(n)))
+        none = np.zeros(len(sets), np.int32)
+        found = {(i, j) for x, y in spotsigs._meetings(none.astype(np.int64), none, none, n, sketch, threshold) for i, j in zip(x.tolist(), y.tolist())}
+        near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(np.intersect1d(sets[i], sets[j])) >= threshold * len(np.union1d(sets[i], sets[j]))}
+        assert near <= found and len(near) >= 20
+
+
 def test_languages(spark, sf):
     got = langid.op3_langid(spark, sf).collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
